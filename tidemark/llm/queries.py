@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, ngram_join, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op8_url_filters": url_filter.op8_url_filters,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_url_filters": url_filter.OP8_SQL,
+    "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+}
