@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, url_filter
+from . import decontaminate, mixing, ngram_join, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op8_url_filters": url_filter.op8_url_filters,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
