@@ -14,6 +14,8 @@ _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Distinct words whose hashes one Python worker remembers.
 _REMEMBERED = 1 << 20
+#: Bytes of texts or arrays that one Arrow batch carries.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, so that long texts do not add up in a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables in the shared folder that cut the lineage: a lost executor costs a reread, not a recomputation.
 
@@ -37,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bound_batches(spark)
         self.base = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 

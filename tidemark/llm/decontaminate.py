@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Scratch, fresh, read
+from .common import Scratch, bound_batches, fresh, read
 
 #: Words of test items in one automaton; an item is never divided.
 BLOCK_WORDS = 200_000
@@ -160,6 +160,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     repeat count under each id, an empty test set hits nothing. No row of docs is lost or doubled.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     names = fresh(docs, "n_words", "hits", "items")
     item_type = T.LongType()
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(item_type))])
