@@ -1,7 +1,7 @@
 """Toxicity as ordinal severity: cumulative-link regression over sparse text features.
 
 Grades 0..K-1 follow P(grade <= k) = sigmoid(theta_k - w.x): the thresholds are ordered, and all of them share the
-weights w. Features are the distinct words of a text, hashed. The model is fitted on the driver over a bounded
+weights w. Features are the distinct words of a text and their beginnings, hashed. The model is fitted on the driver over a bounded
 sample of labelled documents; features that do not set the grades apart at a fixed significance keep weight 0.
 Scoring is one pass over all documents, without a shuffle.
 """
@@ -20,10 +20,12 @@ from .decontaminate import words
 
 #: Hashed features.
 FEATURES = 1 << 20
+#: Bytes of a word's beginning that are features beside the word itself: stems, where endings vary.
+PREFIXES = (4, 5, 6)
 #: Labelled documents to fit on, drawn by the hash of their id.
 SAMPLE = 8000
 #: Documents that must hold a feature, and the z-score its share among higher grades must reach.
-MIN_DOCS, MIN_Z = 3, 5.0
+MIN_DOCS, MIN_Z = 3, 4.0
 
 
 @dataclass(frozen=True)
@@ -41,10 +43,12 @@ class Severity:
 
 
 def _hashed(its: list[bytes], hashes: WordHash) -> np.ndarray:
-    return np.unique(hashes.of(list(set(its))) & np.uint64(FEATURES - 1)).astype(np.int64)
+    kinds = set(its)
+    kinds |= {b"^" + w[:k] for w in kinds for k in PREFIXES if len(w) >= k}
+    return np.unique(hashes.of(list(kinds)) & np.uint64(FEATURES - 1)).astype(np.int64)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the penalised likelihood; (rows, cols) are the features present.
 
     Grades that no row has get a threshold at the border of the next one.
