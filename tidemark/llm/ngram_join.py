@@ -8,8 +8,9 @@ A document is the set of its distinct word n-grams. Two documents link when thei
    H parts, so at least one part holds the same elements in both: (band, part, elements of the part) is a tile, and
    linked sets share one. Parts that are empty say nothing; a set with too many of them is dealt once more with
    other hashes, which keeps the guarantee.
-2. *Stars.* The members of a tile are compared with its smallest member only. A group of thousands of near copies
-   costs a comparison for each member, not for each pair.
+2. *Stars.* The members of a tile are compared with its smallest member only, and where that leaves several
+   components, with the member that shares most tiles, then with one picked by hash. A group of thousands of near
+   copies costs a few comparisons for each member, not for each pair.
 3. *Open tiles.* Tiles whose members are not yet all in one component are walked in blocks. The bit counts of two
    bitmaps bound the overlap from above; pairs that may still reach the threshold, and only those, are emitted.
 4. *Exact check* by intersecting the sorted arrays; links then become components.
@@ -30,6 +31,8 @@ from .common import Scratch, WordHash, components, mix, odd, read, shingle_set,
 
 #: Times a set is dealt with other hashes before its empty parts become tiles too.
 DEALS = 8
+#: Further rounds of stars in the tiles that are still open.
+STARS = 2
 #: Rows of one block of an open tile.
 BLOCK = 2048
 #: Bits of the filter that prunes the texts read again for verification. It has a fixed size, and a join decides.
@@ -83,10 +86,10 @@ def tiles(values: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Presence bits: a power of two of them, two to four for each element."""
+    """Presence bits: a power of two of them, four to eight for each element."""
     if not len(values):
         return b""
-    size = 1 << max(6, int(2 * len(values) - 1).bit_length())
+    size = 1 << max(6, int(4 * len(values) - 1).bit_length())
     where = (values & np.uint64(size - 1)).astype(np.int64)
     flags = np.zeros(size, bool)
     flags[where] = True
@@ -148,15 +151,15 @@ def _bounded(percent: int):
     return run
 
 
-def _pairs_of_tile(ids, comp, lead, size, bits, first, second, percent: int) -> list[tuple[int, int]]:
+def _pairs_of_tile(ids, comp, size, bits, first, second, percent: int) -> list[tuple[int, int]]:
     """Pairs across components that the bit counts leave open; first and second: the rows of both blocks."""
     ids, comp, size, out = np.array(ids), np.array(comp), np.array(size), []
     second_rows = np.array(second)
     for i in first:
         js = second_rows[second_rows > i] if first is second else second_rows
-        near = (comp[js] != comp[i]) & (ids[js] != ids[i]) & (ids[js] != lead)
+        near = (comp[js] != comp[i]) & (ids[js] != ids[i])
         near &= 100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])
-        for j in js[near] if ids[i] != lead else ():
+        for j in js[near]:
             if linked(most_common(int(size[i]), bits[i], int(size[j]), bits[j]), int(size[i]), int(size[j]), percent):
                 out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
     return out
@@ -164,7 +167,7 @@ def _pairs_of_tile(ids, comp, lead, size, bits, first, second, percent: int) ->
 
 def _open(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("id", "component", "leader", "n", "bits", "block")
+        names = ("id", "component", "n", "bits", "block")
         key, held = None, {k: [] for k in names}
 
         def done():
@@ -173,7 +176,7 @@ def _open(percent: int):
             i, j = key[1], key[2]
             first = [k for k, x in enumerate(held["block"]) if x == i]
             second = first if i == j else [k for k, x in enumerate(held["block"]) if x == j]
-            found = _pairs_of_tile(held["id"], held["component"], held["leader"][0], held["n"], held["bits"], first, second, percent)
+            found = _pairs_of_tile(held["id"], held["component"], held["n"], held["bits"], first, second, percent)
             for x in held.values():
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"]) if found else None
@@ -223,27 +226,39 @@ def _exact(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    spark = pairs.sparkSession
+def _sets_of(ids: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(id, items) of the documents whose ids are in the one column of ids, and of some others."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(PRUNE_BITS))
+    wanted = ids.toDF("doc_id").select(spot.alias("s"))
+    rows = wanted.groupBy(F.expr("s div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m")).collect()  # at most PRUNE_BITS / 32
+    prune = np.zeros(PRUNE_BITS // 32, np.uint32)
+    for r in rows:
+        prune[r.w] = r.m
+    texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text", spot.alias("spot"))
+    return scratch.cut(texts.mapInArrow(_sets(n, prune.view(np.uint8)), "id long, items array<long>"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, meta: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) that link; without sets, those needed are read from docs."""
     side = lambda c, *names: meta.select(F.col("doc_id").alias(c), *(F.col(x).alias(y) for x, y in zip(("n", "d1", "d2", "bits"), names, strict=True)))
     met = pairs.join(side("b", "n2", "e1", "e2", "y"), "b").join(side("a", "n1", "d1", "d2", "x"), "a")
     same = "n1 = n2 and d1 = e1 and d2 = e2"
     met = met.filter(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
     equal = scratch.cut(met.filter(same).select("a", "b"))
     left = scratch.cut(met.filter(f"not ({same})").select("a", "b", "n1", "n2", "x", "y").mapInArrow(_bounded(percent), "a long, b long"))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(PRUNE_BITS))
-    wanted = left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).select(spot.alias("s"))
-    rows = wanted.groupBy(F.expr("s div 32").alias("w")).agg(F.bit_or(F.expr("1L << cast(s % 32 as int)")).alias("m")).collect()  # at most PRUNE_BITS / 32
-    prune = np.zeros(PRUNE_BITS // 32, np.uint32)
-    for r in rows:
-        prune[r.w] = r.m
-    sets = docs.filter("text is not null and doc_id is not null").select("doc_id", "text", spot.alias("spot")).mapInArrow(_sets(n, prune.view(np.uint8)), "id long, items array<long>")
-    sets = scratch.cut(sets)
+    if sets is None:
+        sets = _sets_of(left.select("a").union(left.select("b")), docs, n, scratch)
     two = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     return equal.union(scratch.cut(two.mapInArrow(_exact(percent), "a long, b long")))
 
 
+def _still_open(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of the tiles that hold more than one component: (tile, id, component)."""
+    held = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = held.withColumns({"lo": F.expr("min(component) over (partition by tile)"), "hi": F.expr("max(component) over (partition by tile)")})
+    return scratch.cut(held.filter("lo <> hi").select("tile", "id", "component"))
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicate documents: (doc_id, n_shingles, component_id), a row for each input row.
 
@@ -263,19 +278,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     members = scratch.cut(members)
     stars = scratch.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     copies = meta.filter("copy_of <> doc_id").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
-    links = scratch.cut(_verified(stars, docs, lone, n, percent, scratch).union(copies))
+    links = _verified(stars, None, docs, lone, n, percent, scratch).union(copies)
     found = scratch.cut(components(links, scratch))
-    held = members.filter("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    held = held.withColumns({"lo": F.min("component").over(per), "hi": F.max("component").over(per), "block": F.expr(f"cast((row_number() over (partition by tile order by id) - 1) div {BLOCK} as int)")})
-    held = held.filter("lo <> hi").withColumn("blocks", F.expr(f"cast((size - 1) div {BLOCK} as int)"))
-    held = held.select("tile", "id", "leader", "component", "block", F.explode(F.expr("sequence(0, blocks)")).alias("other"))
-    held = held.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "leader", "component", "block")
+    # tiles of two are settled; the sets of all documents in the others are fetched once
+    held = _still_open(members.filter("size > 2").select("tile", "id"), found, scratch)
+    sets = _sets_of(held.select("id"), docs, n, scratch)
+
+    def merge(found: DataFrame, links: DataFrame) -> DataFrame:
+        old = found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return scratch.cut(components(old.union(links), scratch))
+
+    for turn in range(STARS):
+        if turn % 2 == 0:
+            # the member that shares most tiles is the one that others are copies of
+            shared = scratch.cut(held.groupBy("id").agg(F.count("*").alias("order")))
+            ranked = held.join(shared.withColumn("order", F.struct(F.col("order").alias("col1"), F.negative("id").alias("col2"))), "id")
+        else:
+            ranked = held.withColumn("order", F.struct(F.xxhash64("id", F.lit(turn)).alias("col1"), F.negative("id").alias("col2")))
+        ranked = ranked.withColumn("top", F.max("order").over(per)).withColumn("lead", F.negative("top.col2"))
+        ranked = ranked.withColumn("theirs", F.max(F.when(F.col("id") == F.col("lead"), F.col("component"))).over(per))
+        again = ranked.filter("component <> theirs").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        found = merge(found, _verified(scratch.cut(again), sets, docs, lone, n, percent, scratch))
+        held = _still_open(held.select("tile", "id"), found, scratch)
+    held = held.withColumns({"size": F.count("*").over(per), "block": F.expr(f"cast((row_number() over (partition by tile order by id) - 1) div {BLOCK} as int)")})
+    held = held.select("tile", "id", "component", "block", F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK} as int))")).alias("other"))
+    held = held.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
     held = held.join(lone.select(F.col("doc_id").alias("id"), "n", "bits"), "id")
     held = held.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "id")
     more = scratch.cut(held.mapInArrow(_open(percent), "a long, b long").distinct())
-    late = _verified(more, docs, lone, n, percent, scratch)
-    again = found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(late)
-    found = scratch.cut(components(again, scratch))
+    found = merge(found, _verified(more, sets, docs, lone, n, percent, scratch))
     out = meta.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
