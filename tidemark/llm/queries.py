@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, toxicity, url_filter
+from . import decontaminate, line_dedup, mixing, ngram_join, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_url_filters": url_filter.op8_url_filters,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
