@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, ngram_join, substring_dedup, toxicity, url_filter
+from . import decontaminate, fingerprint, license_scan, line_dedup, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op9_license_scans": license_scan.op9_license_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
