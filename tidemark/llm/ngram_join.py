@@ -8,10 +8,10 @@ A document is the set of its distinct word n-grams. Two documents link when thei
    H parts, so at least one part holds the same elements in both: (band, part, elements of the part) is a tile, and
    linked sets share one. Parts that are empty say nothing; a set with too many of them is dealt once more with
    other hashes, which keeps the guarantee.
-2. *Stars.* The members of a tile are compared with its smallest member only, and where that leaves several
-   components, with the member that shares most tiles, then with one picked by hash. A group of thousands of near
-   copies costs a few comparisons for each member, not for each pair.
-3. *Open tiles.* Tiles whose members are not yet all in one component are walked in blocks. The bit counts of two
+2. *Stars.* The members of a tile are compared with its smallest member only. A group of thousands of near copies
+   costs a comparison for each member, not for each pair.
+3. *Open tiles.* Tiles whose members are not yet all in one component, one of those with the same members, are
+   walked in blocks. The bit counts of two
    bitmaps bound the overlap from above; pairs that may still reach the threshold, and only those, are emitted.
 4. *Exact check* by intersecting the sorted arrays; links then become components.
 
@@ -31,8 +31,8 @@ from .common import Scratch, WordHash, components, mix, odd, read, shingle_set,
 
 #: Times a set is dealt with other hashes before its empty parts become tiles too.
 DEALS = 8
-#: Further rounds of stars in the tiles that are still open.
-STARS = 2
+#: Pairs that a task remembers, not to emit them again.
+REMEMBERED = 500_000
 #: Rows of one block of an open tile.
 BLOCK = 2048
 #: Bits of the filter that prunes the texts read again for verification. It has a fixed size, and a join decides.
@@ -151,48 +151,55 @@ def _bounded(percent: int):
     return run
 
 
-def _pairs_of_tile(ids, comp, size, bits, first, second, percent: int) -> list[tuple[int, int]]:
-    """Pairs across components that the bit counts leave open; first and second: the rows of both blocks."""
-    ids, comp, size, out = np.array(ids), np.array(comp), np.array(size), []
-    second_rows = np.array(second)
-    for i in first:
-        js = second_rows[second_rows > i] if first is second else second_rows
-        near = (comp[js] != comp[i]) & (ids[js] != ids[i])
-        near &= 100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])
-        for j in js[near]:
-            if linked(most_common(int(size[i]), bits[i], int(size[j]), bits[j]), int(size[i]), int(size[j]), percent):
-                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-    return out
+def _pairs_of_tile(ids, comp, size, bits, block, i: int, j: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across components that the bit counts leave open, between the rows of blocks i and j."""
+    ids, comp, size, block = (np.array(x) for x in (ids, comp, size, block))
+    width = min(map(len, bits))
+    rows = np.stack([fold(np.frombuffer(b, np.uint8), width) for b in bits])
+    ones = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+    second = np.flatnonzero(block == j)
+    for k in np.flatnonzero(block == i):
+        near = second[second > k] if i == j else second
+        n1, n2 = size[k], size[near]
+        near = near[(comp[near] != comp[k]) & (ids[near] != ids[k]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))]
+        if not len(near):
+            continue
+        both = np.bitwise_count(rows[k] & rows[near]).sum(axis=1, dtype=np.int64)
+        n2 = size[near]
+        most = np.minimum(n1 - (ones[k] - both), n2 - (ones[near] - both))
+        near = near[100 * most >= percent * (n1 + n2 - most)]
+        if len(near):
+            other = ids[near]
+            yield np.minimum(other, ids[k]), np.maximum(other, ids[k])
 
 
 def _open(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("id", "component", "n", "bits", "block")
-        key, held = None, {k: [] for k in names}
+        key, held, told = None, {k: [] for k in names}, set()
 
         def done():
-            if not held["id"]:
-                return None
-            i, j = key[1], key[2]
-            first = [k for k, x in enumerate(held["block"]) if x == i]
-            second = first if i == j else [k for k, x in enumerate(held["block"]) if x == j]
-            found = _pairs_of_tile(held["id"], held["component"], held["n"], held["bits"], first, second, percent)
+            if held["id"]:
+                for a, b in _pairs_of_tile(*held.values(), key[1], key[2], percent):
+                    new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in told]
+                    if len(told) > REMEMBERED:
+                        told.clear()
+                    told.update(new)
+                    a, b = ([p[k] for p in new] for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             for x in held.values():
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"]) if found else None
 
         for batch in batches:
             cols = {k: batch.column(k).to_pylist() for k in (*names, "tile", "i", "j")}
             for r in range(batch.num_rows):
                 this = (cols["tile"][r], cols["i"][r], cols["j"][r])
                 if this != key:
-                    if (made := done()) is not None:
-                        yield made
+                    yield from done()
                     key = this
                 for k in names:
                     held[k].append(cols[k][r])
-        if (made := done()) is not None:
-            yield made
+        yield from done()
 
     return run
 
@@ -281,25 +288,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     links = _verified(stars, None, docs, lone, n, percent, scratch).union(copies)
     found = scratch.cut(components(links, scratch))
     # tiles of two are settled; the sets of all documents in the others are fetched once
-    held = _still_open(members.filter("size > 2").select("tile", "id"), found, scratch)
+    crowd = members.filter("size > 2").select("tile", "id")
+    # of the tiles with the same members one is enough
+    alike = crowd.groupBy("tile").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("y"))
+    alike = alike.groupBy("m", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
+    held = _still_open(crowd.join(alike, "tile"), found, scratch)
     sets = _sets_of(held.select("id"), docs, n, scratch)
 
     def merge(found: DataFrame, links: DataFrame) -> DataFrame:
         old = found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         return scratch.cut(components(old.union(links), scratch))
 
-    for turn in range(STARS):
-        if turn % 2 == 0:
-            # the member that shares most tiles is the one that others are copies of
-            shared = scratch.cut(held.groupBy("id").agg(F.count("*").alias("order")))
-            ranked = held.join(shared.withColumn("order", F.struct(F.col("order").alias("col1"), F.negative("id").alias("col2"))), "id")
-        else:
-            ranked = held.withColumn("order", F.struct(F.xxhash64("id", F.lit(turn)).alias("col1"), F.negative("id").alias("col2")))
-        ranked = ranked.withColumn("top", F.max("order").over(per)).withColumn("lead", F.negative("top.col2"))
-        ranked = ranked.withColumn("theirs", F.max(F.when(F.col("id") == F.col("lead"), F.col("component"))).over(per))
-        again = ranked.filter("component <> theirs").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        found = merge(found, _verified(scratch.cut(again), sets, docs, lone, n, percent, scratch))
-        held = _still_open(held.select("tile", "id"), found, scratch)
     held = held.withColumns({"size": F.count("*").over(per), "block": F.expr(f"cast((row_number() over (partition by tile order by id) - 1) div {BLOCK} as int)")})
     held = held.select("tile", "id", "component", "block", F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK} as int))")).alias("other"))
     held = held.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
