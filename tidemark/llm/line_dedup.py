@@ -23,29 +23,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import Scratch, fresh, read
 
 #: Buckets of the table of word counts: one byte each.
-RARITY_BUCKETS = 1 << 16
+RARITY_BUCKETS = 1 << 20
 #: Words of 64 bits in the filter over document ids.
 FILTER_WORDS = 1 << 14
 _NONE = (1 << 63) - 1
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_distinct(F.split(line, " ", -1))
-
-
 def _rarity(docs: DataFrame) -> DataFrame:
     """One row with an array: for each bucket of words, the binary logarithm of how often they occur."""
-    word = F.explode(F.split("text", "[ \n]", -1)).alias("w")
+    word = F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")
     counts = docs.select(word).groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
     rank = F.least(F.lit(63), F.floor(F.log2("n"))).cast("tinyint")
     cells = counts.select("b", rank.alias("r"))
     spark = docs.sparkSession
     every = spark.range(RARITY_BUCKETS).select(F.col("id").alias("b")).join(cells, "b", "left").select("b", F.coalesce("r", F.lit(0).cast("tinyint")).alias("r"))
-    parts = every.groupBy(F.expr("b div 256").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"]).alias("r"))
+    parts = every.groupBy(F.expr("b div 1024").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"]).alias("r"))
     return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "r"))), lambda x: x["r"])).alias("all"))
 
 
-def _ordered(df: DataFrame, tokens: Column, rarity: DataFrame, name: str) -> DataFrame:
+def _hashes(line: Column) -> Column:
+    return F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))
+
+
+def _ordered(df: DataFrame, line: str, rarity: DataFrame, name: str) -> DataFrame:
     """Adds the sorted keys of the distinct words. The scalar is read once, so that the optimiser puts it in place."""
     df = df.withColumn("__rarity", rarity.scalar())
 
@@ -53,8 +53,7 @@ def _ordered(df: DataFrame, tokens: Column, rarity: DataFrame, name: str) -> Dat
         r = F.get(F.col("__rarity"), F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long")
         return F.shiftleft(r, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    return df.withColumn(name, F.sort_array(F.transform(hashes, key))).drop("__rarity")
+    return df.withColumn(name, F.sort_array(F.array_distinct(F.transform(_hashes(F.col(line)), key)))).drop("__rarity")
 
 
 def _bits(ids: DataFrame, col: str) -> DataFrame:
@@ -74,55 +73,55 @@ def _maybe(bits: DataFrame, col: str) -> Column:
 
 
 def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, min_words: int = 5) -> DataFrame:
-    """Removed lines of docs (did long, th long, text): (did, th, line, elsewhere), elsewhere: like another document's line."""
+    """Removed lines of docs (did long, th int, text): (did, th, line, elsewhere), elsewhere: like another document's line."""
     rarity = scratch.cut(_rarity(docs))
     lines = docs.select("did", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    # fewer spaces than that cannot give enough words
+    # fewer characters than that cannot be enough words
     lines = lines.filter(F.length("words") >= 2 * min_words - 2)
-    lines = _ordered(lines, _tokens(F.col("words")), rarity, "k").filter(F.size("k") >= min_words)
+    lines = _ordered(lines, "words", rarity, "k").filter(F.size("k") >= min_words)
     n = F.size("k")
     prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    lines = lines.select("did", "th", "line", n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix"))
-    lines = scratch.cut(lines)
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "th", "line", "n", "prefix")).alias("x"))
-    classes = scratch.cut(classes.select("h1", "h2", "x.*"))
-    occ = F.struct("did", "th", "line")
-    rows = classes.select(F.posexplode("prefix").alias("pos", "w"), "n", occ.alias("o"))
-    rows = rows.withColumns({"lead": F.expr("min(struct(o, n, pos)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")}).filter("size > 1")
-    rows = scratch.cut(rows)
-
-    def may(n1: str, p1: str, n2: str, p2: str) -> Column:
-        most = F.expr(f"1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)")
-        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})") & (most * (100 + percent) >= F.expr(f"{percent} * ({n1} + {n2})"))
+    # an occurrence is two longs: the id, then the hash of the text and the number of the line
+    sub = F.shiftleft(F.col("th").cast("long"), 32) + F.col("line")
+    lines = scratch.cut(lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), prefix.alias("prefix")))
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "prefix")).alias("x"))
+    rows = classes.select("x.did", "x.sub", "x.n", F.posexplode("x.prefix").alias("pos", "w"))
+    rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("pos")).alias("np"))
+    rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")}).filter("size > 1")
+    rows = scratch.cut(rows.select("w", "did", "sub", "np", F.col("lead.did").alias("ldid"), F.col("lead.sub").alias("lsub"), F.col("lead.np").alias("lnp"), "size"))
+
+    def may(a: str, b: str) -> Column:
+        n1, p1, n2, p2 = f"({a} >> 24)", f"({a} & 16777215)", f"({b} >> 24)", f"({b} & 16777215)"
+        most = f"(1 + least({n1} - {p1} - 1, {n2} - {p2} - 1))"
+        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {most} * {100 + percent} >= {percent} * ({n1} + {n2})")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a earlier, b later) those that are alike."""
+        """Of candidate pairs (ad, ax earlier, bd, bx later) those that are alike."""
         pairs = scratch.cut(pairs.distinct())
-        wanted = scratch.cut(pairs.select(F.col("a").alias("o")).union(pairs.select(F.col("b").alias("o"))).distinct().select("o.*"))
-        bits = scratch.cut(_bits(wanted.select("did").distinct(), "did"))
-        want = wanted.groupBy("did", "th").agg(F.collect_list("line").alias("lines"))
-        texts = docs.filter(_maybe(bits, "did"))
-        got = texts.join(want, ["did", "th"]).select("did", "th", F.explode(F.array_distinct("lines")).alias("line"), F.split("text", "\n", -1).alias("all"))
-        got = got.select(F.struct("did", "th", "line").alias("o"), F.transform(_tokens(F.get("all", F.col("line"))), lambda w: F.xxhash64(w)).alias("k"))
-        got = scratch.cut(got.dropDuplicates(["o"]))
-        two = pairs.join(got.select(F.col("o").alias("b"), F.col("k").alias("y")), "b").join(got.select(F.col("o").alias("a"), F.col("k").alias("x")), "a")
-        two = two.withColumn("c", F.size(F.array_intersect("x", "y")))
-        return scratch.cut(two.filter((100 + percent) * F.col("c") >= percent * (F.size("x") + F.size("y"))).select("a", "b"))
-
-    first = rows.filter((F.col("o") != F.col("lead.o")) & may("n", "pos", "lead.n", "lead.pos")).select(F.col("lead.o").alias("a"), F.col("o").alias("b"))
+        wanted = pairs.selectExpr("ad as did", "ax as x").union(pairs.selectExpr("bd", "bx")).distinct()
+        want = scratch.cut(wanted.groupBy("did", (F.shiftright("x", 32).cast("int")).alias("th")).agg(F.collect_list(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("lines")))
+        bits = scratch.cut(_bits(want.select("did").distinct(), "did"))
+        got = docs.filter(_maybe(bits, "did")).join(want, ["did", "th"]).select("did", "th", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all"))
+        got = scratch.cut(got.select("did", (F.shiftleft(F.col("th").cast("long"), 32) + F.col("line")).alias("x"), F.get("all", F.col("line")).alias("t")))
+        two = pairs.join(got.selectExpr("did as bd", "x as bx", "t as y"), ["bd", "bx"]).join(got.selectExpr("did as ad", "x as ax", "t as z"), ["ad", "ax"])
+        two = two.withColumns({"y": F.array_distinct(_hashes(F.col("y"))), "z": F.array_distinct(_hashes(F.col("z")))})
+        two = two.filter((100 + percent) * F.size(F.array_intersect("y", "z")) >= percent * (F.size("y") + F.size("z")))
+        return scratch.cut(two.select("ad", "ax", "bd", "bx"))
+
+    first = rows.filter((F.expr("not (did = ldid and sub = lsub)")) & may("np", "lnp")).selectExpr("ldid as ad", "lsub as ax", "did as bd", "sub as bx")
     found = verified(first)
-    crowd = rows.filter("size > 2 and o <> lead.o").select("w", "n", "pos", "o")
-    rest = scratch.cut(crowd.join(found.select(F.col("b").alias("o")).distinct(), "o", "left_anti"))
-    early = crowd.select("w", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("o").alias("a"))
-    more = rest.join(early, "w").filter((F.col("a") < F.col("o")) & may("n", "pos", "n2", "pos2")).select("a", F.col("o").alias("b"))
-    found = found.union(verified(more)).select(F.col("b").alias("o"), F.col("a.did").alias("by"), F.col("a.th").alias("by_th"))
+    crowd = rows.filter("size > 2 and not (did = ldid and sub = lsub)").select("w", "did", "sub", "np")
+    rest = scratch.cut(crowd.join(found.selectExpr("bd as did", "bx as sub").distinct(), ["did", "sub"], "left_anti"))
+    early = crowd.selectExpr("w", "did as ad", "sub as ax", "np as anp")
+    more = rest.join(early, "w").filter(F.expr("ad < did or ad = did and ax < sub") & may("np", "anp")).selectExpr("ad", "ax", "did as bd", "sub as bx")
+    found = found.union(verified(more))
     # the classes that go as a whole, then all occurrences
-    gone = found.groupBy("o").agg(F.max(F.expr("not (by <=> o.did and by_th <=> o.th)")).alias("other"))
-    per = classes.select("h1", "h2", occ.alias("o")).join(gone, "o", "left")
-    out = lines.select("did", "th", "line", "h1", "h2").join(per, ["h1", "h2"])
-    out = out.filter(F.col("other").isNotNull() | (F.struct("did", "th", "line") != F.col("o")))
-    elsewhere = F.coalesce("other", F.lit(False)) | ~(F.col("did").eqNullSafe(F.col("o.did")) & F.col("th").eqNullSafe(F.col("o.th")))
-    return out.select("did", "th", "line", elsewhere.alias("elsewhere"))
+    gone = found.groupBy(F.col("bd").alias("fd"), F.col("bx").alias("fx")).agg(F.max(F.expr("not (ad = bd and (ax >> 32) = (bx >> 32))")).alias("other"))
+    per = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub")).alias("f"), F.count("*").alias("size")).select("h1", "h2", F.col("f.did").alias("fd"), F.col("f.sub").alias("fx"), "size")
+    per = scratch.cut(per.join(gone, ["fd", "fx"], "left").filter("size > 1 or other is not null"))
+    out = lines.select("did", "sub", "h1", "h2").join(per, ["h1", "h2"]).filter("other is not null or not (did = fd and sub = fx)")
+    elsewhere = F.coalesce("other", F.lit(False)) | F.expr("not (did = fd and (sub >> 32) = (fx >> 32))")
+    return out.select("did", F.shiftright("sub", 32).cast("int").alias("th"), F.col("sub").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"), elsewhere.alias("elsewhere"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
@@ -136,7 +135,7 @@ def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 5, id_col:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     did, th, kept, removed, share, gone = fresh(docs, "__did", "__th", "kept_text", "removed_lines", "shared_words", "__gone")
-    base = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), th: F.xxhash64(text_col)})
+    base = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), th: F.hash(text_col)})
     plain = base.filter(F.col(text_col).isNotNull()).select(F.col(did).alias("did"), F.col(th).alias("th"), F.col(text_col).alias("text"))
     found = scratch.cut(find_repeated_lines(plain, scratch, percent, min_words))
     per = found.groupBy(F.col("did").alias(did), F.col("th").alias(th)).agg(F.array_sort(F.collect_set(F.struct("line", "elsewhere"))).alias(gone))
