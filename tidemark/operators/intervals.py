@@ -41,7 +41,7 @@ def collapse(df: DataFrame, by: list[str], width: int = 50, pos: str = "bin", ke
     lo, hi = F.min(pos), F.max(pos) + width
     if keep_rows:
         w = W.partitionBy(*by)
-        return df.withColumns({"start": lo.over(w), "stop": hi.over(w)})
+        return df.withColumns({"start": lo.over(w), "stop": F.max(pos).over(w) + width})
     return df.groupBy(*by).agg(lo.alias("start"), hi.alias("stop"))
 
 
