@@ -281,29 +281,32 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     lone = meta.filter("octet_length(bits) > 0")
     per = W.partitionBy("tile")
     members = lone.select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("id"))
-    members = members.withColumns({"leader": F.min("id").over(per), "size": F.count("*").over(per)}).filter("size > 1")
+    members = members.withColumns({"leader": F.min("id").over(per), "size": F.count("*").over(per), "whole": F.bit_xor(F.xxhash64("id")).over(per)}).filter("size > 1")
     members = scratch.cut(members)
     stars = scratch.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     copies = meta.filter("copy_of <> doc_id").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
     links = _verified(stars, None, docs, lone, n, percent, scratch).union(copies)
     found = scratch.cut(components(links, scratch))
     # tiles of two are settled; the sets of all documents in the others are fetched once
-    crowd = members.filter("size > 2").select("tile", "id")
+    crowd = members.filter("size > 2")
     # of the tiles with the same members one is enough
-    alike = crowd.groupBy("tile").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("y"))
-    alike = alike.groupBy("m", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
-    held = _still_open(crowd.join(alike, "tile"), found, scratch)
+    alike = crowd.filter("id = leader").groupBy("leader", "size", "whole").agg(F.min("tile").alias("tile")).select("tile")
+    held = _still_open(crowd.select("tile", "id").join(alike, "tile"), found, scratch)
     sets = _sets_of(held.select("id"), docs, n, scratch)
 
     def merge(found: DataFrame, links: DataFrame) -> DataFrame:
         old = found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         return scratch.cut(components(old.union(links), scratch))
 
-    held = held.withColumns({"size": F.count("*").over(per), "block": F.expr(f"cast((row_number() over (partition by tile order by id) - 1) div {BLOCK} as int)")})
-    held = held.select("tile", "id", "component", "block", F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK} as int))")).alias("other"))
-    held = held.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
+    # equal sets are in one component, so one of them stands for all
+    held = held.join(lone.select(F.col("doc_id").alias("id"), "n", "d1", "d2"), "id")
+    held = held.groupBy("tile", "n", "d1", "d2").agg(F.min("id").alias("id"), F.min("component").alias("component"))
+    held = held.withColumns({"size": F.count("*").over(per), "lead": F.min("id").over(per), "block": F.expr(f"cast((row_number() over (partition by tile order by id) - 1) div {BLOCK} as int)")})
+    held = held.select("tile", "lead", "id", "component", "block", F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK} as int))")).alias("other"))
+    held = held.select("tile", "lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
     held = held.join(lone.select(F.col("doc_id").alias("id"), "n", "bits"), "id")
-    held = held.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "id")
+    # tiles with the same first member meet in a few tasks, which then emit a pair once
+    held = held.repartition("lead", F.pmod("tile", F.lit(8)), "i", "j").sortWithinPartitions("tile", "i", "j", "id")
     more = scratch.cut(held.mapInArrow(_open(percent), "a long, b long").distinct())
     found = merge(found, _verified(more, sets, docs, lone, n, percent, scratch))
     out = meta.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
