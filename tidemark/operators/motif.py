@@ -243,6 +243,114 @@ def public_position(at: int, length: int, width: int) -> int | None:
     return None if at < 0 else at + 1 if at < length else -(2 * length - at - width + 1)
 
 
+#: Restarts that advance side by side in one task: their scores are one matrix product.
+TOGETHER = 32
+
+
+def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator, n_runs: int) -> list[tuple[float, np.ndarray, int]]:
+    """sample_run for several restarts at once: (score, sites, sweeps) of each.
+
+    The restarts share nothing but the random stream. A window is a row of 0/1 letters, so the log-likelihoods of all
+    windows of a sequence under all profiles are one product; a restart that has come to rest keeps its best sites.
+    """
+    n, w, runs = len(data.coded), o.width, np.arange(n_runs)
+    able = np.flatnonzero(data.n_valid > 0)
+    options = [np.flatnonzero(v) for v in data.valid]
+    windows = [data.windows[i][options[i]].astype(np.int64) for i in range(n)]
+    letters = [np.eye(5, dtype=np.float32)[x][:, :, :4].reshape(len(x), 4 * w) for x in windows]
+    log_bg = [data.log_bg[i][options[i]].astype(np.float32)[:, None] for i in range(n)]
+    lp = np.log(np.maximum(data.n_valid, 1))
+    # sites are places in options[i]; -1 is none
+    sites = np.full((n_runs, n), -1, np.int64)
+    for i in able:
+        drawn = rng.integers(0, len(options[i]), n_runs)
+        on = np.ones(n_runs, bool) if o.zoops is None or i == able[0] else rng.random(n_runs) < 0.5
+        sites[:, i] = np.where(on, drawn, -1)
+    counts = np.zeros((n_runs, 4 * w), np.float64)
+    for i in able:
+        on = sites[:, i] >= 0
+        counts[on] += letters[i][sites[on, i]]
+    n_sites = (sites >= 0).sum(axis=1)
+    bg_sum = np.zeros(n_runs)
+    prior = np.zeros(n_runs)
+    for i in able:
+        on = sites[:, i] >= 0
+        bg_sum[on] += log_bg[i][sites[on, i], 0]
+        prior[on] += lp[i]
+    p = (o.zoops or 0.0) * n
+    lgamma = np.frompyfunc(math.lgamma, 1, 1)
+
+    def scores() -> np.ndarray:
+        c = counts
+        t = np.maximum(n_sites, 1)
+        out = (np.where(c > 0.5, c * np.log(np.maximum(c, 1)), 0).sum(axis=1) - w * t * np.log(t)) - bg_sum
+        if o.zoops is not None:
+            out = out + (lgamma(n_sites + p) + lgamma(n - n_sites + p)).astype(float) - math.lgamma(p) - math.lgamma(n + p) - prior
+        return np.where(n_sites > 0, out, -np.inf)
+
+    best, best_sites = np.full(n_runs, -np.inf), sites.copy()
+    since, sweeps, live = np.zeros(n_runs, int), np.zeros(n_runs, int), np.ones(n_runs, bool)
+    for sweep in range(o.max_sweeps):
+        for i in able:
+            on = sites[:, i] >= 0
+            if on.any():
+                old = sites[on, i]
+                counts[on] -= letters[i][old]
+                bg_sum[on] -= log_bg[i][old, 0]
+                prior[on] -= lp[i]
+                n_sites[on] -= 1
+            if o.clr_sampling:
+                c = np.maximum(counts, 0)
+                table = (c + 1) * np.log(c + 1) - np.where(c > 0.5, c * np.log(np.maximum(c, 1)), 0)
+                t = n_sites[:, None]
+                table -= (t + 1) * np.log(t + 1) - np.where(t > 0, t * np.log(np.maximum(t, 1)), 0)
+            else:
+                table = np.log((counts + o.pseudo / 4) / (n_sites + o.pseudo)[:, None])
+            r = letters[i] @ table.T.astype(np.float32) - log_bg[i]
+            r = np.where(n_sites == 0, np.float32(0), r)  # nothing to go by: any window
+            top = np.maximum(r.max(axis=0), 0)
+            cum = np.cumsum(np.exp(r - top), axis=0, dtype=np.float64)
+            none = np.zeros(n_runs)
+            if o.zoops is not None:
+                ratio = (n_sites + p) / (n - n_sites - 1 + p)
+                none = np.where(n_sites >= 3, data.n_valid[i] / ratio * np.exp(-top), 0)
+            u = rng.random(n_runs) * (cum[-1] + none)
+            place = np.minimum((cum <= u).sum(axis=0), len(options[i]) - 1)
+            sites[:, i] = np.where(u < cum[-1], place, -1)
+            on = sites[:, i] >= 0
+            new = sites[on, i]
+            counts[on] += letters[i][new]
+            bg_sum[on] += log_bg[i][new, 0]
+            prior[on] += lp[i]
+            n_sites[on] += 1
+        now = scores()
+        for k in np.flatnonzero(live & (rng.random(n_runs) < o.shift_chance)):
+            by = 1 if rng.random() < 0.5 else -1
+            held = np.flatnonzero(sites[k] >= 0)
+            moved = [int(options[i][sites[k, i]]) + by for i in held]
+            if len(held) and all(0 <= m < len(data.valid[i]) and data.valid[i][m] for m, i in zip(moved, held, strict=True)):
+                full = np.full(n, -1, np.int64)
+                full[held] = moved
+                gain = clr(data, full, o.zoops) - now[k]
+                if gain >= 0 or rng.random() < math.exp(gain):
+                    sites[k, held] = [int(np.searchsorted(options[i], m)) for m, i in zip(moved, held, strict=True)]
+                    counts[k] = sum(letters[i][sites[k, i]].astype(float) for i in held)
+                    bg_sum[k] = sum(float(log_bg[i][sites[k, i], 0]) for i in held)
+                    now[k] += gain
+        better = live & (now > best + 1e-6)
+        best[better], best_sites[better] = now[better], sites[better]
+        since = np.where(better, 0, since + 1)
+        sweeps += live
+        live &= (sweep + 1 < o.trial_sweeps) | (since < o.plateau)
+        if not live.any():
+            break
+    out = []
+    for k in runs:
+        full = np.array([options[i][best_sites[k, i]] if best_sites[k, i] >= 0 else -1 for i in range(n)], np.int64)
+        out.append((ilr(data, data.counts(full), o.pseudo), full, int(sweeps[k])))
+    return out
+
+
 RUN_SCHEMA = "dataset int, width int, run int, score double, sweeps int, n_sites int, sites array<int>"
 
 
@@ -250,25 +358,24 @@ def gibbs_runs(spark: SparkSession, datasets: dict[int, list[str]], options: lis
     """All restarts of all datasets and widths: RUN_SCHEMA, a row for each restart.
 
     Sequence sets are the input of a single sampler and so fit a worker; they are broadcast once, and the grid of
-    (dataset, options, run) is what is spread.
+    (dataset, options, block of TOGETHER restarts) is what is spread. The random stream belongs to the block.
     """
     shared = spark.sparkContext.broadcast((datasets, options))
-    grid = [(d, k, r) for d in datasets for k, o in enumerate(options) for r in range(o.runs)]
-    frame = spark.createDataFrame(grid, "dataset int, k int, run int").repartition(min(len(grid), 2 * spark.sparkContext.defaultParallelism), "dataset", "k", "run")
+    grid = [(d, k, b) for d in datasets for k, o in enumerate(options) for b in range(-(-o.runs // TOGETHER))]
+    frame = spark.createDataFrame(grid, "dataset int, k int, block int").repartition(min(len(grid), 2 * spark.sparkContext.defaultParallelism), "dataset", "k", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, opts = shared.value
         made: dict = {}
         for pdf in batches:
-            out = []
-            for d, k, r in pdf.itertuples(index=False):
+            for d, k, b in pdf.itertuples(index=False):
                 o = opts[k]
                 key = (d, o.width, o.order, o.both_strands)
                 if key not in made:
                     made[key] = Sequences(sets[d], o.width, o.order, o.both_strands)
-                score, sites, sweeps = sample_run(made[key], o, stream(o.seed, o.width, d, r))
-                out.append((d, o.width, r, score, sweeps, int((sites >= 0).sum()), sites.tolist()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
+                found = sample_together(made[key], o, stream(o.seed, o.width, d, b), min(TOGETHER, o.runs - b * TOGETHER))
+                out = [(d, o.width, b * TOGETHER + r, score, sweeps, int((sites >= 0).sum()), sites.tolist()) for r, (score, sites, sweeps) in enumerate(found)]
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
 
     return frame.mapInPandas(run, RUN_SCHEMA)
 
