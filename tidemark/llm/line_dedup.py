@@ -9,7 +9,8 @@ A line is the set of its words (what stands between spaces). Lines are alike whe
 2. Lines with the same words are one class, with its first occurrence.
 3. Classes that share a prefix word are compared with the earliest of them, then those that found no match with the
    rest of the word's classes, where lengths (*length filter*) and positions in the order (*positional filter*) allow
-   the threshold. A group of thousands of alike lines costs one comparison for each.
+   the threshold, and a bitmap that each word toggles differs in few enough bits. A group of thousands of alike
+   lines costs one comparison for each.
 4. Candidates are verified on the whole sets. Their texts are fetched with one join; a filter of fixed size over
    document ids spares most texts that shuffle.
 
@@ -83,17 +84,20 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     # an occurrence is two longs: the id, then the hash of the text and the number of the line
     sub = F.shiftleft(F.col("th").cast("long"), 32) + F.col("line")
-    lines = scratch.cut(lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), prefix.alias("prefix")))
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "prefix")).alias("x"))
-    rows = classes.select("x.did", "x.sub", "x.n", F.posexplode("x.prefix").alias("pos", "w"))
-    rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("pos")).alias("np"))
-    rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")}).filter("size > 1")
-    rows = scratch.cut(rows.select("w", "did", "sub", "np", F.col("lead.did").alias("ldid"), F.col("lead.sub").alias("lsub"), F.col("lead.np").alias("lnp"), "size"))
-
-    def may(a: str, b: str) -> Column:
+    # each word toggles a bit: two lines differ in no more bits than they differ in words
+    sketch = F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = scratch.cut(lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), sketch.alias("sk"), prefix.alias("prefix")))
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "sk", "prefix")).alias("x"))
+    rows = classes.select("x.did", "x.sub", "x.n", "x.sk", F.posexplode("x.prefix").alias("pos", "w"))
+    rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("pos")).alias("np"), "sk")
+    rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np, sk)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")}).filter("size > 1")
+    rows = scratch.cut(rows.select("w", "did", "sub", "np", "sk", F.col("lead.did").alias("ldid"), F.col("lead.sub").alias("lsub"), F.col("lead.np").alias("lnp"), F.col("lead.sk").alias("lsk"), "size"))
+
+    def may(a: str, b: str, s: str, t: str) -> Column:
         n1, p1, n2, p2 = f"({a} >> 24)", f"({a} & 16777215)", f"({b} >> 24)", f"({b} & 16777215)"
         most = f"(1 + least({n1} - {p1} - 1, {n2} - {p2} - 1))"
-        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {most} * {100 + percent} >= {percent} * ({n1} + {n2})")
+        # twice the overlap is at most the sizes less the bits that differ
+        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {most} * {100 + percent} >= {percent} * ({n1} + {n2}) and ({n1} + {n2} - bit_count({s} ^ {t})) * {100 + percent} >= 2 * {percent} * ({n1} + {n2})")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (ad, ax earlier, bd, bx later) those that are alike."""
@@ -108,12 +112,12 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
         two = two.filter((100 + percent) * F.size(F.array_intersect("y", "z")) >= percent * (F.size("y") + F.size("z")))
         return scratch.cut(two.select("ad", "ax", "bd", "bx"))
 
-    first = rows.filter((F.expr("not (did = ldid and sub = lsub)")) & may("np", "lnp")).selectExpr("ldid as ad", "lsub as ax", "did as bd", "sub as bx")
+    first = rows.filter((F.expr("not (did = ldid and sub = lsub)")) & may("np", "lnp", "sk", "lsk")).selectExpr("ldid as ad", "lsub as ax", "did as bd", "sub as bx")
     found = verified(first)
-    crowd = rows.filter("size > 2 and not (did = ldid and sub = lsub)").select("w", "did", "sub", "np")
+    crowd = rows.filter("size > 2 and not (did = ldid and sub = lsub)").select("w", "did", "sub", "np", "sk")
     rest = scratch.cut(crowd.join(found.selectExpr("bd as did", "bx as sub").distinct(), ["did", "sub"], "left_anti"))
-    early = crowd.selectExpr("w", "did as ad", "sub as ax", "np as anp")
-    more = rest.join(early, "w").filter(F.expr("ad < did or ad = did and ax < sub") & may("np", "anp")).selectExpr("ad", "ax", "did as bd", "sub as bx")
+    early = crowd.selectExpr("w", "did as ad", "sub as ax", "np as anp", "sk as ask")
+    more = rest.join(early, "w").filter(F.expr("ad < did or ad = did and ax < sub") & may("np", "anp", "sk", "ask")).selectExpr("ad", "ax", "did as bd", "sub as bx")
     found = found.union(verified(more))
     # the classes that go as a whole, then all occurrences
     gone = found.groupBy(F.col("bd").alias("fd"), F.col("bx").alias("fx")).agg(F.max(F.expr("not (ad = bd and (ax >> 32) = (bx >> 32))")).alias("other"))
@@ -140,6 +144,7 @@ def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 5, id_col:
     found = scratch.cut(find_repeated_lines(plain, scratch, percent, min_words))
     per = found.groupBy(F.col("did").alias(did), F.col("th").alias(th)).agg(F.array_sort(F.collect_set(F.struct("line", "elsewhere"))).alias(gone))
     bits = scratch.cut(_bits(found.select("did").distinct(), "did"))
+    scratch.keep(found, bits)
     none = F.array().cast("array<int>")
     same = base.withColumns({kept: F.col(text_col), removed: none, share: F.lit(0.0)}).filter(~_maybe(bits, did) | F.col(text_col).isNull())
     other = base.filter(_maybe(bits, did) & F.col(text_col).isNotNull()).join(per, [did, th], "left")
