@@ -65,6 +65,16 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Drops all tables but these."""
+        self.drop(*[f for f, _ in self.paths.values() if not any(f is x for x in frames)])
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Cuts a result and drops all that led to it."""
+        out = self.cut(df)
+        self.keep(out)
+        return out
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -310,7 +310,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     more = scratch.cut(held.mapInArrow(_open(percent), "a long, b long").distinct())
     found = merge(found, _verified(more, sets, docs, lone, n, percent, scratch))
     out = meta.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return scratch.last(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
