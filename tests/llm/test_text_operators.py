@@ -292,10 +292,19 @@ def test_fingerprints(spark, empty):
 
 def test_entropy_of_windows():
     raw = bytes(random.Random(9).randrange(256) for _ in range(3000)) + b"a" * 200
-    _, values = P.windows(raw)
+    starts, hashes, values = P.windows(raw)
     at = [i for i in range(len(raw) - 63) if (int.from_bytes(raw[i : i + 8], "little") * int(P.odd(7)) & (2**64 - 1)) >> 61 == 0]
     want = [round(-sum(c / 64 * np.log2(c / 64) for c in Counter(raw[i : i + 64]).values()) * 1000 / 6) for i in at]
-    assert np.abs(values - want).max() <= 1
+    assert starts.tolist() == at and np.abs(values - want).max() <= 1
+
+
+def test_windows_over_a_joint():
+    r = random.Random(12)
+    for n, m in [(0, 5), (5, 0), (40, 30), (200, 10), (10, 200), (900, 1200), (3, 900), (1000, 70)]:
+        a, b = ("".join(r.choice("abc deé") for _ in range(k)) for k in (n, m))
+        got, want = P.Read(a).followed(P.Read(b)), P.Read(P.edited(a, b))
+        for x, y in zip((got.at, got.hashes, got.values), (want.at, want.hashes, want.values), strict=True):
+            assert x.tolist() == y.tolist()
 
 
 # -- 8 ---------------------------------------------------------------------------------------------------------------
