@@ -77,9 +77,9 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     """Removed lines of docs (did long, th int, text): (did, th, line, elsewhere), elsewhere: like another document's line."""
     rarity = scratch.cut(_rarity(docs))
     lines = docs.select("did", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    # fewer characters than that cannot be enough words
-    lines = lines.filter(F.length("words") >= 2 * min_words - 2)
-    lines = _ordered(lines, "words", rarity, "k").filter(F.size("k") >= min_words)
+    # fewer bytes than that cannot be enough words
+    lines = lines.filter(F.octet_length("words") >= 2 * min_words - 2)
+    lines = _ordered(lines, "words", rarity, "k")
     n = F.size("k")
     prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     # an occurrence is two longs: the id, then the hash of the text and the number of the line
@@ -87,6 +87,7 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     # each word toggles a bit: two lines differ in no more bits than they differ in words
     sketch = F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     lines = scratch.cut(lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), sketch.alias("sk"), prefix.alias("prefix")))
+    lines = lines.filter(F.col("n") >= min_words)  # on the table: before it, the optimiser would compute the keys twice
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "sk", "prefix")).alias("x"))
     rows = classes.select("x.did", "x.sub", "x.n", "x.sk", F.posexplode("x.prefix").alias("pos", "w"))
     rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("pos")).alias("np"), "sk")
