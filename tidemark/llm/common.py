@@ -14,6 +14,8 @@ _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Distinct words whose hashes one Python worker remembers.
 _REMEMBERED = 1 << 20
+#: Words of 64 bits in a filter over ids.
+FILTER_WORDS = 1 << 14
 #: Bytes of texts or arrays that one Arrow batch carries.
 BATCH_BYTES = 8 << 20
 
@@ -135,6 +137,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def id_bits(ids: DataFrame, col: str, words: int = FILTER_WORDS) -> DataFrame:
+    """One row with an array of ``words`` longs: the bits of the hashes of the ids. Its size is fixed."""
+    spot = F.pmod(F.xxhash64(col), F.lit(words * 64))
+    found = ids.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m"))
+    every = ids.sparkSession.range(words).select(F.col("id").alias("w")).join(found, "w", "left").select("w", F.coalesce("m", F.lit(0)).cast("long").alias("m"))
+    parts = every.groupBy(F.expr("w div 256").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("m"))
+    return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"])).alias("all"))
+
+
+def maybe_in(bits: DataFrame, col: str, words: int = FILTER_WORDS) -> Column:
+    """True for every id that went into the bits, and for some others: it spares a shuffle, a join decides."""
+    spot = F.pmod(F.xxhash64(col), F.lit(words * 64))
+    word = F.get(bits.scalar(), (spot / 64).cast("int"))
+    return F.getbit(word, (spot % 64).cast("int")) == 1
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (id, component), component the smallest id reachable.
 

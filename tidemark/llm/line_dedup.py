@@ -21,12 +21,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Scratch, fresh, read
+from .common import Scratch, fresh, id_bits, maybe_in, read
 
 #: Buckets of the table of word counts: one byte each.
 RARITY_BUCKETS = 1 << 20
-#: Words of 64 bits in the filter over document ids.
-FILTER_WORDS = 1 << 14
 _NONE = (1 << 63) - 1
 
 
@@ -57,22 +55,6 @@ def _ordered(df: DataFrame, line: str, rarity: DataFrame, name: str) -> DataFram
     return df.withColumn(name, F.sort_array(F.array_distinct(F.transform(_hashes(F.col(line)), key)))).drop("__rarity")
 
 
-def _bits(ids: DataFrame, col: str) -> DataFrame:
-    """One row with an array: the bits of the hashes of the ids."""
-    spot = F.pmod(F.xxhash64(col), F.lit(FILTER_WORDS * 64))
-    words = ids.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m"))
-    every = ids.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("w")).join(words, "w", "left").select("w", F.coalesce("m", F.lit(0)).cast("long").alias("m"))
-    parts = every.groupBy(F.expr("w div 256").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("m"))
-    return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"])).alias("all"))
-
-
-def _maybe(bits: DataFrame, col: str) -> Column:
-    """True for every id that went into the bits, and for some others."""
-    spot = F.pmod(F.xxhash64(col), F.lit(FILTER_WORDS * 64))
-    word = F.get(bits.scalar(), (spot / 64).cast("int"))
-    return F.getbit(word, (spot % 64).cast("int")) == 1
-
-
 def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, min_words: int = 5) -> DataFrame:
     """Removed lines of docs (did long, th int, text): (did, th, line, elsewhere), elsewhere: like another document's line."""
     rarity = scratch.cut(_rarity(docs))
@@ -105,8 +87,8 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
         pairs = scratch.cut(pairs.distinct())
         wanted = pairs.selectExpr("ad as did", "ax as x").union(pairs.selectExpr("bd", "bx")).distinct()
         want = scratch.cut(wanted.groupBy("did", (F.shiftright("x", 32).cast("int")).alias("th")).agg(F.collect_list(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("lines")))
-        bits = scratch.cut(_bits(want.select("did").distinct(), "did"))
-        got = docs.filter(_maybe(bits, "did")).join(want, ["did", "th"]).select("did", "th", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all"))
+        bits = scratch.cut(id_bits(want.select("did").distinct(), "did"))
+        got = docs.filter(maybe_in(bits, "did")).join(want, ["did", "th"]).select("did", "th", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all"))
         got = scratch.cut(got.select("did", (F.shiftleft(F.col("th").cast("long"), 32) + F.col("line")).alias("x"), F.get("all", F.col("line")).alias("t")))
         two = pairs.join(got.selectExpr("did as bd", "x as bx", "t as y"), ["bd", "bx"]).join(got.selectExpr("did as ad", "x as ax", "t as z"), ["ad", "ax"])
         two = two.withColumns({"y": F.array_distinct(_hashes(F.col("y"))), "z": F.array_distinct(_hashes(F.col("z")))})
@@ -144,11 +126,11 @@ def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 5, id_col:
     plain = base.filter(F.col(text_col).isNotNull()).select(F.col(did).alias("did"), F.col(th).alias("th"), F.col(text_col).alias("text"))
     found = scratch.cut(find_repeated_lines(plain, scratch, percent, min_words))
     per = found.groupBy(F.col("did").alias(did), F.col("th").alias(th)).agg(F.array_sort(F.collect_set(F.struct("line", "elsewhere"))).alias(gone))
-    bits = scratch.cut(_bits(found.select("did").distinct(), "did"))
+    bits = scratch.cut(id_bits(found.select("did").distinct(), "did"))
     scratch.keep(found, bits)
     none = F.array().cast("array<int>")
-    same = base.withColumns({kept: F.col(text_col), removed: none, share: F.lit(0.0)}).filter(~_maybe(bits, did) | F.col(text_col).isNull())
-    other = base.filter(_maybe(bits, did) & F.col(text_col).isNotNull()).join(per, [did, th], "left")
+    same = base.withColumns({kept: F.col(text_col), removed: none, share: F.lit(0.0)}).filter(~maybe_in(bits, did) | F.col(text_col).isNull())
+    other = base.filter(maybe_in(bits, did) & F.col(text_col).isNotNull()).join(per, [did, th], "left")
     lines = F.split(text_col, "\n", -1)
     at = F.coalesce(F.transform(gone, lambda x: x["line"]), none)
     far = F.coalesce(F.transform(F.filter(gone, lambda x: x["elsewhere"]), lambda x: x["line"]), none)
