@@ -48,6 +48,23 @@ def _hashed(its: list[bytes], hashes: WordHash) -> np.ndarray:
     return np.unique(hashes.of(list(kinds)) & np.uint64(FEATURES - 1)).astype(np.int64)
 
 
+class _Weighted(dict):
+    """The features of a word that have a weight; for most words there are none."""
+
+    def __init__(self, features: np.ndarray):
+        super().__init__()
+        self.known, self.hashes = set(features.tolist()), WordHash()
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[word] = out = tuple(f for f in _hashed([word], self.hashes).tolist() if f in self.known)
+        return out
+
+    def of(self, its: list[bytes]) -> list[int]:
+        return sorted({f for w in set(its) for f in self[w]})
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the penalised likelihood; (rows, cols) are the features present.
 
@@ -135,9 +152,9 @@ def score_severity(docs: DataFrame, model: Severity, text_col: str = "text") ->
         m = shared.value
         table = np.zeros(FEATURES)
         table[m.features] = m.weights
-        hashes = WordHash()
+        weighted = _Weighted(m.features)
         for batch in batches:
-            score = np.array([table[_hashed(words(t.as_py()), hashes)].sum() if t.is_valid else 0.0 for t in batch.column(at)])
+            score = np.array([table[weighted.of(words(t.as_py()))].sum() if t.is_valid else 0.0 for t in batch.column(at)])
             p = m.at_least(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0])], names=[*batch.schema.names, *names])
 
