@@ -118,3 +118,15 @@ def test_regressions(spark):
     assert [fit[k] for k in ("(intercept)", "a", "b", "c")] == pytest.approx(list(want)) and fit["r2"] > 0.99
     chosen = M.lasso_cv(df, "y", ["a", "b", "c"], "key", [0.001, 0.01, 0.1, 1.0, 3.0]).filter("chosen").collect()
     assert len(chosen) == 1 and chosen[0]["lambda"] < 1
+
+
+#: Twelve aligned words and the dependency of their informative columns, in bits.
+WORDS = "AAAAAGAA AAAAAGAA AAGGAGAA AAAAAGAA AAAGAGAA AAGAAGAA AAAAAGAA AAAGAGAA AAGGAGAA AAGAAGAA AAGGAGAA ATGAAGAA".split()
+BITS = {(2, 3): 0.089, (2, 4): 0.069, (3, 4): 0.021}
+
+
+def test_known_dependency(spark):
+    df = spark.createDataFrame(list(enumerate(WORDS)), "seq_id int, kmer string")
+    pairs = {(r.col1 + 1, r.col2 + 1) for r in Q.informative_pairs(Q.position_profile(df)).collect()}
+    got = {(r.col1 + 1, r.col2 + 1): round(r.bits, 3) for r in Q.mutual_information(df).collect()}
+    assert pairs == set(BITS) and {p: got[p] for p in BITS} == BITS
