@@ -40,7 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
     found = ngram_jaccard_join(docs, n=5, percent=NEAR_PERCENT)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    # a table of its own: its size tells whether it is broadcast or the texts are shuffled
+    gone = Scratch(spark).cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
