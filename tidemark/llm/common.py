@@ -13,7 +13,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Distinct words whose hashes one Python worker remembers.
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 18
 #: Words of 64 bits in a filter over ids.
 FILTER_WORDS = 1 << 14
 #: Bytes of texts or arrays that one Arrow batch carries.

@@ -56,7 +56,7 @@ class _Weighted(dict):
         self.known, self.hashes = set(features.tolist()), WordHash()
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = out = tuple(f for f in _hashed([word], self.hashes).tolist() if f in self.known)
         return out
