@@ -72,6 +72,20 @@ def test_ngram_join_odd_rows(spark, empty):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None)], key=str)
 
 
+def test_ngram_join_of_equal_sets_behind_foreign_leaders(spark):
+    bands, hashed = N.Bands(85), N.WordHash()
+    tiles_of = lambda words: set(N.tiles(N.shingle_set(hashed.of([w.encode() for w in words]), 1), bands).tolist())
+    a = [f"a{i}" for i in range(8)]
+    rows = [(30, " ".join(a)), (31, " ".join(reversed(a)))]
+    r = random.Random(0)
+    for tile in tiles_of(a):  # each gets a smaller member that shares the tile and is not linked
+        other = next(w for _ in range(100_000) if tile in tiles_of(w := r.sample(a, r.randrange(1, 7)) + [f"b{r.randrange(500)}" for _ in range(4)]) and not N.linked(len(set(a) & set(w)), 8, len(set(w)), 85))
+        rows.append((len(rows), " ".join(other)))
+    got = sorted(map(tuple, N.ngram_jaccard_join(spark.createDataFrame(rows, DOCS), 1, 85).collect()))
+    assert got == sorted(N.brute_force(rows, 1, 85))
+    assert (31, 8, 30) in got
+
+
 def test_linked_sets_share_a_tile():
     r = np.random.default_rng(0)
     bands = N.Bands(85)

@@ -10,6 +10,7 @@ A document is the set of its distinct word n-grams. Two documents link when thei
    other hashes, which keeps the guarantee.
 2. *Stars.* The members of a tile are compared with its smallest member only. A group of thousands of near copies
    costs a comparison for each member, not for each pair.
+   Equal sets are linked by their digests, to the smallest id of each.
 3. *Open tiles.* Tiles whose members are not yet all in one component, one of those with the same members, are
    walked in blocks. The bit counts of two
    bitmaps bound the overlap from above; pairs that may still reach the threshold, and only those, are emitted.
@@ -285,7 +286,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     members = scratch.cut(members)
     stars = scratch.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     copies = meta.filter("copy_of <> doc_id").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
-    links = _verified(stars, None, docs, lone, n, percent, scratch).union(copies)
+    # equal sets of several tasks, or of texts that differ: stars may miss them, if all tiles have leaders of other sets
+    firsts = lone.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    equal = lone.select("n", "d1", "d2", F.col("doc_id").alias("b")).join(firsts, ["n", "d1", "d2"]).filter("a <> b").select("a", "b")
+    links = _verified(stars, None, docs, lone, n, percent, scratch).union(copies).union(equal)
     found = scratch.cut(components(links, scratch))
     # tiles of two are settled; the sets of all documents in the others are fetched once
     crowd = members.filter("size > 2")
@@ -298,7 +302,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         old = found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         return scratch.cut(components(old.union(links), scratch))
 
-    # equal sets are in one component, so one of them stands for all
+    # equal sets are in one component by the links above, so one of them stands for all
     held = held.join(lone.select(F.col("doc_id").alias("id"), "n", "d1", "d2"), "id")
     held = held.groupBy("tile", "n", "d1", "d2").agg(F.min("id").alias("id"), F.min("component").alias("component"))
     held = held.withColumns({"size": F.count("*").over(per), "lead": F.min("id").over(per), "block": F.expr(f"cast((row_number() over (partition by tile order by id) - 1) div {BLOCK} as int)")})
