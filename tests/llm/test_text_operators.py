@@ -238,6 +238,30 @@ def test_near_paragraphs_and_bands(spark):
     assert got[0] == 0 and sum(v > 0 for v in got.values()) == 4
 
 
+def test_near_paragraphs_of_a_crowded_band(spark, monkeypatch):
+    r = random.Random(3)
+    hot, rows = prose(r, 40, 5000), []
+    for i in range(150):  # two of a class, which shares most of its shingles with all others
+        own = [f"c{i}x{j}" for j in range(9)]
+        rows += [(len(rows), " ".join([hot, *own]) + "."), (len(rows) + 1, " ".join([hot, *own[:4], "edit", *own[5:]]) + ".")]
+    r.shuffle(rows)
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(45)} for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sorted(links) == [(a, a + 1) for a in range(0, 300, 2)]
+    monkeypatch.setattr(SD, "BLOCK", 40, raising=False)  # many blocks
+    got = {x.doc_id: x.classes for x in SD.find_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+
+    def bands(text):
+        h, units = SD.paragraphs(text, SD._StringHash(), 8)
+        return SD._band_keys(SD._shingles(h, 5), units, 5, SD.tune_bands(80), SD.ROWS)[0]
+
+    # each link that shares a band, and no other
+    texts = dict(rows)
+    assert {(a, b) for a, b in links if got[a] and got[a] == got[b]} == (share := {(a, b) for a, b in links if (bands(texts[a]) == bands(texts[b])).any()})
+    assert len(share) >= 0.98 * len(links)
+    assert len({tuple(x) for x in got.values() if x}) == len(share)
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def test_line_dedup(spark, empty):

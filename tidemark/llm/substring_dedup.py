@@ -5,7 +5,7 @@ picks; so a passage that sits in the middle of another text is cut as it is else
 ``min_words`` words is a set of word n-grams. Equal paragraphs meet by their digest. For others, bands of MinHash
 values are tuned so that a pair at the threshold shares one with the wanted recall; those that collide are compared
 with the smallest of their band and with the one before, the exact Jaccard similarity decides, and links become
-components. The first paragraph of a component stays, the others are removed where they form a run of at least
+components. Bands that then hold several components are walked in blocks, all members across components. The first paragraph of a component stays, the others are removed where they form a run of at least
 ``min_run`` words with their neighbours: single common sentences are no repeated passage.
 """
 
@@ -28,6 +28,8 @@ LONG, CUT = 64, 16
 _STOPS = (".", "!", "?")
 #: Words of 64 bits in the filters over paragraphs.
 FILTER = 1 << 17
+#: Rows of one block of a band that is walked.
+BLOCK = 2048
 #: The chance with which a pair at the threshold must share a band, and the minima in a band.
 RECALL, ROWS = 0.997, 2
 
@@ -155,6 +157,75 @@ def _wanted_sets(n: int, min_words: int, shared):
     return run
 
 
+def _links_of_blocks(ids, comp, items, block, i: int, j: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Exact links across components between the rows of blocks i and j; those that join nothing new are left out."""
+    size, block, up = np.array([len(x) for x in items]), np.array(block), {}
+    second = np.flatnonzero(block == j)
+    flat, owner = np.concatenate([items[k] for k in second]), np.repeat(np.arange(len(second)), size[second])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def root(c: int) -> int:
+        while (above := up.get(c, c)) != c:
+            up[c] = c = up.get(above, above)
+        return c
+
+    for k in np.flatnonzero(block == i):
+        lo = np.searchsorted(flat, items[k], "left")
+        n = np.searchsorted(flat, items[k], "right") - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(second))
+        for m in second[100 * common >= percent * (size[k] + size[second] - common)].tolist():
+            x, y = root(comp[k]), root(comp[m])
+            if x != y:
+                up[x] = y
+                yield ids[k], ids[m]
+
+
+def _walk(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("d", "c", "items", "block")
+        key, held = None, {x: [] for x in names}
+
+        def done():
+            if len(set(held["c"])) > 1:
+                found = list(_links_of_blocks(*held.values(), key[1], key[2], percent))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for x in held.values():
+                x.clear()
+
+        for batch in batches:
+            cols = {x: batch.column(x).to_pylist() for x in ("k", "i", "j", "d", "c", "block")}
+            items = batch.column("items")
+            for r in range(batch.num_rows):
+                this = (cols["k"][r], cols["i"][r], cols["j"][r])
+                if this != key:
+                    yield from done()
+                    key = this
+                for x in ("d", "c", "block"):
+                    held[x].append(cols[x][r])
+                held["items"].append(items[r].values.to_numpy())
+        yield from done()
+
+    return run
+
+
+def _crowded(keys: DataFrame, near: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the members of all bands that hold more than one component."""
+    held = keys.select("k", "d").distinct().join(near, "d", "left").select("k", "d", F.coalesce("component", "d").alias("c"))
+    per = "over (partition by k)"
+    held = held.withColumns({"lo": F.expr(f"min(c) {per}"), "hi": F.expr(f"max(c) {per}"), "size": F.expr(f"count(*) {per}"), "whole": F.expr(f"bit_xor(xxhash64(d)) {per}")})
+    # among three, the first and the one before are all there are
+    held = scratch.cut(held.filter("size > 3 and lo <> hi").select("k", "d", "c", "lo", "size", "whole"))
+    # of the bands with the same members one is enough
+    alike = held.groupBy("lo", "size", "whole").agg(F.min("k").alias("k")).select("k")
+    held = held.join(alike, "k").withColumn("block", F.expr(f"cast((row_number() over (partition by k order by c, d) - 1) div {BLOCK} as int)"))
+    held = held.select("k", "d", "c", "block", F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK} as int))")).alias("other"))
+    held = held.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "d", "c", "block")
+    held = held.join(sets.select(F.col("id").alias("d"), "items"), "d").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return scratch.cut(held.select("k", "i", "j", "d", "c", "block", "items").mapInArrow(_walk(percent), "a long, b long").distinct())
+
+
 _FOUND = "rid long, repeated array<int>, removed array<int>, classes array<long>, words_repeated long, words_removed long"
 
 
@@ -197,8 +268,9 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     units = scratch.cut(base.mapInArrow(_cut(n, bands, min_words), _UNITS))
     real = units.filter("u >= 0")
     keys = real.filter("bands is not null").select(F.explode("bands").alias("k"), "d")
-    keys = keys.select("d", F.expr("min(d) over (partition by k)").alias("lead"), F.expr("lag(d) over (partition by k order by d)").alias("prev")).filter("d <> lead")
-    pairs = keys.select(F.explode(F.array("lead", "prev")).alias("a"), F.col("d").alias("b")).filter("a <> b").distinct()
+    keys = keys.select("k", "d", F.expr("min(d) over (partition by k)").alias("lead"), F.expr("max(d) over (partition by k)").alias("last"), F.expr("lag(d) over (partition by k order by d)").alias("prev"))
+    keys = scratch.cut(keys.filter("lead <> last").drop("last"))
+    pairs = keys.filter("d <> lead").select(F.explode(F.array("lead", "prev")).alias("a"), F.col("d").alias("b")).filter("a <> b").distinct()
     pairs = scratch.cut(pairs)
     spot = F.col("d").bitwiseAND(F.lit(PRUNE_BITS - 1))
     rows = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).select(spot.alias("s")).groupBy(F.expr("s div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m")).collect()  # at most PRUNE_BITS / 32
@@ -210,6 +282,9 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     two = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     links = scratch.cut(two.mapInArrow(_exact(percent), "a long, b long"))
     near = scratch.cut(components(links, scratch).withColumnRenamed("id", "d"))
+    more = _crowded(keys, near, sets, percent, scratch)
+    old = near.filter("d <> component").select(F.col("d").alias("a"), F.col("component").alias("b"))
+    near = scratch.cut(components(old.union(more), scratch).withColumnRenamed("id", "d"))
     # filters of a fixed size keep paragraphs out of the shuffles that have no part in a class
     linked = maybe_in(scratch.cut(id_bits(near, "d", FILTER)), "d", FILTER)
     real = real.drop("bands")
