@@ -289,6 +289,13 @@ def test_line_dedup(spark, empty):
     assert LD.dedup_lines(empty)[0].count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    eight = "a b c d e f g h"
+    rows = [(1, f"All rights reserved.\n\none\n{eight}\n \r"), (2, f"new\nAll rights reserved.\n\none\n{eight} i\n \r"), (3, f"reserved. All rights\n{eight} i j\nAll rights\n{eight}")]
+    out, (kept, removed, share) = LD.dedup_lines(spark.createDataFrame(rows, DOCS))
+    assert {x.doc_id: x[removed] for x in out.collect()} == LD.brute_force(rows) == {1: [], 2: [1, 3], 3: [0, 1, 3]}
+
+
 def test_line_dedup_of_repeated_rows(spark):
     line = "one two three four five six"
     df = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line + "\n" + line)], DOCS)

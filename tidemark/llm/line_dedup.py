@@ -6,9 +6,10 @@ A line is the set of its words (what stands between spaces). Lines are alike whe
 1. The words of all lines are counted, in a table of hash buckets of fixed size, which gives every word a rarity.
    The words of a line are ordered by rarity, then by hash: one order for all lines, so that any two alike lines
    share a word among the first few of both (*prefix filter*).
-2. Lines with the same words are one class, with its first occurrence.
-3. Classes that share a prefix word are compared with the earliest of them, then those that found no match with the
-   rest of the word's classes, where lengths (*length filter*) and positions in the order (*positional filter*) allow
+2. Lines with the same words are one class, with its first occurrence. Lines of few words can be like lines with the
+   same words only, so their classes are all there is to find.
+3. Of the others, classes that share a prefix word are compared with the earliest of them, then those that found no
+   match with the rest of the word's classes, where lengths (*length filter*) and positions in the order (*positional filter*) allow
    the threshold, and a bitmap that each word toggles differs in few enough bits. A group of thousands of alike
    lines costs one comparison for each.
 4. Candidates are verified on the whole sets. Their texts are fetched with one join; a filter of fixed size over
@@ -19,6 +20,8 @@ Words are 64-bit keys: 6 bits of rarity and 58 bits of hash. Built-in functions
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, fresh, id_bits, maybe_in, read
@@ -26,6 +29,10 @@ from .common import Scratch, fresh, id_bits, maybe_in, read
 #: Buckets of the table of word counts: one byte each.
 RARITY_BUCKETS = 1 << 20
 _NONE = (1 << 63) - 1
+#: Different words from which a line counts in the share that a document lost to others: stock lines tell nothing of it.
+TELLING = 5
+#: Lines without it are blank and stay.
+_WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 
 def _rarity(docs: DataFrame) -> DataFrame:
@@ -55,12 +62,12 @@ def _ordered(df: DataFrame, line: str, rarity: DataFrame, name: str) -> DataFram
     return df.withColumn(name, F.sort_array(F.array_distinct(F.transform(_hashes(F.col(line)), key)))).drop("__rarity")
 
 
-def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, min_words: int = 5) -> DataFrame:
+def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, min_words: int = 1) -> DataFrame:
     """Removed lines of docs (did long, th int, text): (did, th, line, elsewhere), elsewhere: like another document's line."""
     rarity = scratch.cut(_rarity(docs))
     lines = docs.select("did", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     # fewer bytes than that cannot be enough words
-    lines = lines.filter(F.octet_length("words") >= 2 * min_words - 2)
+    lines = lines.filter((F.octet_length("words") >= 2 * min_words - 2) & F.col("words").rlike(_WORD))
     lines = _ordered(lines, "words", rarity, "k")
     n = F.size("k")
     prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
@@ -71,7 +78,9 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     lines = scratch.cut(lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), sketch.alias("sk"), prefix.alias("prefix")))
     lines = lines.filter(F.col("n") >= min_words)  # on the table: before it, the optimiser would compute the keys twice
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "sk", "prefix")).alias("x"))
-    rows = classes.select("x.did", "x.sub", "x.n", "x.sk", F.posexplode("x.prefix").alias("pos", "w"))
+    # n words and n + 1 words can reach the threshold from this n on
+    several = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
+    rows = classes.filter(F.col("x.n") >= several).select("x.did", "x.sub", "x.n", "x.sk", F.posexplode("x.prefix").alias("pos", "w"))
     rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("pos")).alias("np"), "sk")
     rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np, sk)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")}).filter("size > 1")
     rows = scratch.cut(rows.select("w", "did", "sub", "np", "sk", F.col("lead.did").alias("ldid"), F.col("lead.sub").alias("lsub"), F.col("lead.np").alias("lnp"), F.col("lead.sk").alias("lsk"), "size"))
@@ -111,11 +120,12 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     return out.select("did", F.shiftright("sub", 32).cast("int").alias("th"), F.col("sub").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"), elsewhere.alias("elsewhere"))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """The rows of docs with the text that stays, the removed line numbers (array of int, ascending) and the share of
-    the words of the text that went because another document has them (double); with the names of these columns.
+    the words of the text that went because another document has them, in lines of TELLING different words and more
+    (double); with the names of these columns.
 
-    Lines end at a newline, and lines with fewer than ``min_words`` different words always stay. Ids are integers;
+    Lines end at a newline. Blank lines and lines with fewer than ``min_words`` different words always stay. Ids are integers;
     rows with a null id come last. Rows with the same id and text are one document, and get the same result. A null
     text stays null, an empty one is one line. No row is lost.
     """
@@ -136,7 +146,7 @@ def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 5, id_col:
     far = F.coalesce(F.transform(F.filter(gone, lambda x: x["elsewhere"]), lambda x: x["line"]), none)
     stay = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(removed), i)), "\n")
     count = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.size(F.split(x, " ", -1)))
-    lost = F.filter(lines, lambda x, i: F.array_contains(far, i))
+    lost = F.filter(lines, lambda x, i: F.array_contains(far, i) & (F.size(F.array_distinct(F.split(x, " ", -1))) >= TELLING))
     other = other.withColumn(removed, at).withColumns({kept: F.when(F.size(removed) > 0, stay).otherwise(F.col(text_col)), share: F.when(F.size(removed) > 0, count(lost) / count(lines)).otherwise(0.0)})
     names = [*docs.columns, kept, removed, share]
     return same.select(*names).unionByName(other.select(*names)), [kept, removed, share]
@@ -150,7 +160,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n.cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(F.col(removed).cast("array<string>"), ",").alias("removed"), F.sha2(F.col(kept), 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], percent: int = 90, min_words: int = 5) -> dict[int, list[int]]:
+def brute_force(rows: list[tuple[int, str | None]], percent: int = 90, min_words: int = 1) -> dict[int, list[int]]:
     """Removed lines by id over a few rows, for tests."""
     seen: list[set[str]] = []
     out: dict[int, list[int]] = {}
@@ -158,7 +168,7 @@ def brute_force(rows: list[tuple[int, str | None]], percent: int = 90, min_words
         out[doc] = []
         for i, line in enumerate(text.split("\n") if text is not None else []):
             s = set(line.split(" "))
-            if len(s) < min_words:
+            if len(s) < min_words or not re.search(_WORD, line):
                 continue
             if any((100 + percent) * len(s & t) >= percent * (len(s) + len(t)) for t in seen if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t))):
                 out[doc].append(i)
