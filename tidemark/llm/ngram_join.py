@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from .common import Scratch, WordHash, components, mix, odd, read, shingle_set, signed
+from .common import Scratch, WordHash, components, mix, odd, read, released, shingle_set, signed
 
 #: Times a set is dealt with other hashes before its empty parts become tiles too.
 DEALS = 8
@@ -243,7 +243,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataF
     for r in rows:
         prune[r.w] = r.m
     texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text", spot.alias("spot"))
-    return scratch.cut(texts.mapInArrow(_sets(n, prune.view(np.uint8)), "id long, items array<long>"))
+    return scratch.cut(texts.mapInArrow(released(_sets(n, prune.view(np.uint8))), "id long, items array<long>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, meta: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -253,11 +253,11 @@ def _verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, meta: D
     same = "n1 = n2 and d1 = e1 and d2 = e2"
     met = met.filter(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
     equal = scratch.cut(met.filter(same).select("a", "b"))
-    left = scratch.cut(met.filter(f"not ({same})").select("a", "b", "n1", "n2", "x", "y").mapInArrow(_bounded(percent), "a long, b long"))
+    left = scratch.cut(met.filter(f"not ({same})").select("a", "b", "n1", "n2", "x", "y").mapInArrow(released(_bounded(percent)), "a long, b long"))
     if sets is None:
         sets = _sets_of(left.select("a").union(left.select("b")), docs, n, scratch)
     two = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return equal.union(scratch.cut(two.mapInArrow(_exact(percent), "a long, b long")))
+    return equal.union(scratch.cut(two.mapInArrow(released(_exact(percent)), "a long, b long")))
 
 
 def _still_open(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -278,7 +278,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = scratch.cut(docs.mapInArrow(_sign(n, percent), SIGNED))
+    meta = scratch.cut(docs.mapInArrow(released(_sign(n, percent)), SIGNED))
     lone = meta.filter("octet_length(bits) > 0")
     per = W.partitionBy("tile")
     members = lone.select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("id"))
@@ -311,7 +311,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     held = held.join(lone.select(F.col("doc_id").alias("id"), "n", "bits"), "id")
     # tiles with the same first member meet in a few tasks, which then emit a pair once
     held = held.repartition("lead", F.pmod("tile", F.lit(8)), "i", "j").sortWithinPartitions("tile", "i", "j", "id")
-    more = scratch.cut(held.mapInArrow(_open(percent), "a long, b long").distinct())
+    more = scratch.cut(held.mapInArrow(released(_open(percent)), "a long, b long").distinct())
     found = merge(found, _verified(more, sets, docs, lone, n, percent, scratch))
     out = meta.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return scratch.last(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))

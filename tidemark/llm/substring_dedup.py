@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, bound_batches, components, fresh, id_bits, maybe_in, mix, odd, read, signed
+from .common import Scratch, bound_batches, components, fresh, id_bits, maybe_in, mix, odd, read, released, signed
 from .ngram_join import PRUNE_BITS, _exact
 
 #: A sentence of more words is cut after words whose hash is a multiple of CUT.
@@ -223,7 +223,7 @@ def _crowded(keys: DataFrame, near: DataFrame, sets: DataFrame, percent: int, sc
     held = held.select("k", "d", "c", "block", F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK} as int))")).alias("other"))
     held = held.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "d", "c", "block")
     held = held.join(sets.select(F.col("id").alias("d"), "items"), "d").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return scratch.cut(held.select("k", "i", "j", "d", "c", "block", "items").mapInArrow(_walk(percent), "a long, b long").distinct())
+    return scratch.cut(held.select("k", "i", "j", "d", "c", "block", "items").mapInArrow(released(_walk(percent)), "a long, b long").distinct())
 
 
 _FOUND = "rid long, repeated array<int>, removed array<int>, classes array<long>, words_repeated long, words_removed long"
@@ -265,7 +265,7 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     spark = docs.sparkSession
     scratch, bands = Scratch(spark), tune_bands(percent)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    units = scratch.cut(base.mapInArrow(_cut(n, bands, min_words), _UNITS))
+    units = scratch.cut(base.mapInArrow(released(_cut(n, bands, min_words)), _UNITS))
     real = units.filter("u >= 0")
     keys = real.filter("bands is not null").select(F.explode("bands").alias("k"), "d")
     keys = keys.select("k", "d", F.expr("min(d) over (partition by k)").alias("lead"), F.expr("max(d) over (partition by k)").alias("last"), F.expr("lag(d) over (partition by k order by d)").alias("prev"))
@@ -280,7 +280,7 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
     sets = scratch.cut(texts.mapInArrow(_wanted_sets(n, min_words, spark.sparkContext.broadcast(prune.view(np.uint8))), "id long, items array<long>").groupBy("id").agg(F.min("items").alias("items")))
     two = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    links = scratch.cut(two.mapInArrow(_exact(percent), "a long, b long"))
+    links = scratch.cut(two.mapInArrow(released(_exact(percent)), "a long, b long"))
     near = scratch.cut(components(links, scratch).withColumnRenamed("id", "d"))
     more = _crowded(keys, near, sets, percent, scratch)
     old = near.filter("d <> component").select(F.col("d").alias("a"), F.col("component").alias("b"))
@@ -296,7 +296,7 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     bits = scratch.cut(id_bits(first.select("c").distinct(), "c", FILTER))
     again = known.filter(maybe_in(bits, "c", FILTER)).join(first.select("c", "c2", "first"), ["c", "c2"])
     again = again.select("rid", F.struct("u", "n", "s", "e", (F.col("first.rid").eqNullSafe(F.col("rid")) & (F.col("first.u") == F.col("u"))).alias("first"), "c").alias("x"))
-    found = again.groupBy("rid").agg(F.collect_list("x").alias("xs")).mapInArrow(_runs(min_run), _FOUND)
+    found = again.groupBy("rid").agg(F.collect_list("x").alias("xs")).mapInArrow(released(_runs(min_run)), _FOUND)
     every = units.filter("u <= 0").select("rid", "doc_id", F.col("th").alias("text_hash"), F.col("total").cast("long").alias("n_paragraphs"))
     none = F.array()
     out = every.join(found, "rid", "left")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Scratch, WordHash, bound_batches, fresh, read
+from .common import Scratch, WordHash, bound_batches, fresh, read, released
 from .decontaminate import words
 
 #: Hashed features.
@@ -101,13 +101,17 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "case when tox
     """A model of the grade (an expression over labels) fitted on at most ``sample`` labelled ids.
 
     Labels with a null id or grade and documents without text are left out; an id with several labels has the
-    highest. Without labels of two grades the model has no weights and calls nothing severe.
+    highest. An id that several documents have counts once, with the text that comes first in order; so the rows are
+    bounded by ``sample`` however often ids repeat. Without labels of two grades the model has no weights and calls
+    nothing severe. Further columns of either table are not looked at.
     """
-    spark, (g,) = docs.sparkSession, fresh(docs, "__grade")
+    spark = docs.sparkSession
     scratch = Scratch(spark)
-    drawn = labels.select(F.col(id_col).alias("id"), F.expr(grade).cast("int").alias(g)).dropna().groupBy("id").agg(F.max(g).alias(g))
-    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(sample)
-    picked = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(drawn), F.col(id_col) == F.col("id")).select(F.col(g).alias("grade"), F.col(text_col).alias("text"))  # at most `sample` short rows
+    drawn = labels.select(F.col(id_col).alias("id"), F.expr(grade).cast("int").alias("grade")).dropna().groupBy("id").agg(F.max("grade").alias("grade"))
+    drawn = scratch.cut(drawn.orderBy(F.xxhash64("id"), "id").limit(sample))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    picked = texts.join(F.broadcast(drawn), "id")  # at most `sample` short rows
+    picked = picked.groupBy("id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -115,7 +119,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "case when tox
             made = [_hashed(words(t.as_py()), hashes) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["grade", "x"])
 
-    x = scratch.cut(picked.mapInArrow(features, "grade int, x array<long>").withColumn("row", F.monotonically_increasing_id()))
+    x = scratch.cut(picked.mapInArrow(released(features), "grade int, x array<long>").withColumn("row", F.monotonically_increasing_id()))
     totals = {r.grade: r.n for r in x.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     n, high = sum(totals.values()), sum(v for k, v in totals.items() if k > 0)
     if not 0 < high < n:
@@ -131,7 +135,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "case when tox
             made = [np.intersect1d(v.values.to_numpy(), keep.value, assume_unique=True) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64())), batch.column(2)], names=["grade", "x", "row"])
 
-    data = x.mapInArrow(only, x.schema).orderBy("row").collect()  # at most `sample` rows
+    data = x.mapInArrow(released(only), x.schema).orderBy("row").collect()  # at most `sample` rows
     grades = np.array([r.grade for r in data])
     rows = np.repeat(np.arange(len(data)), [len(r.x) for r in data])
     cols = np.searchsorted(chosen, np.array([f for r in data for f in r.x], np.int64))
@@ -142,7 +146,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade: str = "case when tox
 def score_severity(docs: DataFrame, model: Severity, text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """The rows of docs with expected severity and P(grade >= 1), and the names of the two added columns.
 
-    Null and empty texts have no features and so no evidence; they get the severity of the bare thresholds.
+    Null and empty texts have no features and so no evidence; they get the severity of the bare thresholds. The result
+    depends on the text alone, so rows that repeat get equal results. Other columns pass through as they are.
     """
     bound_batches(docs.sparkSession)
     names = fresh(docs, "severity", "p_toxic")
@@ -159,11 +164,11 @@ def score_severity(docs: DataFrame, model: Severity, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(axis=1)), pa.array(p[:, 0])], names=[*batch.schema.names, *names])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-    return docs.mapInArrow(run, schema), names
+    return docs.mapInArrow(released(run), schema), names
 
 
 def without_toxic(docs: DataFrame, model: Severity, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents whose P(grade >= 1) stays below ``limit``, in the same columns."""
+    """The documents whose P(grade >= 1) stays below ``limit``, in the same columns; at the limit itself they go."""
     scored, (_, p) = score_severity(docs, model, text_col)
     return scored.filter(F.col(p) < limit).select(*docs.columns)
 
