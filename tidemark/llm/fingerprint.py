@@ -1,131 +1,208 @@
 """Document fingerprints of improbable features.
 
-Windows of 64 bytes start where a hash of eight bytes says so, whatever stands before. A window's entropy is put on a
-scale of 0 to 1000, and the corpus tells how common each value is. Windows with rare values are the features; they go
-into Bloom filters of 2048 bits, a new one after 160 features, in the order of the text. Two fingerprints are compared
-by the bits that their filters share, normalised by what chance and the smaller filter allow.
+Every window of 64 bytes of a text is a candidate; so is every window of 16 bytes of a text of less than 2048 bytes,
+in a digest of its own, for what short texts share is short. A window's entropy is put on a scale of 0 to 1000, and
+the corpus, in which all these windows of all texts are counted, tells how common each value is. A window is a feature when
+it has the rarest value, and is the first such, in at least a quarter of the runs of neighbouring windows that hold it;
+so the features of a passage depend on the passage and what stands close to it. Windows of next to no entropy
+(repeated bytes) are none. Features go into Bloom filters of 2048 bits, a new one after 160 features, in the order of
+the text. Two fingerprints are compared by the bits that their filters share, normalised by what chance and the smaller
+filter allow.
+
+Texts are looked at in parts of a bounded number of bytes with the windows around them, which gives the same features.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bound_batches, mix, odd, read
+from .common import bound_batches, mix, odd, read, released
 
-WINDOW, SCALE = 64, 1000
-#: One start in so many bytes is a window.
-STEP_BITS = 3
-#: The share of all windows, those with the rarest values, that are features.
-RARE = 0.35
+#: Bytes of a window; neighbouring windows in a run; runs in which a feature must be the rarest; texts of how many
+#: bytes and more have no digest of such windows (0: all have one).
+SCALES = ((64, 64, 16, 0), (16, 16, 4, 2048))
+#: Values of the entropy scale, and the least that a feature has.
+SCALE, LEAST = 1000, 100
 FILTER_BYTES, FILTER_FEATURES, PROBES = 256, 160, 5
-#: Bytes of text in one bucket of the order by id.
-BUCKET_BYTES = 8 << 20
-#: Windows whose bytes are counted at once.
-PART = 4096
-MAX_BUCKETS = 8192
+#: Bytes of text in one bucket of the order by id, and buckets at most: then they grow, and are read in batches still.
+BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 1 << 16
+#: Bytes that are looked at together.
+PART = 1 << 16
+#: A rank behind all others, of windows that are no features.
+_NEVER = SCALE + 1
 
-_CLOG = np.array([0.0] + [c * np.log2(c) for c in range(1, WINDOW + 1)])
 
+def _cost(width: int) -> np.ndarray:
+    """c * log2(c) in whole parts, so that sums do not depend on their order."""
+    c = np.arange(width + 1)
+    return np.rint(c * np.log2(np.maximum(c, 1)) * (1 << 20)).astype(np.int64)
 
-_ODDS = np.array([odd(20 + k) for k in range(WINDOW // 8)], np.uint64)
 
+_COSTS = {scale[0]: _cost(scale[0]) for scale in SCALES}
+_ODDS = np.array([odd(20 + k) for k in range(8)], np.uint64)
 
-def windows(raw: bytes, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window its start, a hash (where wanted) and the entropy on the scale, in order."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < WINDOW:
-        return none, none.view(np.uint64), none
-    eight = np.ndarray((len(raw) - WINDOW + 1,), "<u8", raw, strides=(1,))
-    at = np.flatnonzero(eight * odd(7) < np.uint64(1 << (64 - STEP_BITS)))
-    if not len(at):
-        return none, none.view(np.uint64), none
-    plain = np.frombuffer(raw, np.uint8)
-    hashes = none.view(np.uint64)
-    if hashed:
-        rows = np.lib.stride_tricks.sliding_window_view(plain, WINDOW)[at]
-        hashes = mix((rows.view("<u8") * _ODDS).sum(axis=1))
-    # counts of the bytes that occur, window by window; long texts in parts
-    occurring = np.zeros(256, np.intp)
-    some = np.flatnonzero(np.bincount(plain, minlength=256))
-    occurring[some] = np.arange(len(some))
-    views = np.lib.stride_tricks.sliding_window_view(occurring[plain], WINDOW)
-    per = np.empty(len(at))
-    for i in range(0, len(at), PART):
-        part = views[at[i : i + PART]]
-        part = part + (np.arange(len(part)) * len(some))[:, None]
-        counts = np.bincount(part.ravel(), minlength=len(part) * len(some))
-        per[i : i + PART] = _CLOG[counts].reshape(len(part), len(some)).sum(axis=1)
-    entropy = np.log2(WINDOW) - per / WINDOW
-    return at, hashes, np.clip(np.rint(entropy * (SCALE / np.log2(WINDOW))), 0, SCALE).astype(np.int64)
-
-
-def rare_values(counts: np.ndarray) -> np.ndarray:
-    """Which values of the scale make a feature: the rarest, up to the share RARE of all windows."""
-    order = np.lexsort((np.arange(len(counts)), counts))
-    before = np.cumsum(counts[order]) - counts[order]
-    out = np.zeros(len(counts), bool)
-    out[order] = before < RARE * max(1, counts.sum())
+
+def entropies(raw: np.ndarray, width: int) -> np.ndarray:
+    """The entropy, on the scale, of the window that starts at each byte but the last width - 1.
+
+    A window differs from the one before by a byte that leaves and one that comes; how often each of them occurs in
+    its window follows from comparing the bytes with those at every distance below the width.
+    """
+    n = len(raw) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    ahead, back = np.ones(len(raw), np.uint8), np.ones(len(raw), np.uint8)
+    for d in range(1, width):
+        same = (raw[:-d] == raw[d:]).view(np.uint8)
+        ahead[:-d] += same
+        back[d:] += same
+    cost = _COSTS[width]
+    gone, come = ahead[: n - 1], back[width:]  # of windows 0..n-2 the first byte, of windows 1..n-1 the last
+    total = np.empty(n, np.int64)
+    total[0] = cost[np.bincount(raw[:width], minlength=1)].sum()
+    total[1:] = cost[gone - np.uint8(1)] - cost[gone] + cost[come] - cost[come - np.uint8(1)]
+    np.cumsum(total, out=total)
+    most = np.log2(width)
+    return np.clip(np.rint((most - total / (width << 20)) * (SCALE / most)), 0, SCALE).astype(np.int64)
+
+
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """The rank of each value of the scale, the rarest first; ties in the order of the values."""
+    out = np.empty(len(counts), np.int64)
+    out[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
+    out[:LEAST] = _NEVER
     return out
 
 
-class Read:
-    """A text with its windows."""
-
-    def __init__(self, text: str):
-        self.text, self.raw = text, text.encode()
-        self.at, self.hashes, self.values = windows(self.raw)
-
-    def followed(self, other: Read) -> Read:
-        """The text with its last half replaced by the beginning of another; only windows over the joint are new."""
-        half = len(self.text) // 2
-        out = object.__new__(Read)
-        out.text = edited(self.text, other.text)
-        out.raw = out.text.encode()
-        joint = len(self.text[: len(self.text) - half].encode())
-        rest = len(out.raw) - joint
-        a, b = self.at + WINDOW <= joint, other.at + WINDOW <= rest
-        first = max(0, joint - WINDOW + 1)
-        at, hashes, values = windows(out.raw[first : joint + WINDOW - 1])
-        new = (at + first < joint) & (at + first + WINDOW > joint)  # all of them, unless a side is short
-        out.at = np.concatenate((self.at[a], at[new] + first, other.at[b] + joint))
-        out.hashes = np.concatenate((self.hashes[a], hashes[new], other.hashes[b]))
-        out.values = np.concatenate((self.values[a], values[new], other.values[b]))
-        return out
-
-    def fingerprint(self, rare: np.ndarray) -> bytes:
-        """Chained filters, each after a byte with its number of features; empty for an empty text.
-
-        A text without windows is one feature as a whole, and one without rare windows has all of its windows.
-        """
-        if not self.raw:
-            return b""
-        chosen = self.hashes[rare[self.values]] if len(self.hashes) else np.frombuffer(hashlib.blake2b(self.raw, digest_size=8).digest(), np.uint64)
-        chosen = chosen if len(chosen) else self.hashes
-        _, first = np.unique(chosen, return_index=True)
-        chosen = chosen[np.sort(first)]
-        out = []
-        for i in range(0, len(chosen), FILTER_FEATURES):
-            part = chosen[i : i + FILTER_FEATURES]
-            flags = np.zeros(8 * FILTER_BYTES, bool)
-            for k in range(PROBES):
-                flags[((part >> np.uint64(11 * k)) & np.uint64(8 * FILTER_BYTES - 1)).astype(np.int64)] = True
-            out.append(bytes([len(part)]) + np.packbits(flags).tobytes())
-        return b"".join(out)
+def _joined(raws: list[bytes]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Texts in groups of about PART bytes, longer ones alone: (first, past, the bytes together, their ends)."""
+    first, size = 0, 0
+    for i, raw in enumerate(raws):
+        if size and size + len(raw) > PART:
+            yield first, i, b"".join(raws[first:i]), np.cumsum([len(x) for x in raws[first:i]])
+            first, size = i, 0
+        size += len(raw)
+    if first < len(raws):
+        yield first, len(raws), b"".join(raws[first:]), np.cumsum([len(x) for x in raws[first:]])
+
+
+def _stretches(n: int, before: int, after: int) -> Iterator[tuple[int, int, int, int]]:
+    """(from, past, first, last): bytes first..last are to be read for what starts at from..past."""
+    for a in range(0, max(n, 1), PART):
+        b = min(n, a + PART)
+        yield a, b, max(0, a - before), min(n, b + after)
+
+
+def _room(ends: np.ndarray) -> np.ndarray:
+    """How many bytes of its text begin at each byte of texts that lie one after another."""
+    return np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(ends[-1] if len(ends) else 0)
+
+
+def count_values(raws: list[bytes], width: int, counts: np.ndarray) -> None:
+    """Adds the windows of all texts to the counts of their values."""
+    for _, _, raw, ends in _joined(raws):
+        data, room = np.frombuffer(raw, np.uint8), _room(ends)
+        for a, b, first, last in _stretches(len(data), 0, width - 1):
+            values = entropies(data[first:last], width)[: b - a]
+            counts += np.bincount(values[room[first : first + len(values)] >= width], minlength=SCALE + 1)
+
+
+def _chosen(data: np.ndarray, ends: np.ndarray, ranks: np.ndarray, width: int, run: int, least: int) -> np.ndarray:
+    """Positions of the features of texts that lie one after another, in order."""
+    out, room = [], _room(ends)
+    for a, b, first, last in _stretches(len(data), run - 1, run + width - 2):
+        values = entropies(data[first:last], width)
+        if not len(values):
+            continue
+        left = room[first : first + len(values)]
+        rank = np.where(left >= width, ranks[values], _NEVER)
+        key = (rank << 32) + np.arange(len(rank))
+        votes = np.zeros(len(rank), np.int64)
+        if len(key) >= run:
+            low, n = key, 1
+            while n < run:  # the least key of n neighbours, doubled until n is the run
+                step = min(n, run - n)
+                low = np.minimum(low[: len(low) - step], low[step:])
+                n += step
+            inside = left[: len(low)] >= width + run - 1
+            votes = np.bincount(low[inside] & 0xFFFFFFFF, minlength=len(rank))
+        picked = np.flatnonzero((votes >= least) & (rank < _NEVER)) + first
+        out.append(picked[(picked >= a) & (picked < b)])
+    # texts with fewer windows than a run has: the rarest is the feature
+    begins = np.concatenate(([0], ends[:-1]))
+    few = np.flatnonzero((ends - begins >= width) & (ends - begins < width + run - 1))
+    for i in few.tolist():
+        values = ranks[entropies(data[begins[i] : ends[i]], width)]
+        k = int(values.argmin())
+        if values[k] < _NEVER:
+            out.append(np.array([begins[i] + k]))
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _hashed(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)[at]
+    return mix((rows.view("<u8") * _ODDS[: width // 8]).sum(axis=1) + np.uint64(width))
 
 
-def likeness(a: bytes, b: bytes) -> float:
-    """0 to 1: the mean over the filters of the shorter chain of the best normalised overlap with the other chain."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    x, y = (np.frombuffer(v, np.uint8).reshape(-1, FILTER_BYTES + 1) for v in ((a, b) if len(a) <= len(b) else (b, a)))
+def _digest(hashes: np.ndarray) -> bytes:
+    """Chained filters, each after a byte with its number of features."""
+    _, first = np.unique(hashes, return_index=True)
+    hashes, out = hashes[np.sort(first)], []
+    for i in range(0, len(hashes), FILTER_FEATURES):
+        part = hashes[i : i + FILTER_FEATURES]
+        flags = np.zeros(8 * FILTER_BYTES, bool)
+        for k in range(PROBES):
+            flags[((part >> np.uint64(11 * k)) & np.uint64(8 * FILTER_BYTES - 1)).astype(np.int64)] = True
+        out.append(bytes([len(part)]) + np.packbits(flags).tobytes())
+    return b"".join(out)
+
+
+def fingerprints(raws: list[bytes], ranks: dict[int, np.ndarray]) -> list[bytes]:
+    """Of each text its digests, each after the width of its windows and its length; empty for an empty text.
+
+    A text without features is one feature as a whole, in a digest of width 0.
+    """
+    out = [[] for _ in raws]
+    for width, run, least, below in SCALES:
+        which = [i for i, raw in enumerate(raws) if len(raw) >= width and not (below and len(raw) >= below)]
+        for first, past, raw, ends in _joined([raws[i] for i in which]):
+            data = np.frombuffer(raw, np.uint8)
+            at = _chosen(data, ends, ranks[width], width, run, least)
+            hashes = _hashed(data, at, width)
+            edges = np.concatenate(([0], np.searchsorted(at, ends)))
+            for k in range(past - first):
+                if edges[k + 1] > edges[k]:
+                    made = _digest(hashes[edges[k] : edges[k + 1]])
+                    out[which[first + k]].append(struct.pack(">BI", width, len(made)) + made)
+    for i, raw in enumerate(raws):
+        if raw and not out[i]:
+            made = _digest(np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64))
+            out[i].append(struct.pack(">BI", 0, len(made)) + made)
+    return [b"".join(x) for x in out]
+
+
+def digests_of(fingerprint: bytes) -> dict[int, np.ndarray]:
+    """The filters by width of window, a row for each, after its number of features."""
+    out, at = {}, 0
+    while at < len(fingerprint):
+        width, size = struct.unpack_from(">BI", fingerprint, at)
+        out[width] = np.frombuffer(fingerprint, np.uint8, size, at + 5).reshape(-1, FILTER_BYTES + 1)
+        at += 5 + size
+    return out
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """The mean, over the filters of x by their features, of the best normalised overlap with a filter of y."""
     weight = x[:, 0].astype(float)
     ones = np.bitwise_count(y[:, 1:]).sum(axis=1).astype(float)
     best = np.zeros(len(x))
@@ -140,23 +217,37 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((best * weight).sum() / weight.sum())
 
 
-def corpus_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Rare values of the scale, from the windows of all texts."""
+def likeness(a: bytes, b: bytes) -> float:
+    """0 to 1: the overlap of the shorter chain with the other, over the widths that both have, by their features."""
+    if a == b:
+        return 1.0
+    p, q = digests_of(a), digests_of(b)
+    total = weight = 0.0
+    for width in p.keys() & q.keys():
+        x, y = sorted((p[width], q[width]), key=lambda v: (len(v), int(v[:, 0].sum()), v.tobytes()))
+        n = float(x[:, 0].sum())
+        total, weight = total + n * _overlap(x, y), weight + n
+    return total / weight if weight else 0.0
+
+
+def corpus_ranks(docs: DataFrame, text_col: str = "text") -> dict[int, np.ndarray]:
+    """For each width, the ranks of the values of the scale, from all windows of all texts."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SCALE + 1, np.int64)
+        counts = {scale[0]: np.zeros(SCALE + 1, np.int64) for scale in SCALES}
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    counts += np.bincount(windows(text.as_py().encode(), False)[2], minlength=SCALE + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SCALE + 1)), pa.array(counts)], names=["value", "n"])
-
-    rows = docs.select(text_col).mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()  # one row for each value of the scale
-    counts = np.zeros(SCALE + 1, np.int64)
+            raws = [t.as_py().encode() for t in batch.column(0) if t.is_valid]
+            for width, _, _, below in SCALES:
+                count_values([x for x in raws if not below or len(x) < below], width, counts[width])
+        width = np.repeat(list(counts), SCALE + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(width, pa.int32()), pa.array(np.tile(np.arange(SCALE + 1), len(counts)), pa.int32()), pa.array(np.concatenate(list(counts.values())))], names=["width", "value", "n"])
+
+    rows = docs.select(text_col).mapInArrow(released(run), "width int, value int, n long").groupBy("width", "value").agg(F.sum("n").alias("n")).collect()  # one row for each width and value
+    counts = {scale[0]: np.zeros(SCALE + 1, np.int64) for scale in SCALES}
     for r in rows:
-        counts[r.value] = r.n
-    return rare_values(counts)
+        counts[r.width][r.value] = r.n
+    return {width: ranks_of(n) for width, n in counts.items()}
 
 
 def edited(text: str, following: str) -> str:
@@ -165,15 +256,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket(ids: Column, bounds: list[int], step: int = 64) -> Column:
-    """How many of the bounds (descending) are greater than the id; one more than all of them for a null."""
-    if not bounds:
+def _bucket(ids: Column, bounds: Column, n: int) -> Column:
+    """How many of the n bounds (descending) are greater than the id; one more than all of them for a null."""
+    if not n:
         return F.when(ids.isNull(), 1).otherwise(0)
-    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    step = max(1, int(n**0.5))
     more = lambda xs: F.size(F.filter(xs, lambda b: b > ids))
-    block = more(array(bounds[::step]))
-    inside = F.when(block == 0, 0).otherwise((block - 1) * step + more(F.slice(array(bounds), F.greatest(block - 1, F.lit(0)) * step + 1, step)))
-    return F.when(ids.isNull(), len(bounds) + 1).otherwise(inside)
+    heads = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // step)), lambda i: F.get(bounds, i * step))
+    block = more(F.filter(heads, lambda b: b.isNotNull()))
+    inside = F.when(block == 0, 0).otherwise((block - 1) * step + more(F.slice(bounds, F.greatest(block - 1, F.lit(0)) * step + 1, F.lit(step))))
+    return F.when(ids.isNull(), n + 1).otherwise(inside)
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -183,19 +275,22 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprints of all texts, of their edited forms, and their likeness to the next document.
 
     The next document is that of the next smaller id; after the last comes the first. Null ids come last, equal ids
-    in the order of a hash of their texts. A null text counts as empty. Documents are dealt into buckets of the order
-    by id, of a bounded number of bytes; a copy of each bucket's first document goes to the bucket before it.
+    in the order of a hash of their texts; rows equal in both are next to each other. A null text counts as empty, and
+    an empty text has an empty fingerprint, which is like other empty ones only. Documents are dealt into buckets of
+    the order by id, of a bounded number of bytes; a copy of each bucket's first document goes to the bucket before it.
+    Columns other than the two are not looked at.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rare = corpus_rarity(docs)
+    ranks = corpus_ranks(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(min(MAX_BUCKETS, size // BUCKET_BYTES))
     bounds = docs.agg(F.percentile_approx("doc_id", [k / (n + 1) for k in range(1, n + 1)], 100 * n)).first()[0] if n else None
     bounds = sorted(set(bounds or ()), reverse=True)
+    table = spark.createDataFrame([(bounds,)], "b array<bigint>").scalar()  # MAX_BUCKETS entries at most
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.negative("doc_id").alias("b"), F.xxhash64("text").alias("c"))
-    rows = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds)).withColumn("place", place)
+    rows = docs.withColumn("bounds", table).withColumn("bucket", _bucket(F.col("doc_id"), F.col("bounds"), len(bounds))).drop("bounds").withColumn("place", place)
     firsts = sorted((r.bucket, r.first.a, r.first.b, r.first.c) for r in rows.groupBy("bucket").agg(F.min("place").alias("first")).collect())  # at most MAX_BUCKETS + 2
     guests = [(*firsts[i][1:], firsts[i - 1][0]) for i in range(len(firsts))]
     guests = spark.createDataFrame(guests, "a boolean, b long, c long, other int")
@@ -209,27 +304,25 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = lambda v: base64.b64encode(v).decode()
-        before = None
-
-        def row(a, b):
-            new = a[1].followed(b[1])
-            made = new.fingerprint(rare)
-            return (a[0], len(a[1].text), hashlib.sha256(new.raw).hexdigest(), code(a[2]), code(made), likeness(a[2], made), likeness(a[2], b[2]))
-
+        before = None  # the last document, with its fingerprint
         for batch in batches:
-            out = []
-            for doc, text, guest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3).to_pylist(), strict=True):
+            texts = batch.column(1).to_pylist()
+            made = fingerprints([t.encode() for t in texts], ranks)
+            pairs = []
+            for doc, text, mark, guest in zip(batch.column(0).to_pylist(), texts, made, batch.column(3).to_pylist(), strict=True):
                 if guest and before is None:
                     continue  # a copy of an equal row: the first guest has been used
-                now = (doc, t := Read(text.as_py()), t.fingerprint(rare))
                 if before is not None:
-                    out.append(row(before, now))
-                before = None if guest else now
+                    pairs.append((before, (doc, text, mark)))
+                before = None if guest else (doc, text, mark)
+            new = [edited(a[1], b[1]).encode() for a, b in pairs]
+            marks = fingerprints(new, ranks)
+            out = [(a[0], len(a[1]), hashlib.sha256(x).hexdigest(), code(a[2]), code(m), likeness(a[2], m), likeness(a[2], b[2])) for (a, b), x, m in zip(pairs, new, marks, strict=True)]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in _OUT.split(", ")])
 
-    return rows.mapInArrow(run, _OUT)
+    return rows.mapInArrow(released(run), _OUT)
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
