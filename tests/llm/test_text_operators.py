@@ -1,8 +1,10 @@
 """Text operators: against brute force, on nulls, empty and very long texts, ties, repeats, empty tables, name clashes."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -102,21 +104,60 @@ def test_linked_sets_share_a_tile():
 
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 
-def test_pfair_stays_within_a_block():
-    for weights in ({"a": 1}, {"a": 5, "b": 1}, {"a": 0.33, "b": 0.33, "c": 0.34}, {str(i): (i + 1) ** 2 for i in range(20)}):
-        parts = M.parts_of(weights, 256)
-        assert sum(parts.values()) == 256
+def plain_pfair(weights, slots):
+    """Earliest deadline first over exact windows, written down slot by slot."""
+    total = sum(weights.values())
+    share = {s: Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for s, w in weights.items()}
+    done, out = dict.fromkeys(weights, 0), []
+    assert total > 0
+    for t in range(slots):
+        free = [(math.ceil((done[s] + 1) / share[s]), s) for s in weights if math.floor(done[s] / share[s]) <= t]
+        due, s = min(free)
+        assert due > t
+        done[s] += 1
+        out.append(s)
+    return out
+
+
+def test_pfair_stays_within_a_block_of_the_target():
+    r = random.Random(3)
+    cases = [{"a": 1}, {"a": 5, "b": 1}, {"a": 0.33, "b": 0.33, "c": 0.34}, {"a": 0.3, "b": 0.0001, "c": 0.6999}, {str(i): (i + 1) ** 2 for i in range(20)}]
+    cases += [{str(i): round(r.random() + 0.001, 3) for i in range(r.randrange(2, 9))} for _ in range(10)]
+    for weights in cases:
+        parts = M.whole(weights)
+        total, slots = sum(parts.values()), min(sum(parts.values()), 3000)
+        got = M.pfair(parts, slots)
+        assert got == plain_pfair(weights, slots)
         seen = Counter()
-        for t, s in enumerate(M.pfair_cycle(parts), 1):
+        for t, s in enumerate(got, 1):
             seen[s] += 1
-            assert all(abs(seen[x] - t * parts[x] / 256) < 1 for x in parts)
+            assert all(abs(seen[x] - Fraction(t * parts[x], total)) < 1 for x in parts)
+
+
+def test_legs_place_every_block_once():
+    r = random.Random(4)
+    for _ in range(40):
+        weights = {f"s{i}": r.choice([0.1, 0.25, 0.05, 3, round(r.random() + 0.001, 4)]) for i in range(r.randrange(1, 12))}
+        blocks = {s: r.randrange(1, 300) for s in weights}
+        for cycle in (None, 64):
+            plan = M.legs_of(blocks, weights, cycle)
+            slots = [start + (k - first) // parts * length + places[(k - first) % parts] for _, _, first, past, start, parts, places, length in plan for k in range(first, past)]
+            assert sorted(slots) == list(range(sum(blocks.values())))
+
+
+def test_rounded_weights():
+    assert M.rounded({"a": 10**9, "b": 1, "c": 10**9}, 64) == {"a": 32, "b": 1, "c": 31}
+    many = {f"s{i}": 1 + i % 7 for i in range(5000)}
+    got = M.rounded(many, M.cycle_of(5000))
+    assert sum(got.values()) == M.cycle_of(5000) and min(got.values()) >= 1
 
 
 def test_mixing_places_every_row_once(spark, empty):
     r = random.Random(2)
-    rows = [(i, r.choice(["big"] * 8 + ["s", "t", None]), 0, "x") for i in range(3000)] + [(7, "big", 0, "x")] * 3
+    rows = [(i, r.choice(["big"] * 8 + ["s", "t", None]), 0, "x") for i in range(3000)] + [(7, "big", 0, "x")] * 3 + [(None, "big", 0, None), (None, None, None, "y" * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot int, s string")
-    out, names = M.mix_sources(df, {"big": 0.5, "s": 0.3, "t": 0.1}, block_rows=4)
+    target = {"big": 0.5, "s": 0.3, "t": 0.1}
+    out, names = M.mix_sources(df, target, block_rows=4)
     assert names == ["leg", "block", "_slot", "position"]
     got = out.toPandas()
     assert len(got) == len(rows) and got.position.is_unique and set(df.columns) <= set(got.columns)
@@ -125,14 +166,18 @@ def test_mixing_places_every_row_once(spark, empty):
     assert blocks._slot.tolist() == list(range(len(blocks)))
     assert (got.groupby(got.source.fillna("-")).block.max() + 1 == got.groupby(got.source.fillna("-")).size().map(lambda n: -(-n // 4))).all()
     first = blocks[blocks.leg == 0]
-    shares = M.parts_of({"=big": 0.5, "=s": 0.3, "=t": 0.1, "": 0.3})
-    seen = Counter()
-    for t, s in enumerate(first.source, 1):
-        seen["=" + s if s else ""] += 1
-        assert all(abs(seen[x] - t * shares[x] / M.CYCLE) < 1 for x in shares)
+    assert first.source.fillna("-").tolist() == [x or "-" for x in plain_pfair({"big": 0.5, "s": 0.3, "t": 0.1, "": 0.3}, len(first))]
     assert M.mix_sources(empty.withColumn("source", F.lit("a")))[0].count() == 0
 
 
+def test_mixing_many_sources_and_a_repeated_key(spark):
+    df = spark.range(6000).select(F.lit(5).alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 1500).alias("source"), F.col("id").alias("n"))
+    got = M.mix_sources(df, block_rows=2)[0].toPandas()
+    assert len(got) == 6000 and got.position.is_unique and got.groupby("source").size().eq(4).all()
+    again = M.mix_sources(df.repartition(7), block_rows=2)[0].toPandas()
+    assert dict(zip(got.n, got.position)) == dict(zip(again.n, again.position))
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------
 
 PII = ["a.b+c@x.org, then <d@e.f.g>.", "a@b.c_x@d.org @@ x@y", "1.2.3.4.5.6.7.8 999.1.1.1 0255.1.1.1 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 5" + "0" * 30, "+1 (743) 555-3824, +12 +1234567 8 (9", "é日本 x@y.zz ünd 10.0.0.1\n+49 30 1234567", "9" * 20_000 + " " + "a" * 50_000, ("x" * 40_000) + "@y.z", "1 " * 20_000, "", None, "no data"]
@@ -153,7 +198,7 @@ def test_pii_base(spark):
 
 def test_pii_bootstrapping(spark, empty):
     # "contact mail" comes before seeds, and then before an address that no pattern finds
-    rows = [(i, f"please contact mail: user{i}@host{i}.org today") for i in range(8)] + [(20, "please contact mail: root@localhost now"), (21, "a word mail: other@thing now"), (22, "room 4711 is free")]
+    rows = [(i, f"please contact mail: user{i}@host{i}.org today") for i in range(8)] + [(20, "please contact mail: root@localhost now"), (21, "a word about: other@thing now"), (22, "room 4711 is free")]
     out, (base, added) = pii.find_pii(spark.createDataFrame(rows, DOCS))
     got = {r.doc_id: r[added] for r in out.collect()}
     assert [(x.kind, x.v) for x in got[20]] == [("email", "root@localhost")] and (x := got[20][0]) and rows[8][1][x.s : x.e] == x.v
@@ -335,21 +380,101 @@ def test_fingerprints(spark, empty):
     assert one.near_next == 1.0
 
 
-def test_entropy_of_windows():
-    raw = bytes(random.Random(9).randrange(256) for _ in range(3000)) + b"a" * 200
-    starts, hashes, values = P.windows(raw)
-    at = [i for i in range(len(raw) - 63) if (int.from_bytes(raw[i : i + 8], "little") * int(P.odd(7)) & (2**64 - 1)) >> 61 == 0]
-    want = [round(-sum(c / 64 * np.log2(c / 64) for c in Counter(raw[i : i + 64]).values()) * 1000 / 6) for i in at]
-    assert starts.tolist() == at and np.abs(values - want).max() <= 1
+def plain_entropies(raw, width):
+    return [round(-sum(c / width * np.log2(c / width) for c in Counter(raw[i : i + width]).values()) * 1000 / np.log2(width)) for i in range(len(raw) - width + 1)]
 
 
-def test_windows_over_a_joint():
+def test_entropy_of_windows():
+    raw = bytes(random.Random(9).randrange(256) for _ in range(900)) + b"a" * 200
+    for width in (64, 16):
+        assert np.abs(P.entropies(np.frombuffer(raw, np.uint8), width) - plain_entropies(raw, width)).max(initial=0) <= 1
+
+
+def plain_features(raw, ranks, width, run, least):
+    """Starts of the features of one text, window by window."""
+    rank = ranks[P.entropies(np.frombuffer(raw, np.uint8), width)].tolist()
+    if not rank:
+        return []
+    if len(rank) < run:
+        k = rank.index(min(rank))
+        return [k] if rank[k] <= P.SCALE else []
+    votes = Counter(min(range(i, i + run), key=lambda k: (rank[k], k)) for i in range(len(rank) - run + 1))
+    return sorted(k for k, n in votes.items() if n >= least and rank[k] <= P.SCALE)
+
+
+def plain_fingerprint(raw, ranks):
+    """Per width the filters, as sets of bits with the number of features."""
+    out = {}
+    for width, run, least, below in P.SCALES:
+        if below and len(raw) >= below:
+            continue
+        hashes = []
+        for k in plain_features(raw, ranks[width], width, run, least):
+            words = [int.from_bytes(raw[k + 8 * j : k + 8 * j + 8], "little") * int(P._ODDS[j]) for j in range(width // 8)]
+            h = int(P.mix(np.array([(sum(words) + width) % 2**64], np.uint64))[0])
+            if h not in hashes:
+                hashes.append(h)
+        for i in range(0, len(hashes), P.FILTER_FEATURES):
+            part = hashes[i : i + P.FILTER_FEATURES]
+            out.setdefault(width, []).append((len(part), {(h >> 11 * j) & 2047 for h in part for j in range(P.PROBES)}))
+    return out
+
+
+def plain_likeness(a, b):
+    total = weight = 0.0
+    for width in a.keys() & b.keys():
+        x, y = sorted((a[width], b[width]), key=lambda v: (len(v), sum(n for n, _ in v), b"".join(bytes([n]) + np.packbits([i in s for i in range(2048)]).tobytes() for n, s in v)))
+        for n, own in x:
+            best = 0.0
+            for _, other in y:
+                share = len(other) / 2048
+                chance = len(own) * share + (2 + math.sqrt(2 * math.log(len(y)))) * math.sqrt(len(own) * share * (1 - share))
+                room = min(len(own), len(other)) - chance
+                best = max(best, min(1.0, max(0.0, (len(own & other) - chance) / max(room, 1e-9))) if room > 0 else 0.0)
+            total, weight = total + n * best, weight + n
+    return total / weight if weight else 0.0
+
+
+def test_fingerprints_against_plain(spark, monkeypatch):
     r = random.Random(12)
-    for n, m in [(0, 5), (5, 0), (40, 30), (200, 10), (10, 200), (900, 1200), (3, 900), (1000, 70)]:
-        a, b = ("".join(r.choice("abc deé") for _ in range(k)) for k in (n, m))
-        got, want = P.Read(a).followed(P.Read(b)), P.Read(P.edited(a, b))
-        for x, y in zip((got.at, got.hashes, got.values), (want.at, want.hashes, want.values), strict=True):
-            assert x.tolist() == y.tolist()
+    texts = ["".join(r.choice("abc deé\n") for _ in range(k)) for k in (0, 1, 15, 16, 20, 63, 64, 100, 127, 140, 900, 2047, 2048, 6000)] + ["a" * 300, prose(r, 3000, 99)]
+    texts += [texts[-1][:9000] + prose(r, 400, 99)]
+    raws = [t.encode() for t in texts]
+    ranks = {}
+    for width, _, _, below in P.SCALES:
+        counts = np.zeros(P.SCALE + 1, np.int64)
+        for raw in raws:
+            if not below or len(raw) < below:
+                counts += np.bincount(P.entropies(np.frombuffer(raw, np.uint8), width), minlength=P.SCALE + 1)
+        ranks[width] = P.ranks_of(counts)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert all((P.corpus_ranks(df)[w] == ranks[w]).all() for w in ranks)
+    made = P.fingerprints(raws, ranks)
+    for part in (300, 77):
+        monkeypatch.setattr(P, "PART", part)
+        assert P.fingerprints(raws, ranks) == made
+    plain = [plain_fingerprint(raw, ranks) for raw in raws]
+    for raw, mark, want in zip(raws, made, plain, strict=True):
+        got = {w: [(int(x[0]), set(np.flatnonzero(np.unpackbits(x[1:])).tolist())) for x in v] for w, v in P.digests_of(mark).items()}
+        if want:
+            assert got == want
+        else:
+            assert list(got) == ([0] if raw else [])
+    for i in range(len(raws)):
+        for j in range(i):
+            if plain[i] and plain[j] and made[i] != made[j]:
+                assert abs(P.likeness(made[i], made[j]) - plain_likeness(plain[i], plain[j])) < 1e-9
+
+
+def test_fingerprints_of_equal_ids(spark):
+    r = random.Random(13)
+    rows = [(5, prose(r, 200)) for _ in range(4)] + [(5, "same " * 60)] * 2 + [(9, prose(r, 200)), (1, None)]
+    got = P.fingerprint_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter(x.doc_id for x in got) == Counter(d for d, _ in rows)
+    # the edited texts follow some order of the equal ids, in which equal rows are next to each other
+    digests = Counter(x.edited_sha256 for x in got)
+    pairs = {hashlib.sha256(P.edited(a or "", b or "").encode()).hexdigest() for _, a in rows for _, b in rows}
+    assert set(digests) <= pairs and any(x.near_next == 1.0 for x in got)
 
 
 # -- 8 ---------------------------------------------------------------------------------------------------------------
