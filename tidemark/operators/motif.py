@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import special
+from .sequences import BASES, column_pairs, transition_counts, window_logs
 
 _CODE = np.full(256, 4, np.int8)
 for _i, _c in enumerate(b"ACGT"):
@@ -30,7 +31,7 @@ class MotifOptions:
     width: int = 8
     runs: int = 20
     order: int = 3
-    pseudo: float = 1.0
+    pseudo: float = 0.05
     plateau: int = 50
     max_sweeps: int = 400
     trial_sweeps: int = 5
@@ -39,12 +40,16 @@ class MotifOptions:
     shift_chance: float = 0.4
     null_sets: int = 0
     clr_sampling: bool = False
+    rank: str = "ilr"
+    background: str = "flank"
 
     def __post_init__(self):
         if self.width < 2 or self.runs < 1 or self.order < 0 or self.max_sweeps < 1:
             raise ValueError("width, runs, order and max_sweeps must be positive")
         if self.zoops is not None and not 0 < self.zoops <= 1:
             raise ValueError("zoops is a weight in (0, 1], or None for one site in each sequence")
+        if self.rank not in ("ilr", "clr"):
+            raise ValueError("rank must be ilr or clr")
 
 
 def stream(*key: int) -> np.random.Generator:
@@ -54,7 +59,7 @@ def stream(*key: int) -> np.random.Generator:
 class Sequences:
     """Coded sequences with both strands, valid windows, and log background of every window."""
 
-    def __init__(self, seqs: list[str], width: int, order: int, both: bool = True):
+    def __init__(self, seqs: list[str], width: int, order: int, both: bool = True, background: str = "flank"):
         self.width, self.coded, self.valid, self.log_bg = width, [], [], []
         strands = [[_CODE[np.frombuffer(s.encode(), np.uint8)]] for s in seqs]
         if both:
@@ -71,30 +76,17 @@ class Sequences:
                         if j < k:
                             context = context * 4 + np.minimum(part, 3)
                     np.add.at(m, (context[ok], row[k:][ok]), 1)
-        logs = [np.log(m / m.sum(axis=1, keepdims=True)) for m in models]
+        tables = [np.log(m / m.sum(axis=1, keepdims=True)).ravel() for m in models]
+        self.base = np.exp(tables[0])
         for parts in strands:
             bg, ok = [], []
             for s in parts:
-                lp, run = np.zeros(len(s)), 0
-                for i, c in enumerate(s.tolist()):
-                    if c == 4:
-                        run = 0
-                        continue
-                    k = min(run, order)
-                    context = 0
-                    for x in s[i - k : i].tolist():
-                        context = context * 4 + x
-                    lp[i] = logs[k][context, c]
-                    run += 1
-                n = max(0, len(s) - width + 1)
-                total = np.concatenate(([0.0], np.cumsum(lp)))
-                gaps = np.concatenate(([0], np.cumsum(s == 4)))
-                bg.append(total[width : width + n] - total[:n])
-                ok.append(gaps[width : width + n] == gaps[:n])
                 # windows across the end of a strand do not exist
-                if len(s) - n > 0:
-                    bg.append(np.zeros(len(s) - n))
-                    ok.append(np.zeros(len(s) - n, bool))
+                at, total = window_logs(s.astype(np.uint8), 0, len(s), tables, width, background)
+                full, found = np.zeros(len(s)), np.zeros(len(s), bool)
+                full[at], found[at] = total, True
+                bg.append(full)
+                ok.append(found)
             self.coded.append(np.concatenate([*parts, np.full(width, 4, np.int8)]))
             self.valid.append(np.concatenate(ok))
             self.log_bg.append(np.concatenate(bg))
@@ -114,8 +106,16 @@ class Sequences:
         return np.where(self.valid[i], out, -np.inf)
 
 
-def log_pwm(counts: np.ndarray, pseudo: float) -> np.ndarray:
-    return np.log((counts + pseudo / 4) / (counts.sum(axis=1, keepdims=True) + pseudo))
+def log_pwm(counts: np.ndarray, weight: float, base: np.ndarray) -> np.ndarray:
+    """Log frequencies of a profile with a pseudocount of so many sites for each site, spread like the background."""
+    n = counts.sum(axis=1, keepdims=True)
+    return np.log((counts + base * n * weight) / (n * (1 + weight)))
+
+
+def log_profile(counts: np.ndarray) -> np.ndarray:
+    """Log frequencies of a profile as it is; minus infinity for a letter that a column does not have."""
+    with np.errstate(divide="ignore"):
+        return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 def prior_ratio(n: int, total: int, weight: float) -> float:
@@ -124,15 +124,26 @@ def prior_ratio(n: int, total: int, weight: float) -> float:
     return (n + p) / (total - n - 1 + p)
 
 
-def ilr(data: Sequences, counts: np.ndarray, pseudo: float = 1.0) -> float:
-    """Sum over sequences of the log mean likelihood ratio, for the profile of the counts."""
-    pwm, total = log_pwm(counts, pseudo), 0.0
+def ilr(data: Sequences, counts: np.ndarray, sites: np.ndarray | None = None) -> float:
+    """Sum over sequences of the log mean likelihood ratio, for the profile of the counts, without a pseudocount.
+
+    With ``sites`` only sequences that have one count. A sequence in which no window can come from the profile gives
+    minus infinity.
+    """
+    pwm, total = log_profile(counts), 0.0
     for i, n in enumerate(data.n_valid):
-        if n:
+        if n and (sites is None or sites[i] >= 0):
             r = data.ratios(i, pwm)
             top = r.max()
+            if top == -np.inf:
+                return -math.inf
             total += top + math.log(np.exp(r - top).sum()) - math.log(n)
-    return total
+    return float(total)
+
+
+def run_score(data: Sequences, sites: np.ndarray, o: MotifOptions) -> float:
+    """The score by which runs are ranked."""
+    return clr(data, sites, o.zoops) if o.rank == "clr" else ilr(data, data.counts(sites), sites)
 
 
 def clr(data: Sequences, sites: np.ndarray, zoops: float | None = None) -> float:
@@ -178,7 +189,7 @@ def sample_run(data: Sequences, o: MotifOptions, rng: np.random.Generator) -> tu
                     r = np.where(data.valid[i], gain[pos, np.minimum(data.windows[i], 3)].sum(axis=1) - data.log_bg[i], -np.inf)
                     r = r - o.width * ((others + 1) * math.log(others + 1) - others * math.log(others))
                 else:
-                    r = data.ratios(i, log_pwm(counts, o.pseudo))
+                    r = data.ratios(i, log_pwm(counts, o.pseudo, data.base))
                 top = max(r.max(), 0.0)
                 weight = np.exp(r - top)
                 cum = np.cumsum(weight)
@@ -204,14 +215,14 @@ def sample_run(data: Sequences, o: MotifOptions, rng: np.random.Generator) -> tu
             best, best_sites, since = score, sites.copy(), 0
         else:
             since += 1
-    return ilr(data, data.counts(best_sites), o.pseudo), best_sites, sweep
+    return run_score(data, best_sites, o), best_sites, sweep
 
 
-def em_refine(data: Sequences, counts: np.ndarray, pseudo: float = 1.0, patience: int = 3, least: float = 0.01, limit: int = 200) -> tuple[np.ndarray, float]:
+def em_refine(data: Sequences, counts: np.ndarray, pseudo: float = 0.05, patience: int = 3, least: float = 0.01, limit: int = 200) -> tuple[np.ndarray, float]:
     """Expectation maximisation with one site in each sequence, until it stops to improve. (counts, score)."""
-    best, since = ilr(data, counts, pseudo), 0
+    best, since = ilr(data, counts), 0
     for _ in range(limit):
-        pwm, new = log_pwm(counts, pseudo), np.zeros_like(counts)
+        pwm, new = log_pwm(counts, pseudo, data.base), np.zeros_like(counts)
         for i, n in enumerate(data.n_valid):
             if n:
                 r = data.ratios(i, pwm)
@@ -219,7 +230,7 @@ def em_refine(data: Sequences, counts: np.ndarray, pseudo: float = 1.0, patience
                 w /= w.sum()
                 for c in range(data.width):
                     new[c] += np.bincount(np.minimum(data.windows[i][:, c], 3), weights=w, minlength=4)[:4]
-        score = ilr(data, new, pseudo)
+        score = ilr(data, new)
         since = 0 if score > best + least else since + 1
         if score > best:
             best, counts = score, new
@@ -228,9 +239,9 @@ def em_refine(data: Sequences, counts: np.ndarray, pseudo: float = 1.0, patience
     return counts, best
 
 
-def reassign(data: Sequences, counts: np.ndarray, n_sites: int, pseudo: float = 1.0) -> np.ndarray:
+def reassign(data: Sequences, counts: np.ndarray, n_sites: int, pseudo: float = 0.05) -> np.ndarray:
     """The best window of each sequence, of which the n_sites best stay."""
-    pwm = log_pwm(counts, pseudo)
+    pwm = log_pwm(counts, pseudo, data.base)
     found = [(float(r.max()), i, int(r.argmax())) for i, n in enumerate(data.n_valid) if n for r in [data.ratios(i, pwm)]]
     sites = np.full(len(data.coded), -1, np.int64)
     for _, i, at in sorted(found, key=lambda x: (-x[0], x[1]))[:n_sites]:
@@ -239,12 +250,14 @@ def reassign(data: Sequences, counts: np.ndarray, n_sites: int, pseudo: float =
 
 
 def public_position(at: int, length: int, width: int) -> int | None:
-    """1..len on the forward strand, -1..-len on the reverse one."""
-    return None if at < 0 else at + 1 if at < length else -(2 * length - at - width + 1)
+    """1..len on the forward strand, -1..-len on the reverse one: the place of the site's first letter as it is read."""
+    return None if at < 0 else at + 1 if at < length else at - 2 * length
 
 
 #: Restarts that advance side by side in one task: their scores are one matrix product.
 TOGETHER = 32
+#: Bytes of the letters of all windows that a task holds as numbers; beyond that they are made when they are needed.
+LETTERS_BYTES = 1 << 26
 
 
 def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator, n_runs: int) -> list[tuple[float, np.ndarray, int]]:
@@ -256,8 +269,14 @@ def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator,
     n, w, runs = len(data.coded), o.width, np.arange(n_runs)
     able = np.flatnonzero(data.n_valid > 0)
     options = [np.flatnonzero(v) for v in data.valid]
-    windows = [data.windows[i][options[i]].astype(np.int64) for i in range(n)]
-    letters = [np.eye(5, dtype=np.float32)[x][:, :, :4].reshape(len(x), 4 * w) for x in windows]
+    eye = np.eye(5, dtype=np.float32)[:, :4]
+
+    def spelled(i: int, at: np.ndarray | None = None) -> np.ndarray:
+        x = data.windows[i][options[i] if at is None else options[i][at]]
+        return eye[x].reshape(len(x), 4 * w)
+
+    held = [spelled(i) for i in range(n)] if int(data.n_valid.sum()) * 16 * w <= LETTERS_BYTES else None
+    of = (lambda i, at: held[i][at]) if held else spelled
     log_bg = [data.log_bg[i][options[i]].astype(np.float32)[:, None] for i in range(n)]
     lp = np.log(np.maximum(data.n_valid, 1))
     # sites are places in options[i]; -1 is none
@@ -269,7 +288,7 @@ def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator,
     counts = np.zeros((n_runs, 4 * w), np.float64)
     for i in able:
         on = sites[:, i] >= 0
-        counts[on] += letters[i][sites[on, i]]
+        counts[on] += of(i, sites[on, i])
     n_sites = (sites >= 0).sum(axis=1)
     bg_sum = np.zeros(n_runs)
     prior = np.zeros(n_runs)
@@ -295,7 +314,7 @@ def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator,
             on = sites[:, i] >= 0
             if on.any():
                 old = sites[on, i]
-                counts[on] -= letters[i][old]
+                counts[on] -= of(i, old)
                 bg_sum[on] -= log_bg[i][old, 0]
                 prior[on] -= lp[i]
                 n_sites[on] -= 1
@@ -305,8 +324,9 @@ def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator,
                 t = n_sites[:, None]
                 table -= (t + 1) * np.log(t + 1) - np.where(t > 0, t * np.log(np.maximum(t, 1)), 0)
             else:
-                table = np.log((counts + o.pseudo / 4) / (n_sites + o.pseudo)[:, None])
-            r = letters[i] @ table.T.astype(np.float32) - log_bg[i]
+                t = np.maximum(n_sites, 1)[:, None]
+                table = np.log((counts + np.tile(data.base, w) * t * o.pseudo) / (t * (1 + o.pseudo)))
+            r = (held[i] if held else spelled(i)) @ table.T.astype(np.float32) - log_bg[i]
             r = np.where(n_sites == 0, np.float32(0), r)  # nothing to go by: any window
             top = np.maximum(r.max(axis=0), 0)
             cum = np.cumsum(np.exp(r - top), axis=0, dtype=np.float64)
@@ -319,23 +339,23 @@ def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator,
             sites[:, i] = np.where(u < cum[-1], place, -1)
             on = sites[:, i] >= 0
             new = sites[on, i]
-            counts[on] += letters[i][new]
+            counts[on] += of(i, new)
             bg_sum[on] += log_bg[i][new, 0]
             prior[on] += lp[i]
             n_sites[on] += 1
         now = scores()
         for k in np.flatnonzero(live & (rng.random(n_runs) < o.shift_chance)):
             by = 1 if rng.random() < 0.5 else -1
-            held = np.flatnonzero(sites[k] >= 0)
-            moved = [int(options[i][sites[k, i]]) + by for i in held]
-            if len(held) and all(0 <= m < len(data.valid[i]) and data.valid[i][m] for m, i in zip(moved, held, strict=True)):
+            able_of = np.flatnonzero(sites[k] >= 0)
+            moved = [int(options[i][sites[k, i]]) + by for i in able_of]
+            if len(able_of) and all(0 <= m < len(data.valid[i]) and data.valid[i][m] for m, i in zip(moved, able_of, strict=True)):
                 full = np.full(n, -1, np.int64)
-                full[held] = moved
+                full[able_of] = moved
                 gain = clr(data, full, o.zoops) - now[k]
                 if gain >= 0 or rng.random() < math.exp(gain):
-                    sites[k, held] = [int(np.searchsorted(options[i], m)) for m, i in zip(moved, held, strict=True)]
-                    counts[k] = sum(letters[i][sites[k, i]].astype(float) for i in held)
-                    bg_sum[k] = sum(float(log_bg[i][sites[k, i], 0]) for i in held)
+                    sites[k, able_of] = [int(np.searchsorted(options[i], m)) for m, i in zip(moved, able_of, strict=True)]
+                    counts[k] = sum(of(i, sites[k, [i]])[0].astype(float) for i in able_of)
+                    bg_sum[k] = sum(float(log_bg[i][sites[k, i], 0]) for i in able_of)
                     now[k] += gain
         better = live & (now > best + 1e-6)
         best[better], best_sites[better] = now[better], sites[better]
@@ -347,37 +367,40 @@ def sample_together(data: Sequences, o: MotifOptions, rng: np.random.Generator,
     out = []
     for k in runs:
         full = np.array([options[i][best_sites[k, i]] if best_sites[k, i] >= 0 else -1 for i in range(n)], np.int64)
-        out.append((ilr(data, data.counts(full), o.pseudo), full, int(sweeps[k])))
+        out.append((run_score(data, full, o), full, int(sweeps[k])))
     return out
 
 
 RUN_SCHEMA = "dataset int, width int, run int, score double, sweeps int, n_sites int, sites array<int>"
 
 
-def gibbs_runs(spark: SparkSession, datasets: dict[int, list[str]], options: list[MotifOptions]) -> DataFrame:
+def as_sets(spark: SparkSession, datasets: dict[int, list[str]] | DataFrame) -> DataFrame:
+    """(dataset, seq_id, seq) from a dictionary of lists, or the frame as it is."""
+    if isinstance(datasets, DataFrame):
+        return datasets.select(F.col("dataset").cast("int").alias("dataset"), F.col("seq_id").cast("long").alias("seq_id"), "seq")
+    return spark.createDataFrame([(d, i, s) for d, seqs in datasets.items() for i, s in enumerate(seqs)], "dataset int, seq_id long, seq string")
+
+
+def gibbs_runs(spark: SparkSession, datasets: dict[int, list[str]] | DataFrame, options: list[MotifOptions]) -> DataFrame:
     """All restarts of all datasets and widths: RUN_SCHEMA, a row for each restart.
 
-    Sequence sets are the input of a single sampler and so fit a worker; they are broadcast once, and the grid of
-    (dataset, options, block of TOGETHER restarts) is what is spread. The random stream belongs to the block.
+    datasets has (dataset, seq_id, seq). The sequences of a dataset are the input of a single sampler and so meet in a
+    worker; the grid of (dataset, options, block of TOGETHER restarts) is what is spread. Sites are listed in the
+    order of seq_id, -1 for none. The random stream belongs to the block.
     """
-    shared = spark.sparkContext.broadcast((datasets, options))
-    grid = [(d, k, b) for d in datasets for k, o in enumerate(options) for b in range(-(-o.runs // TOGETHER))]
-    frame = spark.createDataFrame(grid, "dataset int, k int, block int").repartition(min(len(grid), 2 * spark.sparkContext.defaultParallelism), "dataset", "k", "block")
+    grid = [F.struct(F.lit(k).alias("k"), F.lit(b).alias("block")) for k, o in enumerate(options) for b in range(-(-o.runs // TOGETHER))]
+    frame = as_sets(spark, datasets).withColumn("g", F.explode(F.array(*grid))).select("dataset", "seq_id", "seq", "g.k", "g.block")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, opts = shared.value
-        made: dict = {}
-        for pdf in batches:
-            for d, k, b in pdf.itertuples(index=False):
-                o = opts[k]
-                key = (d, o.width, o.order, o.both_strands)
-                if key not in made:
-                    made[key] = Sequences(sets[d], o.width, o.order, o.both_strands)
-                found = sample_together(made[key], o, stream(o.seed, o.width, d, b), min(TOGETHER, o.runs - b * TOGETHER))
-                out = [(d, o.width, b * TOGETHER + r, score, sweeps, int((sites >= 0).sum()), sites.tolist()) for r, (score, sites, sweeps) in enumerate(found)]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq_id", "seq"])
+        d, k, b = (int(pdf[c].iloc[0]) for c in ("dataset", "k", "block"))
+        o = options[k]
+        data = Sequences([s or "" for s in pdf["seq"]], o.width, o.order, o.both_strands, o.background)
+        found = sample_together(data, o, stream(o.seed, o.width, d, b), min(TOGETHER, o.runs - b * TOGETHER))
+        out = [(d, o.width, b * TOGETHER + r, score, sweeps, int((sites >= 0).sum()), sites.tolist()) for r, (score, sites, sweeps) in enumerate(found)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
 
-    return frame.mapInPandas(run, RUN_SCHEMA)
+    return frame.groupBy("dataset", "k", "block").applyInPandas(run, RUN_SCHEMA)
 
 
 def best_runs(runs: DataFrame) -> DataFrame:
@@ -394,86 +417,99 @@ def _gapped(letters: str, template: str) -> str:
     return "".join(next(it) if c in "ACGTacgt" else c for c in template)
 
 
-def markov_null_sets(spark: SparkSession, seqs: list[str], n: int, seed: int, order: int = 3) -> DataFrame:
-    """(dataset, seq_id, seq): n sets drawn from a Markov chain of the sequences, cut to their lengths, gaps put back."""
+def _source(spark: SparkSession, seqs: list[str] | DataFrame) -> DataFrame:
+    if isinstance(seqs, DataFrame):
+        return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "seq")
+    return spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+
+
+_NULL = "dataset int, seq_id long, seq string"
+
+
+def markov_null_sets(spark: SparkSession, seqs: list[str] | DataFrame, n: int, seed: int, order: int = 3) -> DataFrame:
+    """(dataset, seq_id, seq): n sets drawn from a Markov chain of the sequences, as long as they, with their gaps.
+
+    The chain is that of all sequences; every sequence begins with a context as frequent as it is. A sequence's
+    stream belongs to (seed, dataset, seq_id), so sequences are drawn wherever they are. Only the chain is collected:
+    4^(order+1) rows.
+    """
+    source = _source(spark, seqs)
     m = np.ones((4**order, 4))
-    for s in seqs:
-        c = _CODE[np.frombuffer(s.encode(), np.uint8)].astype(np.int64)
-        for i in range(order, len(c)):
-            part = c[i - order : i + 1]
-            if (part < 4).all():
-                m[int(sum(int(x) * 4 ** (order - 1 - j) for j, x in enumerate(part[:-1]))), part[-1]] += 1
-    cum = np.cumsum(m / m.sum(axis=1, keepdims=True), axis=1)
-    shared = spark.sparkContext.broadcast((seqs, cum))
+    for r in transition_counts(source.withColumn("seq", F.upper("seq")), order).collect():
+        at = 0
+        for c in r.context:
+            at = at * 4 + BASES.index(c)
+        m[at, BASES.index(r.base)] = r.n
+    table = np.cumsum(m / m.sum(axis=1, keepdims=True), axis=1).tolist()
+    starts = np.cumsum(m.sum(axis=1) / m.sum())
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        templates, table = shared.value
-        sizes = [sum(c in "ACGTacgt" for c in t) for t in templates]
         for pdf in batches:
-            for d in pdf["id"]:
-                rng = stream(seed, order, int(d))
-                u, state, out = rng.random(sum(sizes) + order), int(rng.integers(4**order)), []
-                for x in u:
-                    b = min(int(np.searchsorted(table[state], x, side="right")), 3)
-                    out.append("ACGT"[b])
-                    state = (state * 4 + b) % (4**order) if order else 0
-                text, at, rows = "".join(out)[order:], 0, []
-                for i, (t, k) in enumerate(zip(templates, sizes, strict=True)):
-                    rows.append((int(d), i, _gapped(text[at : at + k], t)))
-                    at += k
-                yield pd.DataFrame(rows, columns=["dataset", "seq_id", "seq"])
-
-    return spark.range(1, n + 1).repartition(min(n, spark.sparkContext.defaultParallelism)).mapInPandas(draw, "dataset int, seq_id int, seq string")
-
-
-def gc_null_sets(spark: SparkSession, seqs: list[str], genome: DataFrame, n: int, seed: int, window: int = 50, least: int = 100) -> DataFrame:
+            out = []
+            for d, i, t in zip(pdf["dataset"], pdf["seq_id"], pdf["seq"], strict=True):
+                size, rng = sum(c in "ACGTacgt" for c in t), stream(seed, order, int(d), int(i), int(i) >> 32)
+                state, letters = min(int(np.searchsorted(starts, rng.random(), side="right")), 4**order - 1), []
+                for x in rng.random(size).tolist():
+                    row = table[state]
+                    b = 0 if x < row[0] else 1 if x < row[1] else 2 if x < row[2] else 3
+                    letters.append("ACGT"[b])
+                    state = (state * 4 + b) % (4**order)
+                out.append(_gapped("".join(letters), t))
+            yield pd.DataFrame({"dataset": pdf["dataset"], "seq_id": pdf["seq_id"], "seq": out})
+
+    spread = source.filter("seq is not null").select(F.explode(F.sequence(F.lit(1), F.lit(n))).alias("dataset"), "seq_id", "seq")
+    return spread.mapInPandas(draw, _NULL)
+
+
+def gc_null_sets(spark: SparkSession, seqs: list[str] | DataFrame, genome: DataFrame, n: int, seed: int, window: int = 50, least: int = 100) -> DataFrame:
     """(dataset, seq_id, seq): each piece of ``window`` letters is replaced by an unused genome window of the same GC percent.
 
     genome has (contig, seq). Windows overlap by half, from a phase drawn for each contig. Percents with fewer than
     ``least`` windows take those of the nearest percents too. A percent keeps as many windows as the pieces of all
-    sequences can use, drawn by hash; more could never be used.
+    sequences can use, drawn by hash; more could never be used. Windows are not put back, so the sequences and windows
+    of one set meet in one worker; nothing goes through the driver.
     """
     from ..functions.scalar import bases_only, gc_percent
     from .intervals import sliding_windows
 
-    pieces = [t[i : i + window] for t in seqs for i in range(0, len(t), window)]
-    use = max(least, len(pieces)) * 4
+    source = _source(spark, seqs).filter("seq is not null")
+    count = source.agg(F.sum(F.ceil(F.length("seq") / window))).first()[0] or 0
+    use = max(least, int(count)) * 4
     g = genome.select("contig", bases_only(F.col("seq")).alias("seq"))
     phase = F.pmod(F.xxhash64("contig", F.lit(seed)), F.lit(window // 2))
-    w = g.select("seq", F.explode(sliding_windows(F.length("seq"), window, phase)).alias("at"), "contig")
-    w = w.select(F.substring("seq", F.col("at").cast("int") + 1, F.lit(window)).alias("w"), F.xxhash64("contig", "at", F.lit(seed)).alias("h"))
+    # long stretches first, so that no letter is walked over more than a few times
+    w = g.select("contig", phase.alias("phase"), F.posexplode(F.regexp_extract_all("seq", F.lit("(?s).{1,%d}" % (window * 256)), F.lit(0))).alias("i", "part"))
+    w = w.select("contig", "i", "part", F.explode(sliding_windows(F.length("part"), window, F.col("phase"))).alias("at"))
+    w = w.select(F.substring("part", F.col("at").cast("int") + 1, F.lit(window)).alias("w"), F.xxhash64("contig", "i", "at", F.lit(seed)).alias("h"))
     w = w.withColumn("gc", F.round(gc_percent(F.col("w"))).cast("int"))
-    kept = w.withColumn("r", F.expr("row_number() over (partition by gc order by h, w)")).filter(F.col("r") <= use).select("gc", "w", "h")
-    pool: dict[int, list[str]] = {}
-    for r in sorted(kept.collect(), key=lambda r: (r.gc, r.h, r.w)):  # at most 101 * use windows
-        pool.setdefault(r.gc, []).append(r.w)
-    shared = spark.sparkContext.broadcast((seqs, pool))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        templates, bins = shared.value
-        for pdf in batches:
-            for d in pdf["id"]:
-                rng, rows = stream(seed, window, int(d)), []
-                left = {k: [v[i] for i in rng.permutation(len(v))] for k, v in bins.items()}
-                for i, t in enumerate(templates):
-                    out = []
-                    for at in range(0, len(t), window):
-                        piece = t[at : at + window]
-                        s = [c for c in piece.upper() if c in "ACGT"]
-                        gc = round(100 * sum(c in "GC" for c in s) / len(s)) if s else 0
-                        near, reach = [], 0
-                        while sum(len(left.get(k, ())) for k in near) < least and reach <= 100:
-                            near = [k for k in range(gc - reach, gc + reach + 1) if left.get(k)]
-                            reach += 1
-                        if not near:
-                            raise ValueError("the genome has no windows left")
-                        sizes = np.array([len(left[k]) for k in near])
-                        k = near[int(rng.choice(len(near), p=sizes / sizes.sum()))]
-                        out.append(_gapped(left[k].pop()[: len(s)].ljust(len(s), "A"), piece))
-                    rows.append((int(d), i, "".join(out)))
-                yield pd.DataFrame(rows, columns=["dataset", "seq_id", "seq"])
-
-    return spark.range(1, n + 1).mapInPandas(draw, "dataset int, seq_id int, seq string")
+    pool = w.withColumn("r", F.expr("row_number() over (partition by gc order by h, w)")).filter(F.col("r") <= use).select("gc", "w", "h")
+    sets = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("dataset")
+
+    def draw(key, templates: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        d, rows = int(key[0]), []
+        rng, left = stream(seed, window, d), {}
+        for gc, part in windows.sort_values(["gc", "h", "w"]).groupby("gc"):
+            texts = part["w"].to_numpy()
+            left[int(gc)] = texts[rng.permutation(len(texts))].tolist()
+        for i, t in templates.sort_values(["seq_id", "seq"])[["seq_id", "seq"]].itertuples(index=False):
+            out = []
+            for at in range(0, len(t), window):
+                piece = t[at : at + window]
+                s = [c for c in piece.upper() if c in "ACGT"]
+                gc = round(100 * sum(c in "GC" for c in s) / len(s)) if s else 0
+                near, reach = [], 0
+                while sum(len(left.get(k, ())) for k in near) < least and reach <= 100:
+                    near = [k for k in range(gc - reach, gc + reach + 1) if left.get(k)]
+                    reach += 1
+                if not near:
+                    raise ValueError("the genome has no windows left")
+                sizes = np.array([len(left[k]) for k in near])
+                k = near[int(rng.choice(len(near), p=sizes / sizes.sum()))]
+                out.append(_gapped(left[k].pop()[: len(s)].ljust(len(s), "A"), piece))
+            rows.append((d, int(i), "".join(out)))
+        return pd.DataFrame(rows, columns=["dataset", "seq_id", "seq"])
+
+    return source.select(sets, "seq_id", "seq").groupBy("dataset").cogroup(pool.select(sets, "gc", "w", "h").groupBy("dataset")).applyInPandas(draw, _NULL)
 
 
 # -- significance ----------------------------------------------------------------------------------------------------
@@ -581,13 +617,32 @@ def significance(best: DataFrame, conf: float = 0.1) -> DataFrame:
 
 # -- column dependency -----------------------------------------------------------------------------------------------
 
-def _information(a: np.ndarray, b: np.ndarray) -> float:
-    t = np.zeros((4, 4))
-    np.add.at(t, (a, b), 1)
-    n = t.sum()
-    e = np.outer(t.sum(axis=1), t.sum(axis=0))
-    k = t > 0
-    return float((t[k] / n * np.log2(t[k] * n / e[k])).sum())
+def _informations(tables: np.ndarray) -> np.ndarray:
+    """Mutual information, in bits, of tables of counts: the last two axes are the letters of the two columns."""
+    n = tables.sum(axis=(-2, -1), keepdims=True)
+    expected = tables.sum(axis=-1, keepdims=True) * tables.sum(axis=-2, keepdims=True) / n
+    ratio = np.where(tables > 0, tables / np.where(expected > 0, expected, 1), 1.0)
+    return (tables / n * np.log2(ratio)).sum(axis=(-2, -1))
+
+
+def shuffled_tables(table: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n tables as a permutation of one column against the other makes them: all that stays is both sums.
+
+    Each letter of the first column takes its share of what is left of the second column's letters, one letter after
+    another, which is a hypergeometric draw for all n tables at once.
+    """
+    out = np.zeros((n, *table.shape), np.int64)
+    left = np.tile(table.sum(axis=0), (n, 1))
+    for i, size in enumerate(table.sum(axis=1)[:-1].tolist()):
+        want = np.full(n, size)
+        for j in range(table.shape[1] - 1):
+            rest = left[:, j + 1 :].sum(axis=1)
+            out[:, i, j] = rng.hypergeometric(left[:, j], rest, want)
+            want = want - out[:, i, j]
+        out[:, i, -1] = want
+        left = left - out[:, i]
+    out[:, -1] = left
+    return out
 
 
 def column_dependency(sites: DataFrame, pairs: DataFrame, seed: int, alpha: float = 0.05, first: int = 1000, most: int = 1_000_000, n_pairs: int | None = None, stop: str = "interval") -> DataFrame:
@@ -595,27 +650,31 @@ def column_dependency(sites: DataFrame, pairs: DataFrame, seed: int, alpha: floa
 
     The number doubles from ``first`` to ``most`` and stops when the confidence interval of the p-value leaves the
     Bonferroni cut-off (``stop='interval'``) or when the standard error is a tenth of it (``stop='error'``).
-    sites has (seq_id, kmer): one alignment, which is the input of each test; pairs (col1, col2) are spread.
+    sites has (seq_id, kmer), an alignment of any number of rows, of which only the 16 counts of each pair (col1, col2)
+    are needed: a permutation changes nothing else.
     """
-    words = [r.kmer for r in sites.select("seq_id", "kmer").orderBy("seq_id", "kmer").collect()]  # one alignment
+    if stop not in ("interval", "error"):
+        raise ValueError("stop must be interval or error")
     n = n_pairs or pairs.count()
-    shared = sites.sparkSession.sparkContext.broadcast(np.array([[_CODE[ord(c)] for c in w] for w in words], np.int64))
     cut = alpha / max(1, n)
     z = 1.959963984540054
+    cells = column_pairs(sites).filter(F.col("base1").rlike("^[ACGTacgt]$") & F.col("base2").rlike("^[ACGTacgt]$"))
+    tables = cells.join(pairs.select("col1", "col2").distinct(), ["col1", "col2"])
+    tables = tables.groupBy("col1", "col2").agg(F.collect_list(F.struct(F.upper("base1").alias("a"), F.upper("base2").alias("b"), "n")).alias("cells"))  # 16 of them, or 64 in two cases
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for pdf in batches:
             out = []
-            for c1, c2 in pdf[["col1", "col2"]].itertuples(index=False):
-                keep = (m[:, c1] < 4) & (m[:, c2] < 4)
-                a, b = m[keep, c1], m[keep, c2]
-                seen, rng = _information(a, b), stream(seed, int(c1), int(c2))
+            for c1, c2, cells in pdf[["col1", "col2", "cells"]].itertuples(index=False):
+                table = np.zeros((4, 4), np.int64)
+                for x in cells:
+                    table[BASES.index(x["a"]), BASES.index(x["b"])] += x["n"]
+                seen, rng = float(_informations(table)), stream(seed, int(c1), int(c2))
                 done = hits = 0
-                want = first
+                want = min(first, most)
                 while True:
-                    for _ in range(want - done):
-                        hits += _information(a, rng.permutation(b)) >= seen - 1e-12
+                    for size in _parts(want - done):
+                        hits += int((_informations(shuffled_tables(table, size, rng)) >= seen - 1e-12).sum())
                     done = want
                     nn = done + z * z
                     p = (hits + z * z / 2) / nn
@@ -628,7 +687,11 @@ def column_dependency(sites: DataFrame, pairs: DataFrame, seed: int, alpha: floa
                 out.append((int(c1), int(c2), seen, done, hits / done, lo, hi, cut))
             yield pd.DataFrame(out, columns=["col1", "col2", "ent", "n_perms", "pval", "lo", "hi", "cutoff"])
 
-    return pairs.select("col1", "col2").repartition("col1", "col2").mapInPandas(test, "col1 int, col2 int, ent double, n_perms int, pval double, lo double, hi double, cutoff double")
+    return tables.repartition("col1", "col2").mapInPandas(test, "col1 int, col2 int, ent double, n_perms int, pval double, lo double, hi double, cutoff double")
+
+
+def _parts(n: int, size: int = 1 << 16) -> list[int]:
+    return [min(size, n - i) for i in range(0, n, size)]
 
 
 # -- grids and reports -----------------------------------------------------------------------------------------------
@@ -657,25 +720,17 @@ def monte_carlo_common(tiles: DataFrame, replicates: int, seed: int, width: int
     return spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate")).join(k, "replicate", "left").select("replicate", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def report(best: DataFrame, seqs: dict[int, list[str]], o: MotifOptions) -> DataFrame:
+def report(best: DataFrame, datasets: dict[int, list[str]] | DataFrame, o: MotifOptions) -> DataFrame:
     """(dataset, width, seq_id, position, kmer) of the sites of the best runs, in public positions."""
-    shared = best.sparkSession.sparkContext.broadcast({d: [(len(s), s + _reverse(s)) for s in v] for d, v in seqs.items()})
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, w, sites in pdf[["dataset", "width", "sites"]].itertuples(index=False):
-                for i, at in enumerate(sites):
-                    n, text = shared.value[d][i]
-                    if at >= 0:
-                        out.append((int(d), int(w), i, public_position(int(at), n, int(w)), text[at : at + w]))
-            yield pd.DataFrame(out, columns=["dataset", "width", "seq_id", "position", "kmer"])
-
-    return best.mapInPandas(rows, "dataset int, width int, seq_id int, position int, kmer string")
-
-
-def _reverse(s: str) -> str:
-    return s[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
+    from ..functions.scalar import reverse_complement
+
+    sets = as_sets(best.sparkSession, datasets).withColumn("i", F.expr("row_number() over (partition by dataset order by seq_id, seq) - 1"))
+    sites = best.select("dataset", "width", F.posexplode("sites").alias("i", "at")).filter("at >= 0")
+    length = F.length("seq")
+    met = sites.join(sets, ["dataset", "i"])
+    both = F.concat("seq", reverse_complement(F.col("seq")))
+    position = F.when(F.col("at") < length, F.col("at") + 1).otherwise(F.col("at") - 2 * length)
+    return met.select("dataset", "width", "seq_id", position.alias("position"), both.substr(F.col("at") + 1, F.col("width")).alias("kmer"))
 
 
 def describe(o: MotifOptions) -> dict:

@@ -6,19 +6,57 @@ Sequences are rows (seq_id, seq) of capital letters; what is not A, C, G or T is
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalar import reverse_complement
 
 BASES = "ACGT"
 
 
+#: Letters of the stretches that a text is cut into, at least; they are cut out of stretches of as many stretches.
+STRETCH = 128
+
+
+def pieces(df: DataFrame, seq: str, behind: int, ahead: int, *keep: str) -> DataFrame:
+    """Stretches of every text, one a row: (keep..., at, left, text, right), with so many letters before and after.
+
+    A text is cut twice, each time in one pass, so that its length costs in proportion, and no row carries all of it.
+    """
+    size = max(STRETCH, behind, ahead)
+
+    def cut(text: Column, n: int) -> Column:
+        return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % n), F.lit(0))
+
+    def beside(parts: Column, before: Column, after: Column) -> Column:
+        first = F.concat(F.array(F.right(before, F.lit(behind))), F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.right(x, F.lit(behind))))
+        last = F.concat(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.left(x, F.lit(ahead))), F.array(F.left(after, F.lit(ahead))))
+        return F.zip_with(F.zip_with(parts, first, lambda t, l: F.struct(t.alias("text"), l.alias("left"))), last, lambda x, r: F.struct(x["text"].alias("text"), x["left"].alias("left"), r.alias("right")))
+
+    def rows(d: DataFrame, text: str, n: int, before: Column, after: Column) -> DataFrame:
+        d = d.withColumn("__parts", cut(F.col(text), n))
+        return d.select(*[c for c in d.columns if c not in (text, "__parts")], F.posexplode(beside(F.col("__parts"), before, after)).alias("__i", "__x"))
+
+    coarse = rows(df.select(*keep, F.col(seq).alias("__seq")).filter("length(__seq) > 0"), "__seq", size * STRETCH, F.lit(""), F.lit(""))
+    coarse = coarse.select(*keep, (F.col("__i") * (size * STRETCH)).alias("__at"), F.col("__x.text").alias("__t"), F.col("__x.left").alias("__l"), F.col("__x.right").alias("__r"))
+    fine = rows(coarse, "__t", size, F.col("__l"), F.col("__r"))
+    return fine.select(*keep, (F.col("__at") + F.col("__i") * size).alias("at"), "__x.left", "__x.text", "__x.right")
+
+
+def _words(k: int) -> Column:
+    """The words of k letters that begin in a stretch."""
+    whole = F.concat("text", "right")
+    n = F.least(F.length("text"), F.length("text") + F.length("right") - (k - 1))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(whole, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
 def kmers(df: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
     """(id, pos, kmer) of all windows of k letters."""
-    n = F.length(seq) - k + 1
-    pos = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return df.select(id_col, seq, F.explode(pos).alias("pos")).select(id_col, "pos", F.substring(seq, F.col("pos") + 1, F.lit(k)).alias("kmer"))
+    cut = pieces(df, seq, 0, k - 1, id_col)
+    return cut.select(id_col, "at", F.posexplode(_words(k)).alias("__p", "kmer")).select(id_col, (F.col("at") + F.col("__p")).alias("pos"), "kmer")
 
 
 def valid_sites(df: DataFrame, span: int, both_strands: bool = True, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -26,14 +64,12 @@ def valid_sites(df: DataFrame, span: int, both_strands: bool = True, id_col: str
 
     Windows do not cross from one strand to the other: the strands are cut separately.
     """
-    plus = kmers(df, span, id_col, seq)
+    plus = df.select(id_col, F.lit(0).alias("__n"), F.col(seq).alias("__s"))
     if both_strands:
-        minus = df.withColumn("__n", F.length(seq)).withColumn(seq, reverse_complement(F.col(seq)))
-        n = F.length(seq) - span + 1
-        pos = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        minus = minus.select(id_col, seq, "__n", F.explode(pos).alias("p")).select(id_col, (F.col("p") + F.col("__n")).alias("pos"), F.substring(seq, F.col("p") + 1, F.lit(span)).alias("kmer"))
-        plus = plus.unionByName(minus)
-    return plus.filter(F.col("kmer").rlike("^[ACGT]+$"))
+        plus = plus.unionByName(df.select(id_col, F.length(seq).alias("__n"), reverse_complement(F.col(seq)).alias("__s")))
+    cut = pieces(plus, "__s", 0, span - 1, id_col, "__n")
+    cut = cut.select(id_col, (F.col("at") + F.col("__n")).alias("__at"), F.posexplode(_words(span)).alias("__p", "kmer"))
+    return cut.filter(F.translate("kmer", BASES, "") == "").select(id_col, (F.col("__at") + F.col("__p")).alias("pos"), "kmer")
 
 
 def doubled(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -63,10 +99,8 @@ def transition_counts(df: DataFrame, order: int, pseudo: int = 1, id_col: str =
     """
     by = by or []
     k = order + 1
-    n = F.length(seq) - k + 1
-    pos = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    cut = df.select(*by, seq, F.explode(pos).alias("__p")).select(*by, F.substring(seq, F.col("__p") + 1, F.lit(k)).alias("word"))
-    counts = cut.filter(F.col("word").rlike("^[ACGT]+$")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    cut = pieces(df, seq, 0, order, *by).select(*by, F.explode(_words(k)).alias("word"))
+    counts = cut.groupBy(*by, "word").agg(F.count("*").alias("n")).filter(F.translate("word", BASES, "") == "")
     frame = all_words(df.sparkSession, k)
     if by:
         frame = df.select(*by).distinct().join(F.broadcast(frame))  # 4^k words
@@ -96,24 +130,136 @@ def markov_models(df: DataFrame, order: int, pseudo: int = 1, seq: str = "seq")
     return out
 
 
+def log_tables(models: DataFrame, order: int) -> list[np.ndarray]:
+    """For k = 0..order the log-probabilities of a base after k others, in the order of the words of k + 1 letters.
+
+    The models are collected: 4^(order+1) rows and a third more.
+    """
+    out = [np.full(4 ** (k + 1), np.nan) for k in range(order + 1)]
+    for r in models.filter(F.length("context") <= order).collect():
+        at = 0
+        for c in r.context + r.base:
+            at = 4 * at + BASES.index(c)
+        out[len(r.context)][at] = math.log(r.prob)
+    return out
+
+
+_CODES = np.full(256, 4, np.uint8)
+_CODES[list(b"ACGT")] = range(4)
+#: Letters of a text that are scored at once.
+BLOCK = 1 << 20
+
+
+def _by_context(codes: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log-probability of each letter given as much context as there is, and given exactly k letters; nan where there
+    is a gap among them."""
+    n, given = len(codes), []
+    word, ok = np.zeros(n, np.int64), np.ones(n, bool)
+    best = np.full(n, np.nan)
+    for k, table in enumerate(tables):
+        # the letter k places before becomes the first of the word
+        word[k:] += codes[: n - k].astype(np.int64) % 4 * 4**k
+        ok[k:] &= codes[: n - k] < 4
+        ok[:k] = False
+        value = np.where(ok, table[word], np.nan)
+        given.append(value)
+        best = np.where(ok, value, best)
+    return best, given
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    for text in batch.column(column):
+        yield _CODES[np.frombuffer(text.as_py().encode() if text.is_valid else b"", np.uint8)]
+
+
+def _words_of(codes: np.ndarray, at: np.ndarray, span: int) -> pa.Array:
+    """The words of ``span`` letters at some places, as strings."""
+    raw = np.frombuffer(b"ACGTN", np.uint8)[codes]
+    rows = np.lib.stride_tricks.sliding_window_view(raw, span)[at] if len(at) else np.zeros((0, span), np.uint8)
+    return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * span).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _strands(df: DataFrame, id_col: str, seq: str) -> DataFrame:
+    plus = df.select(F.lit(1).alias("strand"), F.col(seq).alias("__s"), id_col)
+    return plus.unionByName(df.select(F.lit(-1).alias("strand"), reverse_complement(F.col(seq)).alias("__s"), id_col))
+
+
+def _scored(df: DataFrame, id_col: str, seq: str, behind: int, ahead: int, added: list[T.StructField], score) -> DataFrame:
+    """(id, strand, pos, added...) of both strands. Texts are scored in blocks with so many letters before and after:
+    score(codes, first, n) gives, for places first..first+n, which of them count and the added columns of those."""
+    frame = _strands(df, id_col, seq)
+    schema = T.StructType([frame.schema[id_col], T.StructField("strand", T.IntegerType()), T.StructField("pos", T.IntegerType()), *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, codes in enumerate(_texts(batch, 1)):
+                for a in range(0, len(codes), BLOCK):
+                    first = max(0, a - behind)
+                    at, columns = score(codes[first : a + BLOCK + ahead], a - first, min(BLOCK, len(codes) - a))
+                    if len(at):
+                        ids = batch.column(2).take(pa.array(np.full(len(at), i)))
+                        strand = batch.column(0).take(pa.array(np.full(len(at), i)))
+                        yield pa.RecordBatch.from_arrays([ids, strand, pa.array((at + first).astype(np.int32)), *columns], names=schema.names)
+
+    return frame.select("strand", "__s", id_col).mapInArrow(run, schema)
+
+
 def letter_probabilities(df: DataFrame, models: DataFrame, order: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """(id, strand, pos, letter, lp): log-probability of each letter given as much context as its strand and the
-    last gap allow, on both strands. Gaps have a null."""
-    plus = df.select(id_col, F.lit(1).alias("strand"), seq)
-    minus = df.select(id_col, F.lit(-1).alias("strand"), reverse_complement(F.col(seq)).alias(seq))
-    rows = plus.unionByName(minus).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length(seq) - 1)))
-    before = F.substring(seq, F.greatest(F.col("pos") - order, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(order)))
-    rows = rows.select(id_col, "strand", "pos", F.substring(seq, F.col("pos") + 1, F.lit(1)).alias("base"), F.regexp_extract(before, "([ACGT]*)$", 1).alias("context"))
-    known = models.withColumn("lp", F.log("prob")).select("context", "base", "lp")
-    return rows.join(F.broadcast(known), ["context", "base"], "left").select(id_col, "strand", "pos", "base", "lp")  # 4^(order+1) words and fewer
+    """(id, strand, pos, base, lp): log-probability of each letter given as much context as its strand and the
+    last gap allow, on both strands. Gaps have a null and the base N."""
+    tables = log_tables(models, order)
+
+    def score(codes, first, n):
+        at = np.arange(first, first + n)
+        best = _by_context(codes, tables)[0][at]
+        return at, [_words_of(codes, at, 1), pa.array(best, mask=np.isnan(best))]
+
+    return _scored(df, id_col, seq, order, 0, [T.StructField("base", T.StringType()), T.StructField("lp", T.DoubleType())], score)
+
+
+def window_logs(codes: np.ndarray, first: int, past: int, tables: list[np.ndarray], span: int, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """The places from first on, before past, of the windows without gaps, and the log-probabilities of those."""
+    order = len(tables) - 1
+    at = np.arange(first, max(first, min(past, len(codes) - span + 1)))
+    gaps = np.concatenate(([0], np.cumsum(codes == 4)))
+    at = at[gaps[at + span] == gaps[at]]
+    best, given = _by_context(codes, tables)
+    if how == "site":
+        return at, sum((given[min(m, order)][at + m] for m in range(span)), np.zeros(len(at)))
+    if how in ("gmean", "amean"):
+        other = _by_context(np.where(codes < 4, 3 - codes, 4).astype(np.uint8)[::-1], tables)[0][::-1]
+        best = (best + other) / 2 if how == "gmean" else np.log((np.exp(best) + np.exp(other)) / 2)
+    total = sum((best[at + m] for m in range(span)), np.zeros(len(at)))
+    for k in range(order if how == "flank" else 0):
+        inside = at + span + k < len(codes)
+        here, past_window = (at + span + k)[inside], (at + span)[inside]
+        # up to the first gap
+        ratio = np.where(gaps[here + 1] > gaps[past_window], 0.0, best[here] - given[k][here])
+        total[inside] += ratio
+    return at, total
+
+
+#: Ways to score the background of a window.
+BACKGROUNDS = ("plain", "flank", "site", "gmean", "amean")
+
+
+def background_scores(df: DataFrame, models: DataFrame, order: int, span: int, id_col: str = "seq_id", seq: str = "seq", how: str = "plain") -> DataFrame:
+    """(id, strand, pos, kmer, log_bg) of every valid window: the log-probability of its letters in place.
+
+    ``plain``: each letter given what stands before it. ``flank``: also what the window tells of the ``order`` letters
+    after it, their probability in place against that without it, up to a gap or the end of the strand. ``site``: the
+    context of a letter begins with the window. ``gmean`` and ``amean``: the geometric and arithmetic mean of a
+    letter's probabilities on both strands. There is no shuffle, and a text of any length is scored in blocks.
+    """
+    if how not in BACKGROUNDS:
+        raise ValueError(f"how must be one of {BACKGROUNDS}")
+    tables = log_tables(models, order)
 
+    def score(codes, first, n):
+        at, total = window_logs(codes, first, first + n, tables, span, how)
+        return at, [_words_of(codes, at, span), pa.array(total)]
 
-def background_scores(df: DataFrame, models: DataFrame, order: int, span: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """(id, strand, pos, kmer, log_bg) of every valid window: the log-probability of its letters in place."""
-    lp = letter_probabilities(df, models, order, id_col, seq)
-    w = W.partitionBy(id_col, "strand").orderBy("pos").rowsBetween(0, span - 1)
-    out = lp.withColumns({"log_bg": F.sum("lp").over(w), "__n": F.count("lp").over(w), "kmer": F.array_join(F.collect_list("base").over(w), "")})
-    return out.filter(F.col("__n") == span).select(id_col, "strand", "pos", "kmer", "log_bg")
+    return _scored(df, id_col, seq, order, span - 1 + order, [T.StructField("kmer", T.StringType()), T.StructField("log_bg", T.DoubleType())], score)
 
 
 def position_counts(sites: DataFrame, kmer: str = "kmer") -> DataFrame:
@@ -227,14 +373,23 @@ def clr_score(sites: DataFrame, background: DataFrame, n_valid: DataFrame, zoops
 
 def site_ratios(background: DataFrame, profile: DataFrame, id_col: str = "seq_id") -> DataFrame:
     """(id, strand, pos, llr): log likelihood ratio of the profile to the background, at every valid window."""
-    logs = profile.withColumn("lf", F.log(F.greatest("freq", F.lit(1e-300))))
-    cols = logs.groupBy("col").agg(*[F.max(F.when(F.col("base") == b, F.col("lf"))).alias(b) for b in BASES])
-    table = cols.agg(F.array_sort(F.collect_list(F.struct("col", *BASES))).alias("pwm"))
-    d = background.join(F.broadcast(table))  # one row, as wide as the motif
-    letters = F.filter(F.split("kmer", ""), lambda c: c != "")
-    pick = F.zip_with(letters, "pwm", lambda c, r: F.when(c == "A", r["A"]).when(c == "C", r["C"]).when(c == "G", r["G"]).otherwise(r["T"]))
-    total = F.aggregate(pick, F.lit(0.0), lambda a, x: a + x)
-    return d.select(id_col, "strand", "pos", "kmer", (total - F.col("log_bg")).alias("llr"))
+    rows = profile.select("col", "base", F.log(F.greatest("freq", F.lit(1e-300))).alias("lf")).collect()  # four for each column of the motif
+    table = np.full((1 + max((r["col"] for r in rows), default=-1), 4), math.log(1e-300))
+    for r in rows:
+        table[r["col"], BASES.index(r.base)] = r.lf
+    names = [id_col, "strand", "pos", "kmer"]
+    width = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = _CODES[np.frombuffer("".join(batch.column(3).to_pylist()).encode(), np.uint8)].reshape(-1, width)
+            total = np.zeros(len(codes))
+            for c in range(width):
+                total += table[c][codes[:, c]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(total - batch.column(4).to_numpy())], names=[*names, "llr"])
+
+    frame = background.select(*names, "log_bg")
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:4], T.StructField("llr", T.DoubleType())]))
 
 
 def ilr_score(background: DataFrame, profile: DataFrame, id_col: str = "seq_id") -> DataFrame:

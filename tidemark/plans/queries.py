@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalar as S
 from ..operators import intervals as I, sequences as Q, stats as M, tables as T
@@ -51,16 +51,22 @@ def hours(spark, d):
 EV = "ev as (select event_id, user_id, event_type, value, cast(floor(epoch(ts) / 3600) as bigint) as hour from events)"
 
 
-def sequences(spark, d, n: int | None = None):
+def sequences(spark, d):
     s = F.upper(F.regexp_replace("text", "[^acgt]", ""))
-    df = read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), s.alias("seq"))
-    # a short word from each document, where a test needs one
-    return df.withColumn("seq", F.substring("seq", 1, n)).filter(F.length("seq") == n) if n else df
+    return read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), s.alias("seq"))
+
+
+def gapped_sequences(spark, d):
+    """The same with gaps, which the letter n leaves."""
+    s = F.upper(F.regexp_replace("text", "[^acgtn]", ""))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), s.alias("seq"))
 
 
 SEQ = "sq as (select doc_id as seq_id, upper(regexp_replace(text, '[^acgt]', '', 'g')) as seq from documents)"
-SITE = "st as (select seq_id, substr(seq, 1, 12) as kmer from sq where length(seq) >= 12)"
-LET = "lt as (select seq_id, i - 1 as col, substr(kmer, cast(i as int), 1) as base from (select seq_id, kmer, unnest(range(1, 13)) as i from st))"
+GAPPED = "sq as (select doc_id as seq_id, upper(regexp_replace(text, '[^acgtn]', '', 'g')) as seq from documents)"
+# an alignment of 12 columns: all stretches of 12 letters, one after another, of all sequences
+SITE = "st as (select seq_id, i as spot, substr(seq, cast(i * 12 + 1 as int), 12) as kmer from (select seq_id, seq, unnest(range(0, length(seq) // 12)) as i from sq))"
+LET = "lt as (select seq_id, spot, i - 1 as col, substr(kmer, cast(i as int), 1) as base from (select seq_id, spot, kmer, unnest(range(1, 13)) as i from st))"
 
 
 # -- intervals -------------------------------------------------------------------------------------------------------
@@ -508,7 +514,8 @@ def markov_marginal(spark, d):
 
 
 def sites(spark, d):
-    return sequences(spark, d, 12).withColumnRenamed("seq", "kmer")
+    words = F.explode(F.regexp_extract_all("seq", F.lit(".{12}"), F.lit(0)))
+    return sequences(spark, d).select("seq_id", words.alias("kmer"))
 
 
 PROFILE = f"{SEQ}, {SITE}, {LET}, pr as (select c as col, b as base, cast(count(lt.seq_id) as bigint) as n, count(lt.seq_id) / (select count(*) from st) as freq from range(0, 12) x(c) cross join (values ('A'), ('C'), ('G'), ('T')) y(b) left join lt on lt.col = c and lt.base = b group by all)"
@@ -534,7 +541,7 @@ def column_information(spark, d):
     return Q.column_information(Q.position_profile(sites(spark, d))).withColumn("bits", F.round("bits", 6))
 
 
-PAIRS = f"{SEQ}, {SITE}, {LET}, pc as (select a.col as col1, b.col as col2, a.base as base1, b.base as base2, count(*) as n from lt a join lt b on a.seq_id = b.seq_id and a.col < b.col group by all), pt as (select *, sum(n) over (partition by col1, col2) as t, sum(n) over (partition by col1, col2, base1) as n1, sum(n) over (partition by col1, col2, base2) as n2 from pc)"
+PAIRS = f"{SEQ}, {SITE}, {LET}, pc as (select a.col as col1, b.col as col2, a.base as base1, b.base as base2, count(*) as n from lt a join lt b on a.seq_id = b.seq_id and a.spot = b.spot and a.col < b.col group by all), pt as (select *, sum(n) over (partition by col1, col2) as t, sum(n) over (partition by col1, col2, base1) as n1, sum(n) over (partition by col1, col2, base2) as n2 from pc)"
 
 
 @query(f"with {PAIRS} select cast(col1 as int) as col1, cast(col2 as int) as col2, round(sum(n / t * log2(n * t / (n1 * n2))), 6) as bits from pt group by all")
@@ -553,50 +560,65 @@ def informative_pairs(spark, d):
     return Q.informative_pairs(Q.position_profile(sites(spark, d)), 0.02, 1.75)
 
 
-@query(f"""with {SEQ}, sh as (select seq_id, substr(seq, 1, 40) as seq from sq where length(seq) >= 40), o as (select unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) as k),
-p as (select cast(k as int) as off, seq, cast(case when k < 0 then seq_id % 33 + k else seq_id % 33 + 8 + k - 1 end as int) as px from sh, o)
-select off as "offset", case when px < 0 or px >= 40 then 'X' else substr(seq, px + 1, 1) end as base, count(*) as n from p group by all""")
+@query(f"""with {SEQ}, sh as (select seq_id, seq, seq_id % (length(seq) - 7) as spot from sq where length(seq) >= 8), o as (select unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) as k),
+p as (select cast(k as int) as off, seq, cast(case when k < 0 then spot + k else spot + 8 + k - 1 end as int) as px from sh, o)
+select off as "offset", case when px < 0 or px >= length(seq) then 'X' else substr(seq, px + 1, 1) end as base, count(*) as n from p group by all""")
 def flank_profile(spark, d):
-    s = sequences(spark, d, 40)
-    return Q.flank_profile(s.select("seq_id", (F.col("seq_id") % 33).cast("int").alias("pos")), s, 8)
+    s = sequences(spark, d)
+    return Q.flank_profile(first_sites(s).select("seq_id", "pos"), s, 8)
 
 
-@query(f"with {SEQ}, sh as (select seq_id, substr(seq, 1, 20) as seq from sq where length(seq) >= 20) select seq_id, cast(26 as bigint) as n_valid from sh")
+@query(f"""with {GAPPED}, w as (select seq_id, substr(seq, cast(i as int), 4) as w from (select seq_id, seq, unnest(range(1, length(seq) - 2)) as i from sq where length(seq) >= 4))
+select seq_id, cast(2 * count(*) as bigint) as n_valid from w where regexp_full_match(w, '[ACGT]+') group by seq_id""")
 def valid_sites(spark, d):
-    return Q.valid_sites(sequences(spark, d, 20), 8).groupBy("seq_id").agg(F.count("*").alias("n_valid"))
+    return Q.valid_sites(gapped_sequences(spark, d), 4).groupBy("seq_id").agg(F.count("*").alias("n_valid"))
 
 
-SHORT = f"{SEQ}, sh as (select seq_id, substr(seq, 1, 20) as seq from sq where length(seq) >= 20), db as (select seq_id, 1 as strand, seq from sh union all select seq_id, -1, reverse(translate(seq, 'ACGT', 'TGCA')) from sh), jn as (select seq || reverse(translate(seq, 'ACGT', 'TGCA')) as s from sh), bs as (select unnest(['A', 'C', 'G', 'T']) as b), m0 as (select '' as context, b as base, (sum(length(s) - length(replace(s, b, ''))) + 1) as n from jn, bs group by b), w2 as (select substr(s, cast(i as int), 2) as w, count(*) as n from (select s, unnest(range(1, 40)) as i from jn) group by 1), m1 as (select x.b as context, y.b as base, coalesce(n, 0) + 1 as n from bs x cross join bs y left join w2 on w = x.b || y.b), md as (select context, base, ln(n / sum(n) over (partition by context)) as lp from (select * from m0 union all select * from m1)), lp as (select db.seq_id, db.strand, i - 1 as pos, substr(seq, cast(i as int), 1) as base, case when i = 1 then '' else substr(seq, cast(i - 1 as int), 1) end as context from (select *, unnest(range(1, 21)) as i from db) db), ll as (select seq_id, strand, pos, lp.base, md.lp from lp join md using (context, base)), bg as (select a.seq_id, a.strand, a.pos, sum(b.lp) as log_bg from ll a join ll b on a.seq_id = b.seq_id and a.strand = b.strand and b.pos between a.pos and a.pos + 7 where a.pos <= 12 group by all)"
+# a model of order 1 over both strands and their junctions; every window of 8 letters of whole sequences, with what
+# it tells of the letter after it
+RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
+MODEL = f"{SEQ}, jn as (select seq || {RC} as s from sq), bs as (select unnest(['A', 'C', 'G', 'T']) as b), m0 as (select '' as context, b as base, (sum(length(s) - length(replace(s, b, ''))) + 1) as n from jn, bs group by b), w2 as (select substr(s, cast(i as int), 2) as w, count(*) as n from (select s, unnest(range(1, length(s))) as i from jn) group by 1), m1 as (select x.b as context, y.b as base, coalesce(n, 0) + 1 as n from bs x cross join bs y left join w2 on w = x.b || y.b), md as (select context, base, ln(n / sum(n) over (partition by context)) as lp from (select * from m0 union all select * from m1))"
+LETTERS = f"{MODEL}, db as (select seq_id, 1 as strand, seq from sq union all select seq_id, -1, {RC} from sq), sp as (select seq_id, strand, i - 1 as pos, seq, i from (select *, unnest(range(1, length(seq) + 1)) as i from db)), lb as (select seq_id, strand, pos, substr(seq, cast(i as int), 1) as base, case when i = 1 then '' else substr(seq, cast(i - 1 as int), 1) end as context from sp), ll as (select seq_id, strand, pos, lb.base, a.lp, b.lp as lp0 from lb join md a on a.context = lb.context and a.base = lb.base join md b on b.context = '' and b.base = lb.base)"
+WINDOWS = f"{LETTERS}, fr as (select seq_id, strand, pos, base, sum(lp) over w8 as s, count(*) over w8 as n, lead(lp, 8) over w as l1, lead(lp0, 8) over w as l0 from ll window w as (partition by seq_id, strand order by pos), w8 as (partition by seq_id, strand order by pos rows between current row and 7 following)), bg as (select seq_id, strand, pos, s + coalesce(l1 - l0, 0) as log_bg from fr where n = 8)"
+FIRST = "s8 as (select seq_id, seq_id % (length(seq) - 7) as spot, substr(seq, cast(seq_id % (length(seq) - 7) + 1 as int), 8) as kmer from sq where length(seq) >= 8), l8 as (select seq_id, i - 1 as col, substr(kmer, cast(i as int), 1) as base from (select *, unnest(range(1, 9)) as i from s8)), f8 as (select col, base, count(*) as n, count(*) / (select count(*) from s8) as freq from l8 group by all), ff as (select x.c as col, b as base, (coalesce(n, 0) + 0.25) / ((select count(*) from s8) + 1) as freq from range(0, 8) x(c) cross join (select unnest(['A', 'C', 'G', 'T']) as b) left join f8 on f8.col = x.c and f8.base = b)"
+
+
+def first_sites(s: DataFrame) -> DataFrame:
+    """A site of 8 letters in each sequence that has room for one."""
+    return s.filter("length(seq) >= 8").select("seq_id", F.lit(1).alias("strand"), F.expr("cast(seq_id % (length(seq) - 7) as int)").alias("pos"))
 
 
 def backgrounds(spark, d):
-    s = sequences(spark, d, 20)
-    return s, Q.background_scores(s, Q.markov_models(s, 1), 1, 8)
+    s = sequences(spark, d)
+    return s, Q.background_scores(s, Q.markov_models(s, 1), 1, 8, how="flank")
 
 
-@query(f"with {SHORT} select seq_id, strand, pos, round(log_bg, 6) as log_bg from bg")
-def bg_score(spark, d):
-    return backgrounds(spark, d)[1].select("seq_id", "strand", F.col("pos").cast("long").alias("pos"), F.round("log_bg", 6).alias("log_bg"))
+def site_profile(s: DataFrame) -> DataFrame:
+    at = first_sites(s).join(s, "seq_id")
+    return Q.position_profile(at.select("seq_id", F.expr("substring(seq, pos + 1, 8)").alias("kmer")), 0.25)
 
 
-FIRST = "s8 as (select seq_id, 1 as strand, 0 as pos, substr(seq, 1, 8) as kmer from sh), l8 as (select seq_id, i - 1 as col, substr(kmer, cast(i as int), 1) as base from (select *, unnest(range(1, 9)) as i from s8)), f8 as (select col, base, count(*) as n, count(*) / (select count(*) from s8) as freq from l8 group by all)"
+@query(f"with {WINDOWS} select seq_id, cast(strand as int) as strand, count(*) as n, round(sum(log_bg), 4) as total, round(max(log_bg), 6) as most from bg group by all")
+def bg_score(spark, d):
+    bg = backgrounds(spark, d)[1]
+    return bg.groupBy("seq_id", "strand").agg(F.count("*").alias("n"), F.round(F.sum("log_bg"), 4).alias("total"), F.round(F.max("log_bg"), 6).alias("most"))
 
 
-@query(f"with {SHORT}, {FIRST} select round((select sum(n * ln(freq)) from f8) - (select sum(log_bg) from bg where strand = 1 and pos = 0), 4) as clr")
+@query(f"with {WINDOWS}, {FIRST} select round((select sum(n * ln(freq)) from f8) - (select sum(log_bg) from bg join s8 on bg.seq_id = s8.seq_id and strand = 1 and pos = spot), 4) as clr")
 def clr_score(spark, d):
     s, bg = backgrounds(spark, d)
-    n_valid = bg.groupBy("seq_id").agg(F.count("*").alias("n_valid"))
-    at = s.select("seq_id", F.lit(1).alias("strand"), F.lit(0).alias("pos"))
-    return Q.clr_score(at, bg, n_valid).select(F.round("clr", 4).alias("clr"))
+    n_valid = s.filter("length(seq) >= 8").select("seq_id", F.expr("2L * (length(seq) - 7)").alias("n_valid"))
+    return Q.clr_score(first_sites(s), bg, n_valid).select(F.round("clr", 4).alias("clr"))
 
 
-@query(f"""with {SHORT}, {FIRST}, ff as (select x.c as col, b as base, (coalesce(n, 0) + 0.25) / ((select count(*) from s8) + 1) as freq from range(0, 8) x(c) cross join bs left join f8 on f8.col = x.c and f8.base = b),
-r as (select bg.seq_id, bg.strand, bg.pos, sum(ln(ff.freq)) - any_value(log_bg) as llr from bg join ll on ll.seq_id = bg.seq_id and ll.strand = bg.strand and ll.pos between bg.pos and bg.pos + 7 join ff on ff.col = ll.pos - bg.pos and ff.base = ll.base group by all)
-select seq_id, round(ln(sum(exp(llr))) - ln(count(*)), 5) as ilr from r group by seq_id""")
+@query(f"""with {WINDOWS}, {FIRST},
+w as (select bg.*, substr(seq, cast(pos + 1 as int), 8) as kmer from bg join db using (seq_id, strand)),
+r as (select seq_id, strand, pos, log_bg, unnest(range(0, 8)) as col, kmer from w),
+q as (select seq_id, strand, pos, sum(ln(freq)) - any_value(log_bg) as llr from r join ff on ff.col = r.col and ff.base = substr(kmer, cast(r.col + 1 as int), 1) group by all)
+select seq_id, round(ln(sum(exp(llr))) - ln(count(*)), 5) as ilr from q group by seq_id""")
 def ilr_score(spark, d):
     s, bg = backgrounds(spark, d)
-    profile = Q.position_profile(s.select("seq_id", F.substring("seq", 1, 8).alias("kmer")), 0.25)
-    return Q.ilr_score(bg, profile).select("seq_id", F.round("ilr", 5).alias("ilr"))
+    return Q.ilr_score(bg, site_profile(s)).select("seq_id", F.round("ilr", 5).alias("ilr"))
 
 
 # -- statistics ------------------------------------------------------------------------------------------------------
@@ -692,34 +714,37 @@ def set_enrichment(spark, d):
 
 # -- stochastic ------------------------------------------------------------------------------------------------------
 
-def _motif_input(spark, d, n: int = 30, size: int = 120) -> list[str]:
-    """The sequence set of one motif run: a bounded number of short sequences is what the sampler is for."""
-    rows = sequences(spark, d).select("seq_id", F.substring("seq", 1, size).alias("seq")).filter(F.length("seq") >= 30).orderBy("seq_id").limit(n).collect()
-    return [r.seq for r in rows]
+def motif_sets(spark, d) -> DataFrame:
+    """The sequences of all documents, those of a language as the input of one motif run."""
+    lang = F.dense_rank().over(W.orderBy("lang")) - 1
+    langs = read(spark, d, "documents").select("lang").distinct().select("lang", lang.alias("dataset"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "lang")
+    return docs.join(langs, "lang").join(sequences(spark, d), "seq_id").select("dataset", "seq_id", "seq")
 
 
-def _options(width: int = 6, runs: int = 3):
+def _options(width: int = 6, runs: int = 2, sweeps: int = 10):
     from ..operators.motif import MotifOptions
 
-    return MotifOptions(seed=7, width=width, runs=runs, order=2, plateau=10, max_sweeps=40)
+    return MotifOptions(seed=7, width=width, runs=runs, order=2, trial_sweeps=3, plateau=5, max_sweeps=sweeps)
 
 
 @query()
 def gibbs_motif(spark, d):
     from ..operators import motif
 
-    runs = motif.gibbs_runs(spark, {0: _motif_input(spark, d)}, [_options(6), _options(8)])
-    return motif.best_runs(runs).select("dataset", "width", "run", F.round("score", 6).alias("score"), "sweeps", "n_sites", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
+    runs = motif.gibbs_runs(spark, motif_sets(spark, d), [_options(6), _options(8)])
+    sites = F.sha2(F.array_join(F.col("sites").cast("array<string>"), ","), 256)
+    return motif.best_runs(runs).select("dataset", "width", "run", F.round("score", 6).alias("score"), "sweeps", "n_sites", sites.alias("sites_sha256"))
 
 
 @query()
 def null_sets(spark, d):
     from ..operators import motif
 
-    seqs = _motif_input(spark, d, 20)
-    a = motif.markov_null_sets(spark, seqs, 5, seed=7).withColumn("kind", F.lit("markov"))
-    g = sequences(spark, d).select(F.col("seq_id").cast("string").alias("contig"), "seq")
-    b = motif.gc_null_sets(spark, seqs, g, 5, seed=7).withColumn("kind", F.lit("gc"))
+    seqs = sequences(spark, d)
+    a = motif.markov_null_sets(spark, seqs, 2, seed=7).withColumn("kind", F.lit("markov"))
+    g = seqs.select(F.col("seq_id").cast("string").alias("contig"), "seq")
+    b = motif.gc_null_sets(spark, seqs, g, 2, seed=7).withColumn("kind", F.lit("gc"))
     return a.unionByName(b)
 
 
@@ -727,11 +752,10 @@ def null_sets(spark, d):
 def gamma_pvalue(spark, d):
     from ..operators import motif
 
-    seqs = _motif_input(spark, d, 15, 80)
-    nulls: dict[int, list[str]] = {0: seqs}
-    for r in motif.markov_null_sets(spark, seqs, 8, seed=7).orderBy("dataset", "seq_id").collect():  # small sets
-        nulls.setdefault(r.dataset, []).append(r.seq)
-    best = motif.best_runs(motif.gibbs_runs(spark, nulls, [_options(6, 2)]))
+    seqs = sequences(spark, d)
+    observed = seqs.select(F.lit(0).alias("dataset"), F.col("seq_id").cast("long").alias("seq_id"), "seq")
+    sets = observed.unionByName(motif.markov_null_sets(spark, seqs, 5, seed=7))
+    best = motif.best_runs(motif.gibbs_runs(spark, sets, [_options(6, 1, 5)]))
     return motif.significance(best).select("width", *[F.round(c, 6).alias(c) for c in ("observed", "location", "shape", "scale", "p_value", "p_upper")])
 
 
@@ -739,9 +763,9 @@ def gamma_pvalue(spark, d):
 def permutation_dependency(spark, d):
     from ..operators import motif
 
-    s = sites(spark, d).orderBy("seq_id").limit(200)
-    pairs = spark.createDataFrame([(0, 1), (0, 2), (3, 7)], "col1 int, col2 int")
-    return motif.column_dependency(s, pairs, seed=7, most=4000)
+    columns = spark.range(12).select(F.col("id").cast("int").alias("col1"))
+    pairs = columns.select("col1", F.explode(F.sequence(F.col("col1"), F.lit(11))).alias("col2")).filter("col1 < col2")
+    return motif.column_dependency(sites(spark, d), pairs, seed=7)
 
 
 @query()
@@ -752,18 +776,21 @@ def mc_common_bins(spark, d):
     return motif.monte_carlo_common(t, 10, seed=7, width=1)
 
 
-@query()
+@query("select cast(w as int) as width, cast(n as int) as dataset from (select unnest([8, 14, 20]) as w), range(0, 21) t(n)")
 def experiment_grid(spark, d):
     from ..operators import motif
 
     return motif.experiment_grid(spark, [8, 14, 20], 20)
 
 
-@query()
+@query(f"""with {SEQ}, {FIRST}, db as (select seq_id, 0 as "from", seq from sq union all select seq_id, length(seq), {RC} from sq),
+w as (select seq_id, "from" + i - 1 as pos, substr(seq, cast(i as int), 8) as kmer from (select *, unnest(range(1, length(seq) - 6)) as i from db where length(seq) >= 8)),
+r as (select seq_id, pos, kmer, unnest(range(0, 8)) as col from w),
+q as (select seq_id, pos, kmer, sum(ln(freq)) - 8 * ln(0.25) as llr from r join ff on ff.col = r.col and ff.base = substr(kmer, cast(r.col + 1 as int), 1) group by all)
+select seq_id, cast(pos as int) as pos, kmer, round(llr, 6) as llr from q where llr > 4""")
 def profile_scan(spark, d):
-    s = sequences(spark, d, 60)
-    profile = Q.position_profile(s.select("seq_id", F.substring("seq", 1, 8).alias("kmer")), 0.25)
-    return Q.scan_profile(s, profile).filter("llr > 1").select("seq_id", "pos", "kmer", F.round("llr", 6).alias("llr"))
+    s = sequences(spark, d)
+    return Q.scan_profile(s, site_profile(s)).filter("llr > 4").select("seq_id", "pos", "kmer", F.round("llr", 6).alias("llr"))
 
 
 # -- time tilings ----------------------------------------------------------------------------------------------------
