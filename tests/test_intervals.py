@@ -1,6 +1,7 @@
 """Interval operators against quadratic brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -62,6 +63,27 @@ def test_merge(spark, bucket):
     assert got == sorted(want)
 
 
+def test_subset_intersections_of_many_groups(spark):
+    r = random.Random(4)
+    groups = [f"g{i}" for i in range(16)]
+    rows = [(k, g) for k in range(300) for g in groups if r.random() < 0.7]
+    got = {x.mask: x.n for x in I.subset_intersections(spark.createDataFrame(rows, "k long, g string"), ["k"], "g", groups).collect()}
+    masks = Counter()
+    for k in range(300):
+        masks[sum(1 << groups.index(g) for q, g in rows if q == k)] += 1
+    assert len(got) == 2**16 - 1
+    for mask in [1, 2**16 - 1, *(r.randrange(1, 2**16) for _ in range(300))]:
+        assert got[mask] == sum(n for m, n in masks.items() if m & mask == mask)
+
+
+def test_substrings_over_chunks(spark):
+    r = random.Random(5)
+    seqs = {c: "".join(r.choice("ACGT") for _ in range(n)) for c, n in (("a", 1000), ("b", 37), ("c", 0))}
+    rows = [(i, r.choice("abcd"), s := r.randrange(0, 1100), s + r.choice([0, 1, 5, 300])) for i in range(300)] + [(500, "a", 3, 9), (500, "a", 3, 9)]
+    got = I.interval_substring(spark.createDataFrame(rows, "i int, c string, start int, stop int"), spark.createDataFrame(list(seqs.items()), "c string, seq string"), "c", chunk=16).collect()
+    assert sorted((x.i, x.c, x.start, x.stop, x.fragment) for x in got) == sorted((*x, seqs[x[1]][x[2] : x[3]]) for x in rows if x[1] in seqs)
+
+
 def test_subset_intersections(spark):
     r = random.Random(3)
     rows = [(i, g) for i in range(50) for g in "abcd" if r.random() < 0.5]

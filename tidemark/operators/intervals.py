@@ -75,10 +75,18 @@ def merge_intervals(df: DataFrame, keys: str | list[str], start: str = "start",
     return islands(d, by)
 
 
+def _with(bit: Column):
+    return lambda x: x.bitwiseOR(bit)
+
+
+#: Groups whose presence is varied in one round of sums over subsets.
+BITS = 5
+
+
 def subset_masks(df: DataFrame, keys: list[str], group: str, groups: list[str]) -> DataFrame:
     """One row for each mask of groups that some key has exactly: (mask, n). The last group is bit 0 upward."""
-    if len(groups) > 20:
-        raise ValueError("more than 20 groups: ask for common_keys of the subsets wanted")
+    if len(groups) > 62:
+        raise ValueError("a mask has 62 bits")
     at = F.array_position(F.array(*map(F.lit, groups)), F.col(group))
     bit = F.expr("shiftleft(1L, __at - 1)")
     d = df.withColumn("__at", at.cast("int")).filter("__at > 0")
@@ -90,12 +98,21 @@ def subset_intersections(df: DataFrame, keys: list[str], group: str, groups: lis
 
     One pass over the data gives a histogram of exact masks; the sums over supersets run on at most 2^n rows.
     """
-    masks = subset_masks(df, keys, group, groups)
+    sums, n = subset_masks(df, keys, group, groups), len(groups)
     spark = df.sparkSession
-    subsets = spark.range(1, 1 << len(groups)).select(F.col("id").alias("mask"))
-    # every exact mask counts for each of its non-empty submasks
-    inside = masks.withColumnRenamed("mask", "full").withColumn("mask", F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.col("full")), lambda m: m.bitwiseAND(F.col("full")) == m)))
-    sums = inside.groupBy("mask").agg(F.sum("n").alias("n"))
+    subsets = spark.range(1, 1 << n).select(F.col("id").alias("mask"))
+    # every mask counts for all that it holds: some bits at a time are kept or dropped, and what meets is summed, so
+    # that there are n/BITS rounds over 2^n rows at most, and no pair of masks is looked at for nothing
+    for low in range(0, n, BITS):
+        own = F.array(F.lit(0).cast("long"))
+        for i in range(low, min(n, low + BITS)):
+            bit = F.lit(1 << i).cast("long")
+            with_bit = F.concat(own, F.transform(own, _with(bit)))
+            own = F.when(F.col("mask").bitwiseAND(bit) != 0, with_bit).otherwise(own)
+        inside = F.lit(((1 << min(n, low + BITS)) - 1) ^ ((1 << low) - 1)).cast("long")
+        rest = F.col("mask").bitwiseAND(F.bitwise_not(inside))
+        spread = sums.select("n", rest.alias("rest"), F.explode(own).alias("part"))
+        sums = spread.groupBy(F.col("rest").bitwiseOR(F.col("part")).alias("mask")).agg(F.sum("n").alias("n"))
     bits = F.split(F.reverse(F.bin("mask")), "")
     names = F.array_join(F.transform(F.array(*map(F.lit, groups)), lambda g, i: F.when(F.get(bits, i) == "1", g)), ",")
     return subsets.join(sums, "mask", "left").select("mask", names.alias("groups"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -134,43 +151,65 @@ def nearest(a: DataFrame, b: DataFrame, keys: str | list[str], k: int = 1, a_id:
 
     a has (keys, a_id, a_start, a_stop), b has (keys, b_start, b_stop, ...). The result is what rank() <= k over the
     absolute distance gives, without comparing all of a key: the k nearest different positions on either side come
-    from running windows over both sorted sides, overlaps from a bucket join, and an equi-join on the positions
-    brings all ties.
+    from running windows inside buckets of positions, with the last positions of the buckets before; overlaps come
+    from a bucket join, and an equi-join on the positions brings all ties. A key with very many features is spread
+    over its buckets.
     """
-    by = _keys(keys)
+    by, bucket = _keys(keys), bucket or 1 << 14
     place = [*by, "__p"]
-    cols = [F.col(c) for c in by]
-    # distinct stops to the left, distinct starts to the right
-    stops = b.select(*cols, F.col("b_stop").alias("__p")).distinct()
-    starts = b.select(*cols, F.col("b_start").alias("__p")).distinct()
-
-    def side(points: DataFrame, at: str, left: bool) -> DataFrame:
-        """(a_id, keys, __p): of each interval the k points at or before (after) its edge."""
-        # each point with the k points that end at it
-        w = W.partitionBy(*by).orderBy(F.col("__p") if left else F.col("__p").desc())
-        points = points.withColumn("__near", F.collect_list("__p").over(w.rowsBetween(-(k - 1), 0)))
-        edges = a.select(*cols, F.col(a_id), F.col(at).alias("__p"))
-        both = points.select(*place, "__near", F.lit(None).cast(dict(a.dtypes)[a_id]).alias(a_id), F.lit(0).alias("__q")).unionByName(edges.withColumns({"__near": F.lit(None).cast("array<bigint>"), "__q": F.lit(1)}))
-        order = [F.col("__p") if left else F.col("__p").desc(), F.col("__q")]
-        last = F.last("__near", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-        return both.withColumn("__last", last).filter("__q = 1").select(*by, a_id, F.explode("__last").alias("__p"))
-
-    b = b.withColumns({"b_start": F.col("b_start").cast("long"), "b_stop": F.col("b_stop").cast("long")})
-    stops, starts = (d.withColumn("__p", F.col("__p").cast("long")) for d in (stops, starts))
     a = a.withColumns({"a_start": F.col("a_start").cast("long"), "a_stop": F.col("a_stop").cast("long")})
-    lefts = side(stops, "a_start", True).join(b.withColumn("__p", F.col("b_stop")), place).drop("__p")
-    rights = side(starts, "a_stop", False).join(b.withColumn("__p", F.col("b_start")), place).drop("__p")
+    b = b.withColumns({"b_start": F.col("b_start").cast("long"), "b_stop": F.col("b_stop").cast("long")})
+    cell = F.floor(F.col("__p") / bucket).cast("long").alias("__b")
+
+    def side(end: str, edge: str, sign: int) -> DataFrame:
+        """(keys, a_id, __p): of each interval the k different points at or before its edge; with sign -1, after."""
+        points = b.select(*by, (F.col(end) * sign).alias("__p")).distinct().select(*place, cell)
+        edges = a.select(*by, F.col(a_id), (F.col(edge) * sign).alias("__p")).select(*place, cell, a_id)
+        # the last k points of each bucket, then those up to the end of each bucket: k buckets with points hold them
+        last = W.partitionBy(*by, "__b").orderBy(F.desc("__p"))
+        tails = points.withColumn("__r", F.row_number().over(last)).filter(F.col("__r") <= k).groupBy(*by, "__b").agg(F.collect_list("__p").alias("__t"))
+        upto = F.flatten(F.collect_list("__t").over(W.partitionBy(*by).orderBy("__b").rowsBetween(1 - k, 0)))
+        tails = tails.select(*by, "__b", F.slice(F.sort_array(upto, False), 1, k).alias("__t"))
+        # each bucket with edges takes over the points of the last bucket before it
+        asked = edges.select(*by, "__b").distinct().select(*by, "__b", F.lit(None).cast("array<bigint>").alias("__t"), F.lit(0).alias("__q"))
+        known = asked.unionByName(tails.withColumn("__q", F.lit(1)))
+        before = F.last("__t", ignorenulls=True).over(W.partitionBy(*by).orderBy("__b", "__q").rowsBetween(W.unboundedPreceding, 0))
+        carried = known.withColumn("__t", before).filter("__q = 0").select(*by, "__b", F.explode("__t").alias("__p"))
+        # inside a bucket, each point with the k points that end at it, and each edge with the last such
+        inside = W.partitionBy(*by, "__b")
+        points = points.select(*by, "__b", "__p").unionByName(carried).withColumn("__near", F.collect_list("__p").over(inside.orderBy("__p").rowsBetween(1 - k, 0)))
+        both = points.withColumns({a_id: F.lit(None).cast(dict(a.dtypes)[a_id]), "__q": F.lit(0)}).unionByName(edges.withColumns({"__near": F.lit(None).cast("array<bigint>"), "__q": F.lit(1)}))
+        near = F.last("__near", ignorenulls=True).over(inside.orderBy("__p", "__q").rowsBetween(W.unboundedPreceding, 0))
+        return both.withColumn("__near", near).filter("__q = 1").select(*by, a_id, F.explode("__near").alias("__p")).withColumn("__p", F.col("__p") * sign)
+
+    lefts = side("b_stop", "a_start", 1).join(b.withColumn("__p", F.col("b_stop")), place).drop("__p")
+    rights = side("b_start", "a_stop", -1).join(b.withColumn("__p", F.col("b_start")), place).drop("__p")
     sides = a.join(lefts.unionByName(rights), [*by, a_id])
-    over = overlap_join(a, b, by, bucket or 1 << 14, ("a_start", "a_stop", "b_start", "b_stop"))
+    over = overlap_join(a, b, by, bucket, ("a_start", "a_stop", "b_start", "b_stop"))
     sides = sides.filter("not (b_start < a_stop and a_start < b_stop)")
     out = sides.unionByName(over.select(*sides.columns))
     out = out.withColumn("distance", signed_distance(F.col("a_start"), F.col("a_stop"), F.col("b_start"), F.col("b_stop")))
     return out.withColumn("__rank", F.rank().over(W.partitionBy(*by, a_id).orderBy(F.abs("distance")))).filter(F.col("__rank") <= k).drop("__rank")
 
 
-def interval_substring(df: DataFrame, sequences: DataFrame, key: str, seq: str = "seq", start: str = "start", stop: str = "stop") -> DataFrame:
-    """The letters of [start, stop) of the named sequence, 0-based."""
-    return df.join(sequences.select(key, seq), key).withColumn("fragment", F.substring(seq, F.col(start).cast("int") + 1, (F.col(stop) - F.col(start)).cast("int")))
+def interval_substring(df: DataFrame, sequences: DataFrame, key: str, seq: str = "seq", start: str = "start", stop: str = "stop", chunk: int = 1 << 14) -> DataFrame:
+    """The letters of [start, stop) of the named sequence, 0-based, as ``fragment``; empty for an empty interval.
+
+    Sequences, one for each key, are cut into chunks; different intervals meet the chunks that they touch, and their
+    parts are put together. So no row carries a sequence.
+    """
+    pattern = F.lit("(?s).{1,%d}" % chunk)
+    cut = sequences.select(F.col(key).alias("__k"), F.posexplode(F.regexp_extract_all(seq, pattern, F.lit(0))).alias("__c", "__t"))
+    want = df.select(F.col(key).alias("__k"), F.col(start).cast("long").alias("__s"), F.col(stop).cast("long").alias("__e")).distinct()
+    first, last = F.floor(F.greatest("__s", F.lit(0)) / chunk).cast("int"), F.floor((F.col("__e") - 1) / chunk).cast("int")
+    spread = want.filter("__e > __s and __e > 0").withColumn("__c", F.explode(F.sequence(first, last)))
+    base = F.col("__c").cast("long") * chunk
+    lo, hi = F.greatest(F.col("__s") - base, F.lit(0)), F.least(F.col("__e") - base, F.lit(chunk))
+    part = F.substring("__t", lo.cast("int") + 1, (hi - lo).cast("int"))
+    whole = spread.join(cut, ["__k", "__c"]).groupBy("__k", "__s", "__e").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__c").alias("c"), part.alias("t")))), lambda x: x["t"]), "").alias("__f"))
+    known = df.join(sequences.select(key).distinct(), key, "left_semi")
+    out = known.join(whole, (known[key] == whole["__k"]) & (known[start].cast("long") == whole["__s"]) & (known[stop].cast("long") == whole["__e"]), "left")
+    return out.select(*df.columns, F.coalesce("__f", F.lit("")).alias("fragment"))
 
 
 def tile_counts(df: DataFrame, pos: str, group: str, width: int, lo: int, hi: int, groups: list[str]) -> DataFrame:
