@@ -5,8 +5,9 @@ The automaton holds every run of words of every item. Training words are streame
 knows the length of the longest run that ends there and occurs in an item. A length of at least ``window`` marks the
 last ``window`` words as hit; an item shorter than ``window`` is hit as a whole.
 
-Items are taken in blocks of a bounded number of words, and each block has an automaton of its own that is broadcast
-and streamed over the documents; test sets of any size work, in bounded memory. The documents are never shuffled.
+Items are taken in blocks of a bounded number of words, and each block has an automaton of its own; test sets of any
+size work, in bounded memory. One block is streamed over the documents in one pass without a shuffle. With several,
+every block emits its hits alone, by the hash of the text, and only texts that may be hit are shuffled to meet them.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, bound_batches, fresh, read
+from .common import Scratch, bound_batches, fresh, id_bits, maybe_in, read, released
 
-#: Words of test items in one automaton; an item is never divided.
+#: Words of test items in one automaton; a longer item is cut into pieces that overlap.
 BLOCK_WORDS = 200_000
 
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -131,71 +133,114 @@ _BUILT: dict = {}
 
 
 def _automaton(shared, window: int) -> SuffixAutomaton:
-    """The automaton of a broadcast block, built once in each Python worker."""
+    """The automaton of a broadcast block, built once in each Python worker, which holds one at a time."""
     key = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value), window)
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = SuffixAutomaton([(i, words(t)) for i, t in shared.value], window)
+        _BUILT[key] = SuffixAutomaton([(i, t.split()) for i, t in shared.value], window)
     return _BUILT[key]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[tuple]]:
+    """Lists of (item, words), of at most BLOCK_WORDS + window words in all but for an item's first window.
+
+    A longer item is cut into pieces that overlap by window - 1 words, which hold the same windows.
+    """
     block, size = [], 0
     for item, text in benchmark.select(F.col(id_col), F.col(text_col)).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
-        n = len(words(text))
-        if block and size + n > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += n
+        its = words(text)
+        for at in range(0, max(1, len(its) - window + 1), BLOCK_WORDS):
+            piece = its[at : at + BLOCK_WORDS + window - 1]
+            if block and size + len(piece) > BLOCK_WORDS:
+                yield block
+                block, size = [], 0
+            block.append((item, b" ".join(piece)))
+            size += len(piece)
     if block:
         yield block
 
 
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str, schema: T.StructType, finish) -> DataFrame:
+    """docs through finish(batch, counts, hits, items), with the hit intervals and the items of every text.
+
+    With one block of items this is one pass over docs. With more, each block is scanned for its hits alone, by the
+    hash of the text; what was found is merged, and only texts that may be hit are shuffled to meet it.
+    """
+    spark, at, width = docs.sparkSession, docs.columns.index(text_col), len(docs.columns)
+    bound_batches(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, window)]
+    if len(blocks) < 2:
+        shared = blocks[0] if blocks else spark.sparkContext.broadcast([])
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(shared, window)
+            for batch in batches:
+                split = [words(t.as_py()) for t in batch.column(at)]
+                found = [auto.hits(its) for its in split]
+                yield finish(batch, list(map(len, split)), [h for h, _ in found], [sorted(x) for _, x in found])
+
+        return docs.mapInArrow(released(one), schema)
+
+    item_type = benchmark.schema[item_col].dataType
+    told = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(item_type))])
+
+    def hits_of(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(shared, window)
+            for batch in batches:
+                found = [auto.hits(words(t.as_py())) for t in batch.column(2)]
+                keep = [i for i, (h, _) in enumerate(found) if h]
+                cols = [batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)]
+                made = [pa.array([found[i][0] for i in keep], pa.list_(pa.int32())), pa.array([sorted(found[i][1]) for i in keep], pa.list_(to_arrow_type(item_type)))]
+                yield pa.RecordBatch.from_arrays([*cols, *made], names=told.names)
+
+        return released(run)
+
+    scratch = Scratch(spark)
+    h1, h2, hits, items = fresh(docs, "__h1", "__h2", "__hits", "__items")
+    key = {h1: F.xxhash64(text_col), h2: F.xxhash64(F.lit(1), F.col(text_col))}
+    texts = docs.filter(F.col(text_col).isNotNull()).select(key[h1].alias("h1"), key[h2].alias("h2"), F.col(text_col).alias("text"))
+    # equal texts have equal hits: one row of each for a block
+    every = [texts.mapInArrow(hits_of(b), told).groupBy("h1", "h2").agg(F.first("hits").alias("hits"), F.first("items").alias("items")) for b in blocks]
+    found = every[0]
+    for x in every[1:]:
+        found = found.union(x)
+    found = scratch.cut(found)
+    merged_hits = found.groupBy(F.col("h1").alias(h1), F.col("h2").alias(h2)).agg(F.collect_list("hits").alias(hits), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items))  # an entry for each block at most
+    bits = scratch.cut(id_bits(found.select("h1").distinct(), "h1"))
+    may = F.coalesce(maybe_in(bits, h1), F.lit(False)) & F.col(text_col).isNotNull()
+    base = docs.withColumns(key)
+    names = [*docs.columns, hits, items]
+    far = base.filter(~may).withColumns({hits: F.lit(None).cast("array<array<int>>"), items: F.lit(None).cast(T.ArrayType(item_type))})
+    both = far.select(*names).union(base.filter(may).join(merged_hits, [h1, h2], "left").select(*names))
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged([p for h in x or () for p in zip(h[::2], h[1::2], strict=True)]) for x in batch.column(width).to_pylist()]
+            named = [x or [] for x in batch.column(width + 1).to_pylist()]
+            counts = [len(words(t.as_py())) for t in batch.column(at)]
+            yield finish(pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]), counts, spans, named)
+
+    return both.mapInArrow(released(many), schema)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """The rows of docs with three more columns, whose names are returned too: number of words (long), hit intervals
     (array of word positions: first, past, first, past, ...) and items found (array of item ids, ascending).
 
-    Null and empty texts have no words and no hits. Items with a null id or null text are left out, items that
-    repeat count under each id, an empty test set hits nothing. No row of docs is lost or doubled.
+    Null and empty texts have no words and no hits. Item ids may be of any type that sorts. Items with a null id or
+    null text are left out, items that repeat count under each id, an empty test set hits nothing. Documents that
+    repeat get equal results. No row of docs is lost or doubled.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
     names = fresh(docs, "n_words", "hits", "items")
-    item_type = T.LongType()
+    item_type = benchmark.schema[item_col].dataType
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(item_type))])
-    scratch, out, before = None, docs, 0
-    for block in _blocks(benchmark, item_col, item_text_col):
-        if before == 1:
-            scratch = Scratch(spark)
-        if before:
-            out = scratch.cut(out)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), window, docs.columns.index(text_col), len(docs.columns), names, bool(before)), schema)
-        before += 1
-    if not before:
-        out = docs.mapInArrow(_scan(spark.sparkContext.broadcast([]), window, docs.columns.index(text_col), len(docs.columns), names, False), schema)
-    return out, names
-
-
-def _scan(shared, window: int, text_at: int, width: int, names: list[str], more: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(shared, window)
-        for batch in batches:
-            count, spans, items = [], [], []
-            for i, text in enumerate(batch.column(text_at)):
-                its = words(text.as_py())
-                hit, found = auto.hits(its)
-                if more:
-                    old = batch.column(width + 1)[i].as_py()
-                    hit = merged([*zip(old[::2], old[1::2], strict=True), *zip(hit[::2], hit[1::2], strict=True)])
-                    found |= set(batch.column(width + 2)[i].as_py())
-                count.append(len(its))
-                spans.append(hit)
-                items.append(sorted(found))
-            added = [pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *added], names=[*batch.schema.names[:width], *names])
-
-    return run
+
+    def finish(batch, counts, hits, items):
+        added = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(to_arrow_type(item_type)))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
+
+    return _scanned(docs, benchmark, window, text_col, item_col, item_text_col, schema, finish), names
 
 
 def without_spans(text: str, hits: list[int]) -> str:
@@ -215,27 +260,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     Documents with more than ``max_coverage`` of their words in such spans are removed as a whole. Where a column
     ``chars_col`` exists, it is set anew for the texts that change. Clean, null and empty texts stay as they are.
     """
-    found, _ = find_contamination(docs, benchmark, window, text_col, item_col, item_text_col)
-    columns, text_at, hits_at, count_at = docs.columns, docs.columns.index(text_col), len(docs.columns) + 1, len(docs.columns)
+    columns, text_at = docs.columns, docs.columns.index(text_col)
     chars_at = columns.index(chars_col) if chars_col in columns else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep, chars = [], [], []
-            old = batch.column(chars_at).to_pylist() if chars_at is not None else None
-            for i, text in enumerate(batch.column(text_at)):
-                hit, value = batch.column(hits_at)[i].as_py(), text.as_py()
-                n = sum(hit[1::2]) - sum(hit[::2])
-                keep.append(n <= max_coverage * batch.column(count_at)[i].as_py())
-                texts.append(without_spans(value, hit) if hit else value)
-                chars.append((len(texts[-1]) if hit else old[i]) if old else None)
-            made = list(batch.columns[: len(columns)])
-            made[text_at] = pa.array(texts, batch.column(text_at).type)
-            if chars_at is not None:
-                made[chars_at] = pa.array(chars, batch.column(chars_at).type)
-            yield pa.RecordBatch.from_arrays(made, names=batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(run, docs.schema)
+    def finish(batch, counts, hits, items):
+        texts, keep, chars = [], [], []
+        old = batch.column(chars_at).to_pylist() if chars_at is not None else None
+        for i, text in enumerate(batch.column(text_at)):
+            hit = hits[i]
+            keep.append(sum(hit[1::2]) - sum(hit[::2]) <= max_coverage * counts[i])
+            texts.append(without_spans(text.as_py(), hit) if hit else text.as_py())
+            chars.append((len(texts[-1]) if hit else old[i]) if old else None)
+        made = list(batch.columns)
+        made[text_at] = pa.array(texts, batch.column(text_at).type)
+        if chars_at is not None:
+            made[chars_at] = pa.array(chars, batch.column(chars_at).type)
+        return pa.RecordBatch.from_arrays(made, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _scanned(docs, benchmark, window, text_col, item_col, item_text_col, docs.schema, finish)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
