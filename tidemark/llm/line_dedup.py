@@ -8,12 +8,13 @@ A line is the set of its words (what stands between spaces). Lines are alike whe
    share a word among the first few of both (*prefix filter*).
 2. Lines with the same words are one class, with its first occurrence. Lines of few words can be like lines with the
    same words only, so their classes are all there is to find.
-3. Of the others, classes that share a prefix word are compared with the earliest of them, then those that found no
-   match with the rest of the word's classes, where lengths (*length filter*) and positions in the order (*positional filter*) allow
-   the threshold, and a bitmap that each word toggles differs in few enough bits. A group of thousands of alike
-   lines costs one comparison for each.
-4. Candidates are verified on the whole sets. Their texts are fetched with one join; a filter of fixed size over
-   document ids spares most texts that shuffle.
+3. Of the others, classes that share a prefix word are candidates where lengths (*length filter*) and positions in the
+   order (*positional filter*) allow the threshold, and a bitmap that each word toggles differs in few enough bits.
+   The classes of a word meet where its few classes are; a word with many has all of them compared with the earliest
+   first, then those that found no match with the rest. A group of thousands of alike lines costs one comparison each.
+4. Candidates are verified on the whole sets, for each line its earliest candidate of another document first, and all
+   others for those that it leaves open. Their texts are fetched with one join; a filter of fixed size over document
+   ids spares most texts that shuffle.
 
 Words are 64-bit keys: 6 bits of rarity and 58 bits of hash. Built-in functions only.
 """
@@ -28,6 +29,8 @@ from .common import Scratch, fresh, id_bits, maybe_in, read
 
 #: Buckets of the table of word counts: one byte each.
 RARITY_BUCKETS = 1 << 20
+#: Classes of one word that are compared with each other at once; larger groups are compared with their first before.
+GROUP = 64
 _NONE = (1 << 63) - 1
 #: Different words from which a line counts in the share that a document lost to others: stock lines tell nothing of it.
 TELLING = 5
@@ -77,16 +80,16 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     sketch = F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     lines = scratch.cut(lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), sketch.alias("sk"), prefix.alias("prefix")))
     lines = lines.filter(F.col("n") >= min_words)  # on the table: before it, the optimiser would compute the keys twice
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "sk", "prefix")).alias("x"))
     # n words and n + 1 words can reach the threshold from this n on
     several = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    rows = classes.filter(F.col("x.n") >= several).select("x.did", "x.sub", "x.n", "x.sk", F.posexplode("x.prefix").alias("pos", "w"))
-    rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("pos")).alias("np"), "sk")
-    rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np, sk)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")}).filter("size > 1")
-    rows = scratch.cut(rows.select("w", "did", "sub", "np", "sk", F.col("lead.did").alias("ldid"), F.col("lead.sub").alias("lsub"), F.col("lead.np").alias("lnp"), F.col("lead.sk").alias("lsk"), "size"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "sk", "prefix")).alias("x"), F.count("*").alias("size"))
+    classes = scratch.cut(classes.select("h1", "h2", "size", "x.did", "x.sub", "x.n", "x.sk", F.when(F.col("x.n") >= several, F.col("x.prefix")).alias("prefix")))
+    rows = classes.filter("prefix is not null").select("did", "sub", "n", "sk", F.posexplode("prefix").alias("pos", "w"))
+    rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"), "sk")
+    rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np, sk)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")})
 
     def may(a: str, b: str, s: str, t: str) -> Column:
-        n1, p1, n2, p2 = f"({a} >> 24)", f"({a} & 16777215)", f"({b} >> 24)", f"({b} & 16777215)"
+        n1, p1, n2, p2 = f"({a} >> 32)", f"({a} & 4294967295)", f"({b} >> 32)", f"({b} & 4294967295)"
         most = f"(1 + least({n1} - {p1} - 1, {n2} - {p2} - 1))"
         # twice the overlap is at most the sizes less the bits that differ
         return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {most} * {100 + percent} >= {percent} * ({n1} + {n2}) and ({n1} + {n2} - bit_count({s} ^ {t})) * {100 + percent} >= 2 * {percent} * ({n1} + {n2})")
@@ -98,23 +101,35 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
         want = scratch.cut(wanted.groupBy("did", (F.shiftright("x", 32).cast("int")).alias("th")).agg(F.collect_list(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("lines")))
         bits = scratch.cut(id_bits(want.select("did").distinct(), "did"))
         got = docs.filter(maybe_in(bits, "did")).join(want, ["did", "th"]).select("did", "th", F.explode("lines").alias("line"), F.split("text", "\n", -1).alias("all"))
-        got = scratch.cut(got.select("did", (F.shiftleft(F.col("th").cast("long"), 32) + F.col("line")).alias("x"), F.get("all", F.col("line")).alias("t")))
+        got = scratch.cut(got.select("did", (F.shiftleft(F.col("th").cast("long"), 32) + F.col("line")).alias("x"), F.array_distinct(_hashes(F.get("all", F.col("line")))).alias("t")))
         two = pairs.join(got.selectExpr("did as bd", "x as bx", "t as y"), ["bd", "bx"]).join(got.selectExpr("did as ad", "x as ax", "t as z"), ["ad", "ax"])
-        two = two.withColumns({"y": F.array_distinct(_hashes(F.col("y"))), "z": F.array_distinct(_hashes(F.col("z")))})
         two = two.filter((100 + percent) * F.size(F.array_intersect("y", "z")) >= percent * (F.size("y") + F.size("z")))
         return scratch.cut(two.select("ad", "ax", "bd", "bx"))
 
-    first = rows.filter((F.expr("not (did = ldid and sub = lsub)")) & may("np", "lnp", "sk", "lsk")).selectExpr("ldid as ad", "lsub as ax", "did as bd", "sub as bx")
-    found = verified(first)
-    crowd = rows.filter("size > 2 and not (did = ldid and sub = lsub)").select("w", "did", "sub", "np", "sk")
-    rest = scratch.cut(crowd.join(found.selectExpr("bd as did", "bx as sub").distinct(), ["did", "sub"], "left_anti"))
-    early = crowd.selectExpr("w", "did as ad", "sub as ax", "np as anp", "sk as ask")
+    # one pass over the words' classes: pairs of the small groups, and of the large ones their rows and pairs with the first
+    small = rows.filter(f"size between 2 and {GROUP}").select("w", "did", "sub", "np", "sk")
+    later = small.select("w", F.col("did").alias("bd"), F.col("sub").alias("bx"), F.col("np").alias("bnp"), F.col("sk").alias("bsk"))
+    zero = F.lit(0).cast("long")
+    pairs = small.join(later, "w").filter(F.expr("did < bd or did = bd and sub < bx") & may("np", "bnp", "sk", "bsk")).select(F.lit(0).alias("kind"), "did", "sub", "bd", "bx", zero.alias("w"))
+    large = rows.filter(f"size > {GROUP}")
+    stars = large.filter(F.expr("not (did = lead.did and sub = lead.sub)") & may("np", "lead.np", "sk", "lead.sk")).select(F.lit(1), "lead.did", "lead.sub", "did", "sub", zero)
+    table = scratch.cut(pairs.union(stars).union(large.select(F.lit(2), "did", "sub", "np", "sk", "w")))
+    named = table.filter("kind < 2").select(F.col("did").alias("ad"), F.col("sub").alias("ax"), "bd", "bx", "kind")
+    pairs = scratch.cut(named.filter("kind = 0").select("ad", "ax", "bd", "bx").distinct())
+    crowd = table.filter("kind = 2").select("w", "did", "sub", F.col("bd").alias("np"), F.col("bx").alias("sk"))
+    # the earliest candidate of another document settles most lines; for the others all candidates are looked at
+    best = pairs.groupBy("bd", "bx").agg(F.min(F.when(F.col("ad") != F.col("bd"), F.struct("ad", "ax"))).alias("a")).filter("a is not null")
+    found = verified(best.select("a.ad", "a.ax", "bd", "bx").union(named.filter("kind = 1").drop("kind")))
+    settled = scratch.cut(found.filter("ad <> bd").select("bd", "bx").distinct())
+    left = pairs.join(settled, ["bd", "bx"], "left_anti").select("ad", "ax", "bd", "bx")
+    rest = crowd.join(settled.selectExpr("bd as did", "bx as sub"), ["did", "sub"], "left_anti")
+    early = crowd.select("w", F.col("did").alias("ad"), F.col("sub").alias("ax"), F.col("np").alias("anp"), F.col("sk").alias("ask"))
     more = rest.join(early, "w").filter(F.expr("ad < did or ad = did and ax < sub") & may("np", "anp", "sk", "ask")).selectExpr("ad", "ax", "did as bd", "sub as bx")
-    found = found.union(verified(more))
+    found = found.union(verified(left.union(more)))
     # the classes that go as a whole, then all occurrences
-    gone = found.groupBy(F.col("bd").alias("fd"), F.col("bx").alias("fx")).agg(F.max(F.expr("not (ad = bd and (ax >> 32) = (bx >> 32))")).alias("other"))
-    per = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub")).alias("f"), F.count("*").alias("size")).select("h1", "h2", F.col("f.did").alias("fd"), F.col("f.sub").alias("fx"), "size")
-    per = scratch.cut(per.join(gone, ["fd", "fx"], "left").filter("size > 1 or other is not null"))
+    gone = found.groupBy(F.col("bd").alias("did"), F.col("bx").alias("sub")).agg(F.max(F.expr("not (ad = bd and (ax >> 32) = (bx >> 32))")).alias("other"))
+    per = classes.select("h1", "h2", "size", "did", "sub").join(gone, ["did", "sub"], "left").filter("size > 1 or other is not null")
+    per = scratch.cut(per.select("h1", "h2", F.col("did").alias("fd"), F.col("sub").alias("fx"), "other"))
     out = lines.select("did", "sub", "h1", "h2").join(per, ["h1", "h2"]).filter("other is not null or not (did = fd and sub = fx)")
     elsewhere = F.coalesce("other", F.lit(False)) | F.expr("not (did = fd and (sub >> 32) = (fx >> 32))")
     return out.select("did", F.shiftright("sub", 32).cast("int").alias("th"), F.col("sub").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"), elsewhere.alias("elsewhere"))
