@@ -61,3 +61,63 @@ def test_streaming_tiles(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("tiles").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("tiles").agg(F.sum("n")).first()[0] == 100
+
+
+def test_other_windows_on_streams(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tidemark.streaming.windows import session_stream, sliding_stream
+
+    src, minute = str(tmp_path / "in"), F.col("id") * 60
+    spark.range(60).filter("id % 20 < 10").select(minute.cast("timestamp").alias("ts"), F.lit(1).alias("k")).write.parquet(src)
+    rows = spark.readStream.schema("ts timestamp, k int").parquet(src)
+    for name, s in (("slides", sliding_stream(rows, "ts", "10 minutes", "5 minutes", ["k"], late="0 seconds")), ("sessions", session_stream(rows, "ts", "5 minutes", ["k"], late="0 seconds"))):
+        q = s.writeStream.format("memory").queryName(name).outputMode("complete" if name == "slides" else "append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert spark.table("slides").agg(F.sum("n")).first()[0] == 60
+    # the last session is still open when the rows end
+    assert sorted(r.n for r in spark.table("sessions").collect()) in ([10, 10], [10, 10, 10])
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tidemark.streaming.windows import tile_stream
+
+    src = str(tmp_path / "in")
+    base = spark.range(1).select(F.lit(0).alias("i"))
+    for k, second in enumerate((100_000, 200_000, 10)):  # the third comes long after its time
+        base.select(F.lit(second).cast("timestamp").alias("ts"), F.lit(k).alias("k")).write.mode("append").parquet(src)
+        s = tile_stream(spark.readStream.schema("ts timestamp, k int").parquet(src), "ts", "10 minutes", [], late="1 minute")
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    starts = {r.start.timestamp() for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert 0.0 not in starts and len(starts) >= 1
+
+
+def test_reports(spark, tmp_path):
+    text = "Log CLR generated from sites: 21.41\nNumber of predicted sites: 12 (14.46%)\nnot a number: x\n  7   aggga    169 AAAAAGAA 176    cccca  (+) Score=   3.699  >r\n 44   cctat    103 AAGAAGAA 96     aggtg  (-) Score=   5.084  >r\n"
+    p = put(tmp_path, "m.txt", text)
+    assert {r.name: r.value for r in R.motif_report(spark, p).collect()} == {"Log CLR generated from sites": 21.41, "Number of predicted sites": 12.0}
+    assert sorted(map(tuple, R.report_words(spark, p).collect())) == [(7, 169, "AAAAAGAA", "+", 3.699), (44, 103, "AAGAAGAA", "-", 5.084)]
+    sites = put(tmp_path, "s.txt", "# x\n0 12\n3, -7\nx y\n")
+    assert sorted(map(tuple, R.site_locations(spark, sites).collect())) == [(0, 12), (3, -7)]
+    prior = put(tmp_path, "p.txt", ">a\n0.1 0.2\n0.3\n>b\n1\n")
+    assert [(r.seq_id, r.header, r.prior) for r in R.position_prior(spark, prior).orderBy("seq_id").collect()] == [(0, "a", [0.1, 0.2, 0.3]), (1, "b", [1.0])]
+
+
+def test_more_tables(spark, tmp_path):
+    p = put(tmp_path, "t.csv", "a,b\n1,x\n2,y\n")
+    df = R.with_header(spark, p, ",")
+    assert df.dtypes == [("a", "int"), ("b", "string")] and df.count() == 2
+    W.zipped_table(df, str(tmp_path / "t.zip"))
+    assert sorted(map(tuple, R.zipped_table(spark, str(tmp_path / "t.zip"), "a int, b string").collect())) == [(1, "x"), (2, "y")]
+    W.delimited(df, str(tmp_path / "d"))
+    assert R.table(spark, str(tmp_path / "d"), "a int, b string").count() == 2
+    W.name_list(df, "b", str(tmp_path / "n"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "n")).collect()) == ["x", "y"]
+    W.sequences(spark.createDataFrame([("h", "ACGT")], "header string, seq string"), str(tmp_path / "q"))
+    assert spark.read.text(str(tmp_path / "q")).first().value == "h\tACGT"
+    p = put(tmp_path, "g.gff", "chr1\ts\tgene\t1\t9\t.\t+\t.\tID=g1\nchr1\ts\ttranscript\t1\t9\t.\t+\t.\tID=t1\n")
+    assert [r.id for r in R.transcripts(R.gff3(spark, p)).collect()] == ["t1"]
+    p = put(tmp_path, "p.tsv", "N\tUnused\tAccession\tName\tSpecies\n1\t2,5\tsp|P1|ONE_HUMAN\tOne\tHUMAN\n2\t1,0\tsp|P2|TWO_HUMAN\tTwo\tHUMAN\n3\t9\tsp|P3|X_MOUSE\tX\tMOUSE\n")
+    rows = R.protein_summary(spark, p).collect()
+    assert [(r.score, r.name) for r in rows] == [(2.5, "One")]

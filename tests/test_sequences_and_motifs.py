@@ -130,3 +130,165 @@ def test_known_dependency(spark):
     pairs = {(r.col1 + 1, r.col2 + 1) for r in Q.informative_pairs(Q.position_profile(df)).collect()}
     got = {(r.col1 + 1, r.col2 + 1): round(r.bits, 3) for r in Q.mutual_information(df).collect()}
     assert pairs == set(BITS) and {p: got[p] for p in BITS} == BITS
+
+
+def test_backgrounds_by_hand(spark):
+    seqs = ["ACGTNNACGTTGCAACGT", "GGGCATTACG", "AC"]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id int, seq string")
+    models = Q.markov_models(df, 2)
+    lp = {(r.context, r.base): math.log(r.prob) for r in models.collect()}
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+    span, order = 3, 2
+
+    def context(s, i, begin=0):
+        c = s[max(begin, i - order) : i]
+        return c[c.rfind("N") + 1 :]
+
+    def plain(s, p):
+        return [lp[context(s, i), s[i]] for i in range(p, p + span)]
+
+    def opposite(s, i):
+        t = rc(s)
+        j = len(s) - 1 - i
+        return lp[context(t, j), t[j]]
+
+    def want(s, p, how):
+        if how == "site":
+            return sum(lp[context(s, i, p), s[i]] for i in range(p, p + span))
+        if how == "gmean":
+            return sum((lp[context(s, i), s[i]] + opposite(s, i)) / 2 for i in range(p, p + span))
+        if how == "amean":
+            return sum(math.log((math.exp(lp[context(s, i), s[i]]) + math.exp(opposite(s, i))) / 2) for i in range(p, p + span))
+        out = sum(plain(s, p))
+        for i in range(p + span, min(len(s), p + span + order)) if how == "flank" else ():
+            if s[i] == "N":
+                break
+            out += lp[context(s, i), s[i]] - lp[context(s, i, p + span), s[i]]
+        return out
+
+    for how in Q.BACKGROUNDS:
+        got = {(r.seq_id, r.strand, r.pos): (r.kmer, r.log_bg) for r in Q.background_scores(df, models, order, span, how=how).collect()}
+        rows = {(i, k, p): (s[p : p + span], want(s, p, how)) for i, t in enumerate(seqs) for k, s in ((1, t), (-1, rc(t))) for p in range(len(s) - span + 1) if "N" not in s[p : p + span]}
+        assert got.keys() == rows.keys()
+        for key, (word, value) in rows.items():
+            assert got[key][0] == word and got[key][1] == pytest.approx(value)
+    letters = {(r.seq_id, r.strand, r.pos): r.lp for r in Q.letter_probabilities(df, models, order).collect()}
+    assert letters[0, 1, 4] is None and letters[0, 1, 7] == pytest.approx(lp["A", "C"])
+
+
+def test_long_texts_are_cut_evenly(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    text = "".join("ACGT"[i] for i in r.integers(4, size=70_000))
+    df = spark.createDataFrame([(1, text), (2, "ACG"), (3, ""), (4, None)], "seq_id int, seq string")
+    words = Q.kmers(df, 5).orderBy("seq_id", "pos").collect()
+    assert [x.kmer for x in words] == [text[i : i + 5] for i in range(len(text) - 4)] and [x.pos for x in words] == list(range(len(text) - 4))
+
+
+def test_profiles_and_priors(spark):
+    sites = spark.createDataFrame([(0, "ACG"), (1, "ACT"), (2, "TCG")], "seq_id int, kmer string")
+    profile = Q.position_profile(sites)
+    back = {(r.col, r.base): r.freq for r in Q.reverse_profile(profile).collect()}
+    assert back[2, "T"] == pytest.approx(2 / 3) and back[1, "G"] == 1.0
+    moved = {(r.col, r.base): (r.freq, r.is_gap) for r in Q.shift_profile(profile, 1, 3).collect()}
+    assert moved[0, "C"] == (1.0, False) and moved[2, "A"] == (0.25, True)
+    bg = spark.createDataFrame([(0, 1, p, "ACG", -3.0 - p) for p in range(3)] + [(1, 1, 0, "TCG", -2.0)], "seq_id int, strand int, pos int, kmer string, log_bg double")
+    best = Q.best_sites(bg, Q.position_profile(sites, 0.1), 1).collect()
+    assert len(best) == 1 and (best[0].seq_id, best[0].pos) == (0, 2)
+    prior = spark.createDataFrame([(0, 1, p, 1.0 + p) for p in range(3)] + [(1, 1, 0, 5.0)], "seq_id int, strand int, pos int, prior double")
+    n_valid = bg.groupBy("seq_id").agg(F.count("*").alias("n_valid"))
+    folded = {(r.seq_id, r.pos): r.log_bg for r in Q.fold_prior(bg, prior, n_valid).collect()}
+    assert folded[0, 2] == pytest.approx(-5.0 - math.log(3 / 6 * 3)) and folded[1, 0] == pytest.approx(-2.0)
+
+
+def test_samplers_agree():
+    seqs = planted(12)
+    o = motif.MotifOptions(seed=3, width=10, order=1, plateau=12, max_sweeps=60, runs=4)
+    data = motif.Sequences(seqs, 10, 1)
+    together = motif.sample_together(data, o, motif.stream(3), 4)
+    alone = [motif.sample_run(data, o, motif.stream(3, k)) for k in range(4)]
+    assert max(x[0] for x in together) == pytest.approx(max(x[0] for x in alone), rel=0.1)
+    for score, sites, _ in together:
+        assert score == pytest.approx(motif.run_score(data, sites, o))
+    old, motif.LETTERS_BYTES = motif.LETTERS_BYTES, 0  # letters made when needed give the same
+    try:
+        again = motif.sample_together(data, o, motif.stream(3), 4)
+    finally:
+        motif.LETTERS_BYTES = old
+    assert [(a[0], a[1].tolist()) for a in together] == [(b[0], b[1].tolist()) for b in again]
+
+
+def test_clr_sampling_finds_the_motif():
+    seqs = planted(15)
+    o = motif.MotifOptions(seed=5, width=10, order=1, plateau=12, max_sweeps=60, runs=4, clr_sampling=True, rank="clr")
+    data = motif.Sequences(seqs, 10, 1)
+    best = max(motif.sample_together(data, o, motif.stream(5), 4), key=lambda x: x[0])
+    words = ["".join("ACGTN"[c] for c in data.windows[i][p]) for i, p in enumerate(best[1]) if p >= 0]
+    assert sum("GGACTTTC" in w or "GAAAGTCC" in w for w in words) >= 8
+
+
+def test_shuffled_tables_are_permutations():
+    r = np.random.default_rng(6)
+    a, b = r.integers(0, 4, 40), r.integers(0, 4, 40)
+    table = np.zeros((4, 4), np.int64)
+    np.add.at(table, (a, b), 1)
+    drawn = motif.shuffled_tables(table, 4000, r)
+    assert (drawn.sum(axis=2) == table.sum(axis=1)).all() and (drawn.sum(axis=1) == table.sum(axis=0)).all() and drawn.min() >= 0
+    plain = np.zeros((4000, 4, 4), np.int64)
+    for k in range(4000):
+        np.add.at(plain[k], (a, r.permutation(b)), 1)
+    assert np.abs(drawn.mean(axis=0) - plain.mean(axis=0)).max() < 0.15 and np.abs(drawn.std(axis=0) - plain.std(axis=0)).max() < 0.1
+    assert abs(np.quantile(motif._informations(drawn), 0.9) - np.quantile(motif._informations(plain), 0.9)) < 0.02
+
+
+def test_small_statistics(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 9.0)], "g string, v double")
+    assert M.welch_t(df, "g", "v", "a", "b").first() == (None, None, None) and M.welch_t(df, "g", "v", "a", "z").first().t is None
+    assert M.normality(df.limit(0), "v").count() == 0 and M.normality(df.filter("g = 'b'"), "v").first().normal is None
+    r = np.random.default_rng(7)
+    normal = spark.createDataFrame([(float(x),) for x in r.normal(size=200)], "v double")
+    skew = spark.createDataFrame([(float(x),) for x in r.exponential(size=200)], "v double")
+    assert M.shapiro_wilk(normal, "v").first().p_value > 0.01 and M.shapiro_wilk(skew, "v").first().p_value < 1e-6
+    assert M.shapiro_wilk(df, "v").first().w is None
+    # Eleven published weights, with the first doubled to make twelve, are far from normal
+    w = M.shapiro_wilk(spark.createDataFrame([(float(x),) for x in (148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236, 236)], "v double"), "v").first()
+    assert 0.7 < w.w < 0.85 and w.p_value < 0.02
+    x = r.normal(size=(200, 2))
+    big = spark.createDataFrame([(1e9 + float(a), float(b), float(a + b)) for a, b in x], "a double, b double, c double")
+    fit = {t.term: t.coefficient for t in M.multiple_ols(big, "c", ["a", "b"]).collect()}
+    assert fit["a"] == pytest.approx(1, abs=1e-5) and fit["r2"] == pytest.approx(1)
+    near = spark.createDataFrame([(float(a), float(a + 0.01 * e), float(b)) for (a, b), e in zip(x, r.normal(size=200), strict=True)], "a double, b double, c double")
+    assert M.drop_highest_vif(near, ["a", "b", "c"]) in (["a", "c"], ["b", "c"])
+    corr = np.corrcoef(x.T)
+    values = np.linalg.eigvalsh(corr)
+    got = M.pca(spark.createDataFrame(x.tolist(), "a double, b double"), ["a", "b"], 2).select("component", "share").distinct().orderBy("component").collect()
+    assert [r.share for r in got] == pytest.approx(sorted(values / values.sum(), reverse=True))
+
+
+def test_ward_and_distances(spark):
+    rows = [("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, 1.0), ("c", 5, 4.0), ("d", 5, 4.0), ("d", 6, 1.0)]
+    d = M.distances(spark.createDataFrame(rows, "g string, k int, v double"), "g", "k", "v")
+    assert {(r.a, r.b): round(r.d, 6) for r in d.collect()}[("a", "c")] == round(math.sqrt(18), 6)
+    steps = M.ward(d).orderBy("step").collect()
+    assert {steps[0].a, steps[0].b} in ({"a", "b"}, {"c", "d"}) and steps[-1]["size"] == 4 and [s.height for s in steps] == sorted(s.height for s in steps)
+
+
+def test_cell_tails_and_drawn_pairs(spark):
+    from tidemark.operators import intervals as I
+
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(["AA"] * 20 + ["CC"] * 20)], "seq_id int, kmer string")
+    tails = {(r.base1, r.base2): r for r in M.cell_tails(Q.contingency(df)).collect()}
+    assert tails["A", "A"].significant and tails["A", "A"].tail == pytest.approx(2 * special.hypergeometric_tail(20, 20, 20, 40))
+    groups = spark.createDataFrame([(g,) for g in "abcde"], "g string")
+    pairs = I.draw_pairs(groups, "g", 6, 3)
+    assert pairs == I.draw_pairs(groups.repartition(3), "g", 6, 3) and len(pairs) == 6 and all(a != b for a, b in pairs)
+    with pytest.raises(ValueError):
+        I.centred(groups.selectExpr("1 as summit"), 5)
+    assert I.all_bins(spark.createDataFrame([(0, 60), (40, 50)], "start int, stop int")).count() == 2
+
+
+def test_a_full_join_keeps_nulls_of_the_data(spark):
+    from tidemark.operators import tables as T
+
+    a = spark.createDataFrame([(1, None, "x"), (2, 5, "y")], "k int, n int, s string")
+    b = spark.createDataFrame([(2, None), (3, 7)], "k int, m int")
+    assert sorted(map(tuple, T.full_join_zero(a, b, ["k"]).collect())) == [(1, None, "x", 0), (2, 5, "y", None), (3, 0, None, 7)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def gamma_p(a: float, x: float) -> float:
     """Regularised lower incomplete gamma function."""
@@ -96,3 +98,16 @@ def hypergeometric_tail(k: int, marked: int, drawn: int, total: int) -> float:
     lo, hi = max(0, drawn + marked - total), min(marked, drawn)
     p = lambda i: math.exp(log_choose(marked, i) + log_choose(total - marked, drawn - i) - log_choose(total, drawn))
     return min(1.0, sum(map(p, range(lo, k + 1))), sum(map(p, range(k, hi + 1))))
+
+
+def hypergeometric_tails(k, marked, drawn, total) -> np.ndarray:
+    """hypergeometric_tail for arrays: the logarithms of all factorials are summed once."""
+    k, marked, drawn, total = (np.asarray(x, np.int64) for x in (k, marked, drawn, total))
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(total.max(initial=0)) + 1)))))
+    out = np.empty(len(k))
+    for i, (a, m, d, t) in enumerate(zip(k.tolist(), marked.tolist(), drawn.tolist(), total.tolist(), strict=True)):
+        x = np.arange(max(0, d + m - t), min(m, d) + 1)
+        lp = logs[m] - logs[x] - logs[m - x] + logs[t - m] - logs[d - x] - logs[t - m - d + x] - (logs[t] - logs[d] - logs[t - d])
+        p = np.exp(lp)
+        out[i] = min(1.0, p[x <= a].sum(), p[x >= a].sum())
+    return out

@@ -254,6 +254,34 @@ def resize(df: DataFrame, width: int, start: str = "start", stop: str = "stop")
     return df.withColumns({"new_start": s, "new_stop": e})
 
 
+def summit_from_bin(df: DataFrame, start: str = "start", offset: str = "summit_offset", bin: str = "bin") -> DataFrame:
+    """Adds ``summit`` (the start plus its offset) and ``summit_in_bin``, its place counted from a bin."""
+    summit = F.col(start) + F.col(offset)
+    return df.withColumns({"summit": summit, "summit_in_bin": summit - F.col(bin)})
+
+
+def centred(df: DataFrame, width: int, summit: str = "summit") -> DataFrame:
+    """Adds new_start and new_stop, ``width`` apart with the summit in the middle. An odd width is refused, since its
+    windows would not be of that width; a null summit gives nulls."""
+    if width % 2:
+        raise ValueError("the width must be even")
+    return df.withColumns({"new_start": F.col(summit) - width // 2, "new_stop": F.col(summit) + width // 2})
+
+
+def draw_pairs(groups: DataFrame, group: str, n: int, seed: int) -> list[tuple[str, str]]:
+    """n pairs of two different groups each, drawn by a hash of the seed, the number of the draw and the group.
+
+    The names of the groups are collected: a few for each pair, since the least two hashes of a draw are its pair.
+    """
+    names = groups.select(F.col(group).alias("g")).filter("g is not null").distinct()
+    spread = names.select("g", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    ranked = spread.withColumn("h", F.xxhash64(F.lit(seed), "i", "g"))
+    two = ranked.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "g"))), 1, 2).alias("x")).orderBy("i").collect()
+    if any(len(r.x) < 2 for r in two):
+        raise ValueError("two groups are needed")
+    return [(r.x[0].g, r.x[1].g) for r in two]
+
+
 def pair_background(df: DataFrame, group: str, pairs: list[tuple[str, str]], width: int = 500, bin_width: int = 50, peak: str = "peak_name", keys: tuple[str, ...] = ("chrom", "bin")) -> DataFrame:
     """For sampled pairs of groups the regions of their common bins, resized about the centre."""
     spark = df.sparkSession

@@ -400,7 +400,9 @@ def gibbs_runs(spark: SparkSession, datasets: dict[int, list[str]] | DataFrame,
         out = [(d, o.width, b * TOGETHER + r, score, sweeps, int((sites >= 0).sum()), sites.tolist()) for r, (score, sites, sweeps) in enumerate(found)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
 
-    return frame.groupBy("dataset", "k", "block").applyInPandas(run, RUN_SCHEMA)
+    # far more partitions than groups, so that few groups share one
+    parts = min(4096, 8 * len(grid) * (8 if isinstance(datasets, DataFrame) else max(1, len(datasets))))
+    return frame.repartition(parts, "dataset", "k", "block").groupBy("dataset", "k", "block").applyInPandas(run, RUN_SCHEMA)
 
 
 def best_runs(runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
 
@@ -72,21 +72,24 @@ def drop_highest_vif(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 
 def multiple_ols(df: DataFrame, y: str, cols: Sequence[str]) -> DataFrame:
-    """(term, coefficient), with R² and adjusted R² as further terms; one pass of sums of products, solved on the driver."""
-    names = ["(intercept)", *cols]
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
-    d = df.dropna(subset=[y, *cols])
-    ys = F.col(y).cast("double")
-    sums = {f"x{i}_{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))} | {f"y{i}": F.sum(x[i] * ys) for i in range(len(x))} | {"yy": F.sum(ys * ys), "n": F.count("*")}
-    r = d.agg(*[v.alias(k) for k, v in sums.items()]).first()
-    a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(len(x))] for i in range(len(x))])
-    b = np.array([r[f"y{i}"] for i in range(len(x))])
-    scale = np.sqrt(np.diag(a))
-    beta = np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=None)[0] / scale
-    total = r["yy"] - b[0] ** 2 / r["n"]
-    r2 = 1 - (r["yy"] - beta @ b) / total
-    adjusted = 1 - (1 - r2) * (r["n"] - 1) / (r["n"] - len(x))
-    rows = [*zip(names, map(float, beta), strict=True), ("r2", float(r2)), ("adjusted_r2", float(adjusted))]
+    """(term, coefficient), with R² and adjusted R² as further terms; a pass for the means and one for the sums of
+    products of the differences from them, solved on the driver. Rows with a null are left out."""
+    d = df.dropna(subset=[y, *cols]).select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate([*cols, y])])
+    p = len(cols)
+    mean = d.agg(F.count("*").alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(p + 1)]).first()
+    n = mean["n"]
+    if n <= p + 1:
+        raise ValueError("more rows than terms are needed")
+    # products of differences from the means: products of large values would lose their digits
+    c = [F.col(f"v{i}") - mean[f"m{i}"] for i in range(p + 1)]
+    r = d.agg(*[F.sum(c[i] * c[j]).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]).first()
+    a = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
+    scale = np.sqrt(np.maximum(np.diag(a)[:p], 1e-300))
+    beta = np.linalg.lstsq(a[:p, :p] / np.outer(scale, scale), a[:p, p] / scale, rcond=None)[0] / scale
+    r2 = float(beta @ a[:p, p] / a[p, p]) if a[p, p] > 0 else float("nan")
+    adjusted = 1 - (1 - r2) * (n - 1) / (n - p - 1)
+    first = mean[f"m{p}"] - sum(x * mean[f"m{i}"] for i, x in enumerate(beta))
+    rows = [("(intercept)", float(first)), *zip(cols, map(float, beta), strict=True), ("r2", r2), ("adjusted_r2", float(adjusted))]
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
 
 
@@ -143,9 +146,12 @@ def pca(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
 
 
 def welch_t(df: DataFrame, group: str, value: str, a: str, b: str, alternative: str = "less") -> DataFrame:
-    """One row (t, df, p_value) comparing the means of two groups."""
+    """One row (t, df, p_value) comparing the means of two groups; nulls where a group has fewer than two values or
+    nothing varies."""
     g = {r[0]: r for r in df.filter(F.col(group).isin(a, b)).groupBy(group).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n")).collect()}  # two rows
-    x, y = g[a], g[b]
+    x, y = g.get(a), g.get(b)
+    if not x or not y or x.n < 2 or y.n < 2 or not x.v + y.v > 0:
+        return df.sparkSession.createDataFrame([(None, None, None)], "t double, df double, p_value double")
     u, w = x.v / x.n, y.v / y.n
     t = (x.m - y.m) / math.sqrt(u + w)
     free = (u + w) ** 2 / (u * u / (x.n - 1) + w * w / (y.n - 1))
@@ -171,23 +177,21 @@ def hypergeometric(df: DataFrame, k: str, marked: str, drawn: str, total: str, t
 
     @F.pandas_udf("double")
     def tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([special.hypergeometric_tail(*map(int, x)) for x in zip(a, b, c, d, strict=True)])
+        return pd.Series(special.hypergeometric_tails(a, b, c, d))
 
     return df.withColumn("tail", F.least(F.lit(1.0), tail(k, marked, drawn, total) * (2 if two_sided else 1)))
 
 
 def overlap_enrichment(sets: DataFrame, chosen: DataFrame, total: int, key: str = "symbol", name: str = "set_name") -> DataFrame:
     """Overlap of named sets with a chosen set: (name, set_size, overlap, tail, fdr), Benjamini-Hochberg."""
-    from pyspark.sql import Window as W
-
     n = chosen.select(key).distinct().count()
     marked = sets.select(name, key).distinct().join(chosen.select(key).distinct().withColumn("hit", F.lit(1)), key, "left")
     g = marked.groupBy(name).agg(F.count("*").alias("set_size"), F.count("hit").alias("overlap")).withColumns({"drawn": F.lit(n), "total": F.lit(total)})
     g = hypergeometric(g, "overlap", "set_size", "drawn", "total")
     # one row for each named set
-    w = W.orderBy("tail", name)
-    g = g.withColumns({"r": F.row_number().over(w), "m": F.count("*").over(W.partitionBy(F.lit(0)))})
-    fdr = F.min(F.col("tail") * F.col("m") / F.col("r")).over(W.orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, 0))
+    w = Window.orderBy("tail", name)
+    g = g.withColumns({"r": F.row_number().over(w), "m": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    fdr = F.min(F.col("tail") * F.col("m") / F.col("r")).over(Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0))
     return g.withColumn("fdr", F.least(F.lit(1.0), fdr)).select(name, "set_size", "overlap", "tail", "fdr")
 
 
@@ -227,5 +231,48 @@ def normality(df: DataFrame, value: str, points: int = 99) -> DataFrame:
 
     ps = [(i + 1) / (points + 1) for i in range(points)]
     r = df.agg(F.percentile(value, F.array(*map(F.lit, ps))).alias("q"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).first()
-    rows = [(p, float(q), NormalDist(r.m, r.s).inv_cdf(p)) for p, q in zip(ps, r.q, strict=True)]
+    normal = NormalDist(r.m, r.s) if r.s else None
+    rows = [(p, float(q), normal.inv_cdf(p) if normal else None) for p, q in zip(ps, r.q or (), strict=bool(r.q))]
     return df.sparkSession.createDataFrame(rows, "p double, sample double, normal double")
+
+
+#: Values that a Shapiro-Wilk test may have: its approximation is made for no more.
+SHAPIRO_MOST = 5000
+
+
+def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
+    """One row (n, w, p_value): the Shapiro-Wilk test of a column, by Royston's approximation, for 12 to SHAPIRO_MOST values.
+
+    Fewer values, or values that are all equal, give nulls; more are refused.
+    """
+    from statistics import NormalDist
+
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null").limit(SHAPIRO_MOST + 1).collect()
+    if len(rows) > SHAPIRO_MOST:
+        raise ValueError(f"at most {SHAPIRO_MOST} values")
+    x, n, z = np.sort(np.array([r.v for r in rows])), len(rows), NormalDist()
+    out = (n, None, None)
+    if n >= 12 and x[0] < x[-1]:
+        m = np.array([z.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        u, norm = 1 / math.sqrt(n), math.sqrt(float(m @ m))
+        # fixed values: the polynomials of the approximation
+        last = m[-1] / norm + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0], u)
+        before = m[-2] / norm + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
+        phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
+        a = m / math.sqrt(phi)
+        a[-1], a[-2], a[0], a[1] = last, before, -last, -before
+        w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+        ln = math.log(n)
+        mu = float(np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln))
+        sigma = math.exp(float(np.polyval([0.0030302, -0.082676, -0.4803], ln)))
+        out = (n, w, 1 - z.cdf((math.log(1 - w) - mu) / sigma) if w < 1 else 1.0)
+    return df.sparkSession.createDataFrame([out], "n long, w double, p_value double")
+
+
+def cell_tails(cells: DataFrame, alpha: float = 0.05, two_sided: bool = True) -> DataFrame:
+    """Cells (col1, col2, base1, base2, observed) of contingency tables with their hypergeometric tail, the smaller of
+    both sides, and whether it passes ``alpha`` spread over the 16 cells of a table."""
+    per = lambda *k: F.sum("observed").over(Window.partitionBy("col1", "col2", *k))
+    d = cells.withColumns({"__n1": per("base1"), "__n2": per("base2"), "__t": per()})
+    d = hypergeometric(d, "observed", "__n1", "__n2", "__t", two_sided)
+    return d.withColumn("significant", F.col("tail") < alpha / 16).drop("__n1", "__n2", "__t")

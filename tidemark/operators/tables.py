@@ -26,8 +26,15 @@ def keyed_lookup(x: DataFrame, y: DataFrame, on: str | list[str]) -> DataFrame:
 
 
 def full_join_zero(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Full outer join; numbers that are missing on a side become 0."""
-    return a.join(b, on, "full").na.fill(0)
+    """Full outer join; numbers of a side that has no such row become 0, nulls that a side has stay."""
+    left, right = a.withColumn("__a", F.lit(True)), b.withColumn("__b", F.lit(True))
+    out = left.join(right, on, "full")
+    numeric = {f.name for d in (a, b) for f in d.schema.fields if f.dataType.simpleString().split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")}
+
+    def filled(c: str, mark: str) -> Column:
+        return F.when(F.col(mark).isNull(), F.lit(0)).otherwise(F.col(c)).alias(c) if c in numeric else F.col(c)
+
+    return out.select(*on, *[filled(c, "__a") for c in a.columns if c not in on], *[filled(c, "__b") for c in b.columns if c not in on])
 
 
 def lookup(annotation: DataFrame, values: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
@@ -80,6 +87,14 @@ def keep_best_n(df: DataFrame, by: list[str], score: str, n: int, tie: str) -> D
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
+def drop_positions(df: DataFrame, by: list[str], order: list[str], positions: Sequence[int]) -> DataFrame:
+    """Rows at the given places of their group (1 is the first, -1 the last) go: outliers that were picked by hand."""
+    first = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    last = F.count(F.lit(1)).over(W.partitionBy(*by))
+    d = df.withColumns({"__i": first, "__n": last})
+    return d.filter(~F.col("__i").isin(*positions) & ~(F.col("__i") - F.col("__n") - 1).isin(*positions)).drop("__i", "__n")
+
+
 # -- sets ------------------------------------------------------------------------------------------------------------
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -188,6 +188,20 @@ def pair_background(spark, d):
     return out.select("pair", "user_id", "new_start", "new_stop")
 
 
+@query(f"""with {IV}, b as (select l_orderkey, l_linenumber, start, unnest(range(cast(floor(start / 50) * 50 as bigint), cast(ceil(stop / 50.0) * 50 as bigint), 50)) as bin from iv where stop > start)
+select l_orderkey, l_linenumber, bin, start + l_linenumber as summit, start + l_linenumber - bin as summit_in_bin, start + l_linenumber - 250 as new_start, start + l_linenumber + 250 as new_stop from b""")
+def summit_windows(spark, d):
+    bins = I.bin_intervals(intervals(spark, d).withColumn("summit_offset", F.col("l_linenumber").cast("long")), 50)
+    return I.centred(I.summit_from_bin(bins), 500).select("l_orderkey", "l_linenumber", "bin", "summit", "summit_in_bin", "new_start", "new_stop")
+
+
+@query()
+def drawn_pair_background(spark, d):
+    h = hours(spark, d).select("event_type", "user_id", F.col("hour").alias("bin"), F.col("user_id").alias("peak_name"))
+    pairs = I.draw_pairs(h, "event_type", 5, seed=7)
+    return I.pair_background(h, "event_type", pairs, width=24, bin_width=1, keys=("user_id", "bin")).select("pair", "user_id", "new_start", "new_stop")
+
+
 # -- filters and scalars ---------------------------------------------------------------------------------------------
 
 @query("select l_orderkey, l_linenumber from lineitem where l_quantity > 10 and l_quantity < 20 and l_discount >= 0.05 and l_returnflag <> 'N'")
@@ -284,6 +298,16 @@ def strand_positions(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.strand_position(at, n, 2).cast("long").alias("pos"), S.opposite_position(at, n, 2).cast("long").alias("other"))
 
 
+@query("select l_orderkey, l_linenumber from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as i, count(*) over (partition by l_orderkey) as n from lineitem) where i <> 2 and i <> n")
+def drop_positions(spark, d):
+    return T.drop_positions(read(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], [2, -1]).select("l_orderkey", "l_linenumber")
+
+
+@query("select user_id from events where event_type = 'purchase' intersect select user_id from events where event_type = 'error' intersect select user_id from events where event_type = 'signup' intersect select user_id from events where event_type = 'view'")
+def intersect_of_four(spark, d):
+    return users(spark, d, "purchase").intersect(users(spark, d, "error")).intersect(users(spark, d, "signup")).intersect(users(spark, d, "view"))
+
+
 # -- joins and sets --------------------------------------------------------------------------------------------------
 
 @query("select c_custkey, n_name, o_orderkey from customer join nation on c_nationkey = n_nationkey join orders on o_custkey = c_custkey")
@@ -670,11 +694,20 @@ def bonferroni(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", F.round(M.bonferroni(0.05, F.col("n")), 12).alias("cutoff"))
 
 
-@query()
+SOLVED = """c as (select covar_pop(l_extendedprice, l_extendedprice) as a, covar_pop(l_extendedprice, l_discount) as b, covar_pop(l_extendedprice, l_tax) as c, covar_pop(l_discount, l_discount) as d, covar_pop(l_discount, l_tax) as e, covar_pop(l_tax, l_tax) as f,
+covar_pop(l_extendedprice, l_quantity) as p, covar_pop(l_discount, l_quantity) as q, covar_pop(l_tax, l_quantity) as r, var_pop(l_quantity) as v, avg(l_quantity) as m, avg(l_extendedprice) as m1, avg(l_discount) as m2, avg(l_tax) as m3, count(*) as n from lineitem),
+i as (select *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) as det from c),
+k as (select *, (d * f - e * e) / det as x11, (c * e - b * f) / det as x12, (b * e - c * d) / det as x13, (a * f - c * c) / det as x22, (b * c - a * e) / det as x23, (a * d - b * b) / det as x33 from i),
+s as (select *, x11 * p + x12 * q + x13 * r as b1, x12 * p + x22 * q + x23 * r as b2, x13 * p + x23 * q + x33 * r as b3 from k),
+u as (select *, (b1 * p + b2 * q + b3 * r) / v as r2 from s)"""
+
+
+@query(f"""with {SOLVED} select term, round(coefficient, 8) as coefficient from (select unnest(['(intercept)', 'l_extendedprice', 'l_discount', 'l_tax', 'r2', 'adjusted_r2', 'vif l_extendedprice', 'vif l_discount', 'vif l_tax']) as term,
+unnest([m - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3, r2, 1 - (1 - r2) * (n - 1) / (n - 4), a * x11, d * x22, f * x33]) as coefficient from u)""")
 def multi_ols_vif(spark, d):
     l = read(spark, d, "lineitem")  # noqa: E741
     v = M.vif(l, NUM[1:]).select(F.concat(F.lit("vif "), "name").alias("term"), F.col("vif").alias("coefficient"))
-    return M.multiple_ols(l, "l_quantity", NUM[1:]).unionByName(v)
+    return M.multiple_ols(l, "l_quantity", NUM[1:]).unionByName(v).withColumn("coefficient", F.round("coefficient", 8))
 
 
 @query()
@@ -695,23 +728,48 @@ def ward_clustering(spark, d):
     return M.ward(M.distances(h, "event_type", "hour", "one"))
 
 
-@query()
+@query("""with g as (select l_returnflag as g, avg(l_extendedprice) as m, var_samp(l_extendedprice) / count(l_extendedprice) as u, count(l_extendedprice) as n from lineitem where l_returnflag in ('A', 'R') group by 1)
+select round((x.m - y.m) / sqrt(x.u + y.u), 6) as t, round((x.u + y.u) * (x.u + y.u) / (x.u * x.u / (x.n - 1) + y.u * y.u / (y.n - 1)), 3) as df from g x, g y where x.g = 'A' and y.g = 'R'""")
 def welch_t(spark, d):
-    return M.welch_t(read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", "A", "R")
+    return M.welch_t(read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", "A", "R").select(F.round("t", 6).alias("t"), F.round("df", 3).alias("df"))
 
 
 @query()
+def welch_p(spark, d):
+    return M.welch_t(read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", "A", "R")
+
+
+@query("select round(i / 100.0, 2) as p, round(v, 6) as sample from (select unnest(range(1, 100)) as i, unnest(quantile_cont(value, [x / 100.0 for x in range(1, 100)])) as v from events)")
 def normality_quantiles(spark, d):
-    return M.normality(read(spark, d, "events"), "value")
+    return M.normality(read(spark, d, "events"), "value").select(F.round("p", 2).alias("p"), F.round("sample", 6).alias("sample"))
 
 
 @query()
-def set_enrichment(spark, d):
+def qq_line(spark, d):
+    return M.normality(read(spark, d, "events"), "value")
+
+
+def enrichment(spark, d):
     e = read(spark, d, "events").select(F.col("event_type").alias("set_name"), F.col("user_id").cast("string").alias("symbol"))
     chosen = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("symbol")).agg(F.count("*").alias("n")).filter("n > 60")
     return M.overlap_enrichment(e, chosen, 200)
 
 
+@query("with c as (select user_id from events group by 1 having count(*) > 60) select event_type as set_name, count(distinct user_id) as set_size, count(distinct user_id) filter (user_id in (select user_id from c)) as overlap from events group by 1")
+def set_overlap(spark, d):
+    return enrichment(spark, d).select("set_name", "set_size", "overlap")
+
+
+@query()
+def set_enrichment(spark, d):
+    return enrichment(spark, d)
+
+
+@query()
+def contingency_tails(spark, d):
+    return M.cell_tails(Q.contingency(sites(spark, d))).withColumn("tail", F.round("tail", 9))
+
+
 # -- stochastic ------------------------------------------------------------------------------------------------------
 
 def motif_sets(spark, d) -> DataFrame:

@@ -132,6 +132,49 @@ def aligned(spark: SparkSession, path: str) -> tuple[DataFrame, str, bool]:
 
 
 def motif_report(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value) of the scores that a motif finder printed as ``name: number`` or ``name = number``."""
-    m = r"^\s*([A-Za-z][A-Za-z ]*?)\s*[:=]\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*$"
+    """(name, value) of the scores and counts that a motif finder printed as ``name: number`` or ``name = number``,
+    with a share in brackets or without."""
+    m = r"^\s*([A-Za-z][A-Za-z0-9() -]*?)\s*[:=]\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*(?:\([^)]*\))?\s*$"
     return spark.read.text(path).filter(F.col("value").rlike(m)).select(F.regexp_extract("value", m, 1).alias("name"), F.regexp_extract("value", m, 2).cast("double").alias("value"))
+
+
+def report_words(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, position, kmer, strand, score) of the aligned sites in the same reports: an index, the letters before,
+    first and last place around the word, the letters after, strand and score."""
+    m = r"^\s*(\d+)\s+[acgtnx]*\s+(-?\d+)\s+([ACGTNX]+)\s+-?\d+\s+[acgtnx]*\s+\(([+-])\)(?:\s+Score=\s*(-?[0-9.]+))?.*$"
+    part = lambda i: F.regexp_extract("value", m, i)
+    rows = spark.read.text(path).filter(F.col("value").rlike(m))
+    return rows.select(part(1).cast("int").alias("seq_id"), part(2).cast("int").alias("position"), part(3).alias("kmer"), part(4).alias("strand"), part(5).try_cast("double").alias("score"))
+
+
+def with_header(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """A table whose columns are named by its first line; types follow from all values, which is a pass of its own."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=True)
+
+
+def zipped_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True) -> DataFrame:
+    """The rows of the delimited texts inside zip archives, one archive a task, read line by line."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def lines(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in sorted(z.namelist()):
+                        with io.TextIOWrapper(z.open(name), "utf-8") as text:
+                            if header:
+                                next(text, None)
+                            part = []
+                            for line in text:
+                                part.append(line.rstrip("\r\n"))
+                                if len(part) == 10_000:
+                                    yield pa.RecordBatch.from_arrays([pa.array(part)], names=["value"])
+                                    part = []
+                            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["value"])
+
+    return files.mapInArrow(lines, "value string").select(F.from_csv("value", schema, {"sep": sep}).alias("x")).select("x.*")

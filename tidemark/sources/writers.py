@@ -24,6 +24,24 @@ def fasta(df: DataFrame, path: str, header: str = "header", seq: str = "seq") ->
     df.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), F.col(seq))).write.text(path)
 
 
+def sequences(df: DataFrame, path: str, name: str = "header", seq: str = "seq") -> None:
+    """One sequence a line, after its name and a tab."""
+    df.select(F.concat_ws("\t", F.col(name), F.col(seq))).write.text(path)
+
+
+def zipped_table(df: DataFrame, path: str, member: str = "table.tsv", sep: str = "\t") -> None:
+    """A delimited text with a header inside a zip archive. The archive is one file on the driver's machine, to which
+    the rows come one partition after another; for large tables write Parquet."""
+    import csv
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open(member, "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8", newline="") as text:
+        out = csv.writer(text, delimiter=sep, lineterminator="\n")
+        out.writerow(df.columns)
+        out.writerows(df.toLocalIterator())
+
+
 def motif_text(profile: DataFrame, path: str) -> None:
     """One line for each column of a profile: position and the four frequencies."""
     wide = profile.groupBy("col").pivot("base", list("ACGT")).agg(F.max("freq")).orderBy("col")
