@@ -1,30 +1,34 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a sentence with the short ones after it, or a stretch of a long sentence between words that a hash
-picks; so a passage that sits in the middle of another text is cut as it is elsewhere. Each paragraph of at least
-``min_words`` words is a set of word n-grams. Equal paragraphs meet by their digest. For others, bands of MinHash
-values are tuned so that a pair at the threshold shares one with the wanted recall; those that collide are compared
-with the smallest of their band and with the one before, the exact Jaccard similarity decides, and links become
-components. Bands that then hold several components are walked in blocks, all members across components. The first paragraph of a component stays, the others are removed where they form a run of at least
-``min_run`` words with their neighbours: single common sentences are no repeated passage.
+A paragraph is a sentence or line of at least ``min_words`` words with the short ones after it, several short ones in
+a row, or a stretch of a long sentence between words that a hash picks; so a passage that sits in the middle of
+another text is cut as it is elsewhere. Each is a set of word n-grams. Equal paragraphs meet by their digest. For
+others, bands of MinHash values are tuned so that a pair at the threshold shares one with the wanted recall; those that
+collide are compared with the smallest of their band and with the one before, the exact Jaccard similarity decides,
+and links become components. Bands that then hold several components are walked in blocks, all members across
+components.
+
+Paragraphs whose component occurs in several documents form runs with their neighbours. A run goes on, word by word,
+into the paragraphs beside it, as far as another run that begins (or ends) with the same component does the same.
+Runs of at least ``min_run`` words count: single common sentences are no repeated passage. The first occurrence of a
+component stays, the others are removed. What repeats inside a document alone is counted apart.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, bound_batches, components, fresh, id_bits, maybe_in, mix, odd, read, released, signed
 from .ngram_join import PRUNE_BITS, _exact
 
 #: A sentence of more words is cut after words whose hash is a multiple of CUT.
-LONG, CUT = 64, 16
+LONG, CUT = 24, 12
 _STOPS = (".", "!", "?")
 #: Words of 64 bits in the filters over paragraphs.
 FILTER = 1 << 17
@@ -32,6 +36,10 @@ FILTER = 1 << 17
 BLOCK = 2048
 #: The chance with which a pair at the threshold must share a band, and the minima in a band.
 RECALL, ROWS = 0.997, 2
+#: Words beside a run into which it may go on; not less than the words that a run needs.
+BESIDE = 64
+#: Digests that a task remembers, not to emit the bands of a paragraph again.
+REMEMBERED = 1 << 18
 
 
 def tune_bands(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -40,47 +48,121 @@ def tune_bands(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
 
 
 class _StringHash(dict):
+    """The hash of a word, its lowest bit set where the word ends a sentence."""
+
     def __missing__(self, word: str) -> int:
         if len(self) >= 1 << 18:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode()) & ~1 | (word[-1:] in _STOPS and word != "")
         return h
 
 
-def paragraphs(text: str, hashes: dict, min_words: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """Word hashes of a text, and its paragraphs in order: first word, past word, start and end in characters."""
-    every: list[np.ndarray] = []
-    out: list[tuple[int, int, int, int]] = []
-    at = base = 0
-    for line in text.split("\n"):
-        words = line.split(" ")
+class Parsed:
+    """Some texts as the words of all of them: hash, start and end in characters; and their paragraphs.
+
+    Words stand between spaces and line ends. ``bounds`` are the places of each text's words, ``first`` and ``past``
+    those of each paragraph, ``owner`` is a paragraph's text and ``number`` its place among the text's paragraphs.
+    """
+
+    def __init__(self, texts: list[str], hashes: _StringHash, min_words: int):
+        words: list[str] = []
+        sizes: list[int] = []  # words of each line
+        lines: list[int] = []  # lines of each text
+        for text in texts:
+            rows = text.split("\n")
+            lines.append(len(rows))
+            for row in rows:
+                split = row.split(" ")
+                sizes.append(len(split))
+                words += split
         n = len(words)
-        if n >= min_words:
-            ends = [i for i, w in enumerate(words, 1) if w[-1:] in _STOPS and w]
-            if not ends or ends[-1] != n:
-                ends.append(n)
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-            every.append(h)
-            made: list[list[int]] = []
-            begin = 0
-            for end in ends:
-                if end - begin > LONG:
-                    for c in (begin + 1 + np.flatnonzero(h[begin : end - 1] % np.uint64(CUT) == 0)).tolist():
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        length = np.fromiter(map(len, words), np.int64, n)
+        # one character stands between words, be it a space or a line end
+        at = np.cumsum(length + 1) - length - 1
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        text_of = np.repeat(np.arange(len(texts)), lines)[line] if n else np.zeros(0, np.int64)
+        begin = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes, np.concatenate(([0], np.cumsum(lines)[:-1]))))[:-1])) if texts else np.zeros(0, np.int64)
+        at -= at[begin][text_of] if n else 0
+        keep = length > 0
+        self.h, self.start, line, self.text_of = h[keep], at[keep], line[keep], text_of[keep]
+        self.end = self.start + length[keep]
+        self.bounds = np.searchsorted(self.text_of, np.arange(len(texts) + 1))
+        last = np.concatenate((line[1:] != line[:-1], [True])) if len(line) else np.zeros(0, bool)
+        ends = np.flatnonzero(last | (self.h & np.uint64(1) > 0)) + 1
+        units = self._units(ends.tolist(), min_words)
+        self.first = np.array([p for p, _ in units], np.int64)
+        self.past = np.array([q for _, q in units], np.int64)
+        self.owner = self.text_of[self.first] if len(units) else np.zeros(0, np.int64)
+        opens = np.searchsorted(self.owner, np.arange(len(texts)))
+        self.number = np.arange(len(units)) - opens[self.owner] if len(units) else np.zeros(0, np.int64)
+
+    def _units(self, ends: list[int], min_words: int) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        breaks = set(self.bounds[1:].tolist())
+        sentence = begin = low = 0  # the sentence, the first word in no paragraph yet, the text's first paragraph
+        for end in ends:
+            size = end - sentence
+            if size >= min_words:
+                if sentence > begin and len(out) > low:  # short ones go with the paragraph before them, if there is one
+                    out[-1] = (out[-1][0], sentence)
+                    begin = sentence
+                if size > LONG:
+                    for c in (sentence + 1 + np.flatnonzero(self.h[sentence : end - 1] % np.uint64(2 * CUT) < 2)).tolist():
                         if c - begin >= min_words and end - c >= min_words:
-                            made.append([begin, c])
+                            out.append((begin, c))
                             begin = c
-                if end - begin >= min_words:
-                    made.append([begin, end])
-                elif made:
-                    made[-1][1] = end
-                else:
-                    continue  # a short beginning goes with what follows
+                out.append((begin, end))
                 begin = end
-            begins = [0, *accumulate(map(len, words))]
-            out += [(base + p, base + q, at + begins[p] + p, at + begins[q] + q - 1) for p, q in made]
-            base += n
-        at += len(line) + 1
-    return (np.concatenate(every) if every else np.zeros(0, np.uint64)), out
+            elif end - begin >= min_words:  # enough short ones in a row
+                out.append((begin, end))
+                begin = end
+            sentence = end
+            if end in breaks:  # the text ends
+                if begin < end and len(out) > low:
+                    out[-1] = (out[-1][0], end)
+                begin, low = end, len(out)
+        return out
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each paragraph's words in their order."""
+        if not len(self.first):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # every word belongs to one paragraph or none; edges come in pairs
+        place = np.arange(len(self.h), dtype=np.uint64)
+        owner = np.zeros(len(self.h), np.uint64)
+        sizes = self.past - self.first
+        inside = np.repeat(self.first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        owner[inside] = np.repeat(self.first, sizes).astype(np.uint64)
+        value = mix(self.h + (place - owner) * odd(3))[inside]
+        edges = np.cumsum(sizes) - sizes
+        size = sizes.astype(np.uint64)
+        one = mix(np.add.reduceat(value, edges) + size)
+        two = mix(np.add.reduceat(value * odd(4) ^ (value >> np.uint64(31)), edges) + size * odd(5))
+        return signed(one), signed(two)
+
+    def shingles(self, n: int) -> np.ndarray:
+        return _shingles(self.h, n)
+
+    def band_keys(self, sh: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
+        """A row of band keys for each paragraph: hashes of ``rows`` minima over its shingles."""
+        out = np.zeros((len(self.first), bands), np.uint64)
+        if not len(out):
+            return out
+        edges = np.column_stack((self.first, self.past - n + 1)).ravel()
+        # a last edge at the end of the array is left out: the last paragraph then runs to the end
+        edges = edges[:-1] if edges[-1] == len(sh) else edges
+        for k in range(bands):
+            for r in range(rows):
+                least = np.minimum.reduceat(sh * odd(500 + k * rows + r), edges)[::2]
+                out[:, k] = mix(out[:, k] + least + np.uint64(k + 1))
+        return out
+
+
+def paragraphs(text: str, hashes: _StringHash, min_words: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Word hashes of a text, and its paragraphs in order: first word, past word, start and end in characters."""
+    p = Parsed([text], hashes, min_words)
+    return p.h, [(a, b, int(p.start[a]), int(p.end[b - 1])) for a, b in zip(p.first.tolist(), p.past.tolist(), strict=True)]
 
 
 def _shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -91,24 +173,6 @@ def _shingles(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def _band_keys(sh: np.ndarray, units: list[tuple[int, int, int, int]], n: int, bands: int, rows: int) -> np.ndarray:
-    """A row of band keys for each paragraph: hashes of ``rows`` minima over its shingles."""
-    edges = np.array([x for p, q, *_ in units for x in (p, q - n + 1)], np.int64)
-    # a last edge at the end of the array is left out: the last paragraph then runs to the end
-    edges = edges[:-1] if edges[-1] == len(sh) else edges
-    out = np.zeros((len(units), bands), np.uint64)
-    for k in range(bands):
-        for r in range(rows):
-            least = np.minimum.reduceat(mix(sh ^ odd(500 + k * rows + r)), edges)[::2]
-            out[:, k] = mix(out[:, k] + least + np.uint64(k + 1))
-    return out
-
-
-def _digest(text: str) -> tuple[int, int]:
-    raw = np.frombuffer(xxhash.xxh3_128_digest(text.encode()), np.int64)
-    return int(raw[0]), int(raw[1])
-
-
 _UNITS = "rid long, doc_id long, th long, total int, u int, n int, s int, e int, d long, d2 long, bands array<long>"
 
 
@@ -116,22 +180,27 @@ def _cut(n: int, bands: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _StringHash(), set()
         for batch in batches:
-            out: list[list] = [[] for _ in range(11)]
-            rid, doc, th = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            for i, text in enumerate(batch.column(3)):
-                text, rows = text.as_py() if text.is_valid else "", []
-                h, found = paragraphs(text, hashes, min_words)
-                keys = signed(_band_keys(_shingles(h, n), found, n, bands, ROWS)) if found else None
-                for u, (p, q, s, e) in enumerate(found):
-                    d = _digest(text[s:e])
-                    new = d not in seen
-                    seen.add(d)
-                    rows.append((u, q - p, s, e, *d, keys[u] if new else None))
-                for r in rows or [(-1, 0, 0, 0, 0, 0, None)]:
-                    for c, v in zip(out, (rid[i], doc[i], th[i], len(rows), *r), strict=True):
-                        c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[f.split()[0] for f in _UNITS.split(", ")])
+            parsed = Parsed([t.as_py() if t.is_valid else "" for t in batch.column(3)], hashes, min_words)
+            d, d2 = parsed.digests()
+            keys = signed(parsed.band_keys(parsed.shingles(n), n, bands, ROWS))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            new = np.zeros(len(d), bool)
+            for i, x in enumerate(zip(d.tolist(), d2.tolist(), strict=True)):
+                if x not in seen:
+                    seen.add(x)
+                    new[i] = True
+            # texts without a paragraph have a row too
+            bare = np.setdiff1d(np.arange(batch.num_rows), parsed.owner)
+            owner = np.concatenate((parsed.owner, bare))
+            total = np.bincount(parsed.owner, minlength=batch.num_rows)[owner]
+            rest = np.zeros(len(bare), np.int64)
+            take = pa.array(owner)
+            ints = [np.concatenate((x, rest + y)).astype(np.int32) for x, y in ((parsed.number, -1), (parsed.past - parsed.first, 0), (parsed.start[parsed.first], 0), (parsed.end[parsed.past - 1], 0))]
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate((new, rest > 0)) * bands))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[new].ravel()), mask=pa.array(~np.concatenate((new, rest > 0))))
+            cols = [*(batch.column(k).take(take) for k in range(3)), pa.array(total.astype(np.int32)), *map(pa.array, ints), pa.array(np.concatenate((d, rest))), pa.array(np.concatenate((d2, rest))), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _UNITS.split(", ")])
 
     return run
 
@@ -140,18 +209,18 @@ def _wanted_sets(n: int, min_words: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done, bits = _StringHash(), set(), shared.value
         for batch in batches:
-            ids, sets = [], []
-            for text in batch.column(0):
-                text = text.as_py()
-                h, found = paragraphs(text, hashes, min_words)
-                sh = _shingles(h, n)
-                for p, q, s, e in found:
-                    d, d2 = _digest(text[s:e])
-                    spot = d & (PRUNE_BITS - 1)
-                    if bits[spot >> 3] >> (spot & 7) & 1 and (d, d2) not in done:
-                        done.add((d, d2))
-                        ids.append(d)
-                        sets.append(signed(np.unique(sh[p : q - n + 1])))
+            parsed = Parsed(batch.column(0).to_pylist(), hashes, min_words)
+            d, d2 = parsed.digests()
+            spot = d & (PRUNE_BITS - 1)
+            sh, ids, sets = parsed.shingles(n), [], []
+            if len(done) > REMEMBERED:
+                done.clear()
+            for i in np.flatnonzero((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).tolist():
+                x = (int(d[i]), int(d2[i]))
+                if x not in done:
+                    done.add(x)
+                    ids.append(x[0])
+                    sets.append(signed(np.unique(sh[parsed.first[i] : parsed.past[i] - n + 1])))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
     return run
@@ -226,42 +295,118 @@ def _crowded(keys: DataFrame, near: DataFrame, sets: DataFrame, percent: int, sc
     return scratch.cut(held.select("k", "i", "j", "d", "c", "block", "items").mapInArrow(released(_walk(percent)), "a long, b long").distinct())
 
 
-_FOUND = "rid long, repeated array<int>, removed array<int>, classes array<long>, words_repeated long, words_removed long"
+_EDGES = "rid long, u int, side int, c long, beside array<int>, spots array<int>"
 
 
-def _runs(min_run: int):
-    """Of each document's repeated paragraphs (u, n, s, e, first, class), the runs that are long enough."""
+def _runs_of(units: list[dict]) -> list[list[dict]]:
+    """Runs of neighbouring paragraphs, those across documents and those inside one apart."""
+    out: list[list[dict]] = []
+    for x in sorted(units, key=lambda x: x["u"]):
+        if out and out[-1][-1]["u"] + 1 == x["u"] and out[-1][-1]["across"] == x["across"]:
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
+
+
+def _edges(min_words: int):
+    """The words beside each run across documents, the nearest first, and where they end (side 0) or begin (side 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _StringHash()
         for batch in batches:
+            parsed = Parsed(batch.column(1).to_pylist(), hashes, min_words)
+            short = signed(parsed.h).view(np.int32)[1::2]  # the upper half of each hash
+            opens = np.searchsorted(parsed.owner, np.arange(batch.num_rows))
             rows = []
-            for rid, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                units.sort(key=lambda x: x["u"])
-                keep, run_of = [], []
-                for x in units:
-                    if run_of and x["u"] != run_of[-1]["u"] + 1:
-                        keep += run_of if sum(y["n"] for y in run_of) >= min_run else []
-                        run_of = []
-                    run_of.append(x)
-                keep += run_of if sum(y["n"] for y in run_of) >= min_run else []
-                gone = [x for x in keep if not x["first"]]
-                flat = lambda xs: [v for x in xs for v in (x["s"], x["e"])]
-                rows.append((rid, flat(keep), flat(gone), sorted({x["c"] for x in keep}), sum(x["n"] for x in keep), sum(x["n"] for x in gone)))
-            types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            for i, (rid, units) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for x in _runs_of(units):
+                    if x[0]["across"]:
+                        first, past = parsed.first[opens[i] + x[0]["u"]], parsed.past[opens[i] + x[-1]["u"]]
+                        low, high = max(parsed.bounds[i], first - BESIDE), min(parsed.bounds[i + 1], past + BESIDE)
+                        if low < first:
+                            rows.append((rid, x[0]["u"], 0, x[0]["c"], short[low:first][::-1], parsed.start[low:first][::-1]))
+                        if past < high:
+                            rows.append((rid, x[0]["u"], 1, x[-1]["c"], short[past:high], parsed.end[past:high]))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in _EDGES.split(", ")])
+
+    return run
+
+
+def _shared_words(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of each edge (rid, u, side) how many words go on as beside another run, and where the last of them stands.
+
+    Edges with the same words are one. Among the others of a component and side that begin with the same word, sorted,
+    the most that one shares with any other it shares with a neighbour.
+    """
+    kinds = edges.groupBy("side", "c", "beside").agg(F.count("*").alias("n"))
+    per = "over (partition by side, c, beside[0] order by beside)"
+    kinds = kinds.withColumns({"p": F.expr(f"lag(beside) {per}"), "q": F.expr(f"lead(beside) {per}")})
+
+    def common(other: str) -> Column:
+        same = F.zip_with("beside", F.coalesce(F.col(other), F.array().cast("array<int>")), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long"))
+
+    shared = F.when(F.col("n") > 1, F.size("beside").cast("long")).otherwise(F.least(F.greatest(common("p"), common("q")), F.size("beside").cast("long")))
+    kinds = kinds.select("side", "c", "beside", shared.cast("int").alias("more")).filter("more > 0")
+    met = edges.join(kinds, ["side", "c", "beside"])
+    return scratch.cut(met.select("rid", "u", "side", "more", F.get("spots", F.col("more") - 1).alias("spot")))
+
+
+_FOUND = "rid long, repeated array<int>, removed array<int>, classes array<long>, words_repeated long, words_removed long, words_inside long"
+
+
+def _runs(min_run: int):
+    """Of each document's repeated paragraphs (u, n, s, e, first, c, across) and edges (u, side, more, spot), the runs
+    that are long enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for rid, units, beside in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                more = {(x["u"], x["side"]): x for x in beside or ()}
+                kept, gone, classes = [], [], set()
+                words = removed = inside = 0
+                for x in _runs_of(units):
+                    ends = [more.get((x[0]["u"], side)) for side in (0, 1)] if x[0]["across"] else [None, None]
+                    extra = [e["more"] if e else 0 for e in ends]
+                    own = sum(y["n"] for y in x)
+                    if own + sum(extra) < min_run:
+                        continue
+                    if not x[0]["across"]:
+                        inside += own
+                        continue
+                    spans = [[y["s"], y["e"], y["n"], y["first"]] for y in x]
+                    for k, e, i in ((0, ends[0], 0), (-1, ends[1], 1)):
+                        if e:
+                            spans[k][i] = e["spot"]
+                            spans[k][2] += e["more"]
+                    kept += [v for y in spans for v in y[:2]]
+                    gone += [v for y in spans if not y[3] for v in y[:2]]
+                    words += sum(y[2] for y in spans)
+                    removed += sum(y[2] for y in spans if not y[3])
+                    classes |= {y["c"] for y in x}
+                rows.append((rid, kept, gone, sorted(classes), words, removed, inside))
+            types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in _FOUND.split(", ")])
 
     return run
 
 
-def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int = 8, min_run: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int = 8, min_run: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Repeated passages of every document: a row for each input row.
 
     Columns: doc_id, text_hash (xxhash64 of the text), n_paragraphs, repeated and removed (flat arrays of start, end in
-    characters), classes (array of component ids), words_repeated, words_removed. The first occurrence is that of the
-    smallest document id, nulls last; a passage repeated inside one document counts too. Null and empty texts have no
-    paragraphs. Rows with equal ids are separate documents, in the order in which they are read.
+    characters), classes (array of component ids), words_repeated, words_removed, and words_inside, of passages that
+    repeat in this document alone. The first occurrence is that of the smallest document id, nulls last; later ones in
+    the same document are removed too. Null and empty texts have no paragraphs. Rows with equal ids are separate
+    documents, in the order in which they are read. ``min_words`` must not be less than n, nor min_run more than BESIDE.
     """
+    if min_words < n or min_run > BESIDE:
+        raise ValueError(f"min_words must be n or more, min_run {BESIDE} or less")
     spark = docs.sparkSession
     scratch, bands = Scratch(spark), tune_bands(percent)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -278,7 +423,7 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     for r in rows:
         prune[r.w] = r.m
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
-    sets = scratch.cut(texts.mapInArrow(_wanted_sets(n, min_words, spark.sparkContext.broadcast(prune.view(np.uint8))), "id long, items array<long>").groupBy("id").agg(F.min("items").alias("items")))
+    sets = scratch.cut(texts.mapInArrow(released(_wanted_sets(n, min_words, spark.sparkContext.broadcast(prune.view(np.uint8)))), "id long, items array<long>").groupBy("id").agg(F.min("items").alias("items")))
     two = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     links = scratch.cut(two.mapInArrow(released(_exact(percent)), "a long, b long"))
     near = scratch.cut(components(links, scratch).withColumnRenamed("id", "d"))
@@ -292,22 +437,33 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     known = known.withColumns({"c": F.coalesce("component", "d"), "c2": F.when(F.col("component").isNull(), F.col("d2")).otherwise(F.lit(0))}).drop("component")
     known = known.unionByName(real.filter(~linked).withColumns({"c": F.col("d"), "c2": F.col("d2")}))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "rid", "u")
-    first = scratch.cut(known.groupBy("c", "c2").agg(F.min(place).alias("first"), F.count("*").alias("size")).filter("size > 1"))
+    first = scratch.cut(known.groupBy("c", "c2").agg(F.min(place).alias("first"), F.count("*").alias("size"), (F.min("rid") < F.max("rid")).alias("across")).filter("size > 1"))
     bits = scratch.cut(id_bits(first.select("c").distinct(), "c", FILTER))
-    again = known.filter(maybe_in(bits, "c", FILTER)).join(first.select("c", "c2", "first"), ["c", "c2"])
-    again = again.select("rid", F.struct("u", "n", "s", "e", (F.col("first.rid").eqNullSafe(F.col("rid")) & (F.col("first.u") == F.col("u"))).alias("first"), "c").alias("x"))
-    found = again.groupBy("rid").agg(F.collect_list("x").alias("xs")).mapInArrow(released(_runs(min_run)), _FOUND)
+    again = known.filter(maybe_in(bits, "c", FILTER)).join(first.select("c", "c2", "first", "across"), ["c", "c2"])
+    again = again.select("rid", "doc_id", "th", F.struct("u", "n", "s", "e", (F.col("first.rid").eqNullSafe(F.col("rid")) & (F.col("first.u") == F.col("u"))).alias("first"), "c", "across").alias("x"))
+    per = scratch.cut(again.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.collect_list("x").alias("xs")))
+    # texts with runs across documents, one of each, for the words beside the runs
+    runs = per.filter(F.exists("xs", lambda x: x["across"])).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    some = scratch.cut(id_bits(runs.select("th").distinct(), "th", FILTER))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter("text is not null")
+    texts = texts.filter(maybe_in(some, "th", FILTER)).groupBy("doc_id", "th").agg(F.min("text").alias("text"))
+    edges = scratch.cut(runs.join(texts, ["doc_id", "th"]).select("rid", "text", "xs").mapInArrow(released(_edges(min_words)), _EDGES))
+    more = _shared_words(edges, scratch).groupBy("rid").agg(F.collect_list(F.struct("u", "side", "more", "spot")).alias("beside"))
+    found = per.join(more, "rid", "left").select("rid", "xs", "beside").mapInArrow(released(_runs(min_run)), _FOUND)
     every = units.filter("u <= 0").select("rid", "doc_id", F.col("th").alias("text_hash"), F.col("total").cast("long").alias("n_paragraphs"))
     none = F.array()
     out = every.join(found, "rid", "left")
-    return scratch.last(out.select("doc_id", "text_hash", "n_paragraphs", F.coalesce("repeated", none.cast("array<int>")).alias("repeated"), F.coalesce("removed", none.cast("array<int>")).alias("removed"), F.coalesce("classes", none.cast("array<long>")).alias("classes"), F.coalesce("words_repeated", F.lit(0)).cast("long").alias("words_repeated"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed")))
+    return scratch.last(out.select("doc_id", "text_hash", "n_paragraphs", F.coalesce("repeated", none.cast("array<int>")).alias("repeated"), F.coalesce("removed", none.cast("array<int>")).alias("removed"), F.coalesce("classes", none.cast("array<long>")).alias("classes"), F.coalesce("words_repeated", F.lit(0)).cast("long").alias("words_repeated"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"), F.coalesce("words_inside", F.lit(0)).cast("long").alias("words_inside")))
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without the removed spans of find_repeats, in the same columns."""
+    """The rows of docs without the removed spans of find_repeats, in the same columns.
+
+    Rows with equal id and text are one document here, which keeps what any of them keeps. A null text stays null.
+    """
     bound_batches(docs.sparkSession)
     a, b, gone = fresh(docs, "__id", "__hash", "__gone")
-    per = found.groupBy(F.col("doc_id").alias(a), F.col("text_hash").alias(b)).agg(F.max("removed").alias(gone))
+    per = found.groupBy(F.col("doc_id").alias(a), F.col("text_hash").alias(b)).agg(F.min_by("removed", F.size("removed")).alias(gone))
     joined = docs.join(per, F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left").select(*docs.columns, gone)
     at, width = docs.columns.index(text_col), len(docs.columns)
 
@@ -322,11 +478,11 @@ def remove_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", te
             cols[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:width])
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(released(run), docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its paragraphs, repeated and removed words and spans, and the classes it belongs to."""
     out = find_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return out.select("doc_id", "n_paragraphs", "words_repeated", "words_removed", joined("repeated").alias("repeated_spans"), joined("removed").alias("removed_spans"), joined("classes").alias("class_ids"))
+    return out.select("doc_id", "n_paragraphs", "words_repeated", "words_removed", "words_inside", joined("repeated").alias("repeated_spans"), joined("removed").alias("removed_spans"), joined("classes").alias("class_ids"))
