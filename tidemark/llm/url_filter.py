@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions, short hash prefixes, full digests, rule precedence.
 
-Each URL is expanded into all pairs of a suffix of its host (at label borders) and a prefix of its path (of the
-lengths that rules have). Expressions and rules meet in an equi-join on four bytes of their digest; the full digest
+Each URL is expanded into all pairs of a suffix of its host (at label borders, of as many labels as rules have) and a
+prefix of its path (of the lengths that rules have), so that a long host or path costs no more than a short one. Expressions and rules meet in an equi-join on four bytes of their digest; the full digest
 confirms, and of the rules that fit a URL the longest wins. Equal expressions are joined once however many URLs hold
 them, so a host that a third of the pages share is one row of that join.
 """
@@ -47,15 +47,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     """
     added = ["host", "path", "rule", "verdict"]
     base = pages.drop(*added)
-    expr, digest, key, fit, sizes = fresh(base, "__expr", "__digest", "__key", "__fit", "__sizes")
+    expr, digest, key, fit, sizes, depths = fresh(base, "__expr", "__digest", "__key", "__fit", "__sizes", "__depths")
     host, path = host_and_path(F.col(url_col))
     base = base.withColumns({"host": host, "path": path})
     rules = rules.filter("verdict is not null and host is not null and path is not null").select("verdict", F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"))
-    # as many lengths as rule paths have, and no more than a URL has characters
+    # as many lengths as rule paths have, and as many label counts as rule hosts
     base = base.withColumn(sizes, rules.agg(F.array_sort(F.collect_set(F.length("rule_path"))).alias("l")).scalar())
+    base = base.withColumn(depths, rules.agg(F.array_sort(F.collect_set(F.size(F.split("rule_host", r"\.", -1)))).alias("l")).scalar())
     lengths = F.col(sizes)
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.filter(F.col(depths), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p")))))
     # one row for each host and path prefix that occurs, with all its expressions
