@@ -32,7 +32,7 @@ from .common import Scratch, WordHash, components, mix, odd, read, released, shi
 
 #: Times a set is dealt with other hashes before its empty parts become tiles too.
 DEALS = 8
-#: Pairs that a task remembers, not to emit them again.
+#: Pairs, or digests of texts, that a task remembers, not to emit them again.
 REMEMBERED = 500_000
 #: Rows of one block of an open tile.
 BLOCK = 2048
@@ -125,6 +125,8 @@ def _sign(n: int, percent: int):
         words, bands, seen = WordHash(), Bands(percent), {}
         for batch in batches:
             rows = []
+            if len(seen) > REMEMBERED:
+                seen.clear()  # later copies have signatures of their own, and equal sets are linked all the same
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 split = _words(text.as_py()) if text.is_valid else []
                 digest = xxhash.xxh3_128_digest(b" ".join(split)) if split else None
