@@ -233,6 +233,61 @@ def test_toxicity_on_held_out_documents(spark, empty):
     assert T.without_toxic(df, none).count() == len(rows) and T.without_toxic(empty, model).count() == 0
 
 
+def test_toxicity_of_repeated_ids_and_odd_columns(spark):
+    rows = [(i % 40, f"{'vile scum ' if i % 40 < 12 else 'good word '} t{i % 40} plain", i, i, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int, grade int, row int")
+    labels = spark.createDataFrame([(i, 1, int(i < 12)) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    seen = []
+    fit = T.fit_ordinal
+    T.fit_ordinal = lambda rows, cols, grades, n: seen.append(len(grades)) or fit(rows, cols, grades, n)
+    try:
+        model = T.fit_severity(df, labels, sample=30)
+    finally:
+        T.fit_ordinal = fit
+    assert seen == [30]  # one row for each id
+    kept = T.without_toxic(df, model)
+    assert kept.columns == df.columns and kept.count() == 2800
+    scored, (severity, p) = T.score_severity(df, model)
+    assert scored.select("doc_id", severity, p).distinct().count() == 40
+    # at the limit itself a document goes
+    edge = T.Severity(np.zeros(0, np.int64), np.zeros(0), np.zeros(1))
+    assert T.without_toxic(df, edge, limit=0.5).count() == 0 and T.without_toxic(df, edge, limit=0.51).count() == 4000
+
+
+def plain_severity(x, y, l2, rounds=6000):
+    """Gradient descent on the same penalised likelihood, term by term."""
+    k = int(y.max()) + 1
+    w, theta = np.zeros(x.shape[1]), np.linspace(-1, 1, k - 1)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(rounds):
+        gw, gt = l2 * w, np.zeros(k - 1)
+        z = x @ w
+        for j in range(k):
+            on = y == j
+            up = sig(theta[j] - z[on]) if j < k - 1 else np.ones(on.sum())
+            lo = sig(theta[j - 1] - z[on]) if j else np.zeros(on.sum())
+            p = up - lo
+            du, dl = up * (1 - up) / p, lo * (1 - lo) / p
+            gw = gw + x[on].T @ (du - dl) / len(y)
+            if j < k - 1:
+                gt[j] -= du.sum() / len(y)
+            if j:
+                gt[j - 1] += dl.sum() / len(y)
+        w, theta = w - 0.5 * gw, theta - 0.5 * gt
+    return w, theta
+
+
+def test_ordinal_fit_against_plain():
+    r = np.random.default_rng(8)
+    x = r.integers(0, 2, (300, 4))
+    z = x @ [1.5, -1.0, 0.5, 0.0] + r.logistic(size=300)
+    y = (z > 0).astype(int) + (z > 2).astype(int)
+    rows, cols = np.nonzero(x)
+    w, theta = T.fit_ordinal(rows, cols, y, 4, l2=0.01, steps=3000)
+    want_w, want_theta = plain_severity(x, y, 0.01)
+    assert w == pytest.approx(want_w, abs=0.03) and theta == pytest.approx(want_theta, abs=0.03)
+
+
 def test_thresholds_are_ordered():
     r = np.random.default_rng(1)
     x = r.integers(0, 2, (400, 3))
@@ -279,34 +334,90 @@ def test_near_paragraphs_and_bands(spark):
         v = list(w)
         v[30] = f"edit{i}"
         rows.append((i, " ".join(v) + "."))
-    got = {x.doc_id: x.words_removed for x in SD.find_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {x.doc_id: x.words_removed for x in SD.find_repeats(spark.createDataFrame(rows, DOCS), min_run=20).collect()}
     assert got[0] == 0 and sum(v > 0 for v in got.values()) == 4
 
 
 def test_near_paragraphs_of_a_crowded_band(spark, monkeypatch):
     r = random.Random(3)
-    hot, rows = prose(r, 40, 5000), []
-    for i in range(150):  # two of a class, which shares most of its shingles with all others
-        own = [f"c{i}x{j}" for j in range(9)]
-        rows += [(len(rows), " ".join([hot, *own]) + "."), (len(rows) + 1, " ".join([hot, *own[:4], "edit", *own[5:]]) + ".")]
+    hot, rows = prose(r, 14, 5000), []
+    for i in range(150):  # two of a class, which shares half of its shingles with all others
+        own = [f"c{i}x{j}" for j in range(10)]
+        rows += [(len(rows), " ".join([hot, *own]) + "."), (len(rows) + 1, " ".join([hot, *own[:9], "edit"]) + ".")]
     r.shuffle(rows)
-    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(45)} for d, t in rows}
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(20)} for d, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert sorted(links) == [(a, a + 1) for a in range(0, 300, 2)]
     monkeypatch.setattr(SD, "BLOCK", 40, raising=False)  # many blocks
-    got = {x.doc_id: x.classes for x in SD.find_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {x.doc_id: x.classes for x in SD.find_repeats(spark.createDataFrame(rows, DOCS), min_run=20).collect()}
 
     def bands(text):
-        h, units = SD.paragraphs(text, SD._StringHash(), 8)
-        return SD._band_keys(SD._shingles(h, 5), units, 5, SD.tune_bands(80), SD.ROWS)[0]
+        units = SD.Parsed([text], SD._StringHash(), 8)
+        return units.band_keys(units.shingles(5), 5, SD.tune_bands(80), SD.ROWS)
 
-    # each link that shares a band, and no other
+    def meet(a, b):
+        return bool(set(bands(a).ravel().tolist()) & set(bands(b).ravel().tolist()))
+
+    # links of which some paragraphs share a band, and no other
     texts = dict(rows)
-    assert {(a, b) for a, b in links if got[a] and got[a] == got[b]} == (share := {(a, b) for a, b in links if (bands(texts[a]) == bands(texts[b])).any()})
+    assert {(a, b) for a, b in links if got[a] and got[a] == got[b]} == (share := {(a, b) for a, b in links if meet(texts[a], texts[b])})
     assert len(share) >= 0.98 * len(links)
     assert len({tuple(x) for x in got.values() if x}) == len(share)
 
 
+def test_paragraphs_of_many_texts_are_those_of_each():
+    r = random.Random(15)
+    texts = ["\n".join(" ".join(f"w{r.randrange(50)}" + r.choice(["", "", "", "."]) for _ in range(r.choice([0, 1, 3, 9, 40, 200]))) for _ in range(r.randrange(1, 9))) for _ in range(60)] + ["", "  ", "\n\n", "a  b\n\nc " * 9]
+    every, hashes, at = SD.Parsed(texts, SD._StringHash(), 8), SD._StringHash(), 0
+    d = every.digests()
+    for i, text in enumerate(texts):
+        own = SD.Parsed([text], hashes, 8)
+        part = slice(at, at + len(own.first))
+        at += len(own.first)
+        assert (every.owner[part] == i).all() and every.number[part].tolist() == list(range(len(own.first)))
+        assert all((x[part] == y).all() for x, y in zip(d, own.digests(), strict=True))
+        words = text.replace("\n", " ").split()
+        assert len(own.h) == len(words)
+        for p, q in zip(own.first.tolist(), own.past.tolist(), strict=True):
+            assert q - p >= 8 and text[own.start[p] : own.end[q - 1]].replace("\n", " ").split() == words[p:q]
+    assert at == len(every.first)
+
+
+def test_passages_that_begin_and_end_inside_sentences(spark):
+    r = random.Random(16)
+    rows, passages = [], []
+    for k in range(12):
+        passage = " ".join(sentence(r, 17) for _ in range(4)).split()[8:63]  # 55 words, no whole sentence at either end
+        passages.append(" ".join(passage))
+        for _ in range(2):
+            rows.append((len(rows), " ".join([prose(r, 30, 5000), *passage, prose(r, 30, 5000)])))
+    short = "\n".join(f"- item {i} of {r.randrange(10**6)}" for i in range(14))  # 56 words in lines of 4
+    rows += [(100 + i, f"{sentence(r, 12)}\n{short}\n{sentence(r, 12)}") for i in range(2)]
+    forty = prose(r, 40, 5000)
+    rows += [(200 + i, f"{sentence(r, 20)} {forty}. {sentence(r, 20)}") for i in range(2)]
+    own = sentence(r, 60)
+    rows += [(300, f"{own} {sentence(r, 12)} {own}")]  # repeats in itself alone
+    got = {x.doc_id: x for x in SD.find_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    found = sum(got[i].words_repeated > 0 for i in range(24))
+    assert found >= 22 and all(50 <= got[i].words_repeated <= 55 for i in range(24) if got[i].words_repeated)
+    for i in range(24):
+        spans = zip(got[i].repeated[::2], got[i].repeated[1::2], strict=True)
+        assert all(rows[i][1][s:e] in passages[i // 2] for s, e in spans)
+    assert got[100].words_repeated >= 50 and got[101].words_removed >= 50
+    assert got[200].words_repeated == got[201].words_repeated == 0
+    assert got[300].words_repeated == 0 and got[300].words_inside > 0
+
+
+def test_repeats_of_rows_and_odd_columns(spark):
+    r = random.Random(17)
+    text = " ".join(sentence(r, 14) for _ in range(5))
+    df = spark.createDataFrame([(1, text, 0), (1, text, 1), (None, text, 2), (2, None, 3)], "doc_id long, text string, removed int")
+    found = SD.find_repeats(df)
+    assert sorted((str(x.doc_id), x.words_repeated, x.words_removed) for x in found.collect()) == [("1", 70, 0), ("1", 70, 70), ("2", 0, 0), ("None", 70, 70)]
+    left = {x.removed: x.text for x in SD.remove_repeats(df, found).collect()}
+    assert left.pop(2).strip() == "" and left == {0: text, 1: text, 3: None}
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def test_line_dedup(spark, empty):
@@ -480,7 +591,7 @@ def test_fingerprints_of_equal_ids(spark):
 # -- 8 ---------------------------------------------------------------------------------------------------------------
 
 def test_urls(spark):
-    urls = ["http://www.Example.com/en/1?x", "https://example.com/en/", "https://a.b.example.com/en", "http://x.net/es/q#f", "http://net/fr/", "http://notexample.com/en/", "ftp://x.com", "http://x.com?/", "no scheme", None, "", "://", "http://com/" + "a/" * 5000, "a://b://c.com/", "http://example.com/EN/", "http://x.org/\nfr/"]
+    urls = ["http://www.Example.com/en/1?x", "https://example.com/en/", "https://a.b.example.com/en", "http://x.net/es/q#f", "http://net/fr/", "http://notexample.com/en/", "ftp://x.com", "http://x.com?/", "no scheme", None, "", "://", "http://com/" + "a/" * 5000, "a://b://c.com/", "http://example.com/EN/", "http://x.org/\nfr/", "http://" + "a." * 100_000 + "example.com/en/", "http://example.com./en/"]
     pages = spark.createDataFrame([(i % 14, u, "old") for i, u in enumerate(urls)] + [(0, urls[0], "old")], "page_id long, url string, verdict string")
     got = sorted(map(tuple, U.filter_urls(pages, U.rule_table(spark, U.RULES)).select("url", "host", "path", "rule", "verdict").collect()), key=str)
 
@@ -497,6 +608,10 @@ def test_urls(spark):
 
     assert got == sorted((judge(u) for u in [*urls, urls[0]]), key=str)
     assert U.filter_urls(pages.limit(0), U.rule_table(spark, U.RULES)).count() == 0
+    # rules that repeat, and of equal length: the longer host wins, then a block
+    ties = [("allow", "x.net", "/es/"), ("block", "net", "/es/q/"), ("allow", "org", "/a/"), ("block", "org", "/a/"), ("block", "org", "/a/")]
+    two = spark.createDataFrame([(1, "http://x.net/es/q/"), (2, "http://b.org/a/"), (2, "http://b.org/a/")], "page_id long, url string")
+    assert sorted(tuple(x)[2:] for x in U.filter_urls(two, U.rule_table(spark, ties)).collect()) == [("b.org", "/a/", "org/a/", "block"), ("b.org", "/a/", "org/a/", "block"), ("x.net", "/es/q/", "x.net/es/", "allow")]
     none = U.filter_urls(pages, U.rule_table(spark, U.RULES).limit(0), default="block")
     assert none.filter("rule is null and verdict = 'block'").count() == len(urls) + 1
 
@@ -516,6 +631,41 @@ def test_licenses(spark, empty):
     assert L.scan_licenses(empty)[0].count() == 0
 
 
+def test_licenses_of_odd_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "Released under the MIT License.", 1, 2), (None, "Released under the MIT License.", 1, 2), (3, "nothing", 1, 2), (3, "mit dem Auto und mit der Bahn", 1, 2)], "doc_id long, text string, did int, th int")
+    out, (found,) = L.scan_licenses(df)
+    assert out.columns == [*df.columns, found]
+    assert sorted((str(x.doc_id), [y.family for y in x[found]]) for x in out.collect()) == [("3", []), ("3", []), ("None", ["MIT"]), ("None", ["MIT"])]
+
+
+def test_license_classifier_on_held_out_sentences(spark):
+    r = random.Random(18)
+    docs = spark.createDataFrame([(i, "\n".join(prose(r, 20, 3000) for _ in range(3))) for i in range(80)], DOCS)
+    scanner = L.fit_scanner(docs)
+    held = [(i, label, ws) for i, (label, ws) in enumerate(L.sentences(L.HELD_FRAMES))]
+    assert not {tuple(ws) for _, _, ws in held} & {tuple(ws) for label, ws in L.examples() if label}
+    scored = scanner.scored(spark.createDataFrame(held, "i int, want int, ws array<string>")).collect()
+    right = sum(x.label == x.want and x.p >= scanner.limit for x in scored)
+    assert right >= 0.9 * len(held)
+    # and, confirmed, no other use of the words and no wrong family
+    names = sorted(L.NAMES)
+    rows = [(i, " ".join(ws)) for i, _, ws in held] + [(1000 + i, x) for i, x in enumerate(L.OTHERS)] + [(2000 + i, t) for i, (_, t) in enumerate((f, t) for f, ts in sorted(L.TEXTS.items()) for t in ts)]
+    out, (found,) = L.scan_licenses(spark.createDataFrame(rows, DOCS), scanner)
+    got = {x.doc_id: [y.family for y in x[found]] for x in out.collect()}
+    assert all(got[i] in ([], [names[want - 1]]) for i, want, _ in held) and sum(bool(got[i]) for i, _, _ in held) >= 0.9 * len(held)
+    assert not any(got[1000 + i] for i in range(len(L.OTHERS)))
+    texts = [f for f, ts in sorted(L.TEXTS.items()) for _ in ts]
+    assert sum(got[2000 + i] == [f] for i, f in enumerate(texts)) >= 0.8 * len(texts)
+
+
+def test_every_template_holds_a_key_word():
+    keys = set(L.key_words())
+    assert all(set(p.split(" ")) & keys for _, p in L.phrases())
+    for _, ws in L._texts():
+        # a paragraph with CONFIRM of the words cannot lack all keys
+        assert len(set(ws) & keys) > len(ws) - math.ceil(L.CONFIRM * len(ws) - 1e-9)
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 def test_decontamination(spark, empty):
@@ -548,6 +698,19 @@ def test_decontamination(spark, empty):
     assert D.find_contamination(empty, bench)[0].count() == 0
 
 
+def test_contamination_with_string_ids_and_long_items(spark, monkeypatch):
+    r = random.Random(19)
+    items = [(f"t{i}", prose(r, n, 80)) for i, n in enumerate((300, 12, 5))]
+    rows = [(1, items[0][1][300:900]), (1, items[0][1][300:900]), (2, "x " + items[2][1] + " y"), (None, items[1][1]), (3, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sorted(D.brute_force([(str(d), t) for d, t in rows], items))
+    for block in (D.BLOCK_WORDS, 40):  # an item in pieces
+        monkeypatch.setattr(D, "BLOCK_WORDS", block)
+        out, (n, hits, ids) = D.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string"))
+        got = [(str(x.doc_id), x[n], sum(x[hits][1::2]) - sum(x[hits][::2]), len(x[ids]), hashlib.sha256(",".join(sorted(x[ids])).encode()).hexdigest(), bool(x[hits])) for x in out.collect()]
+        assert sorted(got) == want
+
+
 def test_spans_are_cut(spark):
     item = " ".join(f"item{i}" for i in range(20))
     docs = spark.createDataFrame([(1, "é before. " + item.upper().replace(" ", ", ") + "! after " + "more words " * 20, 7), (2, item, 7), (3, "clean text é", 12), (4, None, None)], "doc_id long, text string, n_chars long")
