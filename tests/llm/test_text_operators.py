@@ -206,6 +206,35 @@ def test_pii_bootstrapping(spark, empty):
     assert pii.find_pii(empty)[0].count() == 0
 
 
+def test_pii_secrets_on_repeated_rows(spark):
+    r = random.Random(20)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'words here token = "{key()}" and more') for i in range(6)]
+    rows += [(7, 'some token = "Zx81-qq_902kd" there'), (7, 'some token = "Zx81-qq_902kd" there'), (None, 'some token = "Zx81-qq_902kd" there'), (8, f"a commit {key()} of the tree"), (9, "card of 4111111111111112 and of 4111111111111111")]
+    rows += [(20 + i, f"card of {n} paid") for i, n in enumerate((4111111111111111, 5500005555555559, 6011000990139424, 378282246310005000))]
+    df = spark.createDataFrame([(*x, 1, "x") for x in rows], "doc_id long, text string, __rid int, v string")
+    out, (base, added) = pii.find_pii(df)
+    got = [(x.doc_id, [(y.kind, y.v) for y in x[base]], [(y.kind, y.v) for y in x[added]], x[added]) for x in out.collect()]
+    assert len(got) == len(rows)
+    for doc, found, more, spans in got:
+        if doc in (7, None):
+            assert more == [("secret", "Zx81-qq_902kd")] and rows[6][1][spans[0].s : spans[0].e] == "Zx81-qq_902kd"
+        elif doc is not None and doc < 6:
+            assert [k for k, _ in more] == ["secret"]
+        else:
+            # a hexadecimal string elsewhere, and a number that fails the check of a card
+            assert more == []
+    assert [("card", "4111111111111111")] == next(f for d, f, _, _ in got if d == 9)
+
+
+def test_pii_of_a_text_with_many_candidates(spark):
+    n = 60_000
+    text = " ".join(f"id {i} u{i}@h.org" for i in range(n))
+    found = pii.find_pii(spark.createDataFrame([(1, text)], DOCS))[0].collect()[0]
+    spans = found.base_spans
+    assert len(spans) == n and all(text[x.s : x.e] == x.v == f"u{i}@h.org" for i, x in enumerate(spans))
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_documents(spark, empty):

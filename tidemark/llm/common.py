@@ -87,6 +87,12 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
+    def sweep(self) -> None:
+        """Lets Spark remove the shuffle files of plans that are done with: it does so when the driver's memory is
+        swept, which may be long after the files have filled the disks."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def keep(self, *frames: DataFrame) -> None:
         """Drops all tables but these."""
         self.drop(*[f for f, _ in self.paths.values() if not any(f is x for x in frames)])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, fresh, id_bits, maybe_in, read
 
-#: Buckets of the table of word counts: one byte each.
+#: Buckets of the table of word counts, a power of two: one byte each.
 RARITY_BUCKETS = 1 << 20
 #: Classes of one word that are compared with each other at once; larger groups are compared with their first before.
 GROUP = 64
@@ -41,7 +41,7 @@ _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 def _rarity(docs: DataFrame) -> DataFrame:
     """One row with an array: for each bucket of words, the binary logarithm of how often they occur."""
     word = F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")
-    counts = docs.select(word).groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    counts = docs.select(word).groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
     rank = F.least(F.lit(63), F.floor(F.log2("n"))).cast("tinyint")
     cells = counts.select("b", rank.alias("r"))
     spark = docs.sparkSession
@@ -59,7 +59,7 @@ def _ordered(df: DataFrame, line: str, rarity: DataFrame, name: str) -> DataFram
     df = df.withColumn("__rarity", rarity.scalar())
 
     def key(h: Column) -> Column:
-        r = F.get(F.col("__rarity"), F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long")
+        r = F.get(F.col("__rarity"), h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(r, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     return df.withColumn(name, F.sort_array(F.array_distinct(F.transform(_hashes(F.col(line)), key)))).drop("__rarity")
@@ -84,6 +84,7 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     several = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "sk", "prefix")).alias("x"), F.count("*").alias("size"))
     classes = scratch.cut(classes.select("h1", "h2", "size", "x.did", "x.sub", "x.n", "x.sk", F.when(F.col("x.n") >= several, F.col("x.prefix")).alias("prefix")))
+    scratch.sweep()
     rows = classes.filter("prefix is not null").select("did", "sub", "n", "sk", F.posexplode("prefix").alias("pos", "w"))
     rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"), "sk")
     rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np, sk)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")})
@@ -114,6 +115,7 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     large = rows.filter(f"size > {GROUP}")
     stars = large.filter(F.expr("not (did = lead.did and sub = lead.sub)") & may("np", "lead.np", "sk", "lead.sk")).select(F.lit(1), "lead.did", "lead.sub", "did", "sub", zero)
     table = scratch.cut(pairs.union(stars).union(large.select(F.lit(2), "did", "sub", "np", "sk", "w")))
+    scratch.sweep()
     named = table.filter("kind < 2").select(F.col("did").alias("ad"), F.col("sub").alias("ax"), "bd", "bx", "kind")
     pairs = scratch.cut(named.filter("kind = 0").select("ad", "ax", "bd", "bx").distinct())
     crowd = table.filter("kind = 2").select("w", "did", "sub", F.col("bd").alias("np"), F.col("bx").alias("sk"))
@@ -126,6 +128,7 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     early = crowd.select("w", F.col("did").alias("ad"), F.col("sub").alias("ax"), F.col("np").alias("anp"), F.col("sk").alias("ask"))
     more = rest.join(early, "w").filter(F.expr("ad < did or ad = did and ax < sub") & may("np", "anp", "sk", "ask")).selectExpr("ad", "ax", "did as bd", "sub as bx")
     found = found.union(verified(left.union(more)))
+    scratch.sweep()
     # the classes that go as a whole, then all occurrences
     gone = found.groupBy(F.col("bd").alias("did"), F.col("bx").alias("sub")).agg(F.max(F.expr("not (ad = bd and (ax >> 32) = (bx >> 32))")).alias("other"))
     per = classes.select("h1", "h2", "size", "did", "sub").join(gone, ["did", "sub"], "left").filter("size > 1 or other is not null")
