@@ -78,16 +78,17 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
     sub = F.shiftleft(F.col("th").cast("long"), 32) + F.col("line")
     # each word toggles a bit: two lines differ in no more bits than they differ in words
     sketch = F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = scratch.cut(lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), sketch.alias("sk"), prefix.alias("prefix")))
-    lines = lines.filter(F.col("n") >= min_words)  # on the table: before it, the optimiser would compute the keys twice
     # n words and n + 1 words can reach the threshold from this n on
     several = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
+    lines = lines.select("did", sub.alias("sub"), n.alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), prefix).alias("h2"), sketch.alias("sk"), F.when(n >= several, prefix).alias("prefix"))
+    lines = scratch.cut(lines).filter(F.col("n") >= min_words)  # on the table: before it, the optimiser would compute the keys twice
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("did", "sub", "n", "sk", "prefix")).alias("x"), F.count("*").alias("size"))
-    classes = scratch.cut(classes.select("h1", "h2", "size", "x.did", "x.sub", "x.n", "x.sk", F.when(F.col("x.n") >= several, F.col("x.prefix")).alias("prefix")))
+    classes = scratch.cut(classes.select("h1", "h2", "size", "x.did", "x.sub", "x.n", "x.sk", "x.prefix"))
     scratch.sweep()
     rows = classes.filter("prefix is not null").select("did", "sub", "n", "sk", F.posexplode("prefix").alias("pos", "w"))
     rows = rows.select("w", "did", "sub", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("np"), "sk")
-    rows = rows.withColumns({"lead": F.expr("min(struct(did, sub, np, sk)) over (partition by w)"), "size": F.expr("count(*) over (partition by w)")})
+    # how many classes a word has: counted with partial sums, so that rows meet by word once, in joins that split
+    shared = scratch.cut(rows.groupBy("w").agg(F.count("*").alias("many")).filter("many > 1"))
 
     def may(a: str, b: str, s: str, t: str) -> Column:
         n1, p1, n2, p2 = f"({a} >> 32)", f"({a} & 4294967295)", f"({b} >> 32)", f"({b} & 4294967295)"
@@ -107,21 +108,19 @@ def find_repeated_lines(docs: DataFrame, scratch: Scratch, percent: int = 90, mi
         two = two.filter((100 + percent) * F.size(F.array_intersect("y", "z")) >= percent * (F.size("y") + F.size("z")))
         return scratch.cut(two.select("ad", "ax", "bd", "bx"))
 
-    # one pass over the words' classes: pairs of the small groups, and of the large ones their rows and pairs with the first
-    small = rows.filter(f"size between 2 and {GROUP}").select("w", "did", "sub", "np", "sk")
+    # classes of a word that has few of them meet at once; those of the other words are written, and meet their first
+    small = rows.join(shared.filter(f"many <= {GROUP}").select("w"), "w", "left_semi").select("w", "did", "sub", "np", "sk")
     later = small.select("w", F.col("did").alias("bd"), F.col("sub").alias("bx"), F.col("np").alias("bnp"), F.col("sk").alias("bsk"))
-    zero = F.lit(0).cast("long")
-    pairs = small.join(later, "w").filter(F.expr("did < bd or did = bd and sub < bx") & may("np", "bnp", "sk", "bsk")).select(F.lit(0).alias("kind"), "did", "sub", "bd", "bx", zero.alias("w"))
-    large = rows.filter(f"size > {GROUP}")
-    stars = large.filter(F.expr("not (did = lead.did and sub = lead.sub)") & may("np", "lead.np", "sk", "lead.sk")).select(F.lit(1), "lead.did", "lead.sub", "did", "sub", zero)
-    table = scratch.cut(pairs.union(stars).union(large.select(F.lit(2), "did", "sub", "np", "sk", "w")))
+    pairs = small.join(later, "w").filter(F.expr("did < bd or did = bd and sub < bx") & may("np", "bnp", "sk", "bsk"))
+    pairs = scratch.cut(pairs.select(F.col("did").alias("ad"), F.col("sub").alias("ax"), "bd", "bx").distinct())
+    crowd = scratch.cut(rows.join(shared.filter(f"many > {GROUP}").select("w"), "w", "left_semi").select("w", "did", "sub", "np", "sk"))
     scratch.sweep()
-    named = table.filter("kind < 2").select(F.col("did").alias("ad"), F.col("sub").alias("ax"), "bd", "bx", "kind")
-    pairs = scratch.cut(named.filter("kind = 0").select("ad", "ax", "bd", "bx").distinct())
-    crowd = table.filter("kind = 2").select("w", "did", "sub", F.col("bd").alias("np"), F.col("bx").alias("sk"))
+    lead = crowd.groupBy("w").agg(F.min(F.struct("did", "sub", "np", "sk")).alias("lead"))
+    stars = crowd.join(lead, "w").filter(F.expr("not (did = lead.did and sub = lead.sub)") & may("np", "lead.np", "sk", "lead.sk"))
+    stars = stars.select(F.col("lead.did").alias("ad"), F.col("lead.sub").alias("ax"), F.col("did").alias("bd"), F.col("sub").alias("bx"))
     # the earliest candidate of another document settles most lines; for the others all candidates are looked at
     best = pairs.groupBy("bd", "bx").agg(F.min(F.when(F.col("ad") != F.col("bd"), F.struct("ad", "ax"))).alias("a")).filter("a is not null")
-    found = verified(best.select("a.ad", "a.ax", "bd", "bx").union(named.filter("kind = 1").drop("kind")))
+    found = verified(best.select("a.ad", "a.ax", "bd", "bx").union(stars))
     settled = scratch.cut(found.filter("ad <> bd").select("bd", "bx").distinct())
     left = pairs.join(settled, ["bd", "bx"], "left_anti").select("ad", "ax", "bd", "bx")
     rest = crowd.join(settled.selectExpr("bd as did", "bx as sub"), ["did", "sub"], "left_anti")
