@@ -24,6 +24,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -43,16 +44,18 @@ _EDGE = re.compile(rb"[ .]")
 _COUNTS = "lang string, phrase string, n long"
 
 
-def _chunks(text: bytes, n: int) -> Iterator[list[bytes]]:
-    """The words and stops of a text in bounded lists, each with the last n - 1 of the list before in front."""
-    before: list[bytes] = []
-    at = 0
+def _chunks(text: bytes, n: int) -> Iterator[pa.DictionaryArray]:
+    """The words and stops of a text in bounded parts, each with the last n - 1 of the part before in front."""
+    before, at = b"", 0
     while at < len(text):
         edge = _EDGE.search(text, at + CHUNK)
         past = edge.start() if edge else len(text)
-        words = before + text[at:past].replace(_STOP, b" . ").split()
-        yield words
-        before, at = words[len(words) - min(n - 1, len(words)) :], past
+        part = (before + text[at:past].replace(_STOP, b" . ")).strip()
+        if part:
+            words = pc.ascii_split_whitespace(pa.array([part], pa.string())).flatten()
+            yield words.dictionary_encode()
+            before = b"".join(w.as_py().encode() + b" " for w in words[max(0, len(words) - n + 1) :])
+        at = past
 
 
 class _Seen:
@@ -80,24 +83,34 @@ def _hashes(lang: str, words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def _counted(lang: str, words: list[bytes], n: int, seen: _Seen | None, remembered: WordHash) -> tuple[list[bytes], np.ndarray]:
+def _counted(lang: str, words: pa.DictionaryArray, n: int, seen: _Seen | None, remembered: WordHash) -> tuple[pa.Array, np.ndarray]:
     """The different phrases of n words that may reach the count, and how often they occur."""
-    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    codes = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-    stops = np.concatenate(([0], np.cumsum(codes == index.get(_STOP, -1))))
-    use = stops[n:] == stops[:-n] if len(words) >= n else np.zeros(0, bool)
+    kinds, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    stop = kinds.index(_STOP.decode()).as_py()
+    if n == 1:
+        counts = np.bincount(codes, minlength=len(kinds))
+        use = np.arange(len(kinds)) != stop
+        return kinds.filter(pa.array(use)), counts[use]
+    stops = np.concatenate(([0], np.cumsum(codes == stop)))
+    use = stops[n:] == stops[:-n] if len(codes) >= n else np.zeros(0, bool)
     if seen is not None:
-        parts = seen(_hashes(lang, remembered.of(list(index))[codes], n - 1))
+        hashes = remembered.of([w.encode() for w in kinds.to_pylist()])
+        parts = seen(_hashes(lang, hashes, 1))[codes] if n == 2 else seen(_hashes(lang, hashes[codes], n - 1))
         use &= parts[:-1] & parts[1:]
     starts = np.flatnonzero(use)
-    key, kinds = codes[starts], len(index)
-    for k in range(1, n):
-        if kinds * len(index) >= 1 << 62:  # numbered anew, so that the key stays exact
-            found, key = np.unique(key, return_inverse=True)
-            kinds = len(found)
-        key, kinds = key * len(index) + codes[starts + k], kinds * len(index)
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return [b" ".join(words[i : i + n]) for i in starts[first].tolist()], counts
+    if len(kinds) ** n < 1 << 62:  # the words can be told from the key again
+        key = codes[starts]
+        for k in range(1, n):
+            key = key * len(kinds) + codes[starts + k]
+        key, counts = np.unique(key, return_counts=True)
+        places = [key // len(kinds) ** (n - 1 - k) % len(kinds) for k in range(n)]
+    else:
+        key = codes[starts]
+        for k in range(1, n):  # numbered anew each time, so that the key stays exact
+            key = np.unique(key, return_inverse=True)[1] * len(kinds) + codes[starts + k]
+        _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        places = [codes[starts[first] + k] for k in range(n)]
+    return pc.binary_join_element_wise(*[kinds.take(pa.array(p)) for p in places], " "), counts
 
 
 def phrase_counts(docs: DataFrame, n: int, lang: str, text: str, seen=None) -> DataFrame:
@@ -113,8 +126,8 @@ def phrase_counts(docs: DataFrame, n: int, lang: str, text: str, seen=None) -> D
             for name, its in texts.items():
                 for words in _chunks(_STOP.join(its).translate(_NORMAL), n):
                     phrases, counts = _counted(name, words, n, known, remembered)
-                    if phrases:
-                        yield pa.RecordBatch.from_arrays([pa.repeat(name, len(phrases)), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+                    if len(phrases):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(name, len(phrases)), phrases, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).filter("length(text) > 0")
     return rows.mapInArrow(released(run), _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, fingerprint, license_scan, line_dedup, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter
+from . import collocations, decontaminate, fingerprint, license_scan, line_dedup, lm_scoring, mixing, ngram_join, pii, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_license_scans": license_scan.op9_license_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_lm_scoring": lm_scoring.op11_lm_scoring,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
 }
 
