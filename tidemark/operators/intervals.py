@@ -45,12 +45,25 @@ def collapse(df: DataFrame, by: list[str], width: int = 50, pos: str = "bin", ke
     return df.groupBy(*by).agg(lo.alias("start"), hi.alias("stop"))
 
 
-def collapse_islands(df: DataFrame, by: list[str], width: int = 50, pos: str = "bin") -> DataFrame:
-    """The strict form of collapse: a region for each run of neighbouring bins."""
-    w = W.partitionBy(*by).orderBy(pos)
-    d = df.select(*by, pos).distinct()
-    d = d.withColumn("__island", F.col(pos) - width * F.row_number().over(w))
-    return d.groupBy(*by, "__island").agg(F.min(pos).alias("start"), (F.max(pos) + width).alias("stop")).drop("__island")
+def collapse_islands(df: DataFrame, by: list[str], width: int = 50, pos: str = "bin", bucket: int | None = None) -> DataFrame:
+    """The strict form of collapse: a region for each run of neighbouring bins.
+
+    With ``bucket``, a multiple of the width, runs are found inside stretches of so many coordinates, and only those
+    that touch the border of a stretch, two of each at most, meet by key.
+    """
+    if bucket and bucket % width:
+        raise ValueError("a bucket is a multiple of the width")
+    part = [*by, "__bucket"]
+    d = df.select(*by, pos).distinct().withColumn("__bucket", F.floor(F.col(pos) / (bucket or 1)) if bucket else F.lit(0))
+    d = d.withColumn("__island", F.col(pos) - width * F.row_number().over(W.partitionBy(*part).orderBy(pos)))
+    d = d.groupBy(*part, "__island").agg(F.min(pos).alias("start"), (F.max(pos) + width).alias("stop")).select(*by, "start", "stop")
+    if not bucket:
+        return d
+    edge = (F.pmod("start", F.lit(bucket)) == 0) | (F.pmod("stop", F.lit(bucket)) == 0)
+    w = W.partitionBy(*by).orderBy("start")
+    rest = d.filter(edge).withColumn("__new", F.coalesce((F.col("start") > F.lag("stop").over(w)).cast("int"), F.lit(1)))
+    rest = rest.withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return d.filter(~edge).union(rest.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(*by, "start", "stop"))
 
 
 def merge_intervals(df: DataFrame, keys: str | list[str], start: str = "start", stop: str = "stop", gap: int = 1, bucket: int | None = None) -> DataFrame:

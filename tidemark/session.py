@@ -1,8 +1,9 @@
-"""The Spark session of tests, benchmarks and examples."""
+"""The Spark session of tests, benchmarks and examples, and the folder that its executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +23,14 @@ def local_session(cpus: int | str | None = None, partitions: int | None = None,
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
