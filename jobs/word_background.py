@@ -78,11 +78,17 @@ def model(increments: DataFrame, letters: int) -> DataFrame:
     return out.select("group", "length", "word", "n", F.round(F.col("n") / F.col("n_context"), 6).alias("prob"), F.round(expected, 3).alias("expected"), F.round(F.log2(F.col("n") / expected), 4).alias("log2_ratio"))
 
 
+def pattern(path: str) -> str:
+    """The path as a pattern of itself: as such a stream takes a single file as well as a folder."""
+    path = path.rstrip("/")
+    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+
+
 def run(spark: SparkSession, input: str, output: str, checkpoint: str, config: str = CONFIG) -> None:
     s = settings(spark, config, SETTINGS)
     for name, schema in (("ledger", LEDGER), ("increments", INCREMENTS)):  # so that they can be read before the first batch
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(f"{output}/{name}")
-    stream = spark.readStream.schema(spark.read.parquet(input).schema).option("maxFilesPerTrigger", s["files_per_batch"]).parquet(input)
+    stream = spark.readStream.schema(spark.read.parquet(input).schema).option("maxFilesPerTrigger", s["files_per_batch"]).parquet(pattern(input))
     query = stream.writeStream.foreachBatch(lambda batch, number: ingest(batch, number, output, s)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     log.info("read %s: %d new rows in this run", input, sum(p["numInputRows"] for p in query.recentProgress))
@@ -113,7 +119,7 @@ def main() -> None:
     def job(spark: SparkSession, args: argparse.Namespace) -> None:
         run(spark, args.input, args.output, args.checkpoint, args.config or CONFIG)
 
-    command_line(__doc__, job, input="folder of Parquet files that grows", output="folder for counts and words", checkpoint="folder for the mark of the stream", config="JSON file with settings")
+    command_line(__doc__, job, input="folder of Parquet files that grows, or a pattern of files", output="folder for counts and words", checkpoint="folder for the mark of the stream", config="JSON file with settings")
 
 
 if __name__ == "__main__":
