@@ -100,14 +100,43 @@ def hypergeometric_tail(k: int, marked: int, drawn: int, total: int) -> float:
     return min(1.0, sum(map(p, range(lo, k + 1))), sum(map(p, range(k, hi + 1))))
 
 
-def hypergeometric_tails(k, marked, drawn, total) -> np.ndarray:
-    """hypergeometric_tail for arrays: the logarithms of all factorials are summed once."""
-    k, marked, drawn, total = (np.asarray(x, np.int64) for x in (k, marked, drawn, total))
-    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(total.max(initial=0)) + 1)))))
-    out = np.empty(len(k))
-    for i, (a, m, d, t) in enumerate(zip(k.tolist(), marked.tolist(), drawn.tolist(), total.tolist(), strict=True)):
-        x = np.arange(max(0, d + m - t), min(m, d) + 1)
-        lp = logs[m] - logs[x] - logs[m - x] + logs[t - m] - logs[d - x] - logs[t - m - d + x] - (logs[t] - logs[d] - logs[t - d])
-        p = np.exp(lp)
-        out[i] = min(1.0, p[x <= a].sum(), p[x >= a].sum())
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def upper_tails(k, marked, drawn, total) -> np.ndarray:
+    """P(X >= k) for arrays of hypergeometric draws; nan for counts that no draw can have.
+
+    Terms are summed from k on outward, upward above the mean and downward below it, until they add nothing, so memory
+    does not depend on the numbers. Logarithms of factorials are good to about 1e-16 of their size: with a billion
+    items a tail has five digits.
+    """
+    k, m, d, t = np.broadcast_arrays(*[np.asarray(x, float) for x in (k, marked, drawn, total)])
+    out = np.full(k.shape, np.nan)
+    low, high = np.maximum(0, d + m - t), np.minimum(m, d)
+    fits = (m >= 0) & (d >= 0) & (m <= t) & (d <= t) & (k >= low) & (k <= high)
+    k, m, d, t, low, high = (x[fits] for x in (k, m, d, t, low, high))
+    up = k * t > m * d
+    at = np.where(up, k, k - 1)
+    lf = lambda x: _log_gamma(x + 1) if len(x) else x
+    inside = (at >= low) & (at <= high)
+    x = np.where(inside, at, low)
+    logs = lf(m) - lf(x) - lf(m - x) + lf(t - m) - lf(d - x) - lf(t - m - d + x) - (lf(t) - lf(d) - lf(t - d))
+    term = np.where(inside, np.exp(logs), 0.0)
+    tail = term.copy()
+    open_ = np.flatnonzero(term > 0)
+    while len(open_):
+        x, mm, dd, tt, goes_up = at[open_], m[open_], d[open_], t[open_], up[open_]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(goes_up, (mm - x) * (dd - x) / ((x + 1) * (tt - mm - dd + x + 1)), x * (tt - mm - dd + x) / ((mm - x + 1) * (dd - x + 1)))
+        at[open_] += np.where(goes_up, 1, -1)
+        term[open_] *= ratio
+        tail[open_] += term[open_]
+        open_ = open_[term[open_] > 1e-17 * tail[open_]]
+    out[fits] = np.clip(np.where(up, tail, 1 - tail), 0.0, 1.0)
     return out
+
+
+def hypergeometric_tails(k, marked, drawn, total) -> np.ndarray:
+    """hypergeometric_tail for arrays: the smaller of both tails, k included; nan for counts that no draw can have."""
+    k, m, d, t = np.broadcast_arrays(*[np.asarray(x, float) for x in (k, marked, drawn, total)])
+    return np.minimum(upper_tails(k, m, d, t), upper_tails(d - k, t - m, d, t))

@@ -182,17 +182,56 @@ def hypergeometric(df: DataFrame, k: str, marked: str, drawn: str, total: str, t
     return df.withColumn("tail", F.least(F.lit(1.0), tail(k, marked, drawn, total) * (2 if two_sided else 1)))
 
 
-def overlap_enrichment(sets: DataFrame, chosen: DataFrame, total: int, key: str = "symbol", name: str = "set_name") -> DataFrame:
-    """Overlap of named sets with a chosen set: (name, set_size, overlap, tail, fdr), Benjamini-Hochberg."""
-    n = chosen.select(key).distinct().count()
-    marked = sets.select(name, key).distinct().join(chosen.select(key).distinct().withColumn("hit", F.lit(1)), key, "left")
-    g = marked.groupBy(name).agg(F.count("*").alias("set_size"), F.count("hit").alias("overlap")).withColumns({"drawn": F.lit(n), "total": F.lit(total)})
+def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), name: str = "q_value") -> DataFrame:
+    """Adds the false discovery rate of each row's p-value among all rows, or among those of its group.
+
+    Ranks come from counts: equal values are counted first, values are ranked inside narrow ranges (some 20,000 in
+    all, of equal width above 1/64 and of equal ratio below), and the ranges are put together by their counts, so no
+    task sees all rows of a group. Nulls have no rate and count nowhere.
+    """
+    by = list(by)
+    v, narrow = F.col("__p"), F.lit(1 / 64)
+    values = df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    values = values.withColumn("__bin", F.when(v >= narrow, F.floor(v * 4096)).otherwise(-F.floor(-F.log2(F.greatest(v, F.lit(1e-308))) * 16)))
+    inside = Window.partitionBy(*by, "__bin")
+    values = values.withColumn("__upto", F.sum("__n").over(inside.orderBy("__p")))
+    # a row for each range
+    bins = values.groupBy(*by, "__bin").agg(F.sum("__n").alias("__in"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    bins = bins.withColumns({"__before": F.sum("__in").over(group.orderBy("__bin")) - F.col("__in"), "__all": F.sum("__in").over(group)}).drop("__in")
+
+    def same(a: DataFrame, b: DataFrame, how: str, left: str, right: str) -> DataFrame:
+        b = b.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(right).alias("__k"), *[c for c in b.columns if c not in (*by, right)])
+        on = F.col(left).eqNullSafe(F.col("__k")) if how == "inner" else F.col(left) == F.col("__k")
+        for i, c in enumerate(by):
+            on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+        return a.join(b, on, how).drop("__k", *[f"__k{i}" for i in range(len(by))])
+
+    values = same(values, bins, "inner", "__bin", "__bin")
+    values = values.withColumn("__raw", F.col("__p") * F.col("__all") / (F.col("__before") + F.col("__upto")))
+    values = values.withColumn("__least", F.min("__raw").over(inside.orderBy(F.desc("__p")))).drop("__before", "__all")
+    later = values.groupBy(*by, "__bin").agg(F.min("__raw").alias("__own"))
+    later = later.withColumn("__later", F.min("__own").over(group.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1))).drop("__own")
+    values = same(values, later, "inner", "__bin", "__bin")
+    values = values.select(*by, "__p", F.least(F.lit(1.0), "__least", F.coalesce("__later", F.lit(1.0))).alias(name))
+    return same(df, values, "left", p, "__p")
+
+
+def overlap_enrichment(sets: DataFrame, chosen: DataFrame, total: int | None = None, key: str = "symbol", name: str = "set_name") -> DataFrame:
+    """Overlap of named sets with a chosen set: (name, set_size, overlap, tail, fdr), Benjamini-Hochberg.
+
+    ``total`` is the size of the universe; without it, the universe is all that is in a set or chosen, counted. A
+    total smaller than that is refused.
+    """
+    chosen = chosen.select(key).distinct()
+    universe = sets.select(key).union(chosen.select(key)).filter(F.col(key).isNotNull()).agg(F.count_distinct(key)).first()[0]
+    total = universe if total is None else total
+    if total < universe:
+        raise ValueError(f"a universe of {total} cannot hold {universe} different members")
+    marked = sets.select(name, key).distinct().join(chosen.withColumn("hit", F.lit(1)), key, "left")
+    g = marked.groupBy(name).agg(F.count(key).alias("set_size"), F.count("hit").alias("overlap")).withColumns({"drawn": F.lit(chosen.filter(F.col(key).isNotNull()).count()), "total": F.lit(total)})
     g = hypergeometric(g, "overlap", "set_size", "drawn", "total")
-    # one row for each named set
-    w = Window.orderBy("tail", name)
-    g = g.withColumns({"r": F.row_number().over(w), "m": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    fdr = F.min(F.col("tail") * F.col("m") / F.col("r")).over(Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0))
-    return g.withColumn("fdr", F.least(F.lit(1.0), fdr)).select(name, "set_size", "overlap", "tail", "fdr")
+    return benjamini_hochberg(g, "tail", name="fdr").select(name, "set_size", "overlap", "tail", "fdr")
 
 
 def distances(df: DataFrame, group: str, key: str, value: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import shared_folder
+
 #: The 97.5 % quantile of the standard normal distribution.
 Z975 = 1.959963984540054
 
@@ -42,11 +45,28 @@ def lookup(annotation: DataFrame, values: DataFrame, key: str, attributes: Seque
     return annotation.join(values.select(key), key, "left_semi").select(*attributes).distinct()
 
 
+def number_rows(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """Rows numbered from 0 in their order, or as they come; ties are numbered as they come.
+
+    Rows are sorted into ranges and written once to the shared folder with their place in their range; the counts of
+    the ranges then give every range its first number. No task sees all rows.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    out = (df.orderBy(*order) if order else df).withColumn("__at", F.monotonically_increasing_id())
+    out.write.parquet(path)
+    out = spark.read.schema(out.schema).parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    first, starts = 0, []
+    for r in out.groupBy("__range").count().orderBy("__range").collect():  # a row for each range
+        starts.append((r["__range"], first))
+        first += r["count"]
+    out = out.join(F.broadcast(spark.createDataFrame(starts, "__range long, __first long")), "__range")
+    return out.withColumn(name, F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).select(*df.columns, name)
+
+
 def bind_columns(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Rows paired by rank; the shorter side is padded with nulls."""
-    na = a.withColumn("__n", F.row_number().over(W.orderBy(order_a)))
-    nb = b.withColumn("__n", F.row_number().over(W.orderBy(order_b)))
-    return na.join(nb, "__n", "full").drop("__n")
+    return number_rows(a, "__n", order_a).join(number_rows(b, "__n", order_b), "__n", "full").drop("__n")
 
 
 # -- filters and selections ------------------------------------------------------------------------------------------

@@ -752,7 +752,7 @@ def qq_line(spark, d):
 def enrichment(spark, d):
     e = read(spark, d, "events").select(F.col("event_type").alias("set_name"), F.col("user_id").cast("string").alias("symbol"))
     chosen = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("symbol")).agg(F.count("*").alias("n")).filter("n > 60")
-    return M.overlap_enrichment(e, chosen, 200)
+    return M.overlap_enrichment(e, chosen)
 
 
 @query("with c as (select user_id from events group by 1 having count(*) > 60) select event_type as set_name, count(distinct user_id) as set_size, count(distinct user_id) filter (user_id in (select user_id from c)) as overlap from events group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import CHROMOSOMES, accession, chromosome_rank, class_and_family, decimal_comma
+from ..operators.tables import number_rows
 
 NARROWPEAK = "chrom string, start bigint, stop bigint, peak_name string, display_int int, dot string, fold_change double, p_value double, q_value double, summit_offset int"
 REPEAT_FIELDS = ("sw_score", "div", "del", "ins", "query", "q_start", "q_stop", "left", "strand", "element", "class_family", "r_start", "r_end", "r_left", "id")
@@ -43,14 +44,27 @@ def bed(spark: SparkSession, path: str | list[str], extra: str = "") -> DataFram
     return lines.select(*cols)
 
 
+def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(header, body) of records that begin with > at the start of a line; > elsewhere is a letter like others.
+
+    Signs that follow the first one in a header are left out, as is text before the first record of a file.
+    """
+    rec = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", "\r", ""))
+    # the first piece of a file still has its sign; a piece without a line is a header alone
+    rec = rec.filter(F.trim(F.regexp_replace("value", r"[\s>]", "")) != "").select(F.ltrim("value").alias("value"))
+    return rec.select(F.trim(F.regexp_extract("value", r"^>*([^\n]*)", 1)).alias("header"), F.regexp_replace("value", r"^[^\n]*", "").alias("body"))
+
+
 def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(seq_id, header, seq): lines of a record joined, blanks removed, letters in capitals. Ids count in file order."""
-    rec = spark.read.text(path, lineSep=">").select(F.monotonically_increasing_id().alias("at"), "value")
-    rec = rec.filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
-    head = F.trim(F.regexp_extract("value", r"^([^\n]*)", 1))
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", ""))
-    rec = rec.select("at", head.alias("header"), seq.alias("seq"))
-    return rec.withColumn("seq_id", (F.expr("row_number() over (order by at)") - 1).cast("int")).select("seq_id", "header", "seq")
+    rec = _records(spark, path).select("header", F.upper(F.regexp_replace("body", r"\s", "")).alias("seq"))
+    return number_rows(rec, "seq_id").select(F.col("seq_id").cast("int").alias("seq_id"), "header", "seq")
+
+
+def sequence_chunks(df: DataFrame, size: int = 1 << 20, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """(id, start, seq): sequences cut into rows of so many letters, so that none is as long as a contig."""
+    part = F.posexplode(F.regexp_extract_all(seq, F.lit("(?s).{1,%d}" % size), F.lit(0))).alias("__i", "__part")
+    return df.select(id_col, seq).select(id_col, part).select(id_col, (F.col("__i").cast("long") * size).alias("start"), F.col("__part").alias("seq"))
 
 
 def is_fasta(spark: SparkSession, path: str) -> bool:
@@ -61,7 +75,7 @@ def is_fasta(spark: SparkSession, path: str) -> bool:
 
 def genome(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(contig, seq) with A, C, G, T alone."""
-    return fasta(spark, path).select(F.regexp_extract("header", r"^(\S*)", 1).alias("contig"), F.regexp_replace("seq", "[^ACGT]", "").alias("seq"))
+    return _records(spark, path).select(F.regexp_extract("header", r"^(\S*)", 1).alias("contig"), F.regexp_replace(F.upper("body"), "[^ACGT]", "").alias("seq"))
 
 
 def repeatmasker(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -81,10 +95,9 @@ def site_locations(spark: SparkSession, path: str) -> DataFrame:
 
 def position_prior(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, header, prior array<double>) from a FASTA-like file of numbers."""
-    rec = spark.read.text(path, lineSep=">").select(F.monotonically_increasing_id().alias("at"), "value").filter(F.trim("value") != "")
-    body = F.trim(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s+", " "))
-    rec = rec.select("at", F.trim(F.regexp_extract("value", r"^([^\n]*)", 1)).alias("header"), F.transform(F.filter(F.split(body, " "), lambda x: x != ""), lambda x: x.try_cast("double")).alias("prior"))
-    return rec.withColumn("seq_id", (F.expr("row_number() over (order by at)") - 1).cast("int")).select("seq_id", "header", "prior")
+    numbers = F.transform(F.filter(F.split("body", r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
+    rec = number_rows(_records(spark, path).select("header", numbers.alias("prior")), "seq_id")
+    return rec.select(F.col("seq_id").cast("int").alias("seq_id"), "header", "prior")
 
 
 def gff3(spark: SparkSession, path: str | list[str], attribute: str = "ID") -> DataFrame:
