@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 from collections.abc import Callable
 from pathlib import Path
@@ -13,20 +14,14 @@ from pyspark.sql import SparkSession
 log = logging.getLogger("tidemark.jobs")
 
 
-def settings(spark: SparkSession, path: str, required: set[str]) -> dict[str, Any]:
-    """A small JSON object, read by Spark, so that it may lie in any store. Names must be those that are required."""
-    row = spark.read.option("multiLine", True).json(path).first()
-    found = row.asDict(recursive=True) if row else {}
+def settings(path: str | Path, required: set[str]) -> dict[str, Any]:
+    """A small JSON object on the driver, with just the names that are required: part of the program, not of its data."""
+    found = json.loads(Path(path).read_text())
     if set(found) != required:
         raise ValueError(f"{path}: expected {sorted(required)}, found {sorted(found)}")
     return found
 
 
-def beside(module: str) -> str:
-    """The settings that lie beside a job's module, as a URI: they are part of the program, not of its data."""
-    return Path(module).with_suffix(".json").resolve().as_uri()
-
-
 def command_line(about: str, job: Callable[[SparkSession, argparse.Namespace], object], **paths: str) -> None:
     """Parses path arguments, creates the session, runs the job and stops the session."""
     parser = argparse.ArgumentParser(description=about)

@@ -18,15 +18,16 @@ from __future__ import annotations
 
 import argparse
 import logging
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobs.common import beside, command_line, settings
+from jobs.common import command_line, settings
 from tidemark.operators import intervals as I
 
 log = logging.getLogger("tidemark.jobs.region_atlas")
 SETTINGS = {"key", "group", "start", "stop", "width", "bucket"}
-CONFIG = beside(__file__)
+CONFIG = Path(__file__).with_suffix(".json")
 #: Groups are bits of a long.
 MOST_GROUPS = 62
 
@@ -46,8 +47,8 @@ def regions_of(iv: DataFrame, groups: list[str], width: int, bucket: int) -> Dat
     return out.select("key", "start", "stop", names.alias("groups"), F.expr(f"cast((stop - start) div {int(width)} as bigint)").alias("bins"), "n_intervals", "widest", F.bit_count("mask").cast("int").alias("n_groups"))
 
 
-def run(spark: SparkSession, intervals: str, output: str, config: str = CONFIG) -> None:
-    s = settings(spark, config, SETTINGS)
+def run(spark: SparkSession, intervals: str, output: str, config: str | Path = CONFIG) -> None:
+    s = settings(config, SETTINGS)
     rows = spark.read.parquet(intervals).select(*[F.expr(s[c]).alias(c) for c in ("key", "group", "start", "stop")])
     iv = rows.filter("key is not null and `group` is not null and stop > start").withColumn("group", F.col("group").cast("string"))
     groups = [r["group"] for r in iv.select("group").distinct().orderBy("group").limit(MOST_GROUPS + 1).collect()]

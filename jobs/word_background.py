@@ -21,15 +21,16 @@ from __future__ import annotations
 
 import argparse
 import logging
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobs.common import beside, command_line, settings
+from jobs.common import command_line, settings
 from tidemark.operators import sequences as Q
 
 log = logging.getLogger("tidemark.jobs.word_background")
 SETTINGS = {"id", "group", "sequence", "letters", "files_per_batch"}
-CONFIG = beside(__file__)
+CONFIG = Path(__file__).with_suffix(".json")
 LEDGER = "id string, letters long, batch long"
 INCREMENTS = "`group` string, word string, n long, batch long"
 
@@ -84,8 +85,8 @@ def pattern(path: str) -> str:
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
-def run(spark: SparkSession, input: str, output: str, checkpoint: str, config: str = CONFIG) -> None:
-    s = settings(spark, config, SETTINGS)
+def run(spark: SparkSession, input: str, output: str, checkpoint: str, config: str | Path = CONFIG) -> None:
+    s = settings(config, SETTINGS)
     for name, schema in (("ledger", LEDGER), ("increments", INCREMENTS)):  # so that they can be read before the first batch
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(f"{output}/{name}")
     stream = spark.readStream.schema(spark.read.parquet(input).schema).option("maxFilesPerTrigger", s["files_per_batch"]).parquet(pattern(input))

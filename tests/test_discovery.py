@@ -300,3 +300,28 @@ def test_many_records_in_many_splits(spark, tmp_path):
     assert sorted((r.seq_id, r.header, r.seq) for r in got) == [(i, f"r{i} x>y", "ACGT" * (i % 5)) for i in range(5000)]
     chunks = R.sequence_chunks(spark.createDataFrame([(1, "ABCDEFG"), (2, ""), (3, None)], "seq_id long, seq string"), 3)
     assert sorted(tuple(r) for r in chunks.collect()) == [(1, 0, "ABC"), (1, 3, "DEF"), (1, 6, "G")]
+
+
+# -- exact quantiles -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ranges,ranked", [(16, 3), (4096, 1 << 16)])
+def test_exact_quantiles(spark, monkeypatch, ranges, ranked):
+    monkeypatch.setattr(T, "RANGES", ranges)
+    monkeypatch.setattr(T, "RANKED", ranked)
+    r = np.random.default_rng(6)
+    groups = {"a": r.lognormal(0, 6, 101).tolist(), None: [1.0] * 7 + [2.0] * 3, "b": [5.0], "c": r.integers(0, 4, 50).astype(float).tolist(), "d": [-1e308, 1e308, 0.0, 1e-320], "e": [1.0, np.nextafter(1.0, 2)]}
+    rows = [(g, float(v)) for g, its in groups.items() for v in its] + [("a", None), ("z", None), ("a", math.nan)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(x.g, x.p): x.quantile for x in T.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == {(g, p) for g in groups for p in probs}
+    for g, its in groups.items():
+        s = sorted(its)
+        for p in probs:
+            at = (len(s) - 1) * p
+            k, part = math.floor(at), (len(s) - 1) * p - math.floor(at)
+            assert got[g, p] == pytest.approx(s[k] * (1 - part) + s[math.ceil(at)] * part)
+    assert T.exact_quantiles(df.filter("v is null"), [], "v", [0.5]).count() == 0
+    assert T.above_quantile(df.filter("g = 'c'"), ["v"], 0.5).count() == sum(v > np.median(groups["c"]) for v in groups["c"])
+    assert T.above_quantile(df.filter("v is null"), ["v"], 0.5).count() == 0

@@ -1,8 +1,11 @@
 """The jobs on copies of the given tables: growing input, repeated deliveries, reruns, odd rows."""
 
 import logging
+import os
+import subprocess
 import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +123,17 @@ def test_islands_in_stretches(spark):
         I.collapse_islands(bins, ["key"], 5, bucket=7)
 
 
+@pytest.mark.parametrize("job", ["region_atlas", "word_background"])
+def test_jobs_run_from_the_command_line(data, tmp_path, job):
+    table = "lineitem" if job == "region_atlas" else "documents"
+    paths = {"--intervals" if job == "region_atlas" else "--input": f"{data}/{table}.parquet", "--output": f"{tmp_path}/out"}
+    if job == "word_background":
+        paths["--checkpoint"] = f"{tmp_path}/mark"
+    done = subprocess.run([sys.executable, "-m", f"jobs.{job}", *[x for p in paths.items() for x in p]], cwd=Path(__file__).parent.parent, env=os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] pyspark-shell"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "read " in done.stderr and "wrote " in done.stderr and any((tmp_path / "out").rglob("*=*/part-*.parquet"))
+
+
 def test_command_line_stops_what_it_started(monkeypatch):
     class Session:
         stopped = False

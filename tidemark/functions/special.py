@@ -72,6 +72,13 @@ def beta_i(a: float, b: float, x: float) -> float:
     return front * (f - 1)
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X >= k) of n trials."""
+    if k <= 0:
+        return 1.0
+    return 0.0 if k > n else beta_i(k, n - k + 1, p)
+
+
 def t_cdf(t: float, df: float) -> float:
     """Distribution function of Student's t."""
     tail = 0.5 * beta_i(df / 2, 0.5, df / (df + t * t))

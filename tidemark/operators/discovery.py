@@ -167,11 +167,14 @@ def compare_motifs(queries: DataFrame, targets: DataFrame, least_overlap: int =
 def integer_scores(profile: DataFrame, background: dict[str, float], scale: int = 100) -> np.ndarray:
     """(columns, 4): log2 of frequency over background in whole steps of 1/scale, rounded half up.
 
-    A frequency of 0 has no logarithm: give the profile a pseudocount.
+    Columns that are gaps (is_gap) score 0. A frequency of 0 has no logarithm: give the profile a pseudocount.
     """
-    rows = profile.select("col", "base", "freq").collect()  # four for each column
+    gap = F.col("is_gap") if "is_gap" in profile.columns else F.lit(False)
+    rows = profile.select("col", "base", F.when(gap, F.lit(None)).otherwise(F.col("freq")).alias("freq")).collect()  # four for each column
     out = np.zeros((1 + max((r["col"] for r in rows), default=-1), 4), np.int64)
     for r in rows:
+        if r["freq"] is None:
+            continue
         if not r["freq"] > 0:
             raise ValueError("all frequencies of a profile must be above 0")
         out[r["col"], Q.BASES.index(r["base"])] = math.floor(math.log2(r["freq"] / background[r["base"]]) * scale + 0.5)

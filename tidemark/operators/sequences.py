@@ -428,6 +428,35 @@ def shift_profile(profile: DataFrame, by: int, width: int) -> DataFrame:
     return frame.join(moved, ["col", "base"], "left").select("col", "base", F.coalesce("freq", F.lit(0.25)).alias("freq"), F.col("freq").isNull().alias("is_gap"))
 
 
+def gap_columns(profile: DataFrame, cols: list[int]) -> DataFrame:
+    """(col, base, freq, is_gap): columns taken out of a profile. They stay as gaps, uniform and without weight, so
+    that the others keep their places; what scores with the profile or draws it leaves them out."""
+    was = F.col("is_gap") if "is_gap" in profile.columns else F.lit(False)
+    gap = was | F.col("col").isin([int(c) for c in cols])
+    return profile.select("col", "base", F.when(gap, F.lit(0.25)).otherwise(F.col("freq")).alias("freq"), gap.alias("is_gap"))
+
+
+def fill_columns(profile: DataFrame, sites: DataFrame, cols: list[int], pseudo: float = 0.0, kmer: str = "kmer") -> DataFrame:
+    """Columns put back, or added at either end: their frequencies come from the aligned words, which must be as wide.
+
+    Columns between the old end and an added one that are not named become gaps.
+    """
+    wanted = [int(c) for c in cols]
+    own = position_profile(sites, pseudo, kmer).filter(F.col("col").isin(wanted)).select("col", "base", F.col("freq").alias("__new"))
+    old = profile if "is_gap" in profile.columns else profile.withColumn("is_gap", F.lit(False))
+    last = (old.agg(F.max("col")).first()[0] or 0) if not wanted else max([old.agg(F.max("col")).first()[0] or 0, *wanted])
+    frame = old.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("col"), F.explode(F.array(*map(F.lit, BASES))).alias("base"))
+    out = frame.join(old.select("col", "base", "freq", "is_gap"), ["col", "base"], "left").join(own, ["col", "base"], "left")
+    return out.select("col", "base", F.coalesce("__new", "freq", F.lit(0.25)).alias("freq"), (F.col("__new").isNull() & F.coalesce("is_gap", F.lit(True))).alias("is_gap"))
+
+
+def profile_logo(profile: DataFrame) -> DataFrame:
+    """(col, base, height): information of a column times the share of a base; gaps have no height."""
+    gap = F.col("is_gap") if "is_gap" in profile.columns else F.lit(False)
+    bits = column_information(profile)
+    return profile.join(bits, "col").select("col", "base", F.when(gap, F.lit(0.0)).otherwise(F.col("freq") * F.col("bits")).alias("height"))
+
+
 def scan_profile(df: DataFrame, profile: DataFrame, base_freq: float = 0.25, id_col: str = "seq_id", seq: str = "seq", span: int = 8) -> DataFrame:
     """Log-odds of a profile at every valid window of both strands against a uniform background."""
     sites = valid_sites(df, span, True, id_col, seq).withColumns({"strand": F.lit(0), "log_bg": F.lit(span * math.log(base_freq))})

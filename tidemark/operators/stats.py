@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
+from .tables import exact_quantiles, null_safe_join
 
 
 def ols(df: DataFrame, y: Column, x: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -200,21 +201,14 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), name: str
     group = Window.partitionBy(*(by or [F.lit(0)]))
     bins = bins.withColumns({"__before": F.sum("__in").over(group.orderBy("__bin")) - F.col("__in"), "__all": F.sum("__in").over(group)}).drop("__in")
 
-    def same(a: DataFrame, b: DataFrame, how: str, left: str, right: str) -> DataFrame:
-        b = b.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(right).alias("__k"), *[c for c in b.columns if c not in (*by, right)])
-        on = F.col(left).eqNullSafe(F.col("__k")) if how == "inner" else F.col(left) == F.col("__k")
-        for i, c in enumerate(by):
-            on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-        return a.join(b, on, how).drop("__k", *[f"__k{i}" for i in range(len(by))])
-
-    values = same(values, bins, "inner", "__bin", "__bin")
+    values = null_safe_join(values, bins, [*by, "__bin"])
     values = values.withColumn("__raw", F.col("__p") * F.col("__all") / (F.col("__before") + F.col("__upto")))
     values = values.withColumn("__least", F.min("__raw").over(inside.orderBy(F.desc("__p")))).drop("__before", "__all")
     later = values.groupBy(*by, "__bin").agg(F.min("__raw").alias("__own"))
     later = later.withColumn("__later", F.min("__own").over(group.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1))).drop("__own")
-    values = same(values, later, "inner", "__bin", "__bin")
+    values = null_safe_join(values, later, [*by, "__bin"])
     values = values.select(*by, "__p", F.least(F.lit(1.0), "__least", F.coalesce("__later", F.lit(1.0))).alias(name))
-    return same(df, values, "left", p, "__p")
+    return null_safe_join(df, values.withColumnRenamed("__p", p), [*by, p], "left")
 
 
 def overlap_enrichment(sets: DataFrame, chosen: DataFrame, total: int | None = None, key: str = "symbol", name: str = "set_name") -> DataFrame:
@@ -269,9 +263,10 @@ def normality(df: DataFrame, value: str, points: int = 99) -> DataFrame:
     from statistics import NormalDist
 
     ps = [(i + 1) / (points + 1) for i in range(points)]
-    r = df.agg(F.percentile(value, F.array(*map(F.lit, ps))).alias("q"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).first()
+    r = df.agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).first()
     normal = NormalDist(r.m, r.s) if r.s else None
-    rows = [(p, float(q), normal.inv_cdf(p) if normal else None) for p, q in zip(ps, r.q or (), strict=bool(r.q))]
+    quantiles = exact_quantiles(df, [], value, ps).orderBy("p").collect()  # so many points
+    rows = [(q["p"], q["quantile"], normal.inv_cdf(q["p"]) if normal else None) for q in quantiles]
     return df.sparkSession.createDataFrame(rows, "p double, sample double, normal double")
 
 
@@ -315,3 +310,52 @@ def cell_tails(cells: DataFrame, alpha: float = 0.05, two_sided: bool = True) ->
     d = cells.withColumns({"__n1": per("base1"), "__n2": per("base2"), "__t": per()})
     d = hypergeometric(d, "observed", "__n1", "__n2", "__t", two_sided)
     return d.withColumn("significant", F.col("tail") < alpha / 16).drop("__n1", "__n2", "__t")
+
+
+def spline_basis(x: Column, knots: Sequence[float]) -> list[Column]:
+    """The natural cubic spline with these knots as columns: x itself, and a bend for every knot but the last two.
+
+    Beyond the outer knots it goes on straight. Coordinates are scaled to the knots' range.
+    """
+    low, high = float(knots[0]), float(knots[-1])
+    t = [(float(k) - low) / (high - low) for k in knots]
+    z = (x - low) / (high - low)
+
+    def bend(k: float) -> Column:
+        return (F.pow(F.greatest(z - k, F.lit(0.0)), 3) - F.pow(F.greatest(z - 1.0, F.lit(0.0)), 3)) / (1.0 - k)
+
+    return [z] + [bend(k) - bend(t[-2]) for k in t[:-2]]
+
+
+def concurvity(df: DataFrame, cols: Sequence[str], knots: int = 5) -> DataFrame:
+    """(term, share, worst): how much of a smooth term of each column lies in the space of the others' terms.
+
+    A term is a natural cubic spline with knots at quantiles of its column (equal ones count once). ``share`` is the
+    part of its squares that the others' terms explain, ``worst`` that of the function in its space that they explain
+    best. Means and then sums of centred products are all that is taken from the data, a number for each pair of
+    basis functions. Rows with a null in any column are left out; a column with fewer than two knots has no term.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    basis, terms = [], {}
+    for c in cols:
+        at = sorted({q["quantile"] for q in exact_quantiles(rows, [], c, [i / (knots - 1) for i in range(knots)]).collect()})
+        its = [] if len(at) < 2 else spline_basis(F.col(c), at) if len(at) > 2 else [(F.col(c) - at[0]) / (at[1] - at[0])]
+        terms[c] = range(len(basis), len(basis) + len(its))
+        basis += its
+    out = []
+    if basis:
+        means = rows.agg(*[F.avg(b).alias(f"m{i}") for i, b in enumerate(basis)]).first()
+        pairs = list(itertools.combinations_with_replacement(range(len(basis)), 2))
+        centred = rows.select(*[(b - means[i]).alias(f"b{i}") for i, b in enumerate(basis)])
+        sums = centred.agg(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
+        gram = np.zeros((len(basis), len(basis)))
+        for (i, j), v in zip(pairs, sums, strict=True):
+            gram[i, j] = gram[j, i] = v
+        for c, its in terms.items():
+            own, others = list(its), [i for i in range(len(basis)) if i not in its]
+            if not own:
+                continue
+            explained = gram[np.ix_(own, others)] @ np.linalg.pinv(gram[np.ix_(others, others)], hermitian=True) @ gram[np.ix_(others, own)]
+            worst = np.linalg.eigvals(np.linalg.pinv(gram[np.ix_(own, own)], hermitian=True) @ explained).real.max() if others else 0.0
+            out.append((c, float(np.trace(explained) / np.trace(gram[np.ix_(own, own)])), float(min(1.0, worst))))
+    return df.sparkSession.createDataFrame(out, "term string, share double, worst double")

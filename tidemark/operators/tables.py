@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import shared_folder
+from ..session import cut
 
 #: The 97.5 % quantile of the standard normal distribution.
 Z975 = 1.959963984540054
@@ -23,6 +22,20 @@ def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, shared, how)
 
 
+def null_safe_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns in which null equals null. Of b the other columns stay, which a must not have.
+
+    Without columns every row meets all of b, which then is a table of bounded size: one row, or a few ranks.
+    """
+    other = b.select(*[F.col(c).alias(f"__on{i}") for i, c in enumerate(on)], *[c for c in b.columns if c not in on])
+    if not on:
+        return a.join(F.broadcast(other), F.lit(True), how)
+    match = F.lit(True)
+    for i, c in enumerate(on):
+        match = match & F.col(c).eqNullSafe(F.col(f"__on{i}"))
+    return a.join(other, match, how).drop(*[f"__on{i}" for i in range(len(on))])
+
+
 def keyed_lookup(x: DataFrame, y: DataFrame, on: str | list[str]) -> DataFrame:
     """Every row of y with what x has under its key."""
     return y.join(x, on, "left")
@@ -52,10 +65,7 @@ def number_rows(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     the ranges then give every range its first number. No task sees all rows.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    out = (df.orderBy(*order) if order else df).withColumn("__at", F.monotonically_increasing_id())
-    out.write.parquet(path)
-    out = spark.read.schema(out.schema).parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    out = cut((df.orderBy(*order) if order else df).withColumn("__at", F.monotonically_increasing_id())).withColumn("__range", F.shiftright("__at", 33))
     first, starts = 0, []
     for r in out.groupBy("__range").count().orderBy("__range").collect():  # a row for each range
         starts.append((r["__range"], first))
@@ -76,13 +86,67 @@ def not_in(df: DataFrame, col: str, values: Sequence[str], null_as: str = "Unkno
     return df.withColumn(col, F.coalesce(col, F.lit(null_as))).filter(~F.col(col).isin(*values))
 
 
+#: Ranges that the values of a group are counted in at a time, and values that one range may have to be ranked at once.
+RANGES, RANKED = 4096, 1 << 16
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(by..., p, quantile): exact quantiles, interpolated between the two nearest ranks, of any number of values.
+
+    The values of a group are counted in RANGES ranges between the least and the largest. A range that holds a wanted
+    rank is counted anew between its own least and largest value, until both are one or RANKED values are left, which
+    are ranked. Every pass is a scan with partial sums: no task holds a group's values, and a group has RANGES rows
+    for each rank at most.
+
+    Nulls and NaN are left out, groups without values have no rows, infinite values count as the largest double.
+    """
+    by = list(by)
+    most = 1.7976931348623157e308
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = rows.withColumn("__v", F.greatest(F.least("__v", F.lit(most)), F.lit(-most)))
+    groups = cut(rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).filter("__n > 0"))
+    at = (F.col("__n") - 1) * F.col("p")
+    wanted = groups.select(*by, "__n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")).select(*by, "p", F.floor(at).alias("__k"), F.ceil(at).alias("__l"), (at - F.floor(at)).alias("__part"))
+    ranks = wanted.select(*by, F.explode(F.array("__k", "__l")).alias("__k")).distinct()
+
+    # __below: how many values lie below a range, which names it
+    inside = null_safe_join(rows, groups.drop("__n").withColumn("__below", F.lit(0).cast("long")), by)
+    found = None
+    while True:
+        half = F.col("__hi") * 0.5 - F.col("__lo") * 0.5
+        inside = inside.withColumn("__range", F.when(half > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("__v") * 0.5 - F.col("__lo") * 0.5) / half * RANGES))).otherwise(0))
+        counts = inside.groupBy(*by, "__below", "__range").agg(F.count("*").alias("__c"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
+        upto = F.col("__below") + F.sum("__c").over(W.partitionBy(*by, "__below").orderBy("__range"))
+        counts = null_safe_join(counts.withColumn("__start", upto - F.col("__c")), ranks, by)
+        chosen = cut(counts.filter("__start <= __k and __k < __start + __c"))
+        known = chosen.filter("__from = __to").select(*by, "__k", F.col("__from").alias("__x"))
+        found = known if found is None else found.union(known)
+        left = chosen.filter("__from < __to").select(*by, "__below", "__range", "__start", "__from", "__to", "__c").distinct()
+        most_left = left.agg(F.max("__c")).first()[0]
+        if most_left is None:
+            break
+        left = left.drop("__c")
+        inside = null_safe_join(inside.drop("__lo", "__hi"), left, [*by, "__below", "__range"])
+        inside = inside.select(*by, "__v", F.col("__start").alias("__below"), F.col("__from").alias("__lo"), F.col("__to").alias("__hi"))
+        ranks = chosen.filter("__from < __to").select(*by, "__k").distinct()
+        if most_left <= RANKED:
+            values = inside.groupBy(*by, "__below", "__v").agg(F.count("*").alias("__c"))
+            values = values.withColumn("__start", F.col("__below") + F.sum("__c").over(W.partitionBy(*by, "__below").orderBy("__v")) - F.col("__c"))
+            met = null_safe_join(values, ranks, by).filter("__start <= __k and __k < __start + __c")
+            found = found.union(met.select(*by, "__k", F.col("__v").alias("__x")))
+            break
+    out = null_safe_join(wanted, found.withColumnRenamed("__x", "__low"), [*by, "__k"])
+    out = null_safe_join(out, found.select(*by, F.col("__k").alias("__l"), F.col("__x").alias("__high")), [*by, "__l"])
+    return out.select(*by, "p", (F.col("__low") * (1 - F.col("__part")) + F.col("__high") * F.col("__part")).alias("quantile"))
+
+
 def above_quantile(df: DataFrame, cols: Sequence[str], p: float) -> DataFrame:
-    """Rows above the p-quantile (linear interpolation) in every column."""
-    cut = df.agg(*[F.percentile(c, F.lit(p)).alias(f"__q{i}") for i, c in enumerate(cols)])
-    out = df.join(F.broadcast(cut))  # one row
-    for i, c in enumerate(cols):
-        out = out.filter(F.col(c) > F.col(f"__q{i}"))
-    return out.select(*df.columns)
+    """Rows above the p-quantile (linear interpolation) in every column. Without values nothing is above it."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x")).select("x.*")
+    limits = {r["name"]: r["quantile"] for r in exact_quantiles(values, ["name"], "value", [p]).collect()}  # a row for each column
+    for c in cols:
+        df = df.filter(F.col(c) > F.lit(limits.get(c)))
+    return df
 
 
 def min_of_group(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
@@ -170,9 +234,9 @@ def melt(df: DataFrame, ids: list[str], cols: list[str], name: str = "name", val
 
 
 def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    g = df.groupBy(*by).agg(q.alias("q"))
-    return g.select(*by, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    names = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+    q = exact_quantiles(df, by, value, list(names.values()))
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for n, p in names.items()])
 
 
 def histogram(df: DataFrame, value: str, width: float, origin: float = 0.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import discovery as D, sequences as Q
+from ..operators import controls as C, discovery as D, sequences as Q, stats as M
 from .queries import RC, SEQ, query, read, sequences
 
 
@@ -28,12 +28,14 @@ def after_tac(s: DataFrame) -> DataFrame:
     return Q.position_profile(words.select("seq_id", F.right("kmer", F.lit(6)).alias("kmer")), 1.0)
 
 
-@query(f"""with {SEQ}, bs as (select unnest(['A', 'C', 'G', 'T']) as b),
+def site_sql(gaps: str) -> str:
+    """Every word of six letters with its score and tail, and every window of both strands with its word's."""
+    return f"""with {SEQ}, bs as (select unnest(['A', 'C', 'G', 'T']) as b),
 comp as (select b, sum(length(seq) - length(replace(seq, b, ''))) as n from sq, bs group by b), bg as (select b, n / (select sum(n) from comp) as share from comp),
 nine as (select substr(seq, cast(i as int), 9) as w from (select seq, unnest(range(1, length(seq) - 7)) as i from sq where length(seq) >= 9)),
 st as (select right(w, 6) as w from nine where starts_with(w, 'TAC')), lt as (select i - 1 as col, substr(w, cast(i as int), 1) as b from (select w, unnest(range(1, 7)) as i from st)),
 pr as (select c as col, bs.b, (count(lt.b) + 1) / ((select count(*) from st) + 4) as freq from range(0, 6) t(c) cross join bs left join lt on lt.col = c and lt.b = bs.b group by c, bs.b),
-sc as (select col, pr.b, share, cast(floor(log2(freq / share) * 100 + 0.5) as bigint) as s from pr join bg on bg.b = pr.b),
+sc as (select col, pr.b, share, case when pr.col in ({gaps}) then 0 else cast(floor(log2(freq / share) * 100 + 0.5) as bigint) end as s from pr join bg on bg.b = pr.b),
 wd as (select a.b || c.b || e.b || f.b || g.b || h.b as kmer, a.s + c.s + e.s + f.s + g.s + h.s as score, a.share * c.share * e.share * f.share * g.share * h.share as p
   from sc a, sc c, sc e, sc f, sc g, sc h where a.col = 0 and c.col = 1 and e.col = 2 and f.col = 3 and g.col = 4 and h.col = 5),
 tl as (select score, sum(sum(p)) over (order by score desc) as tail from wd group by score),
@@ -41,7 +43,10 @@ db as (select seq_id, 1 as strand, seq from sq union all select seq_id, -1, {RC}
 win as (select seq_id, strand, cast(i - 1 as int) as pos, substr(seq, cast(i as int), 6) as kmer from (select *, unnest(range(1, length(seq) - 4)) as i from db where length(seq) >= 6)),
 hit as (select win.*, score from win join wd using (kmer)), ct as (select score, count(*) as n from hit group by score),
 rk as (select score, tail * (select sum(n) from ct) / sum(n) over (order by score desc) as raw from ct join tl using (score)),
-qv as (select score, least(1.0, min(raw) over (order by score)) as q from rk)
+qv as (select score, least(1.0, min(raw) over (order by score)) as q from rk)"""
+
+
+@query(site_sql("-1") + """
 select seq_id, strand, pos, kmer, score, round(tail, 9) as p_value, round(q, 9) as q_value from hit join tl using (score) join qv using (score) where tail <= 0.005""")
 def profile_site_pvalues(spark, d):
     s = sequences(spark, d)
@@ -64,3 +69,56 @@ def word_presence(spark, d):
 @query()
 def discriminative_words(spark, d):
     return D.discriminative_words(english(spark, d), k=6, beam=20, most=3)
+
+
+@query(site_sql("1, 4") + " select score, count(*) as n, count(distinct seq_id) as sequences, round(max(tail), 9) as p_value, round(max(q), 9) as q_value from hit join tl using (score) join qv using (score) where tail <= 0.02 group by score")
+def gapped_profile_sites(spark, d):
+    """The same profile with two of its columns taken out."""
+    s = sequences(spark, d)
+    background = {r["base"]: float(r["n"]) for r in Q.composition(s).collect()}  # four letters
+    hits = D.profile_sites(s, Q.gap_columns(after_tac(s), [1, 4]), background, most_p=0.02)
+    return hits.groupBy("score").agg(F.count("*").alias("n"), F.count_distinct("seq_id").alias("sequences"), F.round(F.max("p_value"), 9).alias("p_value"), F.round(F.max("q_value"), 9).alias("q_value"))
+
+
+@query(f"with {SEQ} select substr(seq, cast(i as int), 2) as pair, count(*) as n from (select seq, unnest(range(1, length(seq))) as i from sq where length(seq) >= 2) group by 1")
+def shuffled_pairs(spark, d):
+    """Letter pairs of all sequences after shuffling, which are those before."""
+    made = C.pair_shuffled(sequences(spark, d), seed=7)
+    return Q.kmers(made.select("seq_id", "seq"), 2).groupBy(F.col("kmer").alias("pair")).agg(F.count("*").alias("n"))
+
+
+#: Middle letters in which sites are looked for, and the letters of a site.
+MIDDLE, SITE = 120, 6
+
+
+def central(spark, d) -> DataFrame:
+    s = sequences(spark, d)
+    return C.central_distances(s, after_tac(s), MIDDLE, most_p=0.01)
+
+
+@query(f"""with {SEQ}, bs as (select unnest(['A', 'C', 'G', 'T']) as b),
+nine as (select substr(seq, cast(i as int), 9) as w from (select seq, unnest(range(1, length(seq) - 7)) as i from sq where length(seq) >= 9)),
+st as (select right(w, 6) as w from nine where starts_with(w, 'TAC')), lt as (select i - 1 as col, substr(w, cast(i as int), 1) as b from (select w, unnest(range(1, 7)) as i from st)),
+pr as (select c as col, bs.b, (count(lt.b) + 1) / ((select count(*) from st) + 4) as freq from range(0, 6) t(c) cross join bs left join lt on lt.col = c and lt.b = bs.b group by c, bs.b),
+sc as (select col, b, cast(floor(log2(freq / 0.25) * 100 + 0.5) as bigint) as s from pr),
+wd as (select a.b || c.b || e.b || f.b || g.b || h.b as kmer, a.s + c.s + e.s + f.s + g.s + h.s as score from sc a, sc c, sc e, sc f, sc g, sc h where a.col = 0 and c.col = 1 and e.col = 2 and f.col = 3 and g.col = 4 and h.col = 5),
+tl as (select score, sum(count(*)) over (order by score desc) / 4096 as tail from wd group by score),
+mid as (select seq_id, substr(seq, cast((length(seq) - {MIDDLE}) // 2 + 1 as int), {MIDDLE}) as seq from sq where length(seq) >= {MIDDLE}),
+db as (select seq_id, 1 as strand, seq from mid union all select seq_id, -1, {RC} from mid),
+win as (select seq_id, strand, case when strand > 0 then i - 1 else {MIDDLE} - {SITE} - i + 1 end as place, substr(seq, cast(i as int), 6) as kmer from (select *, unnest(range(1, {MIDDLE} - {SITE} + 2)) as i from db)),
+best as (select seq_id, place from win join wd using (kmer) join tl using (score) where tail <= 0.01 qualify row_number() over (partition by seq_id order by score desc, md5(concat_ws('|', seq_id, strand, place))) = 1)
+select cast(abs(2 * place - ({MIDDLE} - {SITE})) as int) as distance, count(*) as n from best group by 1""")
+def central_site_distances(spark, d):
+    return central(spark, d)
+
+
+@query()
+def central_site_windows(spark, d):
+    """Whether the sites of a profile gather about the middle of the sequences."""
+    return C.central_enrichment(central(spark, d), MIDDLE - SITE + 1)
+
+
+@query()
+def smooth_concurvity(spark, d):
+    out = M.concurvity(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return out.withColumns({c: F.round(c, 6) for c in ("share", "worst")})
