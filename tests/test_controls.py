@@ -131,3 +131,78 @@ def test_concurvity_against_numpy(spark):
         assert got[n].worst == pytest.approx(np.linalg.svd(qa.T @ qb)[1].max() ** 2, rel=1e-6)
     assert got["c"].worst > 0.9 > 0.2 > got["b"].share
     assert M.concurvity(df.filter("a > 100"), ["a", "b"]).count() == 0
+
+
+def test_all_entries_of_vectors(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 20)) @ r.normal(size=(20, 20))
+    x[:, 7] = 1.0
+    df = spark.createDataFrame([(v,) for v in x.tolist()] + [(None,), ([None] * 20,)], "e array<double>")
+    got = {(y.component, y.name): y for y in M.vector_pca(df, "e", 2).collect()}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = np.nan_to_num(np.corrcoef(x.T))
+    np.fill_diagonal(c, 1.0)
+    values, vectors = np.linalg.eigh(c)
+    for n in (1, 2):
+        v = vectors[:, -n] * np.sign(vectors[np.abs(vectors[:, -n]).argmax(), -n])
+        assert [got[n, f"e{i}"].loading for i in range(20)] == pytest.approx(v.tolist(), abs=1e-8)
+        assert got[n, "e0"].share == pytest.approx(values[-n] / 20)
+    assert M.vector_pca(df.filter("e is null"), "e", 2).count() == 0
+
+
+def test_lasso_against_a_plain_one(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(150, 3)) * [1, 50, 0.1] + [10, 1e6, 3]
+    y = 3 * x[:, 0] + 0.2 * x[:, 1] + r.normal(size=150) + 1e5
+    df = spark.createDataFrame([(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "key long, a double, b double, c double, y double")
+    fold = np.array([q.f for q in df.select("key", F.pmod(F.xxhash64("key"), F.lit(5)).alias("f")).orderBy("key").collect()])
+
+    def fit(x, y, lam):
+        z = (x - x.mean(0)) / x.std(0)
+        b, t = np.zeros(3), y - y.mean()
+        for _ in range(5000):
+            for j in range(3):
+                rho = z[:, j] @ (t - z @ b + z[:, j] * b[j]) / len(y)
+                b[j] = np.sign(rho) * max(abs(rho) - lam, 0)
+        return lambda w: y.mean() + (w - x.mean(0)) / x.std(0) @ b
+
+    lambdas = [0.1, 1.0, 5.0]
+    got = M.lasso_cv(df, "y", ["a", "b", "c"], "key", lambdas).orderBy("lambda").collect()
+    for q, lam in zip(got, lambdas, strict=True):
+        errors = [np.mean((y[fold == k] - fit(x[fold != k], y[fold != k], lam)(x[fold == k])) ** 2) for k in sorted(set(fold))]
+        assert q.mean_mse == pytest.approx(np.mean(errors), rel=1e-6) and q.se_mse == pytest.approx(np.std(errors, ddof=1) / math.sqrt(5), rel=1e-6)
+    assert [q.chosen for q in got].count(True) == 1
+
+
+def test_chains_side_by_side_are_those_one_by_one(monkeypatch):
+    from tidemark.operators import motif
+
+    r = np.random.default_rng(9)
+    table = np.cumsum(r.dirichlet([1] * 4, 16), axis=1)[:, :3]
+    sizes = [0, 5, 900, 3, 3, 40, 41, 0, 7, 7, 7, 100]
+    states, draws = r.integers(0, 16, len(sizes)).tolist(), [r.random(n) for n in sizes]
+    together = motif._chains(table, states, draws)
+    monkeypatch.setattr(motif, "SIDE_BY_SIDE", 10**9)
+    assert together == motif._chains(table, states, draws) and list(map(len, together)) == sizes
+
+
+def test_merging_in_buckets_of_any_size(spark):
+    from tidemark.operators import intervals as I
+
+    r = np.random.default_rng(10)
+    rows = [(k, int(a), int(a + n)) for k in ("x", "y", None) for a, n in zip(r.integers(-500, 500, 80), np.where(r.random(80) < 0.05, 200, r.integers(0, 6, 80)), strict=True)]
+    df = spark.createDataFrame(rows, "k string, start long, stop long")
+    want = sorted(map(str, I.merge_intervals(df, "k").collect()))
+    for bucket in (1, 7, 64, 5000):
+        assert sorted(map(str, I.merge_intervals(df, "k", bucket=bucket).collect())) == want
+    assert I.tile_range(df, "start", 50) == (min(a for _, a, _ in rows) // 50 * 50, max(a for _, a, _ in rows) // 50 * 50 + 50) and I.tile_range(df.limit(0), "start", 50) == (0, 0)
+
+
+def test_gtf_attributes(spark, tmp_path):
+    from tidemark.sources import readers as R
+
+    (tmp_path / "a.gtf").write_text('#c\nchr1\tx\tgene\t5\t9\t.\t+\t.\tgene_id "G1"; gene_name "A;B"; level 2; tag "t1"; tag "t2";\nchr1\tx\texon\t5\n2\tx\texon\t7\tz\t.\t-\t0\tgene_id "G2"\n')
+    got = sorted((x.seqid, x.type, x.start, x.stop, x.gene_id, x.gene_name, x.level, x.tag) for x in R.gtf(spark, str(tmp_path / "a.gtf"), ["gene_id", "gene_name", "level", "tag"]).collect())
+    assert got == [("2", "exon", 7, None, "G2", None, None, None), ("chr1", "gene", 5, 9, "G1", "A;B", "2", "t1")]

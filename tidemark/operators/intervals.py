@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .tables import null_safe_join
+
 
 def _keys(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -70,8 +72,8 @@ def merge_intervals(df: DataFrame, keys: str | list[str], start: str = "start",
     """Overlapping and adjacent intervals become one: (keys, start, stop, n).
 
     Closed intervals: the next start may exceed the stop by at most ``gap``. With ``bucket``, intervals are merged
-    inside coordinate buckets first and the results stitched, so that a key with very many intervals is spread over
-    tasks before its (few) merged pieces meet.
+    inside coordinate buckets first. Pieces that reach into other buckets mark how far they do, and only these and the
+    pieces that they reach meet by key; so a key with very many intervals is spread over tasks.
     """
     by = _keys(keys)
 
@@ -83,9 +85,15 @@ def merge_intervals(df: DataFrame, keys: str | list[str], start: str = "start",
         return d.groupBy(*part, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("__island")
 
     d = df.select(*by, F.col(start).alias("start"), F.col(stop).alias("stop"), F.lit(1).cast("long").alias("n")).filter("start is not null and stop is not null")
-    if bucket:
-        d = islands(d.withColumn("__bucket", F.floor(F.col("start") / bucket)), [*by, "__bucket"]).drop("__bucket")
-    return islands(d, by)
+    if not bucket:
+        return islands(d, by)
+    d = islands(d.withColumn("__bucket", F.floor(F.col("start") / bucket)), [*by, "__bucket"])
+    last = F.floor((F.col("stop") + gap) / bucket)
+    reach = d.filter(last > F.col("__bucket")).select(*by, F.explode(F.sequence(F.col("__bucket") + 1, last)).alias("__bucket"), (F.col("stop") + gap).alias("__reach"))
+    reach = reach.groupBy(*by, "__bucket").agg(F.max("__reach").alias("__reach"))
+    d = null_safe_join(d, reach, [*by, "__bucket"], "left").withColumn("__meets", (last > F.col("__bucket")) | F.coalesce(F.col("start") <= F.col("__reach"), F.lit(False)))
+    whole = d.filter(~F.col("__meets")).select(*by, "start", "stop", "n")
+    return whole.union(islands(d.filter("__meets").select(*by, "start", "stop", "n"), by))
 
 
 def _with(bit: Column):
@@ -225,6 +233,12 @@ def interval_substring(df: DataFrame, sequences: DataFrame, key: str, seq: str =
     return out.select(*df.columns, F.coalesce("__f", F.lit("")).alias("fragment"))
 
 
+def tile_range(df: DataFrame, pos: str, width: int) -> tuple[int, int]:
+    """From the tile of the first position to behind that of the last; nothing is (0, 0)."""
+    lo, hi = df.agg(F.min(pos), F.max(pos)).first()
+    return (0, 0) if lo is None else (lo // width * width, (hi // width + 1) * width)
+
+
 def tile_counts(df: DataFrame, pos: str, group: str, width: int, lo: int, hi: int, groups: list[str]) -> DataFrame:
     """Dense counts over half-open tiles [t, t+width) of [lo, hi) for every group: (tile, group, n)."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -415,6 +415,8 @@ def best_runs(runs: DataFrame) -> DataFrame:
 # -- null sets -------------------------------------------------------------------------------------------------------
 
 def _gapped(letters: str, template: str) -> str:
+    if len(letters) == len(template):
+        return letters
     it = iter(letters)
     return "".join(next(it) if c in "ACGTacgt" else c for c in template)
 
@@ -428,6 +430,39 @@ def _source(spark: SparkSession, seqs: list[str] | DataFrame) -> DataFrame:
 _NULL = "dataset int, seq_id long, seq string"
 
 
+#: Chains that must still go on for them to go on together.
+SIDE_BY_SIDE = 8
+
+
+def _chains(table: np.ndarray, states: list[int], draws: list[np.ndarray]) -> list[str]:
+    """A chain for each state, as long as its draws: all chains take their next letter together, the longest last."""
+    contexts, sizes = len(table), np.array([len(x) for x in draws])
+    by = np.argsort(-sizes, kind="stable")
+    first = np.concatenate(([0], np.cumsum(sizes[by])))[:-1]
+    flat = np.concatenate([*[draws[i] for i in by], np.zeros(0)])
+    out, state, at = np.zeros(len(flat), np.int64), np.array(states, np.int64)[by], 0
+    on = len(by)
+    while (on := int(np.searchsorted(-sizes[by][:on], -at, side="left"))) >= SIDE_BY_SIDE:
+        b = (flat[first[:on] + at][:, None] >= table[state[:on]]).sum(axis=1)
+        out[first[:on] + at] = b
+        state[:on] = (state[:on] * 4 + b) % contexts
+        at += 1
+    rows = table.tolist()
+    for i in range(on):
+        s, letters = int(state[i]), []
+        for x in flat[first[i] + at : first[i] + sizes[by[i]]].tolist():
+            row = rows[s]
+            b = 0 if x < row[0] else 1 if x < row[1] else 2 if x < row[2] else 3
+            letters.append(b)
+            s = (s * 4 + b) % contexts
+        out[first[i] + at : first[i] + sizes[by[i]]] = letters
+    text = np.frombuffer(BASES.encode(), np.uint8)[out].tobytes().decode()
+    made = [""] * len(by)
+    for i, a in zip(by.tolist(), first.tolist(), strict=True):
+        made[i] = text[a : a + len(draws[i])]
+    return made
+
+
 def markov_null_sets(spark: SparkSession, seqs: list[str] | DataFrame, n: int, seed: int, order: int = 3) -> DataFrame:
     """(dataset, seq_id, seq): n sets drawn from a Markov chain of the sequences, as long as they, with their gaps.
 
@@ -442,22 +477,16 @@ def markov_null_sets(spark: SparkSession, seqs: list[str] | DataFrame, n: int, s
         for c in r.context:
             at = at * 4 + BASES.index(c)
         m[at, BASES.index(r.base)] = r.n
-    table = np.cumsum(m / m.sum(axis=1, keepdims=True), axis=1).tolist()
+    table = np.cumsum(m / m.sum(axis=1, keepdims=True), axis=1)[:, :3]
     starts = np.cumsum(m.sum(axis=1) / m.sum())
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for d, i, t in zip(pdf["dataset"], pdf["seq_id"], pdf["seq"], strict=True):
-                size, rng = sum(c in "ACGTacgt" for c in t), stream(seed, order, int(d), int(i), int(i) >> 32)
-                state, letters = min(int(np.searchsorted(starts, rng.random(), side="right")), 4**order - 1), []
-                for x in rng.random(size).tolist():
-                    row = table[state]
-                    b = 0 if x < row[0] else 1 if x < row[1] else 2 if x < row[2] else 3
-                    letters.append("ACGT"[b])
-                    state = (state * 4 + b) % (4**order)
-                out.append(_gapped("".join(letters), t))
-            yield pd.DataFrame({"dataset": pdf["dataset"], "seq_id": pdf["seq_id"], "seq": out})
+            rngs = [stream(seed, order, int(d), int(i), int(i) >> 32) for d, i in zip(pdf["dataset"], pdf["seq_id"], strict=True)]
+            states = [min(int(np.searchsorted(starts, rng.random(), side="right")), 4**order - 1) for rng in rngs]
+            sizes = [sum(map(t.count, "ACGTacgt")) for t in pdf["seq"]]
+            letters = _chains(table, states, [rng.random(n) for rng, n in zip(rngs, sizes, strict=True)])
+            yield pd.DataFrame({"dataset": pdf["dataset"], "seq_id": pdf["seq_id"], "seq": [_gapped(x, t) for x, t in zip(letters, pdf["seq"], strict=True)]})
 
     spread = source.filter("seq is not null").select(F.explode(F.sequence(F.lit(1), F.lit(n))).alias("dataset"), "seq_id", "seq")
     return spread.mapInPandas(draw, _NULL)
@@ -733,7 +762,3 @@ def report(best: DataFrame, datasets: dict[int, list[str]] | DataFrame, o: Motif
     both = F.concat("seq", reverse_complement(F.col("seq")))
     position = F.when(F.col("at") < length, F.col("at") + 1).otherwise(F.col("at") - 2 * length)
     return met.select("dataset", "width", "seq_id", position.alias("position"), both.substr(F.col("at") + 1, F.col("width")).alias("kmer"))
-
-
-def describe(o: MotifOptions) -> dict:
-    return asdict(o)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalar import reverse_complement
@@ -393,10 +394,31 @@ def site_ratios(background: DataFrame, profile: DataFrame, id_col: str = "seq_id
 
 
 def ilr_score(background: DataFrame, profile: DataFrame, id_col: str = "seq_id") -> DataFrame:
-    """(id, ilr): log of the mean likelihood ratio over a sequence's valid windows."""
-    r = site_ratios(background, profile, id_col)
-    top = F.max("llr").over(W.partitionBy(id_col))
-    g = r.withColumn("m", top).groupBy(id_col).agg(F.max("m").alias("m"), F.sum(F.exp(F.col("llr") - F.col("m"))).alias("s"), F.count("*").alias("n"))
+    """(id, ilr): log of the mean likelihood ratio over a sequence's valid windows.
+
+    Ratios are summed where they are, a row for each run of windows of one sequence, relative to the largest of the
+    run; only these rows are shuffled.
+    """
+    r = site_ratios(background, profile, id_col).select(id_col, "llr")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                ids, llr = batch.column(0), batch.column(1).to_numpy()
+                same = pc.equal(ids.slice(1), ids.slice(0, n - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+                first = np.flatnonzero(np.concatenate(([True], ~same)))
+                size = np.diff(np.append(first, n))
+                most = np.maximum.reduceat(llr, first)
+                total = np.add.reduceat(np.exp(llr - np.repeat(most, size)), first)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(most), pa.array(total), pa.array(size)], names=names)
+
+    names = [id_col, "__m", "__s", "__n"]
+    schema = T.StructType([r.schema[id_col], T.StructField("__m", T.DoubleType()), T.StructField("__s", T.DoubleType()), T.StructField("__n", T.LongType())])
+    parts = r.mapInArrow(run, schema)
+    # one row for each run; a long text has one for each of its batches
+    top = F.max("__m").over(W.partitionBy(id_col))
+    g = parts.withColumn("__top", top).groupBy(id_col).agg(F.max("__top").alias("m"), F.sum(F.col("__s") * F.exp(F.col("__m") - F.col("__top"))).alias("s"), F.sum("__n").alias("n"))
     return g.select(id_col, (F.col("m") + F.log("s") - F.log("n")).alias("ilr"))
 
 

@@ -101,7 +101,9 @@ def lasso_cv(df: DataFrame, y: str, cols: Sequence[str], key: str, lambdas: Sequ
     Coordinate descent needs sums of products alone: one aggregation by fold, the rest is p x p on the driver.
     """
     d = df.dropna(subset=[y, *cols]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    v = [F.lit(1.0), *[F.col(c).cast("double") for c in cols], F.col(y).cast("double")]
+    # centred, since sums of products of large numbers lose digits; the intercept of a fold makes up for it
+    means = d.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate([*cols, y])]).first()
+    v = [F.lit(1.0), *[F.col(c).cast("double") - F.lit(means[i] or 0.0) for i, c in enumerate([*cols, y])]]
     p = len(v)
     rows = d.groupBy("fold").agg(*[F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]).collect()  # a row for each fold
     gram = {r.fold: np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float) for r in rows}
@@ -135,15 +137,35 @@ def lasso_cv(df: DataFrame, y: str, cols: Sequence[str], key: str, lambdas: Sequ
     return df.sparkSession.createDataFrame([(*r, r[0] == pick) for r in out], "lambda double, mean_mse double, se_mse double, chosen boolean")
 
 
-def pca(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
-    """(component, name, loading, share) of standardised columns; the largest loading of a component is positive."""
-    values, vectors = np.linalg.eigh(corr_matrix(df, cols))
-    order = np.argsort(values)[::-1][:k]
+def _components(matrix: np.ndarray, names: Sequence[str], k: int) -> list[tuple]:
+    """Rows of the k largest components of a correlation matrix; the largest loading of each is positive."""
+    values, vectors = np.linalg.eigh(matrix)
     rows = []
-    for n, i in enumerate(order, 1):
+    for n, i in enumerate(np.argsort(values)[::-1][:k], 1):
         v = vectors[:, i] * np.sign(vectors[np.argmax(np.abs(vectors[:, i])), i])
-        rows += [(n, c, float(x), float(values[i] / values.sum())) for c, x in zip(cols, v, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "component int, name string, loading double, share double")
+        rows += [(n, c, float(x), float(values[i] / values.sum())) for c, x in zip(names, v, strict=True)]
+    return rows
+
+
+def pca(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """(component, name, loading, share) of standardised columns; the largest loading of a component is positive."""
+    return df.sparkSession.createDataFrame(_components(corr_matrix(df, cols), cols, k), "component int, name string, loading double, share double")
+
+
+def vector_pca(df: DataFrame, vector: str, k: int) -> DataFrame:
+    """The same for the entries of an array, e0, e1, ..., of which there may be many: their correlations are one
+    aggregation of rows as vectors. Null arrays and those with nulls are left out; an entry that never varies has no
+    correlation with others."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
+
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null and not exists(v, x -> x is null)")
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([], "component int, name string, loading double, share double")
+    matrix = Correlation.corr(rows.select(array_to_vector("v").alias("v")), "v").first()[0].toArray()
+    matrix = np.where(np.isnan(matrix), 0.0, matrix)
+    np.fill_diagonal(matrix, 1.0)
+    return df.sparkSession.createDataFrame(_components(matrix, [f"e{i}" for i in range(len(matrix))], k), "component int, name string, loading double, share double")
 
 
 def welch_t(df: DataFrame, group: str, value: str, a: str, b: str, alternative: str = "less") -> DataFrame:

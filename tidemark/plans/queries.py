@@ -149,12 +149,14 @@ def interval_substring(spark, d):
     return I.interval_substring(r, s, "seq_id").select("seq_id", "start", "stop", "fragment")
 
 
-@query(f"""with {IV}, f as (select t as tile, g as l_returnflag from range(9000, 11700, 30) a(t), (values ('A'), ('N'), ('R')) b(g)),
-c as (select cast(floor((start - 9000) / 30.0) * 30 + 9000 as bigint) as tile, l_returnflag, count(*) as n from iv where start >= 9000 and start < 11700 group by all),
+@query(f"""with {IV}, rg as (select cast(floor(min(start) / 30.0) * 30 as bigint) as lo, cast(floor(max(start) / 30.0) * 30 as bigint) + 30 as hi from iv),
+f as (select t as tile, g as l_returnflag from (select unnest(range(lo, hi, 30)) as t from rg), (values ('A'), ('N'), ('R')) b(g)),
+c as (select cast(floor(start / 30.0) * 30 as bigint) as tile, l_returnflag, count(*) as n from iv group by all),
 j as (select f.tile, f.l_returnflag, coalesce(n, 0) as n from f left join c using (tile, l_returnflag))
 select cast(tile as bigint) as tile, min(n) as min_n, round(avg(n), 6) as mean_n, max(n) as max_n from j group by tile""")
 def tile_stats(spark, d):
-    return I.tile_stats(intervals(spark, d), "start", "l_returnflag", 30, 9000, 11700, ["A", "N", "R"]).withColumn("mean_n", F.round("mean_n", 6))
+    iv = intervals(spark, d)
+    return I.tile_stats(iv, "start", "l_returnflag", 30, *I.tile_range(iv, "start", 30), ["A", "N", "R"]).withColumn("mean_n", F.round("mean_n", 6))
 
 
 @query(f"with {EV} select s as start, event_type, count(*) as n from (select event_type, unnest(range(cast(floor((hour - 6) / 3.0) * 3 + 3 as bigint), hour + 1, 3)) as s from ev) group by all")
@@ -718,8 +720,7 @@ def lasso_cv(spark, d):
 
 @query()
 def pca(spark, d):
-    e = read(spark, d, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)])
-    return M.pca(e, e.columns, 3)
+    return M.vector_pca(read(spark, d, "embeddings"), "embedding", 3)
 
 
 @query()
@@ -830,7 +831,8 @@ def permutation_dependency(spark, d):
 def mc_common_bins(spark, d):
     from ..operators import motif
 
-    t = I.tile_counts(hours(spark, d).withColumnRenamed("event_type", "group"), "hour", "group", 24, 473352, 474096, TYPES).withColumn("tile_width", F.lit(24))
+    h = hours(spark, d).withColumnRenamed("event_type", "group")
+    t = I.tile_counts(h, "hour", "group", 24, *I.tile_range(h, "hour", 24), TYPES).withColumn("tile_width", F.lit(24))
     return motif.monte_carlo_common(t, 10, seed=7, width=1)
 
 

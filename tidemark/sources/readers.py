@@ -110,6 +110,19 @@ def gff3(spark: SparkSession, path: str | list[str], attribute: str = "ID") -> D
     return df.withColumns({"start": F.col("start").try_cast("bigint"), "stop": F.col("stop").try_cast("bigint"), attribute.lower(): F.nullif(found, F.lit(""))})
 
 
+def gtf(spark: SparkSession, path: str | list[str], attributes: list[str]) -> DataFrame:
+    """Annotation rows with the named attributes (key "value"; ...) as columns; one that is absent is null.
+
+    Of an attribute that is given several times the first value counts. Lines with fewer than nine fields are left out.
+    """
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.size(f) >= 9))
+    names = ("seqid", "source", "type", "start", "stop", "score", "strand", "frame")
+    df = rows.select(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(names)], F.get(f, F.lit(8)).alias("__a"))
+    found = {a: F.nullif(F.coalesce(F.nullif(F.regexp_extract("__a", rf'(?:^|;)\s*{a}\s+"([^"]*)"', 1), F.lit("")), F.regexp_extract("__a", rf'(?:^|;)\s*{a}\s+([^";\s]+)', 1)), F.lit("")) for a in attributes}
+    return df.select("seqid", "source", "type", F.col("start").try_cast("bigint").alias("start"), F.col("stop").try_cast("bigint").alias("stop"), "score", "strand", "frame", *[c.alias(a) for a, c in found.items()])
+
+
 def transcripts(annotation: DataFrame, kind: str = "transcript", col: str = "type") -> DataFrame:
     return annotation.filter(F.col(col) == kind)
 
