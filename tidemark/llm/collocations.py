@@ -6,6 +6,7 @@ so a window is exploded only if both are in the table of the length before; this
 counting everything. Counts of the parts are joined, the score is an integer division of decimals, phrases that
 one-word extensions account for are anti-joined, and the rest is ranked.
 
+A task counts the windows of a bounded part of a language's texts in arrays and hands each phrase on once a part.
 The table of the length before reaches the tasks as a Bloom filter. It is sized from the number of phrases, up to
 ``MOST_BITS``; what it lets through wrongly is counted and falls below the count. Beyond that size it lets more
 through, which costs rows to aggregate and changes no result.
