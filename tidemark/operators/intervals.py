@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut
 from .tables import null_safe_join
 
 
@@ -87,7 +88,7 @@ def merge_intervals(df: DataFrame, keys: str | list[str], start: str = "start",
     d = df.select(*by, F.col(start).alias("start"), F.col(stop).alias("stop"), F.lit(1).cast("long").alias("n")).filter("start is not null and stop is not null")
     if not bucket:
         return islands(d, by)
-    d = islands(d.withColumn("__bucket", F.floor(F.col("start") / bucket)), [*by, "__bucket"])
+    d = cut(islands(d.withColumn("__bucket", F.floor(F.col("start") / bucket)), [*by, "__bucket"]))
     last = F.floor((F.col("stop") + gap) / bucket)
     reach = d.filter(last > F.col("__bucket")).select(*by, F.explode(F.sequence(F.col("__bucket") + 1, last)).alias("__bucket"), (F.col("stop") + gap).alias("__reach"))
     reach = reach.groupBy(*by, "__bucket").agg(F.max("__reach").alias("__reach"))
