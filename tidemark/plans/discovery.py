@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import controls as C, discovery as D, sequences as Q, stats as M
-from .queries import RC, SEQ, query, read, sequences
+from ..streaming.windows import sliding_stream
+from .queries import PROFILE, RC, SEQ, query, read, sequences, sites
 
 
 def of_documents(spark, d, column: str) -> DataFrame:
@@ -122,3 +123,30 @@ def central_site_windows(spark, d):
 def smooth_concurvity(spark, d):
     out = M.concurvity(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return out.withColumns({c: F.round(c, 6) for c in ("share", "worst")})
+
+
+# -- profiles and time -----------------------------------------------------------------------------------------------
+
+@query(f"with {PROFILE} select 11 - col as col, translate(base, 'ACGT', 'TGCA') as base, round(freq, 9) as freq from pr")
+def reversed_profile(spark, d):
+    p = Q.reverse_profile(Q.position_profile(sites(spark, d)))
+    return p.select("col", "base", F.round("freq", 9).alias("freq"))
+
+
+@query(f"with {PROFILE} select c as col, b as base, coalesce(round(freq, 9), 0.25) as freq, freq is null as is_gap from range(0, 12) x(c) cross join (values ('A'), ('C'), ('G'), ('T')) y(b) left join pr on pr.col = c + 2 and pr.base = b")
+def shifted_profile(spark, d):
+    p = Q.shift_profile(Q.position_profile(sites(spark, d)), 2, 12)
+    return p.select(F.col("col").cast("long").alias("col"), "base", F.round("freq", 9).alias("freq"), "is_gap")
+
+
+@query(f"""with {PROFILE}, s as (select col, 2 + sum(case when freq > 1e-10 then freq * log2(freq) else 0 end) as bits from pr where col not in (0, 11) group by col)
+select pr.col, base, round(coalesce(freq * bits, 0), 9) as height from pr left join s on s.col = pr.col""")
+def gapped_logo(spark, d):
+    p = Q.profile_logo(Q.gap_columns(Q.position_profile(sites(spark, d)), [0, 11]))
+    return p.select(F.col("col").cast("long").alias("col"), "base", F.round("height", 9).alias("height"))
+
+
+@query("select start, event_type, count(*) as n from (select event_type, unnest([epoch_us(time_bucket(interval '2 hours', ts)) // 1000000 - 7200 * k for k in range(0, 3)]) as start from events) group by all")
+def sliding_time_windows(spark, d):
+    t = sliding_stream(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", "2 hours", ["event_type"])
+    return t.select(F.unix_seconds("start").alias("start"), "event_type", "n")
