@@ -114,7 +114,7 @@ def test_many_kinds_of_words_keep_their_keys():
 def plain_trie(texts, order):
     seen = defaultdict(Counter)
     for t in texts:
-        whole = b"\xff" * order + (t or "").encode() + b"\xff"
+        whole = b"\xff" * order + (t or "").encode().lower() + b"\xff"
         for i in range(order, len(whole)):
             for k in range(order + 1):
                 seen[whole[i - k : i]][whole[i]] += 1
@@ -134,7 +134,7 @@ def plain_log(seen, context, symbol):
 
 
 def plain_score(seen, text, order):
-    whole = b"\xff" * order + (text or "").encode() + b"\xff"
+    whole = b"\xff" * order + (text or "").encode().lower() + b"\xff"
     return sum(plain_log(seen, whole[i - order : i], whole[i]) for i in range(order, len(whole)))
 
 
@@ -188,6 +188,16 @@ def test_long_texts_in_parts(monkeypatch):
     assert [w for part in L._word_lists(text) for w in part] == text.split()
 
 
+def test_case_is_kept_where_it_is_asked_for(spark):
+    docs = spark.createDataFrame([(1, "ABAB"), (2, "abab")], "doc_id long, text string")
+    scratch = Scratch(spark)
+    for lower, alike in ((True, True), (False, False)):
+        model = L.fit_language_model(docs.filter("doc_id = 1"), scratch, 2, lower=lower)
+        out, (score, *_) = L.score_texts(docs, model, scratch)
+        a, b = (r[score] for r in out.orderBy("doc_id").collect())
+        assert (a == pytest.approx(b)) == alike and a >= b
+
+
 def test_an_empty_training_set_and_an_empty_table(spark):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     scratch = Scratch(spark)
@@ -230,7 +240,8 @@ def test_op11_on_the_given_documents(spark, data):
     text = {d["doc_id"]: d["text"] for d in docs}
     assert sorted(r["doc_id"] for r in got) == sorted(text) and {r["doc_id"]: r["held_out"] for r in got} == held
     out = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    # it takes less than three bits a byte for what it has not seen; the words' score, which spells no unseen word, is no bound
+    assert sum(-r["score"] * math.log2(10) for r in out) < 3 * sum(r["n_bytes"] for r in out)
     seen = None
     for r in sorted(out, key=lambda r: len(text[r["doc_id"]]))[:12]:
         n, k, total, base = plain_words(train, text[r["doc_id"]])

@@ -223,6 +223,7 @@ class LanguageModel:
     """What fit_language_model learnt: run counts (run, n), word counts (token, n), and their totals."""
 
     order: int
+    lower: bool
     runs: DataFrame
     words: DataFrame
     pairs: tuple[np.ndarray, np.ndarray]
@@ -239,11 +240,12 @@ class LanguageModel:
         return self.tokens + 0.5 * (self.kinds + 1)
 
 
-def _bytes(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    return [(t.as_py() or "").encode() for t in batch.column(column)]
+def _bytes(batch: pa.RecordBatch, column: int, lower: bool = False) -> list[bytes]:
+    texts = [(t.as_py() or "").encode() for t in batch.column(column)]
+    return [t.lower() for t in texts] if lower else texts  # A-Z alone, as these are bytes
 
 
-def _run_counts(docs: DataFrame, order: int) -> DataFrame:
+def _run_counts(docs: DataFrame, order: int, lower: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -254,7 +256,7 @@ def _run_counts(docs: DataFrame, order: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["run", "n"])
 
         for batch in batches:
-            for runs, _, _ in _parts(_bytes(batch, 0), order):
+            for runs, _, _ in _parts(_bytes(batch, 0, lower), order):
                 held.append(np.unique(runs, return_counts=True))
                 if sum(len(k) for k, _ in held) > HELD:
                     held = [merged()]
@@ -297,12 +299,12 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(released(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def fit_language_model(docs: DataFrame, scratch: Scratch, order: int = ORDER, text: str = "text", most_entries: int = MOST_ENTRIES) -> LanguageModel:
-    """Learns from all texts of docs; see the module for what it holds."""
+def fit_language_model(docs: DataFrame, scratch: Scratch, order: int = ORDER, text: str = "text", most_entries: int = MOST_ENTRIES, lower: bool = True) -> LanguageModel:
+    """Learns from all texts of docs; see the module for what it holds. With ``lower`` A-Z are read in lower case."""
     if not 1 <= order <= 4:
         raise ValueError("contexts have 1 to 4 bytes, so that a block of the trie has a bound")
     docs = docs.select(F.col(text).alias("text"))
-    runs, words = scratch.cut(_run_counts(docs, order)), scratch.cut(_word_counts(docs))
+    runs, words = scratch.cut(_run_counts(docs, order, lower)), scratch.cut(_word_counts(docs))
     pairs = runs.groupBy(F.col("run").bitwiseAND(0xFFFF).alias("run")).agg(F.sum("n").alias("n")).orderBy("run").toArrow()  # 65,536 rows at most
     sizes = runs.groupBy(F.shiftright("run", 8).bitwiseAND(0xFFFF).alias("ends")).count().orderBy("ends").collect()  # likewise
     blocks, first, held = [], 0, 0
@@ -315,7 +317,7 @@ def fit_language_model(docs: DataFrame, scratch: Scratch, order: int = ORDER, te
     texts = docs.count()
     kinds, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     columns = tuple(pairs[c].to_numpy() for c in ("run", "n"))
-    return LanguageModel(order, runs, words, columns, blocks, texts, tokens + texts, kinds + (texts > 0))
+    return LanguageModel(order, lower, runs, words, columns, blocks, texts, tokens + texts, kinds + (texts > 0))
 
 
 _BUILT: dict = {}
@@ -384,12 +386,12 @@ def score_texts(docs: DataFrame, model: LanguageModel, scratch: Scratch, text: s
         trie = (got["run"].to_numpy(), got["n"].to_numpy(), *model.pairs)
         return spark.sparkContext.broadcast((model.order, trie, head_words if with_words else [], head_logs if with_words else np.zeros(0)))
 
-    first_block, shared, ended = model.blocks[0], shared_block(model.blocks[0], True), model.texts > 0
+    first_block, shared, ended, lower = model.blocks[0], shared_block(model.blocks[0], True), model.texts > 0, model.lower
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, words_of_head = _built(shared)
         for batch in batches:
-            texts = _bytes(batch, batch.num_columns - 1)
+            texts = _bytes(batch, batch.num_columns - 1, lower)
             sums = _text_sums(trie, texts, first_block)
             cols: list[list] = [[], [], [], [], []]
             for t in texts:
@@ -417,7 +419,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, scratch: Scratch, text: s
         def more(batches: Iterator[pa.RecordBatch], one=one, block=block) -> Iterator[pa.RecordBatch]:
             trie, _ = _built(one)
             for batch in batches:
-                texts = _bytes(batch, 0)
+                texts = _bytes(batch, 0, lower)
                 keys = [_key(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(_text_sums(trie, texts, block))], names=[h1, h2, "__part"])
 
@@ -448,7 +450,7 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER, text: str = "text") ->
 
 
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents scored by a model of those whose crc32(doc_id) is not 1 modulo 5.
+    """All documents, A-Z in lower case, scored by a model of those whose crc32(doc_id) is not 1 modulo 5.
 
     A null id has no crc32 and trains.
     """
