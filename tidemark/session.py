@@ -26,16 +26,21 @@ def local_session(cpus: int | str | None = None, partitions: int | None = None,
     )
 
 
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master.startswith("local-cluster") or not master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
