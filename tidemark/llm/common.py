@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -26,14 +27,7 @@ BATCH_BYTES = 8 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return shared_folder(spark)
 
 
 def bound_batches(spark: SparkSession) -> None:
