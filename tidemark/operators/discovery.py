@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import special
 from ..functions.scalar import reverse_complement
+from ..session import cut
 from . import sequences as Q
 from .stats import benjamini_hochberg
 
@@ -116,7 +117,8 @@ def compare_motifs(queries: DataFrame, targets: DataFrame, least_overlap: int =
     """
     spark, out = targets.sparkSession, None
     name = targets.schema["motif"].dataType
-    targets = targets.select("motif", F.col("freqs").cast("array<double>").alias("freqs"))
+    # made once, and dealt out by number: a small table of motifs is much work
+    targets = cut(targets.select("motif", F.col("freqs").cast("array<double>").alias("freqs"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_targets = targets.filter("size(freqs) > 0 and not exists(freqs, x -> x is null)").count()
     found = T.StructType([
         T.StructField("query", queries.schema["motif"].dataType), T.StructField("target", name), T.StructField("offset", T.IntegerType()), T.StructField("strand", T.IntegerType()),
