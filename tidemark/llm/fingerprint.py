@@ -31,8 +31,11 @@ SCALES = ((64, 64, 16, 0), (16, 16, 4, 2048))
 #: Values of the entropy scale, and the least that a feature has.
 SCALE, LEAST = 1000, 100
 FILTER_BYTES, FILTER_FEATURES, PROBES = 256, 160, 5
-#: Bytes of text in one bucket of the order by id, and buckets at most: then they grow, and are read in batches still.
-BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 1 << 16
+#: Bytes of text in one bucket of the order by id: a part of FEW of all text, but no less than the first, and no more
+#: than the second, whatever there is. A bucket is read in batches.
+BUCKET_BYTES, MOST_BYTES, FEW = 8 << 20, 1 << 30, 4096
+#: Rows of one range in which the bounds of buckets are found.
+RANGE_ROWS = 1 << 20
 #: Bytes that are looked at together.
 PART = 1 << 16
 #: A rank behind all others, of windows that are no features.
@@ -256,16 +259,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket(ids: Column, bounds: Column, n: int) -> Column:
-    """How many of the n bounds (descending) are greater than the id; one more than all of them for a null."""
-    if not n:
-        return F.when(ids.isNull(), 1).otherwise(0)
-    step = max(1, int(n**0.5))
-    more = lambda xs: F.size(F.filter(xs, lambda b: b > ids))
-    heads = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // step)), lambda i: F.get(bounds, i * step))
-    block = more(F.filter(heads, lambda b: b.isNotNull()))
-    inside = F.when(block == 0, 0).otherwise((block - 1) * step + more(F.slice(bounds, F.greatest(block - 1, F.lit(0)) * step + 1, F.lit(step))))
-    return F.when(ids.isNull(), n + 1).otherwise(inside)
+_PLACE = "a boolean, b bigint, c bigint"
+
+
+def _place() -> Column:
+    """The order of documents: by descending id, null ids last, equal ids by a hash of their texts."""
+    return F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not("doc_id").alias("b"), F.xxhash64("text").alias("c"))
+
+
+def _bounds(docs: DataFrame) -> list[tuple]:
+    """The places at which buckets begin, in order; the first bucket begins before all of them.
+
+    The bytes of equal places are summed first, then ranges of places are walked, each in a task of its own. Between
+    two bounds are the bytes of one bucket at most and one document more, or two buckets where ranges meet; only rows
+    that are equal in id and text are never parted. The bounds are a place for each BUCKET_BYTES up to FEW buckets,
+    and for each MOST_BYTES of a corpus beyond FEW times that.
+    """
+    total = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).first()
+    room = min(MOST_BYTES, max(BUCKET_BYTES, (total["size"] or 0) // FEW))
+    if (total["size"] or 0) <= room:
+        return []
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = 0
+        for batch in batches:
+            ends = filled + np.cumsum(batch.column(3).to_numpy())
+            begins = np.flatnonzero(np.diff(ends // room, prepend=filled // room))
+            filled = int(ends[-1]) if len(ends) else filled
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(begins)) for k in range(3)], names=["a", "b", "c"])
+
+    sized = docs.groupBy(_place().alias("place")).agg(F.sum(F.octet_length("text")).cast("long").alias("bytes")).select("place.*", "bytes")
+    ranged = sized.repartitionByRange(total["n"] // RANGE_ROWS + 1, "a", "b", "c").sortWithinPartitions("a", "b", "c")
+    rows = ranged.mapInArrow(released(walk), _PLACE).collect()  # one for each bucket
+    return sorted({tuple(r) for r in rows}, key=lambda r: (r[0], r[1] or 0, r[2]))
+
+
+def _dealt(docs: DataFrame, bounds: list[tuple]) -> DataFrame:
+    """The documents with their place and bucket: how many of the bounds are not behind the place.
+
+    It is looked for among every step-th of the bounds first, then in one step.
+    """
+    docs = docs.withColumn("place", _place())
+    if not bounds:
+        return docs.withColumn("bucket", F.lit(0))
+    step = max(1, int(len(bounds) ** 0.5))
+    kind = "array<struct<a:boolean,b:bigint,c:bigint>>"
+    table = docs.sparkSession.createDataFrame([(bounds[::step], bounds)], f"heads {kind}, bounds {kind}")
+    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("place")))
+    docs = docs.withColumns({"heads": table.select("heads").scalar(), "bounds": table.select("bounds").scalar()}).withColumn("block", upto(F.col("heads")))
+    inside = upto(F.slice("bounds", F.greatest(F.col("block") - 1, F.lit(0)) * step + 1, F.lit(step)))
+    return docs.withColumn("bucket", F.when(F.col("block") == 0, 0).otherwise((F.col("block") - 1) * step + inside)).drop("heads", "bounds", "block")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -284,14 +327,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranks = corpus_ranks(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MAX_BUCKETS, size // BUCKET_BYTES))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / (n + 1) for k in range(1, n + 1)], 100 * n)).first()[0] if n else None
-    bounds = sorted(set(bounds or ()), reverse=True)
-    table = spark.createDataFrame([(bounds,)], "b array<bigint>").scalar()  # MAX_BUCKETS entries at most
-    place = F.struct(F.col("doc_id").isNull().alias("a"), F.negative("doc_id").alias("b"), F.xxhash64("text").alias("c"))
-    rows = docs.withColumn("bounds", table).withColumn("bucket", _bucket(F.col("doc_id"), F.col("bounds"), len(bounds))).drop("bounds").withColumn("place", place)
-    firsts = sorted((r.bucket, r.first.a, r.first.b, r.first.c) for r in rows.groupBy("bucket").agg(F.min("place").alias("first")).collect())  # at most MAX_BUCKETS + 2
+    bounds = _bounds(docs)
+    rows = _dealt(docs, bounds)
+    firsts = sorted((r.bucket, r.first.a, r.first.b, r.first.c) for r in rows.groupBy("bucket").agg(F.min("place").alias("first")).collect())  # one for each bucket
     guests = [(*firsts[i][1:], firsts[i - 1][0]) for i in range(len(firsts))]
     guests = spark.createDataFrame(guests, "a boolean, b long, c long, other int")
     near = (F.col("place.a") == F.col("a")) & F.col("place.b").eqNullSafe(F.col("b")) & (F.col("place.c") == F.col("c"))
@@ -300,7 +338,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     guest = F.struct(F.col("other").alias("bucket"), F.lit(True).alias("guest"))
     rows = rows.withColumn("to", F.explode(F.when(F.col("other").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     rows = rows.select("doc_id", "text", "to.bucket", "to.guest")
-    rows = rows.repartitionById(len(bounds) + 2, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    rows = rows.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = lambda v: base64.b64encode(v).decode()
