@@ -621,8 +621,8 @@ def test_buckets_of_fingerprints(spark, monkeypatch):
     r = random.Random(14)
     rows = [(r.choice([None, 7, *range(-500, 500)]), prose(r, r.choice([1, 20, 60]), 500)) for _ in range(800)] + [(7, prose(r, 40)) for _ in range(400)] + [(-(2**63), "least"), (2**63 - 1, None)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "coalesce(text, '') text")
-    monkeypatch.setattr(P, "RANGE_ROWS", 300)
-    for least, most, few in ((2000, 1 << 30, 4096), (1, 5000, 10), (1, 1 << 30, 30)):
+    for least, most, few, rows_of_range in ((2000, 1 << 30, 4096, 300), (1, 5000, 10, 300), (1, 1 << 30, 30, 300), (9000, 1 << 30, 4096, 5)):
+        monkeypatch.setattr(P, "RANGE_ROWS", rows_of_range)
         monkeypatch.setattr(P, "BUCKET_BYTES", least), monkeypatch.setattr(P, "MOST_BYTES", most), monkeypatch.setattr(P, "FEW", few)
         size = sum(len((t or "").encode()) for _, t in rows)
         room = min(most, max(least, size // few))
@@ -635,7 +635,7 @@ def test_buckets_of_fingerprints(spark, monkeypatch):
             assert x.bucket == sum(key(b) <= key(x.place) for b in bounds)
             filled[x.bucket] += x.bytes
         # one id has a third of all rows: its rows are parted like others
-        assert len(filled) > size // (4 * room) and max(filled.values()) <= 2 * (room + max(x.bytes for x in got))
+        assert size // (4 * room) < len(filled) <= 2 * size // room + 1 and max(filled.values()) <= room + max(x.bytes for x in got)
 
 
 # -- 8 ---------------------------------------------------------------------------------------------------------------

@@ -259,9 +259,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_PLACE = "a boolean, b bigint, c bigint"
-
-
 def _place() -> Column:
     """The order of documents: by descending id, null ids last, equal ids by a hash of their texts."""
     return F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not("doc_id").alias("b"), F.xxhash64("text").alias("c"))
@@ -270,10 +267,10 @@ def _place() -> Column:
 def _bounds(docs: DataFrame) -> list[tuple]:
     """The places at which buckets begin, in order; the first bucket begins before all of them.
 
-    The bytes of equal places are summed first, then ranges of places are walked, each in a task of its own. Between
-    two bounds are the bytes of one bucket at most and one document more, or two buckets where ranges meet; only rows
-    that are equal in id and text are never parted. The bounds are a place for each BUCKET_BYTES up to FEW buckets,
-    and for each MOST_BYTES of a corpus beyond FEW times that.
+    The bytes of equal places are summed first, then ranges of places are walked, each in a task of its own, and cut
+    into stretches; neighbouring stretches that fit into a bucket together, of whatever ranges, share it. A bucket has
+    the bytes of its room at most and one document more; only rows that are equal in id and text are never parted.
+    There are at most two buckets for each BUCKET_BYTES up to FEW times that, and for each MOST_BYTES beyond.
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).first()
     room = min(MOST_BYTES, max(BUCKET_BYTES, (total["size"] or 0) // FEW))
@@ -281,17 +278,34 @@ def _bounds(docs: DataFrame) -> list[tuple]:
         return []
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = 0
+        filled, place, since = 0, None, 0  # bytes up to here; where the stretch begins, and the bytes before it
         for batch in batches:
             ends = filled + np.cumsum(batch.column(3).to_numpy())
-            begins = np.flatnonzero(np.diff(ends // room, prepend=filled // room))
+            out = []
+            for k in np.flatnonzero(np.diff(ends // room, prepend=-1 if place is None else filled // room)).tolist():
+                before = int(ends[k - 1]) if k else filled
+                if place is not None:
+                    out.append((*place, before - since))
+                place, since = tuple(batch.column(c)[k].as_py() for c in range(3)), before
             filled = int(ends[-1]) if len(ends) else filled
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(begins)) for k in range(3)], names=["a", "b", "c"])
+            yield stretches(out)
+        if place is not None:
+            yield stretches([(*place, filled - since)])
+
+    def stretches(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["a", "b", "c", "bytes"])
 
     sized = docs.groupBy(_place().alias("place")).agg(F.sum(F.octet_length("text")).cast("long").alias("bytes")).select("place.*", "bytes")
     ranged = sized.repartitionByRange(total["n"] // RANGE_ROWS + 1, "a", "b", "c").sortWithinPartitions("a", "b", "c")
-    rows = ranged.mapInArrow(released(walk), _PLACE).collect()  # one for each bucket
-    return sorted({tuple(r) for r in rows}, key=lambda r: (r[0], r[1] or 0, r[2]))
+    rows = ranged.mapInArrow(released(walk), "a boolean, b bigint, c bigint, bytes bigint").collect()  # one for each range and bucket
+    bounds, held = [], 0
+    for r in sorted(rows, key=lambda r: (r.a, r.b or 0, r.c)):
+        if held and held + r.bytes > room:
+            bounds.append((r.a, r.b, r.c))
+            held = 0
+        held += r.bytes
+    return bounds
 
 
 def _dealt(docs: DataFrame, bounds: list[tuple]) -> DataFrame:
