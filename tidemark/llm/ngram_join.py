@@ -26,18 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, WordHash, components, mix, odd, read, released, shingle_set, signed
+from .common import Scratch, WordHash, components, filter_words, id_bits, maybe_in, mix, odd, read, released, shingle_set, signed
 
 #: Times a set is dealt with other hashes before its empty parts become tiles too.
 DEALS = 8
 #: Pairs, or digests of texts, that a task remembers, not to emit them again.
 REMEMBERED = 500_000
-#: Rows of one block of an open tile.
+#: Rows of one block of an open tile, on average.
 BLOCK = 2048
-#: Bits of the filter that prunes the texts read again for verification. It has a fixed size, and a join decides.
-PRUNE_BITS = 1 << 23
 
 SIGNED = "doc_id long, n long, d1 long, d2 long, copy_of long, bits binary, tiles array<long>"
 
@@ -207,15 +205,12 @@ def _open(percent: int):
     return run
 
 
-def _sets(n: int, prune: np.ndarray):
+def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = WordHash(), prune
+        words = WordHash()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            spot = batch.column(2).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((bits[spot >> 3] >> (spot & 7)) & 1)
-            made = [signed(shingle_set(words.of(_words(batch.column(1)[int(i)].as_py())), n)) for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["id", "items"])
+            made = [signed(shingle_set(words.of(_words(text.as_py())), n)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "items"])
 
     return run
 
@@ -238,14 +233,11 @@ def _exact(percent: int):
 
 def _sets_of(ids: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """(id, items) of the documents whose ids are in the one column of ids, and of some others."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(PRUNE_BITS))
-    wanted = ids.toDF("doc_id").select(spot.alias("s"))
-    rows = wanted.groupBy(F.expr("s div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m")).collect()  # at most PRUNE_BITS / 32
-    prune = np.zeros(PRUNE_BITS // 32, np.uint32)
-    for r in rows:
-        prune[r.w] = r.m
-    texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text", spot.alias("spot"))
-    return scratch.cut(texts.mapInArrow(released(_sets(n, prune.view(np.uint8))), "id long, items array<long>"))
+    wanted = scratch.cut(ids.toDF("doc_id").distinct())
+    words = filter_words(wanted.count())
+    bits = scratch.cut(id_bits(wanted, "doc_id", words))
+    texts = docs.filter("text is not null and doc_id is not null").filter(maybe_in(bits, "doc_id", words)).select("doc_id", "text")
+    return scratch.cut(texts.mapInArrow(released(_sets(n)), "id long, items array<long>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, meta: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -264,9 +256,11 @@ def _verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, meta: D
 
 def _still_open(members: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of the tiles that hold more than one component: (tile, id, component)."""
-    held = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    held = held.withColumns({"lo": F.expr("min(component) over (partition by tile)"), "hi": F.expr("max(component) over (partition by tile)")})
-    return scratch.cut(held.filter("lo <> hi").select("tile", "id", "component"))
+    held = scratch.cut(members.join(found, "id", "left").select("tile", "id", F.coalesce("component", "id").alias("component")))
+    several = held.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tile")
+    out = scratch.cut(held.join(several, "tile"))
+    scratch.drop(held)
+    return out
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,10 +276,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     meta = scratch.cut(docs.mapInArrow(released(_sign(n, percent)), SIGNED))
     lone = meta.filter("octet_length(bits) > 0")
-    per = W.partitionBy("tile")
-    members = lone.select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("id"))
-    members = members.withColumns({"leader": F.min("id").over(per), "size": F.count("*").over(per), "whole": F.bit_xor(F.xxhash64("id")).over(per)}).filter("size > 1")
-    members = scratch.cut(members)
+    dealt = lone.select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("id"))
+    # what is known of a tile comes from partial sums and is joined back, so that no task sees a whole tile
+    shared = dealt.groupBy("tile").agg(F.min("id").alias("leader"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("whole"))
+    shared = scratch.cut(shared.filter("size > 1"))
+    words = filter_words(shared.count())
+    bits = scratch.cut(id_bits(shared, "tile", words))
+    members = scratch.cut(dealt.filter(maybe_in(bits, "tile", words)).join(shared, "tile"))
+    scratch.drop(shared)
     stars = scratch.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     copies = meta.filter("copy_of <> doc_id").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
     # equal sets of several tasks, or of texts that differ: stars may miss them, if all tiles have leaders of other sets
@@ -306,9 +304,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     # equal sets are in one component by the links above, so one of them stands for all
     held = held.join(lone.select(F.col("doc_id").alias("id"), "n", "d1", "d2"), "id")
-    held = held.groupBy("tile", "n", "d1", "d2").agg(F.min("id").alias("id"), F.min("component").alias("component"))
-    held = held.withColumns({"size": F.count("*").over(per), "lead": F.min("id").over(per), "block": F.expr(f"cast((row_number() over (partition by tile order by id) - 1) div {BLOCK} as int)")})
-    held = held.select("tile", "lead", "id", "component", "block", F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK} as int))")).alias("other"))
+    held = scratch.cut(held.groupBy("tile", "n", "d1", "d2").agg(F.min("id").alias("id"), F.min("component").alias("component")))
+    tiles_ = held.groupBy("tile").agg(F.min("id").alias("lead"), F.expr(f"cast((count(*) - 1) div {BLOCK} as int)").alias("last"))
+    held = held.join(tiles_, "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
+    held = held.select("tile", "lead", "id", "component", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     held = held.select("tile", "lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
     held = held.join(lone.select(F.col("doc_id").alias("id"), "n", "bits"), "id")
     # tiles with the same first member meet in a few tasks, which then emit a pair once

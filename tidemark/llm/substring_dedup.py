@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, bound_batches, components, fresh, id_bits, maybe_in, mix, odd, read, released, signed
-from .ngram_join import PRUNE_BITS, _exact
+from .ngram_join import _exact
 
 #: A sentence of more words is cut after words whose hash is a multiple of CUT.
 LONG, CUT = 24, 12
 _STOPS = (".", "!", "?")
 #: Words of 64 bits in the filters over paragraphs.
 FILTER = 1 << 17
+#: Bits of the filter that prunes the paragraphs read again for verification. It has a fixed size, and a join decides.
+PRUNE_BITS = 1 << 23
 #: Rows of one block of a band that is walked.
 BLOCK = 2048
 #: The chance with which a pair at the threshold must share a band, and the minima in a band.
