@@ -21,8 +21,6 @@ _MASK = (1 << 64) - 1
 _REMEMBERED = 1 << 18
 #: Words of 64 bits in a filter over ids.
 FILTER_WORDS = 1 << 14
-#: Words of a filter that is sized from a count: the least and the most, as powers of two (32 MB).
-FILTER_LEAST, FILTER_MOST = 10, 22
 #: Bytes of texts or arrays that one Arrow batch carries.
 BATCH_BYTES = 8 << 20
 
@@ -159,14 +157,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def filter_words(n: int) -> int:
-    """Words of a filter over n ids: 16 bits for each, so that one foreign id in 16 gets through.
-
-    Beyond 16 million ids the filter does not grow, more get through, and the join that follows decides alone.
-    """
-    return 1 << min(FILTER_MOST, max(FILTER_LEAST, (n // 4).bit_length()))
-
-
 def id_bits(ids: DataFrame, col: str, words: int = FILTER_WORDS) -> DataFrame:
     """One row with an array of ``words`` longs: the bits of the hashes of the ids. Its size is fixed."""
     spot = F.pmod(F.xxhash64(col), F.lit(words * 64))
