@@ -222,6 +222,22 @@ def test_pattern_counts(spark, both):
     assert got == {p: tuple(sum(holds(p, s, both) for _, s, flag in rows if flag is want) for want in (True, False)) for p in patterns}
 
 
+def test_words_stay_with_their_sequence(spark):
+    """Counting words moves sequences once, not a row for each word; rows of one id are one sequence."""
+    rows = [(1, "ACGTAC", True), (1, "GGGGACGT", True), (2, "ACGTT", False), (2, None, False), (3, "ACGNN", True), (3, "ACGTT", None)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string, positive boolean").repartition(3)
+    held = D.held_words(df, 4, False)
+    assert {(x.id, x.positive): len(x.words) for x in held.collect()} == {(1, True): 7, (2, False): 2, (3, True): 0}
+    want = {"ACGT": (1, 1), "CGTA": (1, 0), "GTAC": (1, 0), "GGGG": (1, 0), "GGGA": (1, 0), "GGAC": (1, 0), "GACG": (1, 0), "CGTT": (0, 1)}
+    assert {x.word: (x.pos, x.neg) for x in D.word_counts(held, 4).collect()} == want
+    counts = D.pattern_counts(held, ["ACGT", "NNNN"], False)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for each word
+    assert {x.pattern: (x.pos, x.neg) for x in counts.collect()} == {"ACGT": (1, 1), "NNNN": (1, 1)}
+    with pytest.raises(ValueError):
+        D.held_words(df, 32)
+
+
 def plain_search(rows, k, beam, both):
     """The search itself, with every count made anew by looking through the sequences."""
     pos_all, neg_all = (sum(f is w for _, _, f in rows) for w in (True, False))

@@ -269,34 +269,117 @@ def wider(pattern: str) -> Iterator[str]:
                 yield pattern[:i] + code + pattern[i + 1 :]
 
 
-def held_words(df: DataFrame, k: int, both_strands: bool = True, id_col: str = "seq_id", seq: str = "seq", positive: str = "positive") -> DataFrame:
-    """(id, positive, word): the different words of k letters in each sequence; with both strands a word and its
-    reverse complement are one, the earlier."""
-    cut = Q.pieces(df.filter(F.col(positive).isNotNull()), seq, 0, k - 1, id_col, positive)
-    words = cut.select(F.col(id_col).alias("id"), F.col(positive).alias("positive"), F.explode(F.array_distinct(Q._words(k))).alias("word")).filter(F.translate("word", Q.BASES, "") == "")
-    if both_strands:
-        words = words.withColumn("word", F.least("word", reverse_complement(F.col("word"))))
-    return words.distinct()
+#: Letters of words that fit a number of 62 bits; sequences whose bits stand side by side in one round of a count.
+LONGEST_WORD, BESIDE = 31, 1 << 13
+
 
+def _numbers(codes: np.ndarray, k: int, both_strands: bool) -> np.ndarray:
+    """The different words of k letters of a text as numbers to base 4, sorted; of a word and its reverse complement the
+    smaller one, which is the earlier."""
+    n = len(codes) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    gaps = np.concatenate(([0], np.cumsum(codes == 4)))
+    plus, minus = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(k):
+        letter = codes[i : i + n].astype(np.int64) & 3
+        plus = plus * 4 + letter
+        minus += (3 - letter) << (2 * i)
+    return np.unique((np.minimum(plus, minus) if both_strands else plus)[gaps[k:] == gaps[:n]])
 
-def _counts(held: DataFrame, by: str) -> DataFrame:
-    return held.groupBy(by).agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+
+def held_words(df: DataFrame, k: int, both_strands: bool = True, id_col: str = "seq_id", seq: str = "seq", positive: str = "positive") -> DataFrame:
+    """(id, positive, words): the different words of k letters in each sequence, as numbers to base 4; with both strands
+    a word and its reverse complement are one, the earlier. Rows of one id and flag are one sequence.
+
+    Sequences are dealt out and sorted by id, so that rows of one sequence follow each other and only its words so far
+    are kept: at most 4^k, and no more than it has letters. Texts are read in blocks. Nothing else is shuffled.
+    """
+    if not 1 <= k <= LONGEST_WORD:
+        raise ValueError(f"a word has 1 to {LONGEST_WORD} letters")
+    frame = df.filter(F.col(positive).isNotNull()).select(F.col(id_col).alias("id"), F.col(positive).alias("positive"), F.col(seq).alias("seq"))
+    frame = frame.repartition("id").sortWithinPartitions("id", "positive")
+    schema = T.StructType([frame.schema["id"], frame.schema["positive"], T.StructField("words", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_schema(schema)
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        ids, flags, words = zip(*done, strict=True)
+        edges = np.cumsum([0, *map(len, words)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(words)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, arrow.field(0).type), pa.array(flags, arrow.field(1).type), lists.cast(arrow.field(2).type)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done, size = None, [], 0
+        for batch in batches:
+            for name, flag, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), Q._texts(batch, 2)):
+                if last is not None and last[:2] != (name, flag):
+                    done.append(last)
+                    size, last = size + len(last[2]), None
+                    if size > Q.BLOCK:
+                        yield rows(done)
+                        done, size = [], 0
+                words = [last[2]] if last else []
+                words += [_numbers(codes[a : a + Q.BLOCK + k - 1], k, both_strands) for a in range(0, len(codes), Q.BLOCK)]
+                last = (name, flag, np.unique(np.concatenate(words)) if len(words) > 1 else words[0] if words else np.zeros(0, np.int64))
+        if last is not None:
+            yield rows([*done, last])
+
+    return frame.mapInArrow(run, schema)
+
+
+def word_counts(held: DataFrame, k: int) -> DataFrame:
+    """(word, pos, neg): sequences of either kind that hold a word, for every word that one of them holds."""
+    counts = held.select("positive", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    base = F.array(*map(F.lit, Q.BASES))
+    letters = [F.get(base, F.shiftright("w", 2 * (k - 1 - i)).bitwiseAND(F.lit(3).cast("long")).cast("int")) for i in range(k)]
+    return counts.select(F.concat(*letters).alias("word"), "pos", "neg")
+
+
+def _words_for(pattern: str, both_strands: bool) -> np.ndarray:
+    """The words that a pattern stands for, as numbers to base 4; with both strands the earlier of each and its reverse complement."""
+    plus, minus = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for i, c in enumerate(pattern):
+        letters = np.array([Q.BASES.index(x) for x in CODES[c]], np.int64)
+        plus = (plus[:, None] * 4 + letters).ravel()
+        minus = (minus[:, None] + ((3 - letters) << (2 * i))).ravel()
+    return np.unique(np.minimum(plus, minus) if both_strands else plus)
 
 
 def pattern_counts(held: DataFrame, patterns: Sequence[str], both_strands: bool = True) -> DataFrame:
     """(pattern, pos, neg): sequences of either kind that hold a word that fits, counted for all patterns at once.
 
-    Patterns become the words that they stand for, at most 4^k each, which meet the words of the sequences in a join.
+    Patterns become the words that they stand for, at most 4^k each. Every such word has a bit for each of some sequences
+    side by side, and a pattern's sequences are the bits of its words together. Nothing is shuffled but the counts.
     """
     spark = held.sparkSession
-    letters = F.create_map(*[F.lit(x) for code, its in CODES.items() for x in (code, its)])
-    words = spark.createDataFrame([(p, "") for p in patterns], "pattern string, word string")
-    for i in range(max(map(len, patterns), default=0)):
-        words = words.select("pattern", F.explode(F.split(letters[F.substring("pattern", i + 1, 1)], "")).alias("__c"), "word").select("pattern", F.concat("word", "__c").alias("word"))
-    if both_strands:
-        words = words.select("pattern", F.least("word", reverse_complement(F.col("word"))).alias("word"))
-    met = held.join(words.distinct(), "word").select("pattern", "id", "positive").distinct()
-    return spark.createDataFrame([(p,) for p in patterns], "pattern string").join(_counts(met, "pattern"), "pattern", "left").na.fill(0)
+    meant = [_words_for(p, both_strands) for p in patterns]
+    known = np.unique(np.concatenate([*meant, np.zeros(0, np.int64)]))
+    shared = spark.sparkContext.broadcast((known, [np.searchsorted(known, m).astype(np.int32) for m in meant]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, meant = shared.value
+        beside = max(8, min(BESIDE, (1 << 26) // max(1, len(known))))
+        pos, neg = np.zeros(len(meant), np.int64), np.zeros(len(meant), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(known) else 0, beside):
+                batch = whole.slice(at, beside)
+                lists, flags = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                words, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                there = known[place] == words
+                bits = np.zeros((len(known), batch.num_rows), bool)
+                bits[place[there], row[there]] = True
+                bits, flags = np.packbits(bits, axis=1), np.packbits(flags)
+                for i, its in enumerate(meant):
+                    hit = np.bitwise_or.reduce(bits[its], axis=0)
+                    of_pos = int(np.bitwise_count(hit & flags).sum())
+                    pos[i] += of_pos
+                    neg[i] += int(np.bitwise_count(hit).sum()) - of_pos
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(meant), dtype=np.int32)), pa.array(pos), pa.array(neg)], names=["i", "pos", "neg"])
+
+    sums = held.select("positive", "words").mapInArrow(run, "i int, pos long, neg long").groupBy("i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    names = spark.createDataFrame(list(enumerate(patterns)), "i int, pattern string")
+    return names.join(sums, "i", "left").select("pattern", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
 
 
 def _tested(counts: DataFrame, pos_all: int, neg_all: int) -> DataFrame:
@@ -329,7 +412,7 @@ def discriminative_words(df: DataFrame, k: int = 6, beam: int = 30, most: int =
     while len(found) < most and pos_all and neg_all:
         held = held_words(df, k, both_strands, "seq_id", "seq", "positive").persist()
         try:
-            words = _tested(_counts(held, "word"), pos_all, neg_all)
+            words = _tested(word_counts(held, k), pos_all, neg_all)
             tested = words.count()
             seeds = words.orderBy("p_value", "word").limit(beam).collect()
             known = {r["word"]: (r["p_value"], r["word"], r["pos"], r["neg"]) for r in seeds}

@@ -64,7 +64,7 @@ def english(spark, d) -> DataFrame:
 h as (select distinct seq_id, least(w, {RC.replace("seq", "w")}) as word from w)
 select word, count(*) filter (lang = 'en') as pos, count(*) filter (lang <> 'en') as neg from h join documents on doc_id = seq_id where lang is not null group by word""")
 def word_presence(spark, d):
-    return D._counts(D.held_words(english(spark, d), 6), "word")
+    return D.word_counts(D.held_words(english(spark, d), 6), 6)
 
 
 @query()
