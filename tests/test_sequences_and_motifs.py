@@ -292,3 +292,19 @@ def test_a_full_join_keeps_nulls_of_the_data(spark):
     a = spark.createDataFrame([(1, None, "x"), (2, 5, "y")], "k int, n int, s string")
     b = spark.createDataFrame([(2, None), (3, 7)], "k int, m int")
     assert sorted(map(tuple, T.full_join_zero(a, b, ["k"]).collect())) == [(1, None, "x", 0), (2, 5, "y", None), (3, 0, None, 7)]
+
+
+def test_letters_over_a_long_template(spark):
+    """A template costs in proportion to its length: this one took minutes letter by letter."""
+    from tidemark.functions.scalar import with_gaps
+
+    letters = "ACGTTGCA" * 125_000
+    rows = [(letters, "N-" + "A-" * 1_000_000 + "é"), ("GT", "aNcé-GT"), (None, "A"), (None, "--"), ("A", None), ("", "A-"), ("ACG", "")]
+    df = spark.createDataFrame(rows, "sample string, template string")
+    made = [r.x for r in df.select(with_gaps(df["sample"], df["template"]).alias("x")).collect()]
+    assert made == ["N-" + "".join(c + "-" for c in letters) + "é", "GNTé-", None, "--", None, "-", ""]
+
+
+def test_words_after_a_word_overlap(spark):
+    df = spark.createDataFrame([(1, "TACTACTACGGATACNN"), (2, None), (3, "TACGG")], "seq_id long, seq string")
+    assert sorted(r.kmer for r in Q.words_after(df, "TAC", 4).collect()) == ["GGAT", "TACG", "TACT"]

@@ -5,10 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Chromosomes in their natural order.
 CHROMOSOMES = [*(f"chr{i}" for i in range(1, 23)), "chrX", "chrY"]
+#: The letters of a base.
+_BASES = np.frombuffer("ACGTacgt".encode("utf-32-le"), np.uint32)
 
 
 def decimal_comma(c: Column) -> Column:
@@ -92,16 +96,30 @@ def opposite_position(at: Column, length: Column, span: int) -> Column:
     return 2 * length - at - span
 
 
-def with_gaps(sample: Column, template: Column) -> Column:
-    """The letters of a sampled string laid over a template; what is no base in the template stays."""
-    zero = F.struct(F.lit(0).alias("i"), F.lit("").alias("s"))
+@F.pandas_udf(T.StringType())
+def _laid_over(sample: pd.Series, template: pd.Series) -> pd.Series:
+    out = []
+    for letters, text in zip(sample, template, strict=True):
+        places = text and np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        if not text or not (base := np.isin(places, _BASES)).any():
+            out.append(text)
+        elif letters is None:
+            out.append(None)
+        else:
+            new = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
+            n = int(base.sum())
+            made, at = places.copy(), np.flatnonzero(base)
+            made[at[: len(new)]] = new[:n]
+            out.append(np.delete(made, at[len(new) :]).tobytes().decode("utf-32-le"))
+    return pd.Series(out, dtype=object)
+
 
-    def step(acc: Column, t: Column) -> Column:
-        base = t.rlike("[ACGTacgt]")
-        letter = F.when(base, F.substring(sample, acc["i"] + 1, F.lit(1))).otherwise(t)
-        return F.struct((acc["i"] + base.cast("int")).alias("i"), F.concat(acc["s"], letter).alias("s"))
+def with_gaps(sample: Column, template: Column) -> Column:
+    """The letters of a sampled string laid over a template; what is no base in the template stays.
 
-    return F.aggregate(F.filter(F.split(template, ""), lambda t: t != ""), zero, step, lambda acc: acc["s"])
+    A text costs in proportion to its length. Bases beyond the end of the sample go.
+    """
+    return _laid_over(sample, template)
 
 
 def resized(start: Column, stop: Column, width: int) -> tuple[Column, Column]:
