@@ -25,8 +25,7 @@ def motif_comparison(spark, d):
 
 def after_tac(s: DataFrame) -> DataFrame:
     """The profile of the six letters that follow T, A, C."""
-    words = Q.kmers(s, 9).filter(F.startswith("kmer", F.lit("TAC")) & (F.translate("kmer", Q.BASES, "") == ""))
-    return Q.position_profile(words.select("seq_id", F.right("kmer", F.lit(6)).alias("kmer")), 1.0)
+    return Q.position_profile(Q.words_after(s, "TAC", 6), 1.0)
 
 
 def site_sql(gaps: str) -> str:
