@@ -308,3 +308,28 @@ def test_letters_over_a_long_template(spark):
 def test_words_after_a_word_overlap(spark):
     df = spark.createDataFrame([(1, "TACTACTACGGATACNN"), (2, None), (3, "TACGG")], "seq_id long, seq string")
     assert sorted(r.kmer for r in Q.words_after(df, "TAC", 4).collect()) == ["GGAT", "TACG", "TACT"]
+
+
+@pytest.mark.parametrize("how", Q.BACKGROUNDS)
+def test_scores_of_windows_without_rows_for_them(spark, how):
+    """Totals, sites and ratios come out as from a row for each window."""
+    r = np.random.default_rng(5)
+    rows = [(i, "".join(r.choice(list("ACGTN"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04]))) for i, n in enumerate([0, 3, 8, 9, 40, 200])] + [(9, None)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    models = Q.markov_models(df, 2).cache()
+    bg = Q.background_scores(df, models, 2, 5, how=how).cache()
+    one = lambda x: {(y[0], y[1]): tuple(y[2:]) for y in x.collect()}
+    want = one(bg.groupBy("seq_id", "strand").agg(F.count("*"), F.sum("log_bg"), F.max("log_bg")))
+    got = one(Q.background_totals(df, models, 2, 5, how=how))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    sites = bg.select("seq_id", "strand", "pos")
+    place = lambda x: {(y.seq_id, y.strand, y.pos): (y.kmer, round(y.log_bg, 9)) for y in x.collect()}
+    assert place(Q.site_backgrounds(sites, df, models, 2, 5, how=how)) == place(bg)
+    profile = Q.position_profile(bg, 1.0).cache()
+    want = dict(map(tuple, Q.ilr_score(bg, profile).collect()))
+    got = dict(map(tuple, Q.sequence_ratios(df, models, profile, 2, how=how).collect()))
+    assert got == pytest.approx(want) and want
+    scan = {(x.seq_id, x.pos): x.llr for x in Q.scan_profile(df, profile, span=5).collect()}
+    some = {(x.seq_id, x.pos): x.llr for x in Q.scan_profile(df, profile, span=5, above=0.0).collect()}
+    assert some == {k: v for k, v in scan.items() if v > 0} and 0 < len(some) < len(scan)
+    assert scan.keys() == {(x.seq_id, x.pos) for x in Q.valid_sites(df, 5).collect()}
