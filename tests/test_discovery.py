@@ -341,3 +341,17 @@ def test_exact_quantiles(spark, monkeypatch, ranges, ranked):
     assert T.exact_quantiles(df.filter("v is null"), [], "v", [0.5]).count() == 0
     assert T.above_quantile(df.filter("g = 'c'"), ["v"], 0.5).count() == sum(v > np.median(groups["c"]) for v in groups["c"])
     assert T.above_quantile(df.filter("v is null"), ["v"], 0.5).count() == 0
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_alignments_side_by_side(both):
+    """Targets of one width at once come out as one after another."""
+    r = np.random.default_rng(8)
+    draw = lambda n: r.dirichlet([0.3] * 4, n)
+    for columns, width in ((6, 6), (4, 9), (9, 3), (1, 5)):
+        query, targets = draw(columns), np.stack([draw(width) for _ in range(20)])
+        null = D._Null(r.dirichlet([1.0] * (D.STEPS + 1), columns))
+        got = list(zip(*D.best_alignments(query, targets, null, 4, both, "distance"), strict=True))
+        for x, target in zip(got, targets, strict=True):
+            want = D.best_alignment(query, target, null, 4, both, "distance")
+            assert tuple(x[:4]) == want[:4] and x[4:] == pytest.approx(want[4:])

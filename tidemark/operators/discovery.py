@@ -95,6 +95,37 @@ def best_alignment(query: np.ndarray, target: np.ndarray, null: _Null, least_ove
     return offset, -strand, -overlap, score, p, -math.expm1(tried * math.log1p(-min(p, 1 - 1e-16)))
 
 
+def best_alignments(query: np.ndarray, targets: np.ndarray, null: _Null, least_overlap: int, both_strands: bool, metric: str) -> list[np.ndarray]:
+    """What best_alignment gives, for targets (n, columns, 4) of one width side by side: a column for each part of it."""
+    n, width, _ = targets.shape
+    least = min(least_overlap, len(query), width)
+    sides = {1: targets, -1: targets[:, ::-1, ::-1]} if both_strands else {1: targets}
+    likes = {s: column_likeness(query, side.reshape(-1, 4), metric).reshape(len(query), n, width) for s, side in sides.items()}
+    tried = [(max(0, o) - min(len(query), o + width), abs(o), o, -s) for s in sides for o in range(least - width, len(query) - least + 1)]
+    p, best, score = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    tried.sort()  # of equally improbable ones the first stays
+    for i, (_, _, offset, strand) in enumerate(tried):
+        first, past = max(0, offset), min(len(query), offset + width)
+        columns = np.arange(first, past)
+        sums = likes[-strand][columns, :, columns - offset].sum(axis=0)
+        tails = null.tail(first, past)[sums]
+        better = tails < p
+        p[better], best[better], score[better] = tails[better], i, sums[better]
+    found = np.array(tried, np.int64)[best]
+    return [found[:, 2].astype(np.int32), -found[:, 3].astype(np.int32), -found[:, 0].astype(np.int32), score, p, -np.expm1(len(tried) * np.log1p(-np.minimum(p, 1 - 1e-16)))]
+
+
+def _by_width(batch: pa.RecordBatch, most: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a batch of motifs and their matrices (n, columns, 4), those of one width together, some at once."""
+    rows: dict[int, list] = {}
+    for i, m in _matrices(list(range(batch.num_rows)), batch.column(1).to_pylist()):
+        rows.setdefault(len(m), []).append((i, m))
+    for width, its in rows.items():
+        for at in range(0, len(its), max(1, most // width)):
+            part = its[at : at + max(1, most // width)]
+            yield np.array([i for i, _ in part]), np.stack([m for _, m in part])
+
+
 def _matrices(names: list, values: list) -> Iterator[tuple[object, np.ndarray]]:
     for name, freqs in zip(names, values, strict=True):
         if freqs and None not in freqs:
@@ -133,10 +164,11 @@ def compare_motifs(queries: DataFrame, targets: DataFrame, least_overlap: int =
         def count(batches: Iterator[pa.RecordBatch], columns=columns) -> Iterator[pa.RecordBatch]:
             seen = np.zeros((len(columns), STEPS + 1), np.int64)
             for batch in batches:
-                for _, m in _matrices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for side in (m, m[::-1, ::-1])[: 1 + both_strands]:
-                        like = column_likeness(columns, side, metric)
-                        np.add.at(seen, (np.repeat(np.arange(len(columns)), like.shape[1]), like.ravel()), 1)
+                for _, m in _by_width(batch):
+                    for side in (m, m[:, ::-1, ::-1])[: 1 + both_strands]:
+                        like = column_likeness(columns, side.reshape(-1, 4), metric)
+                        for i, steps in enumerate(like):
+                            seen[i] += np.bincount(steps, minlength=STEPS + 1)
             c, s = np.nonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(s), pa.array(seen[c, s])], names=["c", "s", "n"])
 
@@ -150,9 +182,12 @@ def compare_motifs(queries: DataFrame, targets: DataFrame, least_overlap: int =
         def align(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             nulls = [(q, m, _Null(s)) for q, m, s in shared.value]
             for batch in batches:
-                rows = [(q, t, *best_alignment(m, other, null, least_overlap, both_strands, metric)) for t, other in _matrices(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for q, m, null in nulls]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                for at, others in _by_width(batch):
+                    targets = batch.column(0).take(pa.array(at))
+                    for q, m, null in nulls:
+                        values = best_alignments(m, others, null, least_overlap, both_strands, metric)
+                        names = pa.array([q] * len(at), type=arrow.field(0).type)
+                        yield pa.RecordBatch.from_arrays([names, targets.cast(arrow.field(1).type), *[pa.array(v, type=f.type) for v, f in zip(values, list(arrow)[2:], strict=True)]], schema=arrow)
 
         arrow = to_arrow_schema(found)
         part = targets.mapInArrow(align, found)
