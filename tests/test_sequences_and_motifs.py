@@ -217,6 +217,33 @@ def test_samplers_agree():
     assert [(a[0], a[1].tolist()) for a in together] == [(b[0], b[1].tolist()) for b in again]
 
 
+@pytest.mark.parametrize(("rank", "zoops"), [("ilr", 0.2), ("clr", 0.2), ("ilr", None)])
+def test_large_datasets_are_sampled_in_parts(spark, monkeypatch, rank, zoops):
+    seqs = planted(60)
+    seqs[3] = seqs[3][:30] + "NN" + seqs[3][32:]
+    seqs[5:8] = [seqs[4], "", "ACG"]
+    o = motif.MotifOptions(seed=3, width=10, order=1, plateau=8, max_sweeps=25, runs=6, rank=rank, zoops=zoops)
+    monkeypatch.setattr(motif, "WHOLE_LETTERS", 0)
+    monkeypatch.setattr(motif, "PART_LETTERS", 1000)
+    runs = motif.gibbs_runs(spark, {0: seqs, 1: seqs[:20]}, [o])
+    rows = {(r.dataset, r.run): r for r in runs.collect()}
+    assert len(rows) == 12 and runs.schema.simpleString() == motif.gibbs_runs(spark, {}, [o]).schema.simpleString()
+    data = motif.Sequences(seqs, 10, 1)
+    for r in range(6):
+        sites = np.array(rows[0, r].sites)
+        assert len(sites) == 60 and rows[0, r].n_sites == (sites >= 0).sum() and (sites[6], sites[7]) == (-1, -1)
+        assert all(data.valid[i][p] for i, p in enumerate(sites) if p >= 0)
+        assert rows[0, r].score == pytest.approx(motif.run_score(data, sites, o))
+        assert zoops is not None or rows[0, r].n_sites == 58
+    if zoops:
+        best = max((rows[0, r] for r in range(6)), key=lambda x: x.score)
+        words = ["".join("ACGTN"[c] for c in data.windows[i][p]) for i, p in enumerate(best.sites) if p >= 0]
+        assert sum("GGACTTTC" in w or "GAAAGTCC" in w for w in words) >= 30
+    # neither the layout nor a smaller dataset beside it counts
+    frame = motif.as_sets(spark, {0: seqs}).repartition(7)
+    assert {r.run: (r.score, r.sites) for r in motif.gibbs_runs(spark, frame, [o]).collect()} == {r: (rows[0, r].score, rows[0, r].sites) for r in range(6)}
+
+
 def test_clr_sampling_finds_the_motif():
     seqs = planted(15)
     o = motif.MotifOptions(seed=5, width=10, order=1, plateau=12, max_sweeps=60, runs=4, clr_sampling=True, rank="clr")
