@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import special
 from tidemark.operators import motif, sequences as Q, stats as M
+from tidemark.plans import queries as plans
 
 
 def planted(n=20, seed=4, motif_word="GGGACTTTCC"):
@@ -217,6 +218,16 @@ def test_samplers_agree():
     assert [(a[0], a[1].tolist()) for a in together] == [(b[0], b[1].tolist()) for b in again]
 
 
+def test_valid_sites_are_counted_without_rows_for_them(spark, data):
+    df = spark.createDataFrame([(0, "ACGTNACG"), (0, "TTTT"), (1, "ACNNACGTACnnGT"), (2, "ACG"), (3, None), (None, "ACGTA")], "seq_id long, seq string")
+    for both in (True, False):
+        counted = Q.valid_site_counts(df, 4, both)
+        rows = Q.valid_sites(df, 4, both).groupBy("seq_id").count()
+        assert sorted(counted.collect(), key=str) == sorted(rows.withColumnRenamed("count", "n").collect(), key=str)
+    query = plans.QUERIES["valid_sites"](spark, data)
+    assert "Generate" not in query._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("rank", "zoops"), [("ilr", 0.2), ("clr", 0.2), ("ilr", None)])
 def test_large_datasets_are_sampled_in_parts(spark, monkeypatch, rank, zoops):
     seqs = planted(60)
