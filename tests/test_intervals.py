@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from tidemark.operators import intervals as I
+from tidemark.plans import queries as plans
 
 
 def some(n, seed, keys=3, span=300):
@@ -100,3 +101,13 @@ def test_overlap_join(spark):
     fb = spark.createDataFrame(b, "chrom string, j long, s2 long, e2 long")
     got = sorted((r.i, r.j) for r in I.overlap_join(fa, fb, "chrom", 8, ("s1", "e1", "s2", "e2")).collect())
     assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+
+
+def test_rows_collapse_without_a_row_for_each_bin(spark, data):
+    df = spark.createDataFrame([(1, 10, 160), (1, 300, 310), (2, 5, 5), (None, 7, 60)], "k int, start long, stop long")
+    rows = I.collapse(I.bin_intervals(df, explode=False).drop("start", "stop"), ["k"], keep_rows=True)
+    assert sorted(((r.k, r.start, r.stop) for r in rows.collect()), key=str) == sorted([(1, 0, 350), (1, 0, 350), (None, 0, 100)], key=str)
+    each = I.collapse(I.bin_intervals(df).drop("start", "stop"), ["k"])
+    assert sorted(each.collect(), key=str) == sorted(I.collapse(I.bin_intervals(df, explode=False).drop("start", "stop"), ["k"]).collect(), key=str)
+    plan = plans.QUERIES["collapse_on_rows"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan

@@ -5,7 +5,7 @@ Intervals are rows (key..., start, stop); a key such as (chrom) is a list of col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import cut
 from .tables import null_safe_join
@@ -40,11 +40,20 @@ def common_keys(df: DataFrame, keys: list[str], group: str, n_groups: int | None
 
 
 def collapse(df: DataFrame, by: list[str], width: int = 50, pos: str = "bin", keep_rows: bool = False) -> DataFrame:
-    """Bins back to regions: start is the smallest bin, stop the largest plus the width."""
-    lo, hi = F.min(pos), F.max(pos) + width
+    """Bins back to regions: start is the smallest bin, stop the largest plus the width.
+
+    ``pos`` may be the array of bins of ``bin_intervals(explode=False)``; an interval without bins is then left out.
+    """
+    if isinstance(df.schema[pos].dataType, T.ArrayType):
+        d = df.filter(F.size(pos) > 0)
+        lo, hi = F.min(F.array_min(pos)), F.max(F.array_max(pos))
+    else:
+        d, lo, hi = df, F.min(pos), F.max(pos)
+    df = d
     if keep_rows:
         w = W.partitionBy(*by)
-        return df.withColumns({"start": lo.over(w), "stop": F.max(pos).over(w) + width})
+        return df.withColumns({"start": lo.over(w), "stop": hi.over(w) + width})
+    hi = hi + width
     return df.groupBy(*by).agg(lo.alias("start"), hi.alias("stop"))
 
 
