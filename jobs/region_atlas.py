@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobs.common import command_line, settings
 from tidemark.operators import intervals as I
+from tidemark.session import cut
 
 log = logging.getLogger("tidemark.jobs.region_atlas")
 SETTINGS = {"key", "group", "start", "stop", "width", "bucket"}
@@ -32,18 +33,19 @@ CONFIG = Path(__file__).with_suffix(".json")
 MOST_GROUPS = 62
 
 
-def regions_of(iv: DataFrame, groups: list[str], width: int, bucket: int) -> DataFrame:
-    """(key, start, stop, n_groups, groups, bins, n_intervals, widest) of intervals (key, group, start, stop)."""
-    bit = F.expr("shiftleft(1L, __at - 1)")
-    binned = I.bin_intervals(iv, width).withColumn("__at", F.array_position(F.array(*map(F.lit, groups)), F.col("group")).cast("int"))
-    bins = binned.groupBy("key", "bin").agg(F.bit_or(bit).alias("mask"))
-    regions = I.collapse_islands(bins, ["key", "mask"], width, bucket=bucket)
-    support = I.overlap_join(regions.select("key", "start", "stop"), iv.select("key", F.col("start").alias("i_start"), F.col("stop").alias("i_stop")), "key", bucket, ("start", "stop", "i_start", "i_stop"))
+def masks_of(iv: DataFrame, groups: list[str], width: int) -> DataFrame:
+    """(key, mask, start, stop) of the regions of intervals (key, group, start, stop)."""
+    at = F.array_position(F.array(*map(F.lit, groups)), F.col("group")).cast("int") - 1
+    return I.mask_regions(iv.withColumn("at", at), "key", "at", width)
+
+
+def regions_of(iv: DataFrame, masks: DataFrame, groups: list[str], width: int, bucket: int) -> DataFrame:
+    """(key, start, stop, groups, bins, n_intervals, widest, n_groups) of intervals and their masks."""
+    support = I.overlap_join(masks.hint("shuffle_hash"), iv.select("key", F.col("start").alias("i_start"), F.col("stop").alias("i_stop")), "key", bucket, ("start", "stop", "i_start", "i_stop"))
     overlap = F.least("stop", "i_stop") - F.greatest("start", "i_start")
-    support = support.groupBy("key", "start", "stop").agg(F.count("*").alias("n_intervals"), F.max(overlap).alias("widest"))
+    out = support.groupBy("key", "start", "stop", "mask").agg(F.count("*").alias("n_intervals"), F.max(overlap).alias("widest"))
     bits = F.split(F.reverse(F.bin("mask")), "")
     names = F.array_join(F.transform(F.array(*map(F.lit, groups)), lambda g, i: F.when(F.get(bits, i) == "1", g)), ",")
-    out = regions.join(support, ["key", "start", "stop"])
     return out.select("key", "start", "stop", names.alias("groups"), F.expr(f"cast((stop - start) div {int(width)} as bigint)").alias("bins"), "n_intervals", "widest", F.bit_count("mask").cast("int").alias("n_groups"))
 
 
@@ -58,8 +60,10 @@ def run(spark: SparkSession, intervals: str, output: str, config: str | Path = C
     log.info("read %d intervals of %d groups from %s, left out %d", counted["used"], len(groups), intervals, counted["all"] - counted["used"])
     if not groups:
         groups = [""]
-    regions_of(iv, groups, s["width"], s["bucket"]).write.mode("overwrite").partitionBy("n_groups").parquet(f"{output}/regions")
-    I.venn_regions(I.bin_intervals(iv, s["width"]), ["key", "bin"], "group", groups).coalesce(1).write.mode("overwrite").parquet(f"{output}/sets")
+    masks = cut(masks_of(iv, groups, s["width"]))
+    regions_of(iv, masks, groups, s["width"], s["bucket"]).write.mode("overwrite").partitionBy("n_groups").parquet(f"{output}/regions")
+    sets = masks.groupBy("mask").agg(F.sum(F.expr(f"(stop - start) div {int(s['width'])}")).alias("n"))
+    I.with_percent(sets).coalesce(1).write.mode("overwrite").parquet(f"{output}/sets")
     written = atlas(spark, output).groupBy("n_groups").count().orderBy("n_groups").collect()
     log.info("wrote %d regions to %s/regions: %s", sum(r["count"] for r in written), output, {r["n_groups"]: r["count"] for r in written})
 

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.operators import intervals as I
@@ -111,3 +112,27 @@ def test_rows_collapse_without_a_row_for_each_bin(spark, data):
     assert sorted(each.collect(), key=str) == sorted(I.collapse(I.bin_intervals(df, explode=False).drop("start", "stop"), ["k"]).collect(), key=str)
     plan = plans.QUERIES["collapse_on_rows"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_mask_regions_against_sets_of_bins(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(k), int(g), int(s), int(s + n)) for k, g, s, n in zip(r.integers(0, 3, 300), r.choice([0, 3, 61], 300), r.integers(-4000, 4000, 300), r.integers(0, 40, 300))]
+    rows += [(9, 0, -1000, 1001), (9, 61, 295, 300), (9, 61, 300, 301), (9, 3, 5, 5), (None, 3, 0, 1)]  # long, at a border, empty, without key
+    got = I.mask_regions(spark.createDataFrame(rows, "k long, at int, start long, stop long").repartition(5), "k", "at", 5)
+    bins = {}
+    for k, g, s, e in rows:
+        for b in range(s // 5, -(-e // 5) if e > s else s // 5):
+            bins[k, b] = bins.get((k, b), 0) | 1 << g
+    want = []
+    for (k, b), m in sorted(bins.items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1])):
+        if want and want[-1][:2] == (k, m) and want[-1][3] == b * 5:
+            want[-1] = (k, m, want[-1][2], b * 5 + 5)
+        else:
+            want.append((k, m, b * 5, b * 5 + 5))
+    assert Counter(map(tuple, got.select("k", "mask", "start", "stop").collect())) == Counter(want)
+    # an interval is a row for each stretch of bins, not for each bin
+    from jobs import region_atlas
+
+    iv = spark.createDataFrame([("x", "a", 0, 6 * 10**7)], "key string, group string, start long, stop long")
+    (only,) = region_atlas.masks_of(iv, ["a"], 5).collect()
+    assert tuple(only) == ("x", 1, 0, 6 * 10**7)

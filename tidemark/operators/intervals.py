@@ -69,8 +69,11 @@ def collapse_islands(df: DataFrame, by: list[str], width: int = 50, pos: str = "
     d = df.select(*by, pos).distinct().withColumn("__bucket", F.floor(F.col(pos) / (bucket or 1)) if bucket else F.lit(0))
     d = d.withColumn("__island", F.col(pos) - width * F.row_number().over(W.partitionBy(*part).orderBy(pos)))
     d = d.groupBy(*part, "__island").agg(F.min(pos).alias("start"), (F.max(pos) + width).alias("stop")).select(*by, "start", "stop")
-    if not bucket:
-        return d
+    return _across(d, by, bucket) if bucket else d
+
+
+def _across(d: DataFrame, by: list[str], bucket: int) -> DataFrame:
+    """Runs (by..., start, stop) found inside buckets, with those put together that go on over a border."""
     edge = (F.pmod("start", F.lit(bucket)) == 0) | (F.pmod("stop", F.lit(bucket)) == 0)
     w = W.partitionBy(*by).orderBy("start")
     rest = d.filter(edge).withColumn("__new", F.coalesce((F.col("start") > F.lag("stop").over(w)).cast("int"), F.lit(1)))
@@ -78,6 +81,38 @@ def collapse_islands(df: DataFrame, by: list[str], width: int = 50, pos: str = "
     return d.filter(~edge).union(rest.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(*by, "start", "stop"))
 
 
+#: Bins that are the bits of one number.
+BINS = 60
+
+
+def mask_regions(df: DataFrame, keys: str | list[str], at: str, width: int, start: str = "start", stop: str = "stop") -> DataFrame:
+    """(keys..., mask, start, stop): a region for each run of neighbouring bins that the same groups touch.
+
+    ``at`` is the bit of a row's group, from 0 to 61. Bins are bits of numbers, one for each stretch of BINS bins and
+    group, so an interval is one row for each stretch that it touches and not one for each bin. Runs begin where some
+    group's bits change.
+    """
+    by = _keys(keys)
+
+    def shift(way: str, x: Column, n: Column) -> Column:
+        return F.call_function(f"shift{way}", x, n.cast("int"))
+
+    d = df.filter(F.col(stop) > F.col(start)).select(*by, F.col(at).alias("__at"), F.floor(F.col(start) / width).alias("__lo"), (F.ceil(F.col(stop) / width) - 1).alias("__hi"))
+    d = d.withColumn("__w", F.explode(F.sequence(F.floor(F.col("__lo") / BINS), F.floor(F.col("__hi") / BINS))))
+    lo = F.greatest(F.col("__lo") - F.col("__w") * BINS, F.lit(0))
+    hi = F.least(F.col("__hi") - F.col("__w") * BINS, F.lit(BINS - 1))
+    one = F.lit(1).cast("long")
+    d = d.groupBy(*by, "__w", "__at").agg(F.bit_or(shift("left", shift("left", one, hi - lo + 1) - 1, lo)).alias("__bits"))
+    d = d.groupBy(*by, "__w").agg(F.collect_list(F.struct("__at", "__bits")).alias("__sets"))
+    change = F.aggregate("__sets", one, lambda a, x: a.bitwiseOR(x["__bits"].bitwiseXOR(F.shiftleft(x["__bits"], 1))))
+    d = d.withColumn("__change", change)
+    begins = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.getbit("__change", i) == 1)
+    d = d.withColumn("__from", begins).select(*by, "__w", "__sets", F.explode(F.zip_with("__from", F.slice("__from", F.lit(2), F.lit(BINS)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(BINS)).alias("b")))).alias("__run"))
+    mask = F.aggregate("__sets", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(shift("left", F.getbit(x["__bits"], F.col("__run.a")).cast("long"), x["__at"])))
+    edges = [((F.col("__w") * BINS + F.col(f"__run.{e}")) * width).cast("long").alias(n) for e, n in (("a", "start"), ("b", "stop"))]
+    return _across(cut(d.select(*by, mask.alias("mask"), *edges)).filter("mask != 0"), [*by, "mask"], BINS * width)
+
+
 def merge_intervals(df: DataFrame, keys: str | list[str], start: str = "start", stop: str = "stop", gap: int = 1, bucket: int | None = None) -> DataFrame:
     """Overlapping and adjacent intervals become one: (keys, start, stop, n).
 
@@ -151,7 +186,11 @@ def subset_intersections(df: DataFrame, keys: list[str], group: str, groups: lis
 
 def venn_regions(df: DataFrame, keys: list[str], group: str, groups: list[str]) -> DataFrame:
     """Exact-mask counts and their share in percent: the regions of a Venn diagram."""
-    m = subset_masks(df, keys, group, groups)
+    return with_percent(subset_masks(df, keys, group, groups))
+
+
+def with_percent(m: DataFrame) -> DataFrame:
+    """Counts n of masks with their share in percent."""
     return m.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(0))))
 
 
