@@ -206,3 +206,27 @@ def test_gtf_attributes(spark, tmp_path):
     (tmp_path / "a.gtf").write_text('#c\nchr1\tx\tgene\t5\t9\t.\t+\t.\tgene_id "G1"; gene_name "A;B"; level 2; tag "t1"; tag "t2";\nchr1\tx\texon\t5\n2\tx\texon\t7\tz\t.\t-\t0\tgene_id "G2"\n')
     got = sorted((x.seqid, x.type, x.start, x.stop, x.gene_id, x.gene_name, x.level, x.tag) for x in R.gtf(spark, str(tmp_path / "a.gtf"), ["gene_id", "gene_name", "level", "tag"]).collect())
     assert got == [("2", "exon", 7, None, "G2", None, None, None), ("chr1", "gene", 5, 9, "G1", "A;B", "2", "t1")]
+
+
+def test_stretches_shuffled_together():
+    r = np.random.default_rng(6)
+    # every trail is as likely, as many texts of one batch show
+    text = "ACAGACG"
+    n = 6000
+    raw = np.frombuffer(text.encode() * n, np.uint8)
+    out = C.shuffle_together(raw, np.arange(1, n + 1) * len(text), r.integers(0, 2**64, n, np.uint64)).tobytes().decode()
+    made = Counter(out[i : i + len(text)] for i in range(0, len(out), len(text)))
+    from itertools import permutations
+
+    every = {"".join(p) for p in permutations(text) if pairs("".join(p)) == pairs(text)}
+    assert set(made) == every
+    expected = n / len(every)
+    assert sum((x - expected) ** 2 / expected for x in made.values()) < 3 * len(every) + 10
+    # a text alone, which takes the plain way, is what it is among others
+    texts = ["".join(r.choice(list("ACGT"), int(k), p=[0.6, 0.2, 0.15, 0.05])) + "N" * int(k % 2) for k in r.integers(0, 300, 60)]
+    keys = r.integers(0, 2**64, len(texts), np.uint64)
+    ends = np.cumsum([len(t) for t in texts])
+    whole = C.shuffle_together(np.frombuffer("".join(texts).encode(), np.uint8), ends, keys).tobytes().decode()
+    for i, t in enumerate(texts):
+        alone = C.shuffle_together(np.frombuffer(t.encode(), np.uint8), np.array([len(t)]), keys[i : i + 1]).tobytes().decode()
+        assert alone == whole[ends[i] - len(t) : ends[i]] and pairs(alone) == pairs(t)

@@ -84,7 +84,7 @@ def gapped_profile_sites(spark, d):
 def shuffled_pairs(spark, d):
     """Letter pairs of all sequences after shuffling, which are those before."""
     made = C.pair_shuffled(sequences(spark, d), seed=7)
-    return Q.kmers(made.select("seq_id", "seq"), 2).groupBy(F.col("kmer").alias("pair")).agg(F.count("*").alias("n"))
+    return Q.word_counts(made, 2).withColumnRenamed("word", "pair")
 
 
 #: Middle letters in which sites are looked for, and the letters of a site.
