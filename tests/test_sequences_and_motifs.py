@@ -371,3 +371,48 @@ def test_scores_of_windows_without_rows_for_them(spark, how):
     some = {(x.seq_id, x.pos): x.llr for x in Q.scan_profile(df, profile, span=5, above=0.0).collect()}
     assert some == {k: v for k, v in scan.items() if v > 0} and 0 < len(some) < len(scan)
     assert scan.keys() == {(x.seq_id, x.pos) for x in Q.valid_sites(df, 5).collect()}
+
+
+def test_gc_null_sets_meet_their_windows_in_a_join(spark):
+    r = np.random.default_rng(3)
+    draw = lambda n: "".join(r.choice(list("ACGT"), n))
+    seqs = [draw(25) + "nN-" + draw(40), draw(60), "", draw(60), "GC" * 15, "acg"] + [draw(60)] * 2
+    source = spark.createDataFrame([*enumerate(seqs), (1, seqs[1]), (1, seqs[1]), (50, None)], "seq_id long, seq string")  # a row thrice, a null
+    genome = spark.createDataFrame([("a", draw(6000)), ("b", draw(3000)), ("b", None)], "contig string, seq string")
+    texts = [x.seq for x in genome.collect() if x.seq]
+    made = motif.gc_null_sets(spark, source.repartition(5), genome, 2, seed=4, window=10, least=5)
+    # no set in one worker
+    assert "FlatMapCoGroupsInPandas" not in made._jdf.queryExecution().toString()
+    rows = sorted(tuple(x) for x in made.collect())
+    assert rows == sorted(tuple(x) for x in motif.gc_null_sets(spark, source.coalesce(1), genome, 2, seed=4, window=10, least=5).collect())
+    assert [i for _, i, _ in rows] == sorted([*range(8), 1, 1]) * 2
+    there = {t[i : i + 10] for t in texts for i in range(len(t) - 9)}
+    supply = sum((len(t) // 5 for t in texts), 0)
+    for d in (1, 2):
+        used = []
+        for _, i, s in (x for x in rows if x[0] == d):
+            assert [(j, c) for j, c in enumerate(s) if c not in "ACGT"] == [(j, c) for j, c in enumerate(seqs[i]) if c not in "ACGTacgt"]
+            for at in range(0, len(s), 10):
+                piece = s[at : at + 10]
+                if len(piece) == 10 and set(piece) <= set("ACGT"):
+                    used.append(piece)
+                    assert piece in there
+                    old = seqs[i][at : at + 10]
+                    if i != 4:  # enough windows
+                        assert sum(c in "GC" for c in piece) == sum(c in "GC" for c in old)
+        assert len(used) <= supply
+    assert [s for d, _, s in rows if d == 1] != [s for d, _, s in rows if d == 2]
+
+
+def test_gc_shares_never_take_a_window_twice():
+    rng = np.random.default_rng(2)
+    pieces, windows = {0: 3, 50: 40, 52: 90, 90: 7}, {48: 30, 50: 45, 52: 60, 54: 25}
+    got = motif.gc_shares(pieces, windows, 10, rng)
+    for gc, n in pieces.items():
+        assert sorted(x for g, low, high, _, _ in got if g == gc for x in range(low, high)) == list(range(n))
+    for k, n in windows.items():
+        taken = [first + x for _, low, high, of, first in got if of == k for x in range(high - low)]
+        assert sorted(taken) == list(range(len(taken))) and len(taken) <= n
+    assert (50, 0, 36, 50, 0) in got and (52, 0, 51, 52, 0) in got  # their own, while they have 10
+    with pytest.raises(ValueError):
+        motif.gc_shares({50: 161}, windows, 10, rng)
