@@ -708,6 +708,28 @@ def test_license_classifier_on_held_out_sentences(spark):
     assert sum(got[2000 + i] == [f] for i, f in enumerate(texts)) >= 0.8 * len(texts)
 
 
+def test_license_classifier_learns_from_all_paragraphs(spark):
+    r = random.Random(19)
+    texts = [f"{prose(r, 4)} the driver license number {i}\n{prose(r, 6)}" for i in range(6000)] + ["Released under the MIT License.", L.TEXTS["MIT"][0]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    lines = L.keyed_lines(docs, "text")
+    found = {" ".join(x.ws): x.held for x in L.unknown_class(lines).collect()}
+    assert len(found) == 6000 and {w.split()[-1] for w in found} == {str(i) for i in range(6000)}
+    scanner = L.fit_scanner(docs)
+    held = spark.createDataFrame([(w.split(),) for w, held in found.items() if held], "ws array<string>")
+    assert 1000 < held.count() < 2000
+    # of all that are held out, no more than the share pass, and the licence does
+    assert scanner.scored(held).filter(f"label > 0 and p > {scanner.limit}").count() <= L.PASS * held.count()
+    out, (name,) = L.scan_licenses(docs, scanner)
+    assert [(x.doc_id, [y.family for y in x[name]]) for x in out.filter(F.size(name) > 0).orderBy("doc_id").collect()] == [(6000, ["MIT"]), (6001, ["MIT"])]
+
+
+def test_limit_of_counts():
+    assert L.limit_of([]) == 0
+    assert L.limit_of([(10, 998), (7000, 1), (9000, 1)]) == 0.7
+    assert L.limit_of([(10, 9999), (9000, 1)]) == 0.001
+
+
 def test_every_template_holds_a_key_word():
     keys = set(L.key_words())
     assert all(set(p.split(" ")) & keys for _, p in L.phrases())

@@ -2,9 +2,9 @@
 
 Paragraphs (lines) become counts of the words and word pairs that licences use. A multinomial logistic regression
 gives each family a probability. It is trained on sentences that are made from the names of the licences and from
-their texts with words left out, against an unknown class: sentences that use the same words for other things, and a
-bounded sample of paragraphs of the corpus. The probability from which a family counts is calibrated on held-out
-paragraphs of the unknown class. A prediction stands when a template confirms it, which the classifier has not seen in
+their texts with words left out, against an unknown class: sentences that use the same words for other things, and
+all paragraphs of the corpus that are classified and resemble no template. A quarter of these is held out, and the
+probability from which a family counts is calibrated on all of that quarter. A prediction stands when a template confirms it, which the classifier has not seen in
 that form: a phrase that names the family, where no longer one names another, or most words of a paragraph of its
 text. Only paragraphs that some template could confirm are classified at all. Only DataFrame functions and JVM
 transformers take part.
@@ -115,9 +115,8 @@ OTHERS = [
     "An eclipse was visible to the public in 2017.", "The version of the program is available at the following address.", "All rights reserved.", "Copyright 2019 the company. All rights reserved.",
     "The mozilla of the north and the gnu of the south are animals.", "You should have received a copy of the invoice along with this parcel.", "Use of this site is subject to the terms of service.",
 ]
-#: Documents of the corpus whose paragraphs are drawn, and paragraphs of them in the unknown class; the share of those
-#: held out that may pass the limit.
-SAMPLE_DOCS, SAMPLE, PASS = 2000, 4000, 0.001
+#: The share of the paragraphs held out that may pass the limit, and the steps in which the limit is found.
+PASS, STEPS = 0.001, 10_000
 #: The share of the words of a paragraph of a text that confirms.
 CONFIRM = 0.8
 
@@ -125,6 +124,9 @@ _SPLIT = r"[^A-Za-z0-9]+"
 #: Words that say little of a paragraph; key words are others where there are others.
 _COMMON = "the of by and to in a or is for on are as at be but can either even event file files has have if into its made met more must name names non not one out should that this v was which whether will with your you www http https org list language details author authors public general version open software new style 0 1 2 3 4 work project use used any all program free see terms made available code source library action along anyone appear applications basis deal display extent forms held hope included international limited materials means option parties persons prepare received third useful v2 zero commercial non"
 
+#: Words of the templates that are frequent in other prose, in some language: key words only where all others are.
+_PROSE = "an do from it mit nc nd no sa under"
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
@@ -183,8 +185,8 @@ def key_words() -> list[str]:
     """Words of which every paragraph holds one that a template can confirm: the rarest word of each phrase, and of
     each text's words as many of the rarest as a confirmed paragraph cannot all lack."""
     uses = Counter(w for _, p in phrases() for w in set(p.split(" "))) + Counter(w for _, ws in _texts() for w in ws)
-    common = set(_COMMON.split())
-    rare = lambda w: (w in common, uses[w], w)
+    common, prose = set(_COMMON.split()), set(_PROSE.split())
+    rare = lambda w: (w in prose, w in common, uses[w], w)
     out = {min(p.split(" "), key=rare) for _, p in phrases()}
     for _, ws in _texts():
         out |= set(sorted(ws, key=rare)[: int((1 - CONFIRM) * len(ws)) + 1])
@@ -203,28 +205,54 @@ class Scanner:
         return made.select(*lines.columns, F.col("prediction").cast("int").alias("label"), F.array_max(vector_to_array("probability")).alias("p"))
 
 
-def fit_scanner(docs: DataFrame, sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS, text_col: str = "text") -> Scanner:
-    """Trained on the sentences, the texts, and at most ``sample`` paragraphs of about ``sample_docs`` documents of
-    docs that resemble no template. Documents are drawn by the hash of their text, before anything else is read."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("t")).filter("t is not null")
-    share = min(1.0, sample_docs / max(1, texts.count()))
-    drawn = texts.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    drawn = drawn.select(F.explode(F.split("t", "\n", -1)).alias("p")).select(words(F.col("p")).alias("ws")).filter("size(ws) > 0").distinct()
-    drawn = drawn.filter(_share_of_any("ws") < 0.5).filter(F.size(_named("ws")) == 0)
-    drawn = drawn.orderBy(F.xxhash64("ws"), "ws").limit(sample)
-    unknown = Scratch(spark).cut(drawn.select(F.lit(0).alias("label"), "ws", (F.pmod(F.xxhash64("ws"), F.lit(4)) == 0).alias("held")))
+def keyed_lines(docs: DataFrame, text_col: str, *cols: Column) -> DataFrame:
+    """(cols, line, ws) of the paragraphs that hold a key word: no other is ever classified."""
+    # words inside the generator: a filter on them is then not computed twice
+    parts = F.transform(F.split(text_col, "\n", -1), words)
+    lines = docs.filter(F.col(text_col).isNotNull()).select(*cols, F.posexplode(parts).alias("line", "ws"))
+    return lines.filter(F.arrays_overlap("ws", F.array(*map(F.lit, key_words()))))
+
+
+def unknown_class(lines: DataFrame) -> DataFrame:
+    """(ws, held) of all different paragraphs among lines (ws, ...) that resemble no template; a quarter is held out."""
+    every = lines.select("ws").distinct().filter(_share_of_any("ws") < 0.5).filter(F.size(_named("ws")) == 0)
+    return every.select("ws", (F.pmod(F.xxhash64("ws"), F.lit(4)) == 0).alias("held"))
+
+
+def fit_scanner(docs: DataFrame, text_col: str = "text") -> Scanner:
+    """Trained on the sentences, the texts, and all paragraphs of docs that hold a key word and resemble no template."""
+    return _fit(Scratch(docs.sparkSession).cut(keyed_lines(docs, text_col)))
+
+
+def _fit(lines: DataFrame) -> Scanner:
+    """Together the paragraphs of the corpus weigh no more than the fixed examples, however many they are."""
+    spark = lines.sparkSession
+    unknown = Scratch(spark).cut(unknown_class(lines))
     known = examples()
     ones = sorted({w for _, ws in known for w in ws})
     pairs = sorted({f"{a} {b}" for _, ws in known for a, b in zip(ws, ws[1:], strict=False)})
     features = CountVectorizerModel.from_vocabulary(ones + pairs, inputCol="grams", outputCol="features", binary=True)
-    train = spark.createDataFrame(known, "label int, ws array<string>").unionByName(unknown.filter("not held").select("label", "ws"))
-    data = features.transform(train.select(F.col("label").cast("double").alias("label"), _grams(F.col("ws")).alias("grams"))).coalesce(4)
-    model = LogisticRegression(regParam=0.002, maxIter=60, family="multinomial", probabilityCol="probability").fit(data)
+    learnt = unknown.filter("not held")
+    weight = min(1.0, len(known) / max(1, learnt.count()))
+    train = spark.createDataFrame(known, "label int, ws array<string>").withColumn("weight", F.lit(1.0)).coalesce(1)
+    train = train.unionByName(learnt.select(F.lit(0).alias("label"), "ws", F.lit(weight).alias("weight")))
+    data = features.transform(train.select(F.col("label").cast("double").alias("label"), "weight", _grams(F.col("ws")).alias("grams")))
+    model = LogisticRegression(regParam=0.002, maxIter=60, family="multinomial", probabilityCol="probability", weightCol="weight").fit(data)
     held = model.transform(features.transform(unknown.filter("held").select(_grams(F.col("ws")).alias("grams"))))
     p = F.array_max(F.slice(vector_to_array("probability"), 2, len(NAMES)))
-    limit = held.agg(F.percentile(p, F.lit(1 - PASS))).first()[0]
-    return Scanner(features, model, min(0.99, max(0.5, limit or 0.0)))
+    counts = held.groupBy(F.ceil(p * STEPS).alias("step")).count().collect()  # at most STEPS + 1
+    return Scanner(features, model, min(0.99, max(0.5, limit_of([(r.step, r["count"]) for r in counts]))))
+
+
+def limit_of(counts: list[tuple[int, int]]) -> float:
+    """From (upper step of p, paragraphs): the least step that no more than PASS of all paragraphs lie above."""
+    most, above, limit = PASS * sum(n for _, n in counts), 0, 0
+    for step, n in sorted(counts, reverse=True):
+        above += n
+        if above > most:
+            limit = step
+            break
+    return limit / STEPS
 
 
 def _share_of_any(ws: str) -> Column:
@@ -250,13 +278,10 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, id_col: str =
     are equally likely the one that comes first by name is predicted.
     """
     spark = docs.sparkSession
-    scanner = scanner or fit_scanner(docs, text_col=text_col)
     did, th, pid, ph, found = fresh(docs, "__did", "__th", "__pid", "__ph", "licenses")
     base = docs.withColumns({did: F.col(id_col), th: F.xxhash64(text_col)})
-    # words inside the generator: a filter on them is then not computed twice
-    parts = F.transform(F.split(text_col, "\n", -1), words)
-    lines = base.filter(F.col(text_col).isNotNull()).select(F.col(did).alias("did"), F.col(th).alias("th"), F.posexplode(parts).alias("line", "ws"))
-    lines = lines.filter(F.arrays_overlap("ws", F.array(*map(F.lit, key_words()))))
+    lines = Scratch(spark).cut(keyed_lines(base, text_col, F.col(did).alias("did"), F.col(th).alias("th")))
+    scanner = scanner or _fit(lines)
     scored = scanner.scored(lines).filter((F.col("label") > 0) & (F.col("p") >= scanner.limit))
     longest = F.aggregate(_named("ws"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("label")), lambda a, x: F.greatest(a, x))["label"]
     known = spark.createDataFrame(_texts(), "label int, tws array<string>")
