@@ -447,6 +447,19 @@ def test_repeats_of_rows_and_odd_columns(spark):
     assert left.pop(2).strip() == "" and left == {0: text, 1: text, 3: None}
 
 
+def test_word_hashes_of_a_batch():
+    r = random.Random(21)
+    rows = ["".join(r.choice("abz.!?0\téß漢😀") for _ in range(n)) for n in range(1, 40) for _ in range(30)]
+    texts = ["", " ".join(rows[:400]), "\n\n ", "\n".join(rows[400:]), ""]
+    got = SD.Parsed(texts, SD._StringHash(), 8)
+    assert got.h.tolist() == [SD._StringHash()[w] for w in rows]
+    assert [texts[i][a:b] for i, a, b in zip(got.text_of, got.start, got.end, strict=True)] == rows
+    # words of up to 16 bytes are computed together, without one look-up each
+    seen = SD._StringHash()
+    SD.Parsed(texts, seen, 8)
+    assert seen and all(len(w.encode()) > 16 for w in seen)
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def test_line_dedup(spark, empty):

@@ -48,7 +48,7 @@ def tune_bands(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
 
 
 class _StringHash(dict):
-    """The hash of a word, its lowest bit set where the word ends a sentence."""
+    """The hash of a word, its lowest bit set where the word ends a sentence; for long words, see word_hashes."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 1 << 18:
@@ -57,6 +57,52 @@ class _StringHash(dict):
         return h
 
 
+def word_hashes(data: bytes, raw: np.ndarray, first: np.ndarray, past: np.ndarray, hashes: _StringHash) -> np.ndarray:
+    """The hashes of _StringHash of all words data[first:past], computed at once for words of up to 16 bytes (XXH3)."""
+    size, out = past - first, np.zeros(len(first), np.uint64)
+    u, m = np.uint64, np.uint64(0xFFFFFFFF)
+
+    def number(at: np.ndarray, n: int) -> np.ndarray:
+        # n bytes from each place, the first one lowest
+        x = raw[at].astype(u)
+        for i in range(1, n):
+            x |= raw[at + i].astype(u) << u(8 * i)
+        return x
+
+    k = np.flatnonzero(size <= 3)
+    a, n = first[k], size[k]
+    x = raw[a].astype(u) << u(16) | raw[a + (n >> 1)].astype(u) << u(24) | raw[a + n - 1] | n.astype(u) << u(8)
+    x ^= u(0x87275A9B)
+    x = (x ^ x >> u(33)) * u(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> u(29)) * u(0x165667B19E3779F9)
+    out[k] = x ^ x >> u(32)
+
+    k = np.flatnonzero((size > 3) & (size <= 8))
+    a, n = first[k], size[k]
+    x = (number(a + n - 4, 4) + (number(a, 4) << u(32))) ^ u(0xC73AB174C5ECD5A2)
+    x ^= (x << u(49) | x >> u(15)) ^ (x << u(24) | x >> u(40))
+    x *= u(0x9FB21C651E98DF25)
+    x ^= (x >> u(35)) + n.astype(u)
+    x *= u(0x9FB21C651E98DF25)
+    out[k] = x ^ x >> u(28)
+
+    k = np.flatnonzero((size > 8) & (size <= 16))
+    a, n = first[k], size[k]
+    x, y = number(a, 8) ^ u(0x6782737BEA4239B9), number(a + n - 8, 8) ^ u(0xAF56BC3B0996523A)
+    # both halves of the product of 128 bits
+    low, mid, up = (x & m) * (y & m), (x & m) * (y >> u(32)), (x >> u(32)) * (y >> u(32))
+    cross = (low >> u(32)) + (mid & m) + (x >> u(32)) * (y & m)
+    fold = (cross << u(32) | low & m) ^ ((cross >> u(32)) + (mid >> u(32)) + up)
+    x = n.astype(u) + x.byteswap() + y + fold
+    x = (x ^ x >> u(37)) * u(0x165667919E3779F9)
+    out[k] = x ^ x >> u(32)
+
+    out = out & ~u(1) | np.isin(raw[past - 1], [ord(c) for c in _STOPS])
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = hashes[data[first[i] : past[i]].decode()]
+    return out
+
+
 class Parsed:
     """Some texts as the words of all of them: hash, start and end in characters; and their paragraphs.
 
@@ -65,28 +111,20 @@ class Parsed:
     """
 
     def __init__(self, texts: list[str], hashes: _StringHash, min_words: int):
-        words: list[str] = []
-        sizes: list[int] = []  # words of each line
-        lines: list[int] = []  # lines of each text
-        for text in texts:
-            rows = text.split("\n")
-            lines.append(len(rows))
-            for row in rows:
-                split = row.split(" ")
-                sizes.append(len(split))
-                words += split
-        n = len(words)
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-        length = np.fromiter(map(len, words), np.int64, n)
-        # one character stands between words, be it a space or a line end
-        at = np.cumsum(length + 1) - length - 1
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        text_of = np.repeat(np.arange(len(texts)), lines)[line] if n else np.zeros(0, np.int64)
-        begin = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes, np.concatenate(([0], np.cumsum(lines)[:-1]))))[:-1])) if texts else np.zeros(0, np.int64)
-        at -= at[begin][text_of] if n else 0
-        keep = length > 0
-        self.h, self.start, line, self.text_of = h[keep], at[keep], line[keep], text_of[keep]
-        self.end = self.start + length[keep]
+        coded = [t.encode() for t in texts]
+        data = b"\n".join([*coded, b""])
+        raw = np.frombuffer(data, np.uint8)
+        opens = np.cumsum([0, *(len(x) + 1 for x in coded)])[:-1]  # the first byte of each text
+        new_line = raw == 10
+        apart = new_line | (raw == 32)
+        edges = np.flatnonzero(np.diff(apart, prepend=True, append=True)) if len(raw) else np.zeros(0, np.int64)
+        first, past = edges[::2], edges[1::2]  # the last byte stands between words, so edges come in pairs
+        self.h = word_hashes(data, raw, first, past, hashes)
+        self.text_of = np.searchsorted(opens, first, "right") - 1
+        line = np.cumsum(new_line)[first]
+        at = np.cumsum(raw & 0xC0 != 0x80)  # characters up to and with a byte
+        base = at[opens[self.text_of]] if len(first) else at[:0]
+        self.start, self.end = at[first] - base, at[past] - base
         self.bounds = np.searchsorted(self.text_of, np.arange(len(texts) + 1))
         last = np.concatenate((line[1:] != line[:-1], [True])) if len(line) else np.zeros(0, bool)
         ends = np.flatnonzero(last | (self.h & np.uint64(1) > 0)) + 1
@@ -415,6 +453,7 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     keys = real.filter("bands is not null").select(F.explode("bands").alias("k"), "d")
     keys = keys.select("k", "d", F.expr("min(d) over (partition by k)").alias("lead"), F.expr("max(d) over (partition by k)").alias("last"), F.expr("lag(d) over (partition by k order by d)").alias("prev"))
     keys = scratch.cut(keys.filter("lead <> last").drop("last"))
+    scratch.sweep()  # the shuffle of all bands is the largest
     pairs = keys.filter("d <> lead").select(F.explode(F.array("lead", "prev")).alias("a"), F.col("d").alias("b")).filter("a <> b").distinct()
     pairs = scratch.cut(pairs)
     spot = F.col("d").bitwiseAND(F.lit(PRUNE_BITS - 1))
@@ -428,6 +467,8 @@ def find_repeats(docs: DataFrame, n: int = 5, percent: int = 80, min_words: int
     links = scratch.cut(two.mapInArrow(released(_exact(percent)), "a long, b long"))
     near = scratch.cut(components(links, scratch).withColumnRenamed("id", "d"))
     more = _crowded(keys, near, sets, percent, scratch)
+    scratch.drop(keys, pairs, sets, links)
+    scratch.sweep()
     old = near.filter("d <> component").select(F.col("d").alias("a"), F.col("component").alias("b"))
     near = scratch.cut(components(old.union(more), scratch).withColumnRenamed("id", "d"))
     # filters of a fixed size keep paragraphs out of the shuffles that have no part in a class
