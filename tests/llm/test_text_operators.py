@@ -447,6 +447,16 @@ def test_repeats_of_rows_and_odd_columns(spark):
     assert left.pop(2).strip() == "" and left == {0: text, 1: text, 3: None}
 
 
+def test_bitmaps_outside_the_pairs_are_left_out(spark, monkeypatch):
+    r, met, real = random.Random(22), [], N.maybe_in
+    monkeypatch.setattr(N, "maybe_in", lambda *x: met.append(x[1]) or real(*x))
+    rows = [(i, prose(r, 60)) for i in range(30)]
+    rows += [(100 + i, f"{t} more") for i, t in rows[:8]] + [(200, None), (201, "")]
+    got = N.ngram_jaccard_join(spark.createDataFrame(rows, DOCS), n=4, percent=85).collect()
+    assert sorted(tuple(x) for x in got) == sorted(N.brute_force(rows, 4, 85))
+    assert met == ["doc_id", "doc_id"]
+
+
 def test_word_hashes_of_a_batch():
     r = random.Random(21)
     rows = ["".join(r.choice("abz.!?0\téß漢😀") for _ in range(n)) for n in range(1, 40) for _ in range(30)]

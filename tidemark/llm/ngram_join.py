@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from .common import Scratch, WordHash, components, mix, odd, read, released, shingle_set, signed
+from .common import Scratch, WordHash, components, id_bits, maybe_in, mix, odd, read, released, shingle_set, signed
 
 #: Times a set is dealt with other hashes before its empty parts become tiles too.
 DEALS = 8
@@ -36,6 +36,8 @@ DEALS = 8
 REMEMBERED = 500_000
 #: Rows of one block of an open tile.
 BLOCK = 2048
+#: Words of 64 bits in the filter over the sets of the pairs that are checked.
+FILTER = 1 << 17
 #: Bits of the filter that prunes the texts read again for verification. It has a fixed size, and a join decides.
 PRUNE_BITS = 1 << 23
 
@@ -250,6 +252,9 @@ def _sets_of(ids: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataF
 
 def _verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, meta: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) that link; without sets, those needed are read from docs."""
+    # bitmaps of sets that are in no pair stay out of the shuffles; the joins decide
+    bits = scratch.cut(id_bits(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", FILTER))
+    meta = meta.filter(maybe_in(bits, "doc_id", FILTER))
     side = lambda c, *names: meta.select(F.col("doc_id").alias(c), *(F.col(x).alias(y) for x, y in zip(("n", "d1", "d2", "bits"), names, strict=True)))
     met = pairs.join(side("b", "n2", "e1", "e2", "y"), "b").join(side("a", "n1", "d1", "d2", "x"), "a")
     same = "n1 = n2 and d1 = e1 and d2 = e2"
@@ -286,6 +291,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     members = lone.select(F.explode("tiles").alias("tile"), F.col("doc_id").alias("id"))
     members = members.withColumns({"leader": F.min("id").over(per), "size": F.count("*").over(per), "whole": F.bit_xor(F.xxhash64("id")).over(per)}).filter("size > 1")
     members = scratch.cut(members)
+    scratch.sweep()  # the shuffle of all tiles is the largest
     stars = scratch.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     copies = meta.filter("copy_of <> doc_id").select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"))
     # equal sets of several tasks, or of texts that differ: stars may miss them, if all tiles have leaders of other sets
