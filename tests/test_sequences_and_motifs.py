@@ -255,6 +255,51 @@ def test_large_datasets_are_sampled_in_parts(spark, monkeypatch, rank, zoops):
     assert {r.run: (r.score, r.sites) for r in motif.gibbs_runs(spark, frame, [o]).collect()} == {r: (rows[0, r].score, rows[0, r].sites) for r in range(6)}
 
 
+@pytest.mark.parametrize("background", ["plain", "flank", "site", "gmean", "amean"])
+@pytest.mark.parametrize("order", [0, 2])
+def test_windows_are_looked_up_by_their_words(monkeypatch, background, order):
+    r = np.random.default_rng(4)
+    seqs = ["".join(r.choice(list("ACGTN"), n, p=[0.3, 0.2, 0.25, 0.23, 0.02])) for n in (0, 3, 7, 90, 6, 400, 0, 33)]
+    o = motif.MotifOptions(seed=3, width=7, order=order, background=background)
+    part = motif.Part(np.frombuffer(b"\4".join([s.encode().translate(motif._TRANSLATE) for s in seqs] + [b""]), np.uint8), np.array([len(s) for s in seqs]))
+    data = motif.Sequences(seqs, 7, order, background=background)
+    m = [part.words(k, True).reshape(-1, 4) + 1.0 for k in range(order + 1)]
+    tables = [np.log(x / x.sum(axis=1, keepdims=True)).ravel() for x in m]
+    assert np.exp(tables[0]) == pytest.approx(data.base)
+    if background in ("plain", "flank", "site"):
+        monkeypatch.setattr(motif, "window_logs", None)  # a sweep scores no letter anew
+    scale = motif.Scale(o, tables)
+    windows = motif.Windows(part, scale)
+    pwm = np.log(r.dirichlet([1] * 4, 7))
+    profile = motif.Profile(scale, pwm)
+    sums = windows.weights(profile)[1].sum(axis=1)
+    assert windows.able.tolist() == np.flatnonzero(data.n_valid).tolist() and windows.n_valid.tolist() == data.n_valid[windows.able].tolist()
+    for j, i in enumerate(windows.able.tolist()):
+        names, logs = windows.of_sequence(j, windows.logs(profile.logs, slice(part.first[i], part.first[i] + len(seqs[i]))))
+        want = data.ratios(i, pwm)
+        assert logs[np.isfinite(logs)] == pytest.approx(want[np.isfinite(want)])
+        assert math.log(sums[j]) + profile.top == pytest.approx(math.log(np.exp(want).sum()))
+        ranks = np.zeros(len(windows.able), np.int64)
+        for rank, name in enumerate(names[np.isfinite(logs)].tolist()):
+            ranks[j] = rank
+            assert windows.numbered(ranks)[j] == name
+
+
+def test_long_chains_are_walked_in_stretches(monkeypatch):
+    r, longest, walk = np.random.default_rng(2), [], motif._walk
+    monkeypatch.setattr(motif, "_walk", lambda *a: longest.append(int(a[3].max())) or walk(*a))
+    never = np.array([[0, 1.0, 1], [0, 0, 1], [0, 0, 0], [1, 1, 1]])  # chains from different contexts never meet
+    for table in (np.cumsum(r.dirichlet([1] * 4, 64), axis=1)[:, :3], never):
+        draws = [r.random(n) for n in (0, 20000, 3, 700)]
+        got = motif._chains(table, [0, 1, 2, 3], draws)
+        for state, x, text in zip([0, 1, 2, 3], draws, got, strict=True):
+            for u, letter in zip(x, text, strict=True):
+                at = int((u >= table[state]).sum())
+                assert letter == "ACGT"[at]
+                state = (state * 4 + at) % len(table)
+    assert max(longest) <= motif.STRETCH
+
+
 def test_clr_sampling_finds_the_motif():
     seqs = planted(15)
     o = motif.MotifOptions(seed=5, width=10, order=1, plateau=12, max_sweeps=60, runs=4, clr_sampling=True, rank="clr")
