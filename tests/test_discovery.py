@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -160,6 +161,35 @@ def test_seed_profiles(spark):
     assert np.allclose(freqs[0], [1 / 6, 1 / 6, 1 / 6, 3 / 6]) and freqs[1].argmax() == 0 and len(freqs) == 6
 
 
+def plain_seeds(rows, k, flank, pseudo):
+    out = {}
+    for g in {g for g, s in rows if g is not None and s}:
+        spans = [s[i : i + k + 2 * flank] for n, s in rows if n == g and s for i in range(len(s) - k - 2 * flank + 1)]
+        spans = [x for x in spans if not set(x) - set("ACGT")]
+        n = Counter(x[flank : flank + k] for x in spans)
+        if n:
+            top = min(n, key=lambda w: (-n[w], w))
+            spans = [x for x in spans if x[flank : flank + k] == top]
+            out[g] = [(sum(x[j] == b for x in spans) + pseudo) / (len(spans) + 4 * pseudo) for j in range(k + 2 * flank) for b in "ACGT"]
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+@pytest.mark.parametrize("k", [2, 9])
+def test_seed_profiles_count_letters_not_windows(spark, monkeypatch, block, k):
+    monkeypatch.setattr(Q, "BLOCK", block)  # with 40, the groups of more letters are counted in blocks
+    r = np.random.default_rng(8)
+    text = lambda n: "".join(r.choice(list("ACGTNa"), n, p=[0.3, 0.2, 0.23, 0.23, 0.02, 0.02]))
+    rows = [(g, text(n)) for g in ("one", "two", "three") for n in (0, 3, 30, 90, 41, 12)] + [(f"r{i}", text(25)) for i in range(30)]
+    rows += [("one", None), (None, text(60)), ("two", rows[3][1]), ("short", "ACG"), ("gaps", "N" * 50)]
+    frame = spark.createDataFrame(rows, "g string, seq string").repartition(5)
+    seeds = D.seed_profiles(frame, "g", k, 2, 0.5, "g")
+    got = {x.motif: x.freqs for x in seeds.collect()}
+    want = plain_seeds(rows, k, 2, 0.5)
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert "Generate" not in seeds._jdf.queryExecution().executedPlan().toString()  # no row for a window
+
+
 # -- sites of a profile ----------------------------------------------------------------------------------------------
 
 

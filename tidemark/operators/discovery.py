@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -149,7 +150,7 @@ def compare_motifs(queries: DataFrame, targets: DataFrame, least_overlap: int =
     spark, out = targets.sparkSession, None
     name = targets.schema["motif"].dataType
     # made once, and dealt out by number: a small table of motifs is much work
-    targets = cut(targets.select("motif", F.col("freqs").cast("array<double>").alias("freqs"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    targets = cut(targets.select("motif", F.col("freqs").cast("array<double>").alias("freqs")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     n_targets = targets.filter("size(freqs) > 0 and not exists(freqs, x -> x is null)").count()
     found = T.StructType([
         T.StructField("query", queries.schema["motif"].dataType), T.StructField("target", name), T.StructField("offset", T.IntegerType()), T.StructField("strand", T.IntegerType()),
@@ -194,6 +195,7 @@ def compare_motifs(queries: DataFrame, targets: DataFrame, least_overlap: int =
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], found)
+    out = cut(out)  # read twice: alignments are much work
     out = benjamini_hochberg(out.withColumn("e_value", F.col("p_value") * n_targets), "p_value", ["query"])
     return out.filter(F.col("p_value") <= most_p)
 
@@ -472,16 +474,123 @@ def discriminative_words(df: DataFrame, k: int = 6, beam: int = 30, most: int =
     return spark.createDataFrame(found, "rank int, pattern string, pos long, neg long, pos_all long, neg_all long, p_value double, e_value double")
 
 
+def _codes(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    """The texts of a batch side by side, a gap behind each."""
+    return np.concatenate([x for codes in Q._texts(batch, column) for x in (codes, _GAP)])
+
+
+def _centres(codes: np.ndarray, k: int, flank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows without gaps, and their inner words of k letters as numbers to base 4."""
+    span = k + 2 * flank
+    size = max(0, len(codes) - span + 1)
+    gaps = np.concatenate(([0], np.cumsum(codes == 4)))
+    at = np.flatnonzero(gaps[span : span + size] == gaps[:size])
+    word = np.zeros(size, np.int64)
+    for j in range(k):
+        word = word * 4 + codes[flank + j : flank + j + size]
+    return at, word[at]
+
+
+def _counted(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different words, in order, and how often each occurs."""
+    if k > 8:
+        return np.unique(words, return_counts=True)
+    n = np.bincount(words)
+    there = np.flatnonzero(n)
+    return there, n[there]
+
+
+def _columns(codes: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """How often each letter stands in each column of windows."""
+    return np.concatenate([np.bincount(codes[at + j], minlength=4)[:4] for j in range(span)])
+
+
+_GAP = np.full(1, 4, np.uint8)
+
+
 def seed_profiles(df: DataFrame, group: str, k: int = 6, flank: int = 3, pseudo: float = 1.0, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
     """(motif, freqs) for each group of sequences: its commonest word of k letters, with the letters beside it, over
-    all places where it stands. Ties go to the word first in order; places too near an end are left out."""
-    span = k + 2 * flank
-    windows = Q.kmers(df, span, group, seq).filter(F.translate("kmer", Q.BASES, "") == "").withColumn("word", F.substring("kmer", flank + 1, k))
-    counts = windows.groupBy(group, "word").agg(F.count("*").alias("n"))
-    top = counts.groupBy(group).agg(F.min_by("word", F.struct(F.negative("n"), "word")).alias("word"))
-    letters = windows.join(top, [group, "word"]).select(group, F.posexplode(F.regexp_extract_all("kmer", F.lit("."), F.lit(0))).alias("col", "base"))
-    n = letters.groupBy(group, "col", "base").agg(F.count("*").alias("n"))
-    dense = top.select(group, F.explode(F.sequence(F.lit(0), F.lit(span - 1))).alias("col")).select(group, "col", F.explode(F.array(*map(F.lit, Q.BASES))).alias("base"))
-    cells = dense.join(n, [group, "col", "base"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + pseudo)
-    total = cells.groupBy(group, "col").agg(F.sum("n").alias("t"))
-    return wide_profiles(cells.join(total, [group, "col"]).select(F.col(group).alias("motif"), "col", "base", (F.col("n") / F.col("t")).alias("freq")))
+    all places where it stands. Ties go to the word first in order; places too near an end are left out.
+
+    Sequences of a group meet, as letters, not as a row for each window. Groups of more than Q.BLOCK letters, which are
+    few for any table, stay where they are: their words are counted in blocks, and then the letters about the commonest.
+    """
+    if not 1 <= k <= LONGEST_WORD:
+        raise ValueError(f"a word has 1 to {LONGEST_WORD} letters")
+    span, block = k + 2 * flank, Q.BLOCK
+    frame = cut(df.select(F.col(group).alias("motif"), F.col(seq).alias("seq")).filter(F.col("motif").isNotNull() & (F.length("seq") >= span)))
+    name = frame.schema["motif"]
+    large = cut(frame.groupBy("motif").agg(F.sum(F.length("seq")).alias("n")).filter(F.col("n") > block).select("motif"))
+    schema = T.StructType([name, T.StructField("freqs", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def profile(names: list, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A row of names for each run of equal names: they are one group."""
+        out, found = [], []
+        edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            codes = _codes(batch.slice(a, b - a), 1)
+            at, words = _centres(codes, k, flank)
+            if len(at):
+                its, n = _counted(words, k)
+                top = int(n.argmax())
+                out.append((_columns(codes, at[words == its[top]], span) + pseudo) / (n[top] + 4 * pseudo))
+                found.append(names[a])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * (4 * span)), pa.array(np.concatenate([*out, np.zeros(0)])))
+        return pa.RecordBatch.from_arrays([pa.array(found, arrow.field(0).type), lists.cast(arrow.field(1).type)], schema=arrow)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
+            names = batch.column(0).to_pylist()
+            whole = len(names)  # the last group may go on
+            while whole and names[whole - 1] == names[-1]:
+                whole -= 1
+            held = batch.slice(whole)
+            if whole:
+                yield profile(names[:whole], batch)
+        if held is not None:
+            yield profile(held.column(0).to_pylist(), held)
+
+    rest = frame.join(F.broadcast(large), "motif", "left_anti")  # not more of them than letters hold blocks
+    out = rest.repartition("motif").sortWithinPartitions("motif").mapInArrow(small, schema)
+    if large.isEmpty():
+        return out
+
+    def by_group(batches: Iterator[pa.RecordBatch], fields: list[pa.Field], rows) -> Iterator[pa.RecordBatch]:
+        """For blocks of letters and each group in them: rows(group, codes) gives arrays beside its name."""
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            at = [(i, a) for i, n in enumerate(pc.utf8_length(batch.column(1)).to_pylist()) for a in range(0, n, block)]
+            size, mine = 0, {}
+            for j, (i, a) in enumerate(at):
+                codes = next(Q._texts(batch.slice(i, 1), 1))[a : a + block + span - 1]
+                mine.setdefault(names[i], []).extend([codes, _GAP])
+                size += len(codes)
+                if size > block or j == len(at) - 1:
+                    for g, some in mine.items():
+                        values = rows(g, np.concatenate(some))
+                        yield pa.RecordBatch.from_arrays([pa.array([g] * len(values[0]), arrow.field(0).type), *map(pa.array, values)], schema=pa.schema([arrow.field(0), *fields]))
+                    size, mine = 0, {}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_group(batches, [pa.field("word", pa.int64()), pa.field("n", pa.int64())], lambda g, codes: _counted(_centres(codes, k, flank)[1], k))
+
+    many = frame.join(F.broadcast(large), "motif", "left_semi")
+    counts = many.mapInArrow(count, T.StructType([name, T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])).groupBy("motif", "word").agg(F.sum("n").alias("n"))
+    tops = {r["motif"]: r["word"] for r in counts.groupBy("motif").agg(F.min_by("word", F.struct(F.negative("n"), "word")).alias("word")).collect()}  # a word for each of the few
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(g, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at, words = _centres(codes, k, flank)
+            return np.arange(4 * span), _columns(codes, at[words == tops.get(g, -1)], span)
+
+        yield from by_group(batches, [pa.field("cell", pa.int64()), pa.field("n", pa.int64())], rows)
+
+    cells = many.mapInArrow(letters, T.StructType([name, T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])).groupBy("motif", "cell").agg(F.sum("n").alias("n"))
+    cells = cells.groupBy("motif").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("n"))
+    total = F.col("n")[0]["n"] + F.col("n")[1]["n"] + F.col("n")[2]["n"] + F.col("n")[3]["n"]
+    cells = cells.filter(total > 0).select("motif", F.transform("n", lambda x: (x["n"] + pseudo) / (total + 4 * pseudo)).alias("freqs"))
+    return out.union(cells)
