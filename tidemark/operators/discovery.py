@@ -12,7 +12,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -559,38 +558,56 @@ def seed_profiles(df: DataFrame, group: str, k: int = 6, flank: int = 3, pseudo:
     if large.isEmpty():
         return out
 
-    def by_group(batches: Iterator[pa.RecordBatch], fields: list[pa.Field], rows) -> Iterator[pa.RecordBatch]:
-        """For blocks of letters and each group in them: rows(group, codes) gives arrays beside its name."""
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+        """Letters of a group, about as many as a block has with those of the others."""
+        size, mine = 0, {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            at = [(i, a) for i, n in enumerate(pc.utf8_length(batch.column(1)).to_pylist()) for a in range(0, n, block)]
-            size, mine = 0, {}
-            for j, (i, a) in enumerate(at):
-                codes = next(Q._texts(batch.slice(i, 1), 1))[a : a + block + span - 1]
-                mine.setdefault(names[i], []).extend([codes, _GAP])
-                size += len(codes)
-                if size > block or j == len(at) - 1:
-                    for g, some in mine.items():
-                        values = rows(g, np.concatenate(some))
-                        yield pa.RecordBatch.from_arrays([pa.array([g] * len(values[0]), arrow.field(0).type), *map(pa.array, values)], schema=pa.schema([arrow.field(0), *fields]))
-                    size, mine = 0, {}
+            for g, codes in zip(batch.column(0).to_pylist(), Q._texts(batch, 1), strict=True):
+                for a in range(0, len(codes), block):
+                    part = codes[a : a + block + span - 1]
+                    mine.setdefault(g, []).extend([part, _GAP])
+                    size += len(part)
+                    if size > block:
+                        yield from ((g, np.concatenate(some)) for g, some in mine.items())
+                        size, mine = 0, {}
+        yield from ((g, np.concatenate(some)) for g, some in mine.items())
+
+    def summed(batches: Iterator[pa.RecordBatch], rows) -> Iterator[pa.RecordBatch]:
+        """What rows(group, codes) counts, as (group, what, n): the sums of a task, as long as they are not many."""
+        held: dict = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for g, (what, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(n), arrow.field(0).type), pa.array(what), pa.array(n)], schema=pa.schema([arrow.field(0), ("what", pa.int64()), ("n", pa.int64())]))
+
+        for g, codes in blocks(batches):
+            what, n = rows(g, codes)
+            if g in held:
+                both, at = np.unique(np.concatenate([held[g][0], what]), return_inverse=True)
+                what, n = both, np.bincount(at, np.concatenate([held[g][1], n]), len(both)).astype(np.int64)
+            held[g] = what, n
+            if sum(len(n) for _, n in held.values()) > block:
+                yield from out()
+                held.clear()
+        yield from out()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from by_group(batches, [pa.field("word", pa.int64()), pa.field("n", pa.int64())], lambda g, codes: _counted(_centres(codes, k, flank)[1], k))
+        yield from summed(batches, lambda g, codes: _counted(_centres(codes, k, flank)[1], k))
 
+    sums = T.StructType([name, T.StructField("what", T.LongType()), T.StructField("n", T.LongType())])
     many = frame.join(F.broadcast(large), "motif", "left_semi")
-    counts = many.mapInArrow(count, T.StructType([name, T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])).groupBy("motif", "word").agg(F.sum("n").alias("n"))
-    tops = {r["motif"]: r["word"] for r in counts.groupBy("motif").agg(F.min_by("word", F.struct(F.negative("n"), "word")).alias("word")).collect()}  # a word for each of the few
+    counts = many.mapInArrow(count, sums).groupBy("motif", "what").agg(F.sum("n").alias("n"))
+    tops = {r["motif"]: r["word"] for r in counts.groupBy("motif").agg(F.min_by("what", F.struct(F.negative("n"), "what")).alias("word")).collect()}  # a word for each of the few
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(g, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at, words = _centres(codes, k, flank)
             return np.arange(4 * span), _columns(codes, at[words == tops.get(g, -1)], span)
 
-        yield from by_group(batches, [pa.field("cell", pa.int64()), pa.field("n", pa.int64())], rows)
+        yield from summed(batches, rows)
 
-    cells = many.mapInArrow(letters, T.StructType([name, T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])).groupBy("motif", "cell").agg(F.sum("n").alias("n"))
-    cells = cells.groupBy("motif").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("n"))
+    cells = many.mapInArrow(letters, sums).groupBy("motif", "what").agg(F.sum("n").alias("n"))
+    cells = cells.groupBy("motif").agg(F.array_sort(F.collect_list(F.struct("what", "n"))).alias("n"))
     total = F.col("n")[0]["n"] + F.col("n")[1]["n"] + F.col("n")[2]["n"] + F.col("n")[3]["n"]
     cells = cells.filter(total > 0).select("motif", F.transform("n", lambda x: (x["n"] + pseudo) / (total + 4 * pseudo)).alias("freqs"))
     return out.union(cells)
